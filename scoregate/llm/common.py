@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: The white space that separates words: space and U+0009 to U+000D.
@@ -125,3 +127,57 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+#: Bytes of text taken at a time by the vectorised readers; a longer text is taken whole.
+TEXT_CHUNK = 1 << 20
+#: Bytes of a word that the tabulation hash covers; longer words are hashed one by one.
+_COVERED = 64
+_IS_WORD = np.ones(256, bool)
+_IS_WORD[[32, *range(9, 14)]] = False
+_RANDOM = mix64(np.arange(1, _COVERED * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+    """Cuts a string column into runs of rows of about TEXT_CHUNK bytes: (first row, last row + 1, the bytes of the
+    texts without any space between, where each text starts and the last ends). Null texts are empty."""
+    column = column.cast(pa.large_string()).fill_null("")
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    row = 0
+    while row < len(column):
+        end = max(row + 1, int(np.searchsorted(at, at[row] + TEXT_CHUNK, "right")) - 1)
+        yield row, end, data[at[row] : at[end]].to_pybytes() if data is not None else b"", at[row : end + 1] - at[row]
+        row = end
+
+
+def word_hashes(raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hash of each word of the texts raw[at[i]:at[i + 1]], and where each text's words start and the last end.
+    Simple tabulation over the bytes: two different words agree with a chance of 2**-64."""
+    data = np.frombuffer(raw, np.uint8)
+    inside = _IS_WORD[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    heads = at[:-1][at[:-1] < at[1:]]
+    begins[heads] = inside[heads]
+    starts = np.flatnonzero(begins)
+    bounds = np.searchsorted(starts, at)
+    if not len(starts):
+        return np.empty(0, np.uint64), bounds
+    where = np.flatnonzero(inside)
+    first = np.searchsorted(where, starts)
+    lengths = np.diff(np.append(first, len(where)))
+    place = where - np.repeat(starts, lengths)
+    h = np.add.reduceat(_RANDOM[(place % _COVERED) * 256 + data[where]], first)
+    for w in np.flatnonzero(lengths > _COVERED):
+        h[w] = xxhash.xxh3_64_intdigest(raw[starts[w] : starts[w] + lengths[w]])
+    return h, bounds
+
+
+def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of `width` values."""
+    acc = np.full(len(h) - width + 1, width, np.uint64)
+    for j in range(width):
+        acc = (acc ^ h[j : len(h) - width + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
+        acc ^= acc >> np.uint64(29)
+    return mix64(acc)

@@ -23,14 +23,13 @@ columns are ignored; an empty table gives an empty result."""
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from scoregate.llm.common import Scratch, connected_components, mix64, text_batches
+from scoregate.llm.common import Scratch, connected_components, mix64, text_chunks, window_hashes, word_hashes
 
 N = 5
 #: Entries of the broadcast table of frequent shingles, at most.
@@ -43,22 +42,20 @@ CHUNK, REPORT_FROM = 2_000_000, 6
 FILTER_BITS = 1 << 24
 #: Sizes up to which two-token subsets may be listed.
 BOUNDARIES = (0, 5, 10, 20, 40, 64)
-BITMAP = 8
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_set(text: str | None, n: int = N) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the n-word shingles of a text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    width = min(n, len(h))
-    acc = np.full(len(h) - width + 1, width, np.uint64)
-    for j in range(width):
-        acc = (acc ^ h[j : len(h) - width + 1 + j]) * _MUL
-        acc ^= acc >> np.uint64(29)
-    return np.unique(mix64(acc))
+def shingle_sets(column: pa.Array, n: int = N) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted distinct 64-bit hashes of its n-word shingles) of every row of a string column."""
+    for row, end, raw, at in text_chunks(column):
+        h, bounds = word_hashes(raw.lower(), at)
+        windows = window_hashes(h, n) if len(h) >= n else np.empty(0, np.uint64)
+        for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            own = windows[a : b - n + 1] if b - a >= n else window_hashes(h[a:b], b - a) if b > a else h[:0]
+            if len(own) > 1:
+                own = np.sort(own)
+                own = own[np.concatenate(([True], own[1:] != own[:-1]))]
+            yield row + i, own
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -66,7 +63,10 @@ def set_id(tokens: np.ndarray) -> int:
 
 
 def _bitmap(tokens: np.ndarray) -> np.ndarray:
-    odd = (np.bincount((tokens & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1).astype(np.uint8)
+    """Parities of the tokens by their low bits, at least one bit for each token: two sets differ in at least as many
+    tokens as their bitmaps do in bits."""
+    width = 1 << max(8, (len(tokens) - 1).bit_length())
+    odd = (np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
@@ -75,15 +75,19 @@ def prefix_length(n: int) -> int:
     return n - -(-4 * n // 5) + 1
 
 
+SUMMARY = "kind int, doc_id long, n long, id long, bitmap array<long>"
+
+
 def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of kind 0: a document with its set's id, size and bitmap. Kind 1: a shingle met often, with its count.
     Kind 2: for the sizes that may be light, how many sets and how many list entries their prefixes would scan."""
-    names = ["kind", "doc_id", "n", "id"] + [f"b{i}" for i in range(BITMAP)]
-    kinds = [pa.int32()] + [pa.int64()] * (3 + BITMAP)
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    schema = pa.schema(zip(("kind", "doc_id", "n", "id", "bitmap"), kinds, strict=True))
 
     def rows(kind, doc_ids, ns, ids, bitmaps=None):
-        maps = [pa.array([0] * len(ns), pa.int64())] * BITMAP if bitmaps is None else [pa.array(c) for c in bitmaps.T.copy()]
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(ns), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(ids, pa.int64()), *maps], schema=pa.schema(zip(names, kinds, strict=True)))
+        ends = np.concatenate(([0], np.cumsum([len(b) for b in bitmaps]))) if bitmaps else np.zeros(len(ns) + 1)
+        maps = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(bitmaps) if bitmaps else np.empty(0, np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(ns), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(ids, pa.int64()), maps], schema=schema)
 
     seen: set[int] = set()
     held: list[np.ndarray] = []
@@ -100,20 +104,22 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for size in np.unique(sizes):
                 yield rows(2, [int(size)], [int((sizes == size).sum())], [int(scanned[sizes == size].sum())])
 
-    for batch, texts in text_batches(batches):
-        doc_ids = batch.column(batch.schema.get_field_index("doc_id"))
-        sets = [shingle_set(t) for t in texts]
-        ids = [set_id(s) for s in sets]
-        if sets:
-            yield rows(0, doc_ids, [len(s) for s in sets], ids, np.stack([_bitmap(s) for s in sets]))
-        for s, i in zip(sets, ids, strict=True):
+    for batch in batches:
+        sizes, ids, bitmaps = [], [], []
+        for _, s in shingle_sets(batch.column(1)):
+            i = set_id(s)
+            sizes.append(len(s))
+            ids.append(i)
+            bitmaps.append(_bitmap(s))
             if len(s) and i not in seen:
                 seen.add(i)
                 held.append(s)
                 pending += len(s)
-        if pending >= CHUNK:
-            yield from flush()
-            held, pending = [], 0
+                if pending >= CHUNK:
+                    yield from flush()
+                    held, pending = [], 0
+        if sizes:
+            yield rows(0, batch.column(0), sizes, ids, bitmaps)
     if held:
         yield from flush()
 
@@ -139,18 +145,21 @@ def _lists(hot: tuple[np.ndarray, np.ndarray], boundary: int):
     """The task that writes the lists' entries: key, id, n, and whether the entry also counts for the smaller set."""
     schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("first", pa.bool_())])
     hot_tokens, hot_counts = hot
+    maybe = np.zeros(1 << 22, bool)
+    maybe[hot_tokens & np.uint64(len(maybe) - 1)] = True
 
     def ordered(s: np.ndarray) -> np.ndarray:
-        if len(hot_tokens):
-            at = np.minimum(np.searchsorted(hot_tokens, s), len(hot_tokens) - 1)
-            count = np.where(hot_tokens[at] == s, hot_counts[at], 0)
-            if count.any():
-                return s[np.lexsort((s, count))]
+        near = np.flatnonzero(maybe[s & np.uint64(len(maybe) - 1)])
+        if len(near):
+            at = np.minimum(np.searchsorted(hot_tokens, s[near]), len(hot_tokens) - 1)
+            count = np.zeros(len(s), np.int64)
+            count[near] = np.where(hot_tokens[at] == s[near], hot_counts[at], 0)
+            return s[np.argsort(count, kind="stable")]
         return s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for _, texts in text_batches(batches):
+        for batch in batches:
             keys, ids, sizes, first = [], [], [], []
 
             def put(k: np.ndarray, i: int, n: int, firsts: int, keys=keys, ids=ids, sizes=sizes, first=first):
@@ -159,8 +168,7 @@ def _lists(hot: tuple[np.ndarray, np.ndarray], boundary: int):
                 sizes.append(np.full(len(k), n, np.int64))
                 first.append(np.arange(len(k)) < firsts)
 
-            for text in texts:
-                s = shingle_set(text)
+            for _, s in shingle_sets(batch.column(0)):
                 n, i = len(s), set_id(s)
                 if not n or i in seen:
                     continue
@@ -184,47 +192,50 @@ def _lists(hot: tuple[np.ndarray, np.ndarray], boundary: int):
 
 
 def _sets(bits: np.ndarray):
-    """The task that gives the whole set of each class that the filter may hold."""
+    """The task that gives the whole sets of the documents that the filter may hold."""
     schema = pa.schema([("id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for _, texts in text_batches(batches):
-            ids, sets = [], []
-            for text in texts:
-                s = shingle_set(text)
-                i = set_id(s)
-                at = _filter_position(i)
-                if len(s) and i not in seen and bits[at >> 6] >> np.uint64(at & 63) & np.uint64(1):
-                    seen.add(i)
-                    ids.append(i)
-                    sets.append(s.view(np.int64))
-            if ids:
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], schema=schema)
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            wanted = (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            sets = [s for _, s in shingle_sets(batch.column(1).filter(pa.array(wanted)))]
+            if sets:
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], schema=schema)
 
     return run
 
 
-def _filter_position(i: int) -> int:
-    return i & (FILTER_BITS - 1)
+def _position(doc_id):
+    """A document's place in the filter; rows without a doc_id share one."""
+    return F.xxhash64(doc_id).bitwiseAND(F.lit(FILTER_BITS - 1))
 
 
-def _class_filter(ids: DataFrame) -> np.ndarray:
-    """A bit set of the low bits of the ids (hashes already): FILTER_BITS bits whatever the number of ids."""
+def _document_filter(doc_ids: DataFrame) -> np.ndarray:
+    """A bit set of the places of some documents: FILTER_BITS bits whatever their number. Others may share a place."""
     bits = np.zeros(FILTER_BITS >> 6, np.uint64)
-    position = F.col("id").bitwiseAND(F.lit(FILTER_BITS - 1))
-    words = ids.select(F.shiftright(position, 6).alias("word"), F.expr(f"shiftleft(1L, cast(id & 63L as int))").alias("bit"))
+    words = doc_ids.select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63L as int))").alias("bit"))
     for row in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
         bits[row["word"]] = np.int64(row["bits"]).view(np.uint64)
     return bits
 
 
-def _may_link(a: str, b: str):
-    """Neither the sizes nor the bitmaps of two sets rule the link out."""
-    bound = F.expr(f"{a}.n + {b}.n - 2 * ((4 * ({a}.n + {b}.n) + 8) div 9)")
-    differing = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}"))) for i in range(BITMAP)])
-    return differing <= bound
+def _may_link():
+    """Neither the sizes of the sets x and y nor their bitmaps rule the link out. Sizes that may link differ by a quarter
+    at most, so one bitmap is at most twice as long as the other and is folded once."""
+    both = F.col("x.n") + F.col("y.n")
+    xor = lambda p, q: p.bitwiseXOR(q)
+
+    def folded(own, other):
+        half = (F.size(own) / 2).cast("int")
+        return F.when(F.size(own) > F.size(other), F.zip_with(F.slice(own, 1, half), F.slice(own, half + 1, half), xor)).otherwise(own)
+
+    x, y = F.col("x.bitmap"), F.col("y.bitmap")
+    differing = F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    sizes = 5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n")
+    least = F.expr("(4 * (x.n + y.n) + 8) div 9")
+    return F.when(sizes, differing <= both - 2 * least).otherwise(False)
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -232,15 +243,16 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Sc
     kept = (
         pairs.join(classes.alias("x"), F.col("a") == F.col("x.id"))
         .join(classes.alias("y"), F.col("b") == F.col("y.id"))
-        .where(_may_link("x", "y"))
-        .select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+        .where(_may_link())
+        .select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.place").alias("pa"), F.col("y.place").alias("pb"))
     )
     kept = scratch.table(kept, "pairs")
-    bits = _class_filter(kept.select(F.col("a").alias("id")).unionByName(kept.select(F.col("b").alias("id"))))
+    bits = _document_filter(kept.select(F.col("pa").alias("place")).unionByName(kept.select(F.col("pb").alias("place"))))
     if not bits.any():
         return kept.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    sets = scratch.table(docs.select("text").mapInArrow(lambda it: _sets(shared.value)(it), "id long, tokens array<long>"), "sets")
+    sets = docs.select(_position(F.col("doc_id")).alias("place"), "text").mapInArrow(lambda it: _sets(shared.value)(it), "id long, tokens array<long>")
+    sets = scratch.table(sets, "sets")
     one = sets.dropDuplicates(["id"])
     edges = (
         kept.join(one.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
@@ -258,10 +270,11 @@ def ngram_jaccard_groups(documents: DataFrame, star_rounds: int = 2) -> DataFram
     spark = documents.sparkSession
     scratch = Scratch(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    summary = scratch.table(docs.mapInArrow(_summarise, "kind int, doc_id long, n long, id long, " + ", ".join(f"b{i} long" for i in range(BITMAP))), "summary")
+    summary = scratch.table(docs.mapInArrow(_summarise, SUMMARY), "summary")
     rows = summary.where("kind = 0")
-    maps = [f"b{i}" for i in range(BITMAP)]
-    classes = scratch.table(rows.where("n > 0").select("id", "n", *maps).dropDuplicates(["id"]), "classes")
+    # A class is its set's id; the place in the filter is that of one of its documents.
+    classes = rows.where("n > 0").groupBy("id").agg(F.any_value("n").alias("n"), F.any_value("bitmap").alias("bitmap"), F.min(_position(F.col("doc_id"))).alias("place"))
+    classes = scratch.table(classes, "classes")
 
     often = summary.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_FROM)
     often = often.orderBy(F.desc("n"), "id").limit(HOT_LIMIT).collect()
@@ -273,8 +286,8 @@ def ngram_jaccard_groups(documents: DataFrame, star_rounds: int = 2) -> DataFram
 
     shared = spark.sparkContext.broadcast((hot, boundary))
     entries = docs.select("text").mapInArrow(lambda it: _lists(*shared.value)(it), "key long, id long, n long, first boolean").repartition("key")
-    ends = entries.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last")
-    # One shuffle serves both: the grouped ends are dealt by key like the entries themselves.
+    # One shuffle serves both sides, as the entries are dealt by key and the grouped side reads the same columns.
+    ends = entries.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.max(F.struct("n", "first")).alias("most")).where("pivot < last and most is not null")
     live = scratch.table(entries.join(ends, "key").select("key", "id", "n", "first", "pivot"), "lists")
 
     links: DataFrame | None = None
