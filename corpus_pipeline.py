@@ -1,8 +1,58 @@
-"""Placeholder until the stages exist."""
+"""A corpus pipeline over `documents`: quality classifier, quality rules, near-duplicate groups, source mix, BPE ids.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+stage's docs. All but the last return the columns of documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from scoregate.llm import bpe, gam, mixing, ngram_jaccard, quality_rules
+from scoregate.llm.common import Scratch
+from scoregate.llm.queries import table, vocabulary
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts as good."""
+    return gam.accepted(docs, table(spark, sf_dir, "labels"), cut=0.3)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules.passing(docs, table(spark, sf_dir, "labels"))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return ngram_jaccard.keep_one_of_each_group(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, a repeated one in as many rows."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' ids, with what they decode to."""
+    return bpe.decode(bpe.encode(docs, vocabulary(), keep_text=False), vocabulary())
+
+
+STAGES = [
+    ("quality classifier", classify),
+    ("quality rules", rules),
+    ("n-gram Jaccard join", deduplicate),
+    ("source mix", mix),
+    ("BPE encoding and decoding", encode),
+]
+
+#: A trained model and a tokenizer can't be expressed in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    scratch = Scratch(spark)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scoregate.llm import bpe, gam
+from scoregate.llm import bpe, gam, mixing, quality_rules
 from scoregate.llm.ngram_jaccard import ngram_jaccard_groups
 from scoregate.llm.token_counts import token_counts
 
@@ -80,3 +80,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality_classifier")
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cut=0.3)
+
+
+@query("op3_quality_rules")
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio", "base_failed", "kept")
+
+
+@query("op8_mixing")
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_sizes(table(spark, sf_dir, "documents"), source="source", weights=(5, 2, 1), repeats=3)
