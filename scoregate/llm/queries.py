@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scoregate.llm import bpe, gam, mixing, quality_rules
+from scoregate.llm import bpe, gam, mixing, quality_rules, warc
+from scoregate.llm.common import Scratch
+from scoregate.llm.embedding_dedup import near_duplicates
 from scoregate.llm.ngram_jaccard import ngram_jaccard_groups
 from scoregate.llm.token_counts import token_counts
 
@@ -91,3 +93,42 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_mixing")
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"), source="source", weights=(5, 2, 1), repeats=3)
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+f AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS payload_digest, sha256(payload) AS k FROM p),
+o AS (SELECT k, max(page_id) AS owner FROM f GROUP BY k)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> owner THEN owner END AS refers_to
+FROM f JOIN o USING (k)
+"""
+
+
+@query("op2_warc", OP2_SQL)
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark).path("archive")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.read_facts(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98::DOUBLE),
+reach AS (SELECT x AS vec_id, y AS r FROM links UNION SELECT reach.vec_id, links.y FROM reach JOIN links ON links.x = reach.r),
+least AS (SELECT vec_id, min(r) AS r FROM reach GROUP BY vec_id),
+many AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, coalesce(many.n, 0)::BIGINT AS n_links, coalesce(least(r, e.vec_id), e.vec_id) AS component_id, coalesce(least(r, e.vec_id), e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN many ON many.vec_id = e.vec_id LEFT JOIN least ON least.vec_id = e.vec_id
+"""
+
+
+@query("op4_embedding_dedup", OP4_SQL)
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
