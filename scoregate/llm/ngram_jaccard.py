@@ -23,11 +23,13 @@ columns are ignored; an empty table gives an empty result."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from scoregate.llm.common import Scratch, connected_components, mix64, text_chunks, window_hashes, word_hashes
 
@@ -42,6 +44,8 @@ CHUNK, REPORT_FROM = 2_000_000, 6
 FILTER_BITS = 1 << 24
 #: Sizes up to which two-token subsets may be listed.
 BOUNDARIES = (0, 5, 10, 20, 40, 64)
+#: Longs of the short bitmap, and how many of its preceding lists an entry names.
+FOLD, BEFORE = 8, 3
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,29 +69,37 @@ def set_id(tokens: np.ndarray) -> int:
 def _bitmap(tokens: np.ndarray) -> np.ndarray:
     """Parities of the tokens by their low bits, at least one bit for each token: two sets differ in at least as many
     tokens as their bitmaps do in bits."""
-    width = 1 << max(8, (len(tokens) - 1).bit_length())
+    width = 1 << max(9, (len(tokens) - 1).bit_length())
     odd = (np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
+def _folded(bitmap: np.ndarray) -> np.ndarray:
+    """The same bitmap over 512 bits."""
+    return np.bitwise_xor.reduce(bitmap.reshape(-1, FOLD))
+
+
 def prefix_length(n: int) -> int:
     """How many of the first tokens of a set of n must share one with any linked set."""
     return n - -(-4 * n // 5) + 1
 
 
-SUMMARY = "kind int, doc_id long, n long, id long, bitmap array<long>"
+SUMMARY = "kind int, doc_id long, n long, id long, bitmap array<long>, folded array<long>"
 
 
 def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of kind 0: a document with its set's id, size and bitmap. Kind 1: a shingle met often, with its count.
     Kind 2: for the sizes that may be light, how many sets and how many list entries their prefixes would scan."""
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    schema = pa.schema(zip(("kind", "doc_id", "n", "id", "bitmap"), kinds, strict=True))
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    schema = pa.schema(zip(("kind", "doc_id", "n", "id", "bitmap", "folded"), kinds, strict=True))
 
     def rows(kind, doc_ids, ns, ids, bitmaps=None):
-        ends = np.concatenate(([0], np.cumsum([len(b) for b in bitmaps]))) if bitmaps else np.zeros(len(ns) + 1)
-        maps = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(bitmaps) if bitmaps else np.empty(0, np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(ns), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(ids, pa.int64()), maps], schema=schema)
+        def lists(values):
+            ends = np.concatenate(([0], np.cumsum([len(b) for b in values]))) if values else np.zeros(len(ns) + 1)
+            return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(values) if values else np.empty(0, np.int64)))
+
+        maps = [lists(bitmaps), lists([_folded(b) for b in bitmaps or ()])]
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(ns), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(ids, pa.int64()), *maps], schema=schema)
 
     seen: set[int] = set()
     held: list[np.ndarray] = []
@@ -143,7 +155,7 @@ def choose_boundary(light: dict[int, tuple[int, int]]) -> int:
 
 def _lists(hot: tuple[np.ndarray, np.ndarray], boundary: int):
     """The task that writes the lists' entries: key, id, n, and whether the entry also counts for the smaller set."""
-    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("first", pa.bool_())])
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("first", pa.bool_()), ("place_in_set", pa.int32())])
     hot_tokens, hot_counts = hot
     maybe = np.zeros(1 << 22, bool)
     maybe[hot_tokens & np.uint64(len(maybe) - 1)] = True
@@ -160,13 +172,14 @@ def _lists(hot: tuple[np.ndarray, np.ndarray], boundary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, ids, sizes, first = [], [], [], []
+            keys, ids, sizes, first, places = [], [], [], [], []
 
-            def put(k: np.ndarray, i: int, n: int, firsts: int, keys=keys, ids=ids, sizes=sizes, first=first):
+            def put(k: np.ndarray, i: int, n: int, firsts: int, keys=keys, ids=ids, sizes=sizes, first=first, places=places):
                 keys.append(k)
                 ids.append(np.full(len(k), i, np.int64))
                 sizes.append(np.full(len(k), n, np.int64))
                 first.append(np.arange(len(k)) < firsts)
+                places.append(np.arange(len(k), dtype=np.int32))
 
             for _, s in shingle_sets(batch.column(0)):
                 n, i = len(s), set_id(s)
@@ -186,7 +199,7 @@ def _lists(hot: tuple[np.ndarray, np.ndarray], boundary: int):
                 if 5 * n > 4 * boundary:
                     put(s[: prefix_length(n)], i, n, n - -(-8 * n // 9) + 1)
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(first))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(first)), pa.array(np.concatenate(places))], schema=schema)
 
     return run
 
@@ -238,15 +251,13 @@ def _may_link():
     return F.when(sizes, differing <= both - 2 * least).otherwise(False)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Those of the (a, b) pairs of class ids whose whole sets are similar enough, as (src, dst)."""
-    kept = (
-        pairs.join(classes.alias("x"), F.col("a") == F.col("x.id"))
-        .join(classes.alias("y"), F.col("b") == F.col("y.id"))
-        .where(_may_link())
-        .select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.place").alias("pa"), F.col("y.place").alias("pb"))
-    )
-    kept = scratch.table(kept, "pairs")
+#: What verification needs of a pair of sets x and y.
+_PAIR = ("x.id as a", "y.id as b", "x.n as na", "y.n as nb", "x.place as pa", "y.place as pb")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Those of the pairs (columns of _PAIR) whose whole sets are similar enough, as (src, dst)."""
+    kept = scratch.table(pairs, "pairs")
     bits = _document_filter(kept.select(F.col("pa").alias("place")).unionByName(kept.select(F.col("pb").alias("place"))))
     if not bits.any():
         return kept.select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -273,7 +284,7 @@ def ngram_jaccard_groups(documents: DataFrame, star_rounds: int = 2) -> DataFram
     summary = scratch.table(docs.mapInArrow(_summarise, SUMMARY), "summary")
     rows = summary.where("kind = 0")
     # A class is its set's id; the place in the filter is that of one of its documents.
-    classes = rows.where("n > 0").groupBy("id").agg(F.any_value("n").alias("n"), F.any_value("bitmap").alias("bitmap"), F.min(_position(F.col("doc_id"))).alias("place"))
+    classes = rows.where("n > 0").groupBy("id").agg(F.any_value("n").alias("n"), F.any_value("bitmap").alias("bitmap"), F.any_value("folded").alias("folded"), F.min(_position(F.col("doc_id"))).alias("place"))
     classes = scratch.table(classes, "classes")
 
     often = summary.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_FROM)
@@ -285,26 +296,32 @@ def ngram_jaccard_groups(documents: DataFrame, star_rounds: int = 2) -> DataFram
     boundary = choose_boundary({r["doc_id"]: (r["sets"], r["scanned"]) for r in light})
 
     shared = spark.sparkContext.broadcast((hot, boundary))
-    entries = docs.select("text").mapInArrow(lambda it: _lists(*shared.value)(it), "key long, id long, n long, first boolean").repartition("key")
+    entries = docs.select("text").mapInArrow(lambda it: _lists(*shared.value)(it), "key long, id long, n long, first boolean, place_in_set int").repartition("key")
     # One shuffle serves both sides, as the entries are dealt by key and the grouped side reads the same columns.
-    ends = entries.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.max(F.struct("n", "first")).alias("most")).where("pivot < last and most is not null")
-    live = scratch.table(entries.join(ends, "key").select("key", "id", "n", "first", "pivot"), "lists")
+    ends = entries.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.max(F.struct("n", "first", "place_in_set")).alias("most")).where("pivot < last and most is not null")
+    live = scratch.table(entries.join(ends, "key").select("key", "id", "n", "first", "place_in_set", "pivot"), "lists")
 
     links: DataFrame | None = None
     for _ in range(star_rounds):
         pairs = live.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        found = _verified(pairs, classes, docs, scratch)
+        pairs = pairs.join(classes.alias("x"), F.col("a") == F.col("x.id")).join(classes.alias("y"), F.col("b") == F.col("y.id"))
+        found = _verified(pairs.where(_may_link()).selectExpr(*_PAIR), docs, scratch)
         links = found if links is None else links.unionByName(found)
         roots = scratch.table(connected_components(links, scratch), "roots")
         live = _mixed(live, roots, scratch)
-    a, b = live.alias("a"), live.alias("b")
-    pairs = (
-        a.join(b, F.col("a.key") == F.col("b.key"))
-        .where(F.expr("a.root <> b.root and b.first and (a.n > b.n or a.n = b.n and a.id > b.id) and 5 * b.n >= 4 * a.n"))
-        .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-        .distinct()
-    )
-    links = links.unionByName(_verified(pairs, classes, docs, scratch))
+    # Here entries carry short bitmaps and the lists that stand just before in their set's order: a list gives only pairs that
+    # the bitmaps don't rule out, and not those that a list before is known to give.
+    brief = classes.select("id", "place", *(F.col("folded")[i].alias(f"b{i}") for i in range(FOLD)))
+    order = Window.partitionBy("id").orderBy("place_in_set", "key")
+    before = F.array(*(F.lag("key", k).over(order) for k in range(1, BEFORE + 1)))
+    entries = live.drop("pivot").join(brief, "id").withColumn("before", F.array_compact(before)).drop("place_in_set")
+    apart = F.expr("x.root <> y.root and y.first and (x.n > y.n or x.n = y.n and x.id > y.id) and 5 * y.n >= 4 * x.n")
+    differing = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(FOLD)])
+    near = differing <= F.expr("x.n + y.n - 2 * ((4 * (x.n + y.n) + 8) div 9)")
+    pairs = entries.alias("x").join(entries.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & near & ~F.expr("arrays_overlap(x.before, y.before)"))
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pairs = pairs.join(classes.alias("x"), F.col("a") == F.col("x.id")).join(classes.alias("y"), F.col("b") == F.col("y.id"))
+    links = links.unionByName(_verified(pairs.where(_may_link()).selectExpr(*_PAIR), docs, scratch))
     roots = scratch.table(connected_components(links, scratch), "roots")
 
     placed = rows.select("doc_id", "n", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -320,7 +337,7 @@ def _mixed(live: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
         live.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max_by("id", F.xxhash64("root", "id")).alias("pivot"))
         .where("low < high").select("key", "pivot")
     )
-    return scratch.table(live.join(ends, "key").select("key", "id", "n", "first", "root", "pivot"), "lists")
+    return scratch.table(live.join(ends, "key").select("key", "id", "n", "first", "place_in_set", "root", "pivot"), "lists")
 
 
 def keep_one_of_each_group(documents: DataFrame) -> DataFrame:
