@@ -12,6 +12,7 @@ one of its name); an empty table gives an empty result."""
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,60 +21,70 @@ from pyspark.sql import DataFrame, types as T
 
 from scoregate.llm.bpe_model import Model, load, memo_for
 
+#: Texts decoded together, in whole arrays.
+DECODED_AT_ONCE = 256
+
 
 def piece_encoder(model: Model):
-    """A function from a piece (or an added token's id) to its ids."""
-    pair, symbols = model.merges.get, model.symbols
+    """A function from a piece (or an added token's id) to its ids, as the bytes of 32-bit integers."""
+    symbols = model.symbols
+    m, pairs = model.pairs()
+    pair = pairs.get
     never = 1 << 62
 
-    def encode(piece) -> tuple[int, ...]:
+    def encode(piece) -> bytes:
         if type(piece) is int:
-            return (piece,)
+            return np.int32(piece).tobytes()
         held = [symbols[b] for b in piece.encode("utf-8", "surrogatepass")]
         n = len(held)
         if n < 2:
-            return tuple(held)
-        width = 1 << (n - 2).bit_length() if n > 2 else 1
+            return np.array(held, np.int32).tobytes()
+        width = 1 << (n - 2).bit_length()
         tree = [never] * (2 * width)
         for i in range(n - 1):
-            if found := pair((held[i], held[i + 1])):
+            if found := pair(held[i] * m + held[i + 1]):
                 tree[width + i] = found[0] * width + i
         for at in range(width - 1, 0, -1):
             a, b = tree[2 * at], tree[2 * at + 1]
-            tree[at] = a if a <= b else b
-
-        def update(i: int, value: int) -> None:
-            at = width + i
-            tree[at] = value
-            at >>= 1
-            while at:
-                a, b = tree[2 * at], tree[2 * at + 1]
-                low = a if a <= b else b
-                if tree[at] == low:
-                    return
-                tree[at] = low
-                at >>= 1
-
+            tree[at] = a if a < b else b
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while tree[1] != never:
-            i = tree[1] % width
+        while (root := tree[1]) != never:
+            i = root % width
             j = after[i]
-            held[i] = pair((held[i], held[j]))[1]
+            merged = held[i] = pair(held[i] * m + held[j])[1]
             held[j] = -1
             k = after[i] = after[j]
-            if j < n - 1:
-                update(j, never)
+            # The three leaves that change: the pairs that start before, at and after the merge.
+            y = width + i
             if k < n:
                 before[k] = i
-                found = pair((held[i], held[k]))
-                update(i, found[0] * width + i if found else never)
+                found = pair(merged * m + held[k])
+                tree[y] = found[0] * width + i if found else never
             else:
-                update(i, never)
+                tree[y] = never
+            z = y
+            if j < n - 1:
+                z = width + j
+                tree[z] = never
             h = before[i]
+            x = y
             if h >= 0:
-                found = pair((held[h], held[i]))
-                update(h, found[0] * width + h if found else never)
-        return tuple(s for s in held if s >= 0)
+                x = width + h
+                found = pair(held[h] * m + merged)
+                tree[x] = found[0] * width + h if found else never
+            while y > 1:
+                x >>= 1
+                y >>= 1
+                z >>= 1
+                a, b = tree[2 * y], tree[2 * y + 1]
+                tree[y] = a if a < b else b
+                if x != y:
+                    a, b = tree[2 * x], tree[2 * x + 1]
+                    tree[x] = a if a < b else b
+                if z != y:
+                    a, b = tree[2 * z], tree[2 * z + 1]
+                    tree[z] = a if a < b else b
+        return array("i", [s for s in held if s >= 0]).tobytes()
 
     return encode
 
@@ -96,13 +107,9 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
         model = shared.value
         memo, cut = memo_for("encode", model, piece_encoder), model.cut()
         for batch in batches:
-            flat: list[int] = []
-            ends = [0]
-            for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
-                for got in map(memo.__getitem__, cut(t or "")):
-                    flat += got
-                ends.append(len(flat))
-            values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
+            found = [b"".join(map(memo.__getitem__, cut(t))) if t else b"" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            ends = np.cumsum([0] + [len(f) // 4 for f in found])
+            values = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int32)))
             out = _replaced(batch, ids, values)
             yield out if keep_text else out.drop_columns([text])
 
@@ -119,17 +126,22 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared.value
         table = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
-        known = len(table)
+        buffer = np.frombuffer(b"".join(table), np.uint8)
+        length = np.array([len(p) for p in table] + [0])
+        start = np.concatenate(([0], np.cumsum(length)))[:-1]
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids))
-            texts = []
-            for one in column:
-                values = one.values.to_numpy(zero_copy_only=False) if one.is_valid and len(one.values) else np.empty(0, np.int64)
-                if values.dtype.kind == "f":  # nulls among the ids
-                    values = values[~np.isnan(values)].astype(np.int64)
-                if len(values) and (values.min() < 0 or values.max() >= known):
-                    values = values[(values >= 0) & (values < known)]
-                texts.append(b"".join(map(table.__getitem__, values.tolist())).decode("utf-8", "replace"))
+            lists = batch.column(batch.schema.get_field_index(ids))
+            texts: list[str] = []
+            for a in range(0, len(lists), DECODED_AT_ONCE):
+                part = lists.slice(a, DECODED_AT_ONCE)
+                values = part.flatten().fill_null(-1).to_numpy()
+                values = np.where((values < 0) | (values >= len(table)), len(table), values)
+                sizes = length[values]
+                ends = np.concatenate(([0], np.cumsum(sizes)))
+                data = buffer[np.arange(ends[-1]) + np.repeat(start[np.minimum(values, len(table) - 1)] - ends[:-1], sizes)].tobytes()
+                counts = np.fromiter((len(x) if x.is_valid else 0 for x in part), np.int64, len(part))
+                cuts = ends[np.concatenate(([0], np.cumsum(counts)))].tolist()
+                texts += [data[x:y].decode("utf-8", "replace") for x, y in zip(cuts, cuts[1:], strict=False)]
             yield _replaced(batch, text, pa.array(texts, pa.string()))
 
     return df.mapInArrow(run, _with(df.schema, text, T.StringType()))

@@ -29,6 +29,11 @@ class Model:
     added: dict[str, int] = field(default_factory=dict)
     name: str = ""
 
+    def pairs(self) -> tuple[int, dict[int, tuple[int, int]]]:
+        """(m, merges with the pair (a, b) as the key a * m + b)."""
+        m = max(self.pieces) + 1
+        return m, {a * m + b: found for (a, b), found in self.merges.items()}
+
     def cut(self) -> Callable[[str], Iterator[str | int]]:
         """A function from a text to its pieces, an added token as its id."""
         find = regex.compile(PIECES).findall
@@ -74,16 +79,20 @@ def load(path: str) -> Model:
 
 
 class Memo(dict):
-    """Results by piece, worked out when first asked for. Once it holds `limit` pieces it starts anew, so that its memory is bounded."""
+    """Results by piece, worked out when first asked for. Once it holds `limit` pieces it starts anew, and what is asked for again
+    comes from the generation before, so that frequent pieces stay and its memory is bounded."""
 
-    def __init__(self, work: Callable, limit: int = 300_000, longest: int = 64):
+    def __init__(self, work: Callable, limit: int = 200_000, longest: int = 64):
         super().__init__()
-        self.work, self.limit, self.longest = work, limit, longest
+        self.work, self.limit, self.longest, self.before = work, limit, longest, {}
 
     def __missing__(self, piece):
-        found = self.work(piece)
+        found = self.before.get(piece)
+        if found is None:
+            found = self.work(piece)
         if type(piece) is int or len(piece) <= self.longest:
             if len(self) >= self.limit:
+                self.before = self.copy()
                 self.clear()
             self[piece] = found
         return found

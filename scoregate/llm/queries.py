@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scoregate.llm import bpe, gam, mixing, quality_rules, warc
+from scoregate.llm import bpe, gam, html_text, mixing, quality_rules, warc
 from scoregate.llm.common import Scratch
 from scoregate.llm.embedding_dedup import near_duplicates
 from scoregate.llm.ngram_jaccard import ngram_jaccard_groups
@@ -132,3 +132,9 @@ FROM embeddings e LEFT JOIN many ON many.vec_id = e.vec_id LEFT JOIN least ON le
 @query("op4_embedding_dedup", OP4_SQL)
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+@query("op7_html_text")
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return out.select("page_id", F.length("text").cast("long").alias("n_chars"), "text")

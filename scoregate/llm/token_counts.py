@@ -23,14 +23,16 @@ from scoregate.llm.common import text_batches
 
 def piece_counter(model: Model):
     """A function from a piece (or an added token's id) to its number of tokens."""
-    pair, symbols = model.merges.get, model.symbols
+    symbols = model.symbols
+    m, pairs = model.pairs()
+    pair = pairs.get
 
     def count(piece) -> int:
         if type(piece) is int:
             return 1
         held = [symbols[b] for b in piece.encode("utf-8", "surrogatepass")]
         n = left = len(held)
-        heap = [(found[0], i, i + 1, found[1], held[i], held[i + 1]) for i in range(n - 1) if (found := pair((held[i], held[i + 1])))]
+        heap = [(found[0], i, i + 1, found[1], held[i], held[i + 1]) for i in range(n - 1) if (found := pair(held[i] * m + held[i + 1]))]
         if not heap:
             return n
         heapify(heap)
@@ -44,10 +46,10 @@ def piece_counter(model: Model):
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if found := pair((merged, held[k])):
+                if found := pair(merged * m + held[k]):
                     heappush(heap, (found[0], i, k, found[1], merged, held[k]))
             h = before[i]
-            if h >= 0 and (found := pair((held[h], merged))):
+            if h >= 0 and (found := pair(held[h] * m + merged)):
                 heappush(heap, (found[0], h, i, found[1], held[h], merged))
         return left
 
