@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from scoregate.llm import bpe, gam, html_text, mixing, quality_rules, warc
 from scoregate.llm.common import Scratch
 from scoregate.llm.embedding_dedup import near_duplicates
+from scoregate.llm.language_model import language_scores
 from scoregate.llm.ngram_jaccard import ngram_jaccard_groups
 from scoregate.llm.token_counts import token_counts
 
@@ -138,3 +139,8 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "html"))
     return out.select("page_id", F.length("text").cast("long").alias("n_chars"), "text")
+
+
+@query("op6_language_model")
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"))
