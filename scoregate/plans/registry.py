@@ -20,3 +20,6 @@ def query(name: str, sql: str | None = None):
         return function
 
     return put
+
+
+from scoregate.plans import data_queries, score_queries, vector_queries  # noqa: E402, F401
