@@ -45,9 +45,11 @@ def write_archive(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM,
     facts = content.select("page_id", "url", "payload_key", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("digest"))
     owners = facts.groupBy("payload_key").agg(F.max("page_id").alias("owner"))
 
-    # The owner's row alone stays; rows repeated with its page_id stand beside it, so one is kept without another shuffle.
-    same = content["page_id"].eqNullSafe(owners["owner"]) & (content["payload_key"] == owners["payload_key"])
-    stored = content.join(owners.hint("shuffle_merge"), same, "left_semi").select("page_id", "payload_key", "payload").dropDuplicates(["page_id", "payload_key"])
+    # The owner's row alone stays; of rows repeated with its page_id one is kept where the join has dealt them, without a shuffle.
+    keys = ["payload_key", "_id", "_none"]
+    placed = content.select("payload_key", F.coalesce("page_id", F.lit(0)).alias("_id"), F.col("page_id").isNull().alias("_none"), "payload")
+    wanted = owners.select("payload_key", F.coalesce("owner", F.lit(0)).alias("_id"), F.col("owner").isNull().alias("_none"))
+    stored = placed.join(wanted.hint("shuffle_merge"), keys, "left_semi").dropDuplicates(keys)
     stored.select("payload_key", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
     revisit = (F.col("payload_bytes") >= revisit_from) & ~F.col("page_id").eqNullSafe(F.col("owner"))
