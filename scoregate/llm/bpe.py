@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 from scoregate.llm.bpe_model import Model, load, memo_for
+from scoregate.llm.common import ship
 
 #: Texts decoded together, in whole arrays.
 DECODED_AT_ONCE = 256
@@ -101,6 +102,7 @@ def _replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBa
 
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", keep_text: bool = True) -> DataFrame:
     """df with the array<int> column ``ids`` of each text; without the text if keep_text is false."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(load(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,6 +123,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with the string column ``text`` that the ids stand for."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(load(vocabulary).pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

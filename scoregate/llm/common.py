@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+_shipped: dict[str, str] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this library to the Python workers of the session's executors, which need not have it installed; once for each
+    application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="scoregate-")) / f"{package.name}_{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(target))
+    _shipped[context.applicationId] = str(target)
+
+
 class Scratch:
     """Tables written to the shared folder, so that lineage is cut by files that outlive any executor."""
 

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from scoregate.llm.common import Scratch, connected_components
+from scoregate.llm.common import Scratch, connected_components, ship
 
 COSINE = 0.98
 SAMPLE, PER_LIST, MOST_LISTS = 20_000, 128, 1024
@@ -95,6 +95,7 @@ def _usable(label, vector):
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, sample: int = SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of (vec_id, embedding, label)."""
     spark = embeddings.sparkSession
+    ship(spark)
     scratch = Scratch(spark)
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     vector = F.col("embedding").cast("array<double>")

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from scoregate.llm.common import Scratch, text_chunks, window_hashes, word_hashes
+from scoregate.llm.common import Scratch, ship, text_chunks, window_hashes, word_hashes
 
 FEATURES = ("bytes", "words", "word_bytes", "upper", "symbols", "marks", "stops", "digits", "non_ascii", "lines", "repeated_lines", "distinct", "repeated_runs", "short_words", "top_word", "space")
 FIT_ROWS, BINS, LEAVES = 20_000, 48, 3
@@ -185,6 +185,7 @@ def fit_arrays(x: np.ndarray, y: np.ndarray) -> Model:
 
 def features(documents: DataFrame) -> DataFrame:
     """doc_id and the array ``features`` of every row."""
+    ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,6 +212,7 @@ def fit(described: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, label
 
 def score_features(described: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row of ``features``."""
+    ship(described.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,6 +224,7 @@ def score_features(described: DataFrame, model: Model) -> DataFrame:
 
 def score_documents(documents: DataFrame, model: Model, score: str = "score") -> DataFrame:
     """The documents with their score as a further column (in the place of one of its name), without any shuffle."""
+    ship(documents.sparkSession)
     schema = T.StructType([f for f in documents.schema.fields if f.name != score] + [T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
+from scoregate.llm.common import ship
+
 _TOKEN = re.compile(r"<(?:!--.*?(?:-->|--!>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s\"'>]+))?")
 _HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
@@ -273,6 +275,7 @@ def page_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """The pages with the string column ``text`` in the place of their html."""
+    ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

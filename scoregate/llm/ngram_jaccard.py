@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from scoregate.llm.common import Scratch, connected_components, mix64, text_chunks, window_hashes, word_hashes
+from scoregate.llm.common import Scratch, connected_components, mix64, ship, text_chunks, window_hashes, word_hashes
 
 N = 5
 #: Entries of the broadcast table of frequent shingles, at most.
@@ -279,6 +279,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
 def ngram_jaccard_groups(documents: DataFrame, star_rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; see the module's text."""
     spark = documents.sparkSession
+    ship(spark)
     scratch = Scratch(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     summary = scratch.table(docs.mapInArrow(_summarise, SUMMARY), "summary")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from scoregate.llm.bpe_model import Model, load, memo_for
-from scoregate.llm.common import text_batches
+from scoregate.llm.common import ship, text_batches
 
 
 def piece_counter(model: Model):
@@ -58,6 +58,7 @@ def piece_counter(model: Model):
 
 def token_counts(documents: DataFrame, vocabulary: str, limit: int = 512, id_column: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row. vocabulary: the path of the tokenizer file."""
+    ship(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(load(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
