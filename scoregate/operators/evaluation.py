@@ -65,7 +65,7 @@ def error_cases(revealed: DataFrame, most: int = 5) -> DataFrame:
     signed = F.when(F.col("case_type") == "false_positive", -F.col("score")).otherwise(F.col("score"))
     order = Window.partitionBy("method", "case_type").orderBy("_signed", "item")
     out = revealed.withColumn("case_type", case).where("case_type is not null").withColumn("_signed", signed)
-    return out.withColumn("case_rank", F.row_number().over(order)).where(F.col("case_rank") <= most).drop("_signed")
+    return out.withColumn("case_rank", F.row_number().over(order).cast("long")).where(F.col("case_rank") <= most).drop("_signed")
 
 
 def latency(observations: DataFrame, groups: list[str], expected: Column | None = None) -> DataFrame:
@@ -122,7 +122,7 @@ def select_method(candidates: DataFrame) -> DataFrame:
     order = Window.orderBy("_rank", F.desc("recall"), "fpr", "p95_duration", "median_duration", "complexity", "method")
     best = F.min("_rank").over(Window.partitionBy())
     out = candidates.withColumn("_rank", rank)
-    return out.withColumn("preference", F.row_number().over(order)).withColumn("project_decision", F.when(best == 2, "REJECT").otherwise(F.first("decision").over(order))).drop("_rank")
+    return out.withColumn("preference", F.row_number().over(order).cast("long")).withColumn("project_decision", F.when(best == 2, "REJECT").otherwise(F.first("decision").over(order))).drop("_rank")
 
 
 def prefer(candidates: DataFrame, group: str, preference: list) -> DataFrame:

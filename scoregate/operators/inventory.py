@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scoregate.functions import scalars as S
+from scoregate.sources.stages import staged
 
 
 def reconcile(expected: DataFrame, observed: DataFrame, key: str, facts: list[str]) -> DataFrame:
@@ -86,28 +87,18 @@ def path_kind(path: Column) -> Column:
 def closure(roots: DataFrame, edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """Nodes reachable from the roots (column node) over edges (src, dst), with the fewest steps: (node, depth).
 
-    Each round joins the frontier with the edges and keeps what is new, as a checkpointed table."""
+    Each round joins the frontier with the edges and keeps what is new, as a written table."""
     reached = roots.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = reached
     for depth in range(1, most_rounds + 1):
         found = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = _cut(found.join(reached, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = staged(found.join(reached, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return reached
-        reached = _cut(reached.unionByName(frontier))
+        reached = staged(reached.unionByName(frontier))
     raise RuntimeError(f"not closed after {most_rounds} rounds")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder the session names, in one of our own where it names none."""
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scoregate-"))
-    return df.checkpoint()
-
-
 def roles(nodes: DataFrame, runtime: DataFrame, development: DataFrame) -> DataFrame:
     """Each node's role: runtime if reachable from the runtime roots, else development, else orphan."""
     r = runtime.select("node", F.lit(True).alias("_r"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from scoregate.functions import scalars as S
@@ -12,6 +9,7 @@ from scoregate.operators import contracts as c, inventory as inv, partition
 from scoregate.plans import inputs as I
 from scoregate.plans.registry import query
 from scoregate.sources import bundles, files
+from scoregate.sources.stages import stage_path as _scratch
 from scoregate.streaming import score_streams
 
 PATHS_SQL = "paths AS (SELECT p_partkey, p_brand AS category, p_brand || '/' || replace(p_type, ' ', '_') || '/' || p_partkey || '.JPG' AS path, p_size FROM part)"
@@ -60,7 +58,7 @@ def opaque_split(spark, sf_dir):
 def path_ordinals(spark, sf_dir):
     from pyspark.sql.window import Window
 
-    return paths(spark, sf_dir).select("category", "path", F.row_number().over(Window.partitionBy("category").orderBy("path")).alias("ordinal"))
+    return paths(spark, sf_dir).select("category", "path", F.row_number().over(Window.partitionBy("category").orderBy("path")).cast("long").alias("ordinal"))
 
 
 @query("category_filter", f"WITH {PATHS_SQL} SELECT path, p_size FROM paths WHERE category = 'Brand#1' OR (starts_with(path, category || '/') AND p_size > 40)")
@@ -273,11 +271,6 @@ def elementwise_arrays(spark, sf_dir):
     return I.table(spark, sf_dir, "embeddings").select("vec_id", F.round(away, 7).alias("absolute_total"), (F.abs(S.dot(e, e) - 1) < 1e-5).alias("is_unit"))
 
 
-def _scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="scoregate-")
-    return f"{base}/scoregate-{uuid.uuid4().hex}"
-
-
 @query("csv_round_trip", f"WITH {I.CLASSIFIED_SQL} SELECT method, item, score_status, failure_code, score, is_anomalous FROM classified")
 def csv_round_trip(spark, sf_dir):
     """Classified rows written as contract CSV and read back with their types and nulls."""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from scoregate.sources.stages import staged
+
 NAMESPACE, SEED = "scoregate", 42
 METHODS = ("bank_nn", "position_zscore", "template_residual")
 #: method, low, high, bounds included, failure score.
@@ -85,7 +87,8 @@ revealed AS (SELECT classified.*, true_class FROM classified JOIN truth USING (i
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scoregate.operators.scores import classify, thresholds
 
-    return classify(final_test(spark, sf_dir), thresholds(calibration(spark, sf_dir)))
+    cuts = staged(thresholds(calibration(spark, sf_dir)))
+    return classify(final_test(spark, sf_dir), cuts)
 
 
 def revealed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from scoregate.functions import scalars as S
 from scoregate.operators import evaluation as ev, partition, scores as sc, vectors as v
 from scoregate.plans import inputs as I
 from scoregate.plans.registry import query
+from scoregate.sources.stages import staged
 
 SIZE = 8
 
@@ -143,12 +144,13 @@ SELECT 'bank_nn' AS method, threshold, tp AS true_positive, fn AS false_negative
 FROM thr, conf, rk, lat""")
 def flagship_decision(spark, sf_dir):
     """Bank, scores, threshold from normal rows, classes, reveal, metrics and decision: one row."""
-    rows = parted(spark, sf_dir)
-    s = nn_scores(spark, sf_dir).join(rows.select(F.col("vec_id").alias("item"), "part"), "item")
+    rows = parted(spark, sf_dir).select("vec_id", "label", "part")
+    # Calibration, classification and metrics all read the scores: they are worked out once.
+    s = staged(nn_scores(spark, sf_dir).join(rows.select(F.col("vec_id").alias("item"), "part"), "item"))
     cuts = sc.thresholds(s.where("part = 'calibration'"))
     classes = sc.classify(s.where("part = 'final-test'"), cuts)
     truth = rows.select(F.col("vec_id").alias("item"), F.when(F.col("label") == 0, "normal").otherwise("anomaly").alias("true_class"))
-    shown = ev.reveal(classes, truth)
+    shown = staged(ev.reveal(classes, truth))
     latency = I.table(spark, sf_dir, "events").select(F.lit("bank_nn").alias("method"), F.lit("ok").alias("score_status"), F.col("user_id").alias("item"), F.col("value").alias("duration"))
     measured = ev.confusion(shown).join(ev.ranking_quality(shown), "method").join(ev.latency(latency, ["method"]).select("method", "p95_duration"), "method").join(cuts.select("method", "threshold"), "method")
     facts = measured.withColumns({"reference_count": F.lit(20.0), "anomaly_training_labels": F.lit(0.0), "reproduced": F.lit(1.0)})

@@ -35,7 +35,7 @@ def read_split(spark: SparkSession, path: str, category: str) -> DataFrame:
 
 
 def read_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a path: asset (its path there) and content."""
+    """Files below a path: asset (its path there) and content. The reader passes over files without any byte."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(F.regexp_replace(F.col("path"), F.lit(r"^.*?" + path.rstrip("/").rsplit("/", 1)[-1] + "/"), F.lit("")).alias("asset"), "content")
 
