@@ -96,9 +96,20 @@ def word_count(column):
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def text_batches(batches: Iterator, column: str = "text") -> Iterator:
-    """(record batch, list of texts with null as None) of each Arrow batch."""
+#: Rows of an Arrow batch worked on at a time, which bounds what a worker holds beside the batch.
+SLICE = 1024
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most `rows` rows."""
     for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def text_batches(batches: Iterator, column: str = "text") -> Iterator:
+    """(record batch, list of texts with null as None) of each piece of the batches."""
+    for batch in slices(batches):
         yield batch, batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 

@@ -23,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from scoregate.llm.common import Scratch, connected_components, ship
+from scoregate.llm.common import Scratch, connected_components, ship, slices
 
 COSINE = 0.98
-SAMPLE, PER_LIST, MOST_LISTS = 20_000, 128, 1024
+SAMPLE, PER_LIST, MOST_LISTS = 20_000, 512, 1024
 SUBSPACES, CODES, ROUNDS = 8, 64, 8
 BLOCK, QUERIES_AT_ONCE = 2048, 256
 _SLACK = 1e-6
@@ -98,12 +98,14 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, sample: int =
     ship(spark)
     scratch = Scratch(spark)
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    vector = F.col("embedding").cast("array<double>")
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "label", vector.alias("vector")).withColumn("usable", _usable(F.col("label"), F.col("vector")))
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").alias("vector"))
+    kind = rows.schema["vector"].dataType.simpleString()
+    rows = rows.withColumn("usable", _usable(F.col("label"), F.col("vector")))
     rows = rows.withColumn("node", F.when(F.col("usable"), F.xxhash64("label", "vector")))
     entries = rows.where("usable").groupBy("node", "label", "vector").agg(F.count(F.lit(1)).alias("copies"))
     entries = scratch.table(entries.withColumn("length", F.size("vector")), "entries")
-    lengths = entries.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
+    # Lists are shared by the labels; their number follows the largest label, so that its lists hold about PER_LIST entries.
+    lengths = entries.groupBy("length", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("length").agg(F.max("n").alias("n")).collect()
     indexes = {}
     for row in lengths:
         some = entries.where(F.col("length") == row["length"]).orderBy("node").limit(sample).select("vector").toArrow()
@@ -112,7 +114,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, sample: int =
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """An entry row for the vector's own list and a query row for each list that it probes."""
-        for batch in batches:
+        for batch in slices(batches):
             lengths = batch.column(3).to_numpy()
             for length in np.unique(lengths):
                 own = batch.filter(pa.array(lengths == length))
@@ -130,7 +132,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, sample: int =
                 )
 
     dealt = entries.select("node", "vector", F.col("label").cast("string").alias("label_text"), F.col("length").cast("long"), "copies")
-    dealt = dealt.mapInArrow(deal, "node long, vector array<double>, label_text string, length long, copies long, list int, query boolean, codes binary, missed double")
+    dealt = dealt.mapInArrow(deal, f"node long, vector {kind}, label_text string, length long, copies long, list int, query boolean, codes binary, missed double")
     dealt = scratch.table(dealt, "dealt")
     key = ["label_text", "length", "list"]
     blocks = dealt.groupBy(*key).agg(F.ceil(F.count_if(~F.col("query")) / BLOCK).alias("entry_blocks"), F.ceil(F.count_if("query") / BLOCK).alias("query_blocks")).where("entry_blocks > 0")

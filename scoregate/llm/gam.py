@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from scoregate.llm.common import Scratch, ship, text_chunks, window_hashes, word_hashes
+from scoregate.llm.common import Scratch, ship, slices, text_chunks, window_hashes, word_hashes
 
 FEATURES = ("bytes", "words", "word_bytes", "upper", "symbols", "marks", "stops", "digits", "non_ascii", "lines", "repeated_lines", "distinct", "repeated_runs", "short_words", "top_word", "space")
 FIT_ROWS, BINS, LEAVES = 20_000, 48, 3
@@ -188,7 +188,7 @@ def features(documents: DataFrame) -> DataFrame:
     ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = text_features(batch.column(1))
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["doc_id", "features"])
@@ -228,7 +228,7 @@ def score_documents(documents: DataFrame, model: Model, score: str = "score") ->
     schema = T.StructType([f for f in documents.schema.fields if f.name != score] + [T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             kept = [i for i, n in enumerate(batch.schema.names) if n != score]
             found = model.score(text_features(batch.column(batch.schema.get_field_index("text"))))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(found)], names=[*(batch.schema.names[i] for i in kept), score])

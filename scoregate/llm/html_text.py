@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from scoregate.llm.common import ship
+from scoregate.llm.common import ship, slices
 
 _TOKEN = re.compile(r"<(?:!--.*?(?:-->|--!>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s\"'>]+))?")
@@ -31,7 +31,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 PLAIN = frozenset("textarea title".split())
 UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist title meta link map area rp".split())
-BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
+BLOCKS = frozenset("textarea address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 #: Blocks with a blank line before and after.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure menu dir xmp".split())
 ENDS_PARAGRAPH = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "caption", "legend"}
@@ -278,7 +278,7 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFra
     ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             names = batch.schema.names
             kept = [i for i, n in enumerate(names) if n not in (html, text)]
             texts = [page_text(p) for p in batch.column(names.index(html)).to_pylist()]

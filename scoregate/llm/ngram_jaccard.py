@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from scoregate.llm.common import Scratch, connected_components, mix64, ship, text_chunks, window_hashes, word_hashes
+from scoregate.llm.common import Scratch, connected_components, mix64, ship, slices, text_chunks, window_hashes, word_hashes
 
 N = 5
 #: Entries of the broadcast table of frequent shingles, at most.
@@ -39,7 +39,7 @@ HOT_LIMIT = 100_000
 #: A shingle counts as frequent from this many sets.
 HOT_FROM = 24
 #: Shingles counted at a time within a task, and the count from which a shingle is reported.
-CHUNK, REPORT_FROM = 2_000_000, 6
+CHUNK, REPORT_FROM = 1_000_000, 5
 #: Bits of the broadcast filter of class ids.
 FILTER_BITS = 1 << 24
 #: Sizes up to which two-token subsets may be listed.
@@ -116,7 +116,7 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for size in np.unique(sizes):
                 yield rows(2, [int(size)], [int((sizes == size).sum())], [int(scanned[sizes == size].sum())])
 
-    for batch in batches:
+    for batch in slices(batches):
         sizes, ids, bitmaps = [], [], []
         for _, s in shingle_sets(batch.column(1)):
             i = set_id(s)
@@ -171,7 +171,7 @@ def _lists(hot: tuple[np.ndarray, np.ndarray], boundary: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             keys, ids, sizes, first, places = [], [], [], [], []
 
             def put(k: np.ndarray, i: int, n: int, firsts: int, keys=keys, ids=ids, sizes=sizes, first=first, places=places):
@@ -209,7 +209,7 @@ def _sets(bits: np.ndarray):
     schema = pa.schema([("id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.column(0).to_numpy()
             wanted = (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
             sets = [s for _, s in shingle_sets(batch.column(1).filter(pa.array(wanted)))]
