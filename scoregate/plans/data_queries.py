@@ -338,3 +338,40 @@ def stream_unique_keys(spark, sf_dir):
 @query("stream_window_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type AS method, count(*) AS event_count, count(*) FILTER (WHERE value > 50) AS anomalous_count FROM events GROUP BY ALL")
 def stream_window_counts(spark, sf_dir):
     return score_streams.window_counts(spark, f"{sf_dir}/events.parquet", 50.0, "1 day", f"{_scratch(spark)}/stream")
+
+
+@query("anchor_items", f"WITH {PATHS_SQL} SELECT category, min(path) AS anchor FROM paths GROUP BY category")
+def anchor_items(spark, sf_dir):
+    return paths(spark, sf_dir).groupBy("category").agg(F.min("path").alias("anchor"))
+
+
+@query("sealed_mapping_violations", f"WITH {OPAQUE_SQL} SELECT 'asset_id:malformed' AS rule, 'x' || asset_id AS row_key FROM opaque WHERE p_partkey % 10 = 0 UNION ALL SELECT 'class_label:null', CASE WHEN p_partkey % 10 = 0 THEN 'x' || asset_id ELSE asset_id END FROM opaque WHERE p_partkey % 15 = 0")
+def sealed_mapping_violations(spark, sf_dir):
+    """A sealed mapping with malformed ids and missing labels."""
+    sealed = partition.opaque_order(paths(spark, sf_dir), I.KEY, "path")
+    k = F.col("p_partkey")
+    rows = sealed.select(F.when(k % 10 == 0, F.concat(F.lit("x"), "asset_id")).otherwise(F.col("asset_id")).alias("asset_id"), F.col("path").alias("source_path"), F.when(k % 15 != 0, F.col("category")).alias("class_label"))
+    return c.row_violations(rows, [c.Field("asset_id", pattern=S.ASSET_ID), c.Field("source_path"), c.Field("class_label")], "asset_id").select("rule", "row_key")
+
+
+@query("split_table_scan", f"WITH {PATHS_SQL} SELECT split, label, count(*) AS row_count, count(mask) AS mask_count FROM (SELECT *, CASE WHEN p_size > 25 THEN 'train' ELSE 'test' END AS split, CASE WHEN p_size < 10 THEN 'anomaly' ELSE 'normal' END AS label, CASE WHEN p_size < 10 THEN path END AS mask FROM paths) WHERE category = 'Brand#11' OR category = 'Brand#1' GROUP BY ALL")
+def split_table_scan(spark, sf_dir):
+    """A split table written as contract CSV, scanned by category."""
+    size = F.col("p_size")
+    rows = paths(spark, sf_dir).select(F.col("category").alias("object"), F.when(size > 25, "train").otherwise("test").alias("split"), F.when(size < 10, "anomaly").otherwise("normal").alias("label"), F.col("path").alias("image"), F.when(size < 10, F.col("path")).alias("mask"))
+    path = f"{_scratch(spark)}/split"
+    files.write_csv(rows, path, ["image"])
+    out = files.read_split(spark, path, "Brand#11").unionByName(files.read_split(spark, path, "Brand#1"))
+    return out.groupBy("split", "label").agg(F.count(F.lit(1)).alias("row_count"), F.count("mask").alias("mask_count"))
+
+
+@query("reproduction_csv_scan", f"WITH {I.SCORES_SQL}, r AS (SELECT method, item, score, row_number() OVER (PARTITION BY method ORDER BY item) AS item_order FROM scores) SELECT method, count(*) AS row_count, count(*) = 10 AS as_expected FROM r WHERE item_order <= 10 GROUP BY method")
+def reproduction_csv_scan(spark, sf_dir):
+    """The first items of each method written as CSV and scanned with a check of their number."""
+    from scoregate.operators.reproduce import first_items
+
+    df = first_items(I.scores(spark, sf_dir), 10).select("method", "item", "score", "item_order")
+    path = f"{_scratch(spark)}/reproduction"
+    files.write_csv(df, path, ["method", "item"])
+    n = F.count(F.lit(1))
+    return files.read_csv(spark, path, df.schema).groupBy("method").agg(n.alias("row_count"), (n == 10).alias("as_expected"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scoregate.functions import scalars as S
-from scoregate.operators import evaluation as ev, partition, scores as sc, vectors as v
+from scoregate.operators import evaluation as ev, hooks, partition, scores as sc, vectors as v
 from scoregate.plans import inputs as I
 from scoregate.plans.registry import query
 from scoregate.sources.stages import staged
@@ -158,3 +158,38 @@ def flagship_decision(spark, sf_dir):
     decided = ev.decide(ev.gates(facts), evidence).select("method", "decision", "first_failed_gate")
     out = measured.join(decided, "method")
     return out.select("method", "threshold", "true_positive", "false_negative", "true_negative", "false_positive", *(F.round(c, 9).alias(c) for c in ("fpr", "recall", "auroc", "average_precision")), "p95_duration", "decision", "first_failed_gate")
+
+
+@query("vector_method_scores", f"""WITH {NN_SQL},
+flat AS (SELECT vec_id, part, position, j - 1 AS dim, p[j] AS x FROM cut, range(1, 9) t(j)), fit AS (SELECT position, dim, avg(x) AS mean, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS scale FROM flat WHERE part = 'reference' GROUP BY ALL),
+z AS (SELECT vec_id, f.position, sum(((x - mean) / scale) * ((x - mean) / scale)) / 8 AS distance FROM flat f JOIN fit USING (position, dim) WHERE part <> 'reference' GROUP BY ALL),
+el AS (SELECT vec_id, part, j - 1 AS dim, e[j] AS x FROM parts, range(1, 65) t(j)), tpl AS (SELECT dim, median(x) AS median FROM el WHERE part = 'reference' GROUP BY dim),
+res AS (SELECT vec_id, abs(x - median) AS a, row_number() OVER (PARTITION BY vec_id ORDER BY abs(x - median) DESC) AS k FROM el JOIN tpl USING (dim) WHERE part <> 'reference')
+SELECT 'bank_nn' AS method, item, round(score, 6) AS score FROM item UNION ALL SELECT 'position_zscore', vec_id, round(max(distance), 6) FROM z GROUP BY vec_id UNION ALL SELECT 'template_residual', vec_id, round(round(avg(a), 9), 6) FROM res WHERE k <= 4 GROUP BY vec_id""")
+def vector_method_scores(spark, sf_dir):
+    """All three methods over the same items, as one score table."""
+    out = None
+    for name, df in (("bank_nn", nn_scores(spark, sf_dir).select("item", "score")), ("position_zscore", position_zscore_scores(spark, sf_dir).select(F.col("vec_id").alias("item"), "score")), ("template_residual", template_residual_scores(spark, sf_dir).select(F.col("vec_id").alias("item"), "score"))):
+        one = df.select(F.lit(name).alias("method"), "item", F.round("score", 6).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("scorer_hook", "SELECT vec_id, CASE WHEN vec_id % 10 = 3 THEN 'failed' ELSE 'ok' END AS score_status, CASE WHEN vec_id % 10 = 3 THEN 'SCORER_ERROR:ValueError' END AS failure_code, CASE WHEN vec_id % 10 <> 3 THEN round(list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))), 9) END AS score FROM embeddings")
+def scorer_hook(spark, sf_dir):
+    """A Python scorer that fails on some rows; they come back as failed rows."""
+
+    def scorer(values):
+        if len(values) % 64:
+            raise ValueError("wrong length")
+        return max(abs(float(x)) for x in values)
+
+    e = F.col("embedding")
+    rows = I.table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 10 == 3, F.slice(e, 1, 3)).otherwise(e).alias("v"))
+    return hooks.score_items(rows, "vec_id", "v", scorer).withColumn("score", F.round("score", 9))
+
+
+@query("feature_hook", "SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 6) AS total, round(list_min(embedding::DOUBLE[]), 9) AS least FROM embeddings")
+def feature_hook(spark, sf_dir):
+    out = hooks.extract_features(I.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", lambda v: (sum(float(x) for x in v), min(v)))
+    return out.select("vec_id", F.round(F.col("features")[0], 6).alias("total"), F.round(F.col("features")[1], 9).alias("least"))
