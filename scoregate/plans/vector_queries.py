@@ -165,12 +165,12 @@ flat AS (SELECT vec_id, part, position, j - 1 AS dim, p[j] AS x FROM cut, range(
 z AS (SELECT vec_id, f.position, sum(((x - mean) / scale) * ((x - mean) / scale)) / 8 AS distance FROM flat f JOIN fit USING (position, dim) WHERE part <> 'reference' GROUP BY ALL),
 el AS (SELECT vec_id, part, j - 1 AS dim, e[j] AS x FROM parts, range(1, 65) t(j)), tpl AS (SELECT dim, median(x) AS median FROM el WHERE part = 'reference' GROUP BY dim),
 res AS (SELECT vec_id, abs(x - median) AS a, row_number() OVER (PARTITION BY vec_id ORDER BY abs(x - median) DESC) AS k FROM el JOIN tpl USING (dim) WHERE part <> 'reference')
-SELECT 'bank_nn' AS method, item, round(score, 6) AS score FROM item UNION ALL SELECT 'position_zscore', vec_id, round(max(distance), 6) FROM z GROUP BY vec_id UNION ALL SELECT 'template_residual', vec_id, round(round(avg(a), 9), 6) FROM res WHERE k <= 4 GROUP BY vec_id""")
+SELECT 'bank_nn' AS method, item, score FROM item UNION ALL SELECT 'position_zscore', vec_id, round(max(distance), 6) FROM z GROUP BY vec_id UNION ALL SELECT 'template_residual', vec_id, round(avg(a), 9) FROM res WHERE k <= 4 GROUP BY vec_id""")
 def vector_method_scores(spark, sf_dir):
     """All three methods over the same items, as one score table."""
     out = None
     for name, df in (("bank_nn", nn_scores(spark, sf_dir).select("item", "score")), ("position_zscore", position_zscore_scores(spark, sf_dir).select(F.col("vec_id").alias("item"), "score")), ("template_residual", template_residual_scores(spark, sf_dir).select(F.col("vec_id").alias("item"), "score"))):
-        one = df.select(F.lit(name).alias("method"), "item", F.round("score", 6).alias("score"))
+        one = df.select(F.lit(name).alias("method"), "item", "score")
         out = one if out is None else out.unionByName(one)
     return out
 
