@@ -65,7 +65,7 @@ def error_cases(revealed: DataFrame, most: int = 5) -> DataFrame:
     signed = F.when(F.col("case_type") == "false_positive", -F.col("score")).otherwise(F.col("score"))
     order = Window.partitionBy("method", "case_type").orderBy("_signed", "item")
     out = revealed.withColumn("case_type", case).where("case_type is not null").withColumn("_signed", signed)
-    return out.withColumn("case_rank", F.row_number().over(order).cast("long")).where(F.col("case_rank") <= most).drop("_signed")
+    return out.withColumn("case_rank", F.row_number().over(order)).where(F.col("case_rank") <= most).withColumn("case_rank", F.col("case_rank").cast("long")).drop("_signed")
 
 
 def latency(observations: DataFrame, groups: list[str], expected: Column | None = None) -> DataFrame:

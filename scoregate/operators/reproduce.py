@@ -25,7 +25,7 @@ def reproduction_summary(comparison: DataFrame) -> DataFrame:
 
 def first_items(scores: DataFrame, n: int = 10) -> DataFrame:
     """The first n items of each method by id."""
-    return scores.withColumn("item_order", F.row_number().over(Window.partitionBy("method").orderBy("item")).cast("long")).where(F.col("item_order") <= n)
+    return scores.withColumn("item_order", F.row_number().over(Window.partitionBy("method").orderBy("item"))).where(F.col("item_order") <= n).withColumn("item_order", F.col("item_order").cast("long"))
 
 
 def recomputed_violations(stored: DataFrame, fresh: DataFrame, table: str) -> DataFrame:

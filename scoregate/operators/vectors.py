@@ -71,7 +71,7 @@ def nearest_distances(queries: DataFrame, item: str, reference: DataFrame, prote
 def top_patches(scored: DataFrame, item: str, value: str, k: int) -> DataFrame:
     """The k largest patches of each item, ties by position."""
     order = Window.partitionBy(item).orderBy(F.desc(value), "position")
-    return scored.withColumn("patch_rank", F.row_number().over(order).cast("long")).where(F.col("patch_rank") <= k)
+    return scored.withColumn("patch_rank", F.row_number().over(order)).where(F.col("patch_rank") <= k).withColumn("patch_rank", F.col("patch_rank").cast("long"))
 
 
 def item_scores(distances: DataFrame, item: str, value: str, fraction: float, rounding: str) -> DataFrame:
