@@ -108,7 +108,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         memo, cut = memo_for("encode", model, piece_encoder), model.cut()
-        for batch in slices(batches):
+        for batch in slices(batches, owner="encode"):
             found = [b"".join(map(memo.__getitem__, cut(t))) if t else b"" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             ends = np.cumsum([0] + [len(f) // 4 for f in found])
             values = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int32)))
@@ -132,7 +132,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
         buffer = np.frombuffer(b"".join(table), np.uint8)
         length = np.array([len(p) for p in table] + [0])
         start = np.concatenate(([0], np.cumsum(length)))[:-1]
-        for batch in slices(batches):
+        for batch in slices(batches, owner="encode"):
             lists = batch.column(batch.schema.get_field_index(ids))
             texts: list[str] = []
             for a in range(0, len(lists), DECODED_AT_ONCE):

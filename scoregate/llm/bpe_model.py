@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 
 import regex
 
+from scoregate.llm.common import kept_by
+
 #: Fixed value: the pattern that cuts a text into pieces before the merges.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -98,13 +100,11 @@ class Memo(dict):
         return found
 
 
-_memos: dict[tuple, Memo] = {}
-
-
 def memo_for(kind: str, model: Model, make: Callable[[Model], Callable]) -> Memo:
     """The worker's memo for a model; it lives as long as the Python worker, over tasks."""
-    key = (kind, model.name, len(model.merges))
-    if key not in _memos:
-        _memos.clear()
-        _memos[key] = Memo(make(model))
-    return _memos[key]
+    store = kept_by(kind)
+    key = (model.name, len(model.merges))
+    if key not in store:
+        store.clear()
+        store[key] = Memo(make(model))
+    return store[key]

@@ -37,9 +37,11 @@ _shipped: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this library to the Python workers of the session's executors, which need not have it installed; once for each
-    application."""
+    """Send this library to the Python workers of the session's executors, which need not have it installed, once for each
+    application; and make Arrow batches fit whole texts, if their size is still Spark's default."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default, too many whole texts for a batch
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(2 * SLICE))
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parents[1]
@@ -100,16 +102,29 @@ def word_count(column):
 SLICE = 1024
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+#: What a Python worker keeps from task to task, all of one owner.
+_kept: dict = {}
+
+
+def kept_by(owner: str) -> dict:
+    """The worker's store for an owner; what another one left there is dropped."""
+    if _kept.get("owner") != owner:
+        _kept.clear()
+        _kept.update(owner=owner, values={})
+    return _kept["values"]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, owner: str = "") -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most `rows` rows."""
+    kept_by(owner)
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
 
-def text_batches(batches: Iterator, column: str = "text") -> Iterator:
+def text_batches(batches: Iterator, column: str = "text", owner: str = "") -> Iterator:
     """(record batch, list of texts with null as None) of each piece of the batches."""
-    for batch in slices(batches):
+    for batch in slices(batches, owner=owner):
         yield batch, batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 

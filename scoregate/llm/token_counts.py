@@ -64,7 +64,7 @@ def token_counts(documents: DataFrame, vocabulary: str, limit: int = 512, id_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         counts, cut = memo_for("count", model, piece_counter), model.cut()
-        for batch, texts in text_batches(batches):
+        for batch, texts in text_batches(batches, owner="count"):
             n = [sum(map(counts.__getitem__, cut(t))) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
