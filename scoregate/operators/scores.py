@@ -49,7 +49,7 @@ def thresholds(scores: DataFrame, quantile: float = 0.95) -> DataFrame:
     placed = sizes.withColumn("upto", F.sum("n").over(upto)).withColumn("item_count", F.sum("n").over(Window.partitionBy("method")))
     placed = placed.withColumn("threshold_rank", F.ceil(q * F.col("item_count").cast("double")))
     holding = placed.where("upto - n < threshold_rank and threshold_rank <= upto").select("method", "_range", "item_count", "threshold_rank", (F.col("upto") - F.col("n")).alias("_before"))
-    inside = Window.partitionBy("method").orderBy("score", "item")
+    inside = Window.partitionBy("method", "_range").orderBy("score", "item")
     row = cut.join(F.broadcast(holding), ["method", "_range"]).withColumn("_rank", F.col("_before") + F.row_number().over(inside)).where("_rank = threshold_rank")
     return row.select("method", "item_count", "threshold_rank", F.col("score").alias("threshold"), F.col("item").alias("threshold_item"))
 
