@@ -39,6 +39,6 @@ def test_methods_are_not_ordered_in_one_task_each(spark):
 
 
 def test_thresholds_are_broadcast(spark):
-    rows = spark.range(10).select(F.lit("m").alias("method"), F.col("id").alias("item"), F.lit("ok").alias("score_status"), F.rand(1).alias("score"))
+    rows = spark.range(10).select((F.col("id") % 2).cast("string").alias("method"), F.col("id").alias("item"), F.lit("ok").alias("score_status"), F.rand(1).alias("score"))
     cuts = spark.createDataFrame([("m", 0.5)], "method string, threshold double")
     assert "BroadcastHashJoin" in plan(sc.classify(rows, cuts))
