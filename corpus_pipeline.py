@@ -34,7 +34,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' ids, with what they decode to."""
-    return bpe.decode(bpe.encode(docs, vocabulary(), keep_text=False), vocabulary())
+    return bpe.round_trip(docs, vocabulary(), keep_text=False)
 
 
 STAGES = [

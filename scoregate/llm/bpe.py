@@ -100,51 +100,62 @@ def _replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), values], names=[*(batch.schema.names[i] for i in kept), name])
 
 
+def _encoding(model: Model, text: str, ids: str, keep_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memo, cut = memo_for("encode", model, piece_encoder), model.cut()
+    for batch in slices(batches, owner="encode"):
+        found = [b"".join(map(memo.__getitem__, cut(t))) if t else b"" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+        ends = np.cumsum([0] + [len(f) // 4 for f in found])
+        values = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int32)))
+        out = _replaced(batch, ids, values)
+        yield out if keep_text else out.drop_columns([text])
+
+
+def _decoding(pieces: dict[int, bytes], ids: str, text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
+    buffer = np.frombuffer(b"".join(table), np.uint8)
+    length = np.array([len(p) for p in table] + [0])
+    start = np.concatenate(([0], np.cumsum(length)))[:-1]
+    for batch in slices(batches, owner="encode"):
+        lists = batch.column(batch.schema.get_field_index(ids))
+        texts: list[str] = []
+        for a in range(0, len(lists), DECODED_AT_ONCE):
+            part = lists.slice(a, DECODED_AT_ONCE)
+            values = part.flatten().fill_null(-1).to_numpy()
+            values = np.where((values < 0) | (values >= len(table)), len(table), values)
+            sizes = length[values]
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            data = buffer[np.arange(ends[-1]) + np.repeat(start[np.minimum(values, len(table) - 1)] - ends[:-1], sizes)].tobytes()
+            counts = np.fromiter((len(x) if x.is_valid else 0 for x in part), np.int64, len(part))
+            cuts = ends[np.concatenate(([0], np.cumsum(counts)))].tolist()
+            texts += [data[x:y].decode("utf-8", "replace") for x, y in zip(cuts, cuts[1:], strict=False)]
+        yield _replaced(batch, text, pa.array(texts, pa.string()))
+
+
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", keep_text: bool = True) -> DataFrame:
     """df with the array<int> column ``ids`` of each text; without the text if keep_text is false."""
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(load(vocabulary))
+    return df.mapInArrow(lambda batches: _encoding(shared.value, text, ids, keep_text, batches), _encoded(df.schema, text, ids, keep_text))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        memo, cut = memo_for("encode", model, piece_encoder), model.cut()
-        for batch in slices(batches, owner="encode"):
-            found = [b"".join(map(memo.__getitem__, cut(t))) if t else b"" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            ends = np.cumsum([0] + [len(f) // 4 for f in found])
-            values = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int32)))
-            out = _replaced(batch, ids, values)
-            yield out if keep_text else out.drop_columns([text])
 
-    schema = _with(df.schema, ids, T.ArrayType(T.IntegerType()))
-    if not keep_text:
-        schema = T.StructType([f for f in schema.fields if f.name != text])
-    return df.mapInArrow(run, schema)
+def _encoded(schema: T.StructType, text: str, ids: str, keep_text: bool) -> T.StructType:
+    out = _with(schema, ids, T.ArrayType(T.IntegerType()))
+    return out if keep_text else T.StructType([f for f in out.fields if f.name != text])
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with the string column ``text`` that the ids stand for."""
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(load(vocabulary).pieces)
+    return df.mapInArrow(lambda batches: _decoding(shared.value, ids, text, batches), _with(df.schema, text, T.StringType()))
+
+
+def round_trip(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", keep_text: bool = True) -> DataFrame:
+    """encode, then decode from the ids, in one task: the ids cross to the JVM once."""
+    ship(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(load(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = shared.value
-        table = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
-        buffer = np.frombuffer(b"".join(table), np.uint8)
-        length = np.array([len(p) for p in table] + [0])
-        start = np.concatenate(([0], np.cumsum(length)))[:-1]
-        for batch in slices(batches, owner="encode"):
-            lists = batch.column(batch.schema.get_field_index(ids))
-            texts: list[str] = []
-            for a in range(0, len(lists), DECODED_AT_ONCE):
-                part = lists.slice(a, DECODED_AT_ONCE)
-                values = part.flatten().fill_null(-1).to_numpy()
-                values = np.where((values < 0) | (values >= len(table)), len(table), values)
-                sizes = length[values]
-                ends = np.concatenate(([0], np.cumsum(sizes)))
-                data = buffer[np.arange(ends[-1]) + np.repeat(start[np.minimum(values, len(table) - 1)] - ends[:-1], sizes)].tobytes()
-                counts = np.fromiter((len(x) if x.is_valid else 0 for x in part), np.int64, len(part))
-                cuts = ends[np.concatenate(([0], np.cumsum(counts)))].tolist()
-                texts += [data[x:y].decode("utf-8", "replace") for x, y in zip(cuts, cuts[1:], strict=False)]
-            yield _replaced(batch, text, pa.array(texts, pa.string()))
-
-    return df.mapInArrow(run, _with(df.schema, text, T.StringType()))
+        yield from _decoding(shared.value.pieces, ids, decoded, _encoding(shared.value, text, ids, keep_text, batches))
+
+    return df.mapInArrow(run, _with(_encoded(df.schema, text, ids, keep_text), decoded, T.StringType()))

@@ -66,7 +66,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 @query("op5_bpe")
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = bpe.decode(bpe.encode(docs, vocabulary(), keep_text=False), vocabulary())
+    out = bpe.round_trip(docs, vocabulary(), keep_text=False)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -228,6 +228,8 @@ def test_bpe_matches_the_library(spark, corpus, tokenizer):
     df = documents(spark, texts).withColumnRenamed("lang", "decoded")
     out = bpe.decode(bpe.encode(df, queries.vocabulary()), queries.vocabulary())
     assert out.columns == ["doc_id", "text", "source", "n_chars", "ids", "decoded"]
+    both = bpe.round_trip(df, queries.vocabulary())
+    assert both.columns == out.columns and sorted(both.collect()) == sorted(out.collect())
     got = {r["doc_id"]: r for r in out.collect()}
     counts = {r["doc_id"]: r for r in token_counts.token_counts(df, queries.vocabulary(), 100).collect()}
     for i, (t, e) in enumerate(zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False))):
