@@ -40,11 +40,22 @@ def nearest_distances(queries: DataFrame, item: str, reference: DataFrame, prote
     """The cosine distance of each query patch (item, position, patch) to the nearest of the reference patches. The bank is counted
     first: a small one is broadcast, of a larger one every block meets the queries in numpy and the minima are combined."""
     require_columns(queries, [item, "position", "patch"], protected)
+    schema = f"{item} {queries.schema[item].dataType.simpleString()}, position int, distance double"
+    head = reference.limit(BROADCAST_ROWS + 1).toArrow()
+    if head.num_rows <= BROADCAST_ROWS:
+        rows = head["patch"].combine_chunks().flatten().to_numpy().reshape(head.num_rows, -1) if head.num_rows else None
+        shared = queries.sparkSession.sparkContext.broadcast(rows)
+
+        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+                x = x / np.maximum(np.sqrt((x * x).sum(1)), 1e-12)[:, None]
+                d = pa.nulls(len(x), pa.float64()) if shared.value is None else pa.array(np.clip(1 - (x @ shared.value.T).max(1), 0, 2))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), d], names=[item, "position", "distance"])
+
+        asked = queries.select(item, F.col("position").cast("int").alias("position"), F.col("patch").cast("array<double>").alias("patch"))
+        return asked.mapInArrow(nearest, schema)
     unit = queries.withColumn("patch", S.unit(F.col("patch")))
-    if reference.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        near = F.broadcast(reference.select(F.col("patch").alias("_b")).agg(F.collect_list("_b").alias("_bank")))
-        distances = unit.join(near, F.lit(True)).select(item, "position", F.array_min(F.transform("_bank", lambda b: S.cosine_distance(F.col("patch"), b))).alias("distance"))
-        return distances
     blocks = reference.select("patch", F.pmod(F.xxhash64("patch"), F.lit(1 << 30)).alias("_h"))
     count = F.ceil(F.lit(reference.count() / BLOCK)).cast("int")
     blocks = blocks.withColumn("_block", F.pmod("_h", count)).select("_block", F.lit(True).alias("_is_bank"), F.lit(None).cast(unit.schema[item].dataType).alias(item), F.lit(0).alias("position"), "patch")
@@ -61,7 +72,6 @@ def nearest_distances(queries: DataFrame, item: str, reference: DataFrame, prote
                 d[a : a + BLOCK] = np.clip(1 - (x[a : a + BLOCK] @ y.T).max(1), 0, 2)
         return pa.table({item: q[item], "position": q["position"], "distance": d})
 
-    schema = f"{item} {unit.schema[item].dataType.simpleString()}, position int, distance double"
     # Queries are salted, so that a group holds one block of the bank and a share of the queries.
     b = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     q = dealt.withColumn("_salt", F.pmod(F.xxhash64(item, "position"), F.lit(16)).cast("int"))
