@@ -268,8 +268,7 @@ def test_language_model_base_and_gain(spark):
 def test_language_model_is_a_distribution():
     tokens = np.array([3, 5, 7, language_model.END], np.uint64)
     v = language_model.Vocabulary(tokens, np.array([5, 3, 1, 4]), 13, 4)
-    net = language_model.Network(v)
-    net.gates = net.embed @ net.wx + net.b
+    net = language_model.Network(v).ready()
     h = net.states(np.array([[v.start]]), np.zeros((1, language_model.HIDDEN), np.float32)).reshape(1, -1)
     p = sum(math.exp(float(net.log_likelihoods(h.copy(), np.array([k]))[0])) for k in [*range(v.words), v.tail])
     assert math.isclose(p, 1, rel_tol=1e-4)
