@@ -84,7 +84,7 @@ class Memo(dict):
     """Results by piece, worked out when first asked for. Once it holds `limit` pieces it starts anew, and what is asked for again
     comes from the generation before, so that frequent pieces stay and its memory is bounded."""
 
-    def __init__(self, work: Callable, limit: int = 120_000, longest: int = 64):
+    def __init__(self, work: Callable, limit: int = 60_000, longest: int = 64):
         super().__init__()
         self.work, self.limit, self.longest, self.before = work, limit, longest, {}
 
