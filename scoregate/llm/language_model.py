@@ -4,10 +4,10 @@ Method: a GRU reads each document word by word and ends with an end token. Its o
 MODEL_WORDS most frequent training tokens stand in classes of CLASS_WORDS by rank, each with its own softmax; all other
 tokens share one class, in which a token's share is (c + 1) / (sum of c + 1, and one for the unknown), c being its count in
 training. Output biases start at the counts, so training starts from the unigram model. Training is truncated
-backpropagation in numpy over windows of WINDOW steps on LANES lanes, the state carried on; every partition trains from
-the same weights on a seeded SHARE of its own training documents (so what is learned from grows with the corpus), and the
-partitions' weights are averaged, weighted by their tokens, in ROUNDS rounds. Scoring carries the state across windows
-too, so that a document's log-likelihood covers it whole, however long.
+backpropagation in numpy over windows of WINDOW steps on LANES lanes, the state carried on. A seeded hash deals all training
+documents to ROUNDS rounds, so that each is learned from once; in a round every partition trains from the same weights on
+its own documents, and the partitions' weights are averaged, weighted by their tokens. Scoring carries the state across
+windows too, so that a document's log-likelihood covers it whole, however long.
 
 Counts cover all training documents. Only the KNOWN most frequent counts are broadcast (16 bytes each); the counts of all
 other tokens meet the documents in a join. Tokens are known by 64-bit hashes.
@@ -31,7 +31,7 @@ from scoregate.llm.common import Scratch, ship, slices, text_chunks, word_hashes
 MODEL_WORDS, CLASS_WORDS, KNOWN = 4096, 64, 1 << 17
 EMBED, HIDDEN = 16, 24
 WINDOW, LANES, SCORE_WINDOW, SCORE_LANES = 20, 64, 64, 256
-SHARE_PERCENT, ROUNDS, RATE, CLIP = 6, 2, 0.3, 2.0
+ROUNDS, RATE, CLIP = 2, 0.3, 2.0
 #: Words trained on or scored together, and words counted at a time.
 CHUNK, COUNTED = 400_000, 1_000_000
 BLOCKS, SLOTS, ROWS = 16, 1 << 20, 2048
@@ -308,7 +308,7 @@ def windows(docs: list[np.ndarray], start: int, lanes: int, steps: int) -> Itera
 
 
 def _train(shared, round_: int):
-    """The task that trains on a partition's share: blocks of its weights, with the tokens that it learned from."""
+    """The task that trains on a partition's documents of a round: blocks of its weights, with the tokens that it learned from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, weights = shared.value
@@ -352,8 +352,7 @@ def trained(training: DataFrame, vocabulary: Vocabulary, scratch: Scratch) -> np
     weights = Network(vocabulary).flat()
     for round_ in range(ROUNDS):
         shared = spark.sparkContext.broadcast((vocabulary, weights))
-        drawn = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(100))
-        share = training.where((drawn >= round_ * SHARE_PERCENT) & (drawn < (round_ + 1) * SHARE_PERCENT)).select("text")
+        share = training.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(ROUNDS)) == round_).select("text")
         schema = "block long, part long, tokens long, weights array<float>"
         parts = scratch.table(share.mapInArrow(_train(shared, round_), schema), "weights")
         most = parts.agg(F.max("part")).first()[0]

@@ -265,6 +265,20 @@ def test_language_model_base_and_gain(spark):
     assert language_model.language_scores(df.limit(0)).count() == 0
 
 
+def test_language_model_learns_from_every_training_document(spark, monkeypatch):
+    learned, table = [], Scratch.table
+
+    def watched(self, df, name):
+        out = table(self, df, name)
+        if name == "weights":
+            learned.append(out.where("block = 0").agg(F.sum("tokens")).first()[0])
+        return out
+
+    monkeypatch.setattr(Scratch, "table", watched)
+    rows = language_model.language_scores(documents(spark, [f"w{i} " * (1 + i % 9) for i in range(400)])).collect()
+    assert sum(learned) == rows[0]["train_tokens"] == sum(r["n_tokens"] for r in rows if not r["held_out"])
+
+
 def test_language_model_is_a_distribution():
     tokens = np.array([3, 5, 7, language_model.END], np.uint64)
     v = language_model.Vocabulary(tokens, np.array([5, 3, 1, 4]), 13, 4)
