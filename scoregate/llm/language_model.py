@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, functions as F
 from scoregate.llm.common import Scratch, ship, slices, text_chunks, word_hashes
 
 MODEL_WORDS, CLASS_WORDS, KNOWN = 4096, 64, 1 << 17
-EMBED, HIDDEN = 16, 24
-WINDOW, LANES, SCORE_WINDOW, SCORE_LANES = 20, 64, 64, 256
-ROUNDS, RATE, CLIP = 2, 0.3, 2.0
+EMBED, HIDDEN = 24, 32
+WINDOW, LANES, SCORE_WINDOW, SCORE_LANES = 20, 32, 64, 256
+ROUNDS, RATE, CLIP = 2, 0.15, 2.0
 #: Words trained on or scored together, and words counted at a time.
 CHUNK, COUNTED = 400_000, 1_000_000
 BLOCKS, SLOTS, ROWS = 16, 1 << 20, 2048

@@ -279,6 +279,33 @@ def test_language_model_learns_from_every_training_document(spark, monkeypatch):
     assert sum(learned) == rows[0]["train_tokens"] == sum(r["n_tokens"] for r in rows if not r["held_out"])
 
 
+def test_language_model_learns_word_order():
+    """A text whose words are told by the two before them; the mean log probability of unread documents after one pass."""
+    rng = np.random.default_rng(5)
+    after = rng.integers(0, 40, (40, 40, 2))
+
+    def document():
+        out = [0, 1]
+        while len(out) < 60:
+            out.append(int(after[out[-2], out[-1], rng.integers(0, 2)]))
+        return np.array(out)
+
+    learned, held = [document() for _ in range(4000)], [document() for _ in range(200)]
+    tokens = np.append(np.arange(1, 41, dtype=np.uint64), language_model.END)
+    v = language_model.Vocabulary(tokens, np.append(np.bincount(np.concatenate(learned), minlength=40), 4000), 244_000, 41)
+    number = v.look_up(tokens)[0]
+    net = language_model.Network(v)
+    trainer, h = language_model.Trainer(net), np.zeros((language_model.LANES, language_model.HIDDEN), np.float32)
+    for inputs, targets, owner, live in language_model.windows([number[d] for d in learned], net.start, language_model.LANES, language_model.WINDOW):
+        h = trainer.window(inputs, targets, owner >= 0, h[:live])
+    net.ready()
+    total, n, h = 0.0, 0, np.zeros((len(held), language_model.HIDDEN), np.float32)
+    for inputs, targets, owner, live in language_model.windows([number[d] for d in held], net.start, len(held), 60):
+        hs, used = net.states(inputs, h[:live]), owner >= 0
+        total, n, h = total + float(net.log_likelihoods(hs.reshape(-1, language_model.HIDDEN)[used.ravel()], targets[used]).sum()), n + int(used.sum()), hs[-1]
+    assert total / n > -2.2
+
+
 def test_language_model_is_a_distribution():
     tokens = np.array([3, 5, 7, language_model.END], np.uint64)
     v = language_model.Vocabulary(tokens, np.array([5, 3, 1, 4]), 13, 4)
