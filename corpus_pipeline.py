@@ -19,7 +19,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules.passing(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.passing(docs, table(spark, sf_dir, "labels"), grams="words")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
