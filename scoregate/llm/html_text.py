@@ -22,15 +22,23 @@ from pyspark.sql import DataFrame, types as T
 
 from scoregate.llm.common import ship, slices
 
-_TOKEN = re.compile(r"<(?:!--.*?(?:-->|--!>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s\"'>]+))?")
+#: A quote opens a value only directly after "=", and only where it closes; otherwise it is a character as any other.
+_VALUE = r"\"[^\"]*\"|'[^']*'|[^\s>]*"
+_TOKEN = re.compile(rf"<(?:!--.*?(?:-->|--!>|\Z)|(/?)([A-Za-z][^\s/>]*)((?>[\s/]+|[^\s/>][^\s/>=]*+(?>\s*=\s*(?>{_VALUE}))?)*+)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
+_ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+)(?>\s*=\s*({_VALUE}))?")
 _HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 PLAIN = frozenset("textarea title".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist title meta link map area rp".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title meta link map area rp".split())
+#: Drawings and formulas: what has no text to show in them, whose own text isn't drawn, whose content is HTML, what ends them.
+FOREIGN = frozenset(("svg", "math"))
+UNSEEN_FOREIGN = frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml mphantom".split())
+UNDRAWN = frozenset(("svg", "g"))
+HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 BLOCKS = frozenset("textarea address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 #: Blocks with a blank line before and after.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure menu dir xmp".split())
@@ -49,16 +57,16 @@ BARRIERS = frozenset(("table", "td", "th", "template", "html"))
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "foreign")
 
-    def __init__(self, tag: str, attributes: dict[str, str] | None = None):
-        self.tag, self.attributes, self.children = tag, attributes or {}, []
+    def __init__(self, tag: str, attributes: dict[str, str] | None = None, foreign: bool = False):
+        self.tag, self.attributes, self.children, self.foreign = tag, attributes or {}, [], foreign
 
 
 def _attributes(text: str) -> dict[str, str]:
     found: dict[str, str] = {}
     for name, value in _ATTRIBUTE.findall(text):
-        found.setdefault(name.lower(), entities.unescape(value.strip("\"'")))
+        found.setdefault(name.lower(), entities.unescape(value[1:-1] if len(value) > 1 and value[0] in "\"'" and value[-1] == value[0] else value))
     return found
 
 
@@ -107,20 +115,23 @@ def build(page: str) -> Node:
             continue
         if open_[-1].tag == "head" and tag not in ("title", "meta", "link", "script", "style", "base", "noscript", "template"):
             open_.pop()
+        while tag in BREAKS_OUT and open_[-1].foreign and open_[-1].tag not in HOLDS_HTML:
+            open_.pop()
+        foreign = tag in FOREIGN or (open_[-1].foreign and open_[-1].tag not in HOLDS_HTML)
         if tag in ENDS_PARAGRAPH:
             close(("p",), BARRIERS)
         if tag in IMPLIED:
             close(*IMPLIED[tag])
-        node = Node(tag, _attributes(token[3]) if token[3] else None)
+        node = Node(tag, _attributes(token[3]) if token[3] else None, foreign)
         open_[-1].children.append(node)
-        if tag in VOID:
+        if tag in VOID or (foreign and token[3].endswith("/")):
             continue
         if tag in RAW or tag in PLAIN:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             inside = page[at : end.start() if end else size]
             node.children.append(entities.unescape(inside) if tag in PLAIN else inside)
             at = end.end() if end else size
-        elif not token[3].endswith("/") or tag not in ("svg", "math", "path"):
+        else:
             open_.append(node)
     return root
 
@@ -128,7 +139,7 @@ def build(page: str) -> Node:
 def visible(node: Node) -> bool:
     """Whether a browser would show an element."""
     a = node.attributes
-    if node.tag in UNSEEN or "hidden" in a or (node.tag == "dialog" and "open" not in a):
+    if node.tag in UNSEEN or (node.foreign and node.tag in UNSEEN_FOREIGN) or "hidden" in a or (node.tag == "dialog" and "open" not in a):
         return False
     return not ("style" in a and _HIDING.search(a["style"]))
 
@@ -233,7 +244,12 @@ def render(root: Node) -> str:
         children = node.children
         if tag == "details" and "open" not in node.attributes:
             children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
+        if node.foreign and tag in UNDRAWN:
+            children = [c for c in children if isinstance(c, Node)]
         if tag not in BLOCKS and tag != "xmp":
+            if node.foreign and tag == "text":  # a text of its own place in the drawing
+                here.run.append(" ")
+                children = [*children, " "]
             if tag in ("input", "button", "select", "img") and here.run:
                 here.run.append(" ")
             work += [("open", c) for c in reversed(children)]
