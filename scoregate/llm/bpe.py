@@ -3,7 +3,9 @@
 Method: a segment tree over the ranks of adjacent pairs. A leaf holds rank * width + position of the pair that starts at
 its symbol, or infinity; every node holds the smaller of its children, so the root is the leftmost pair of the lowest
 rank. A merge is a descent-free read of the root and at most three point updates of O(log n); it ends when the root is
-infinite. Ids of short pieces are kept in a memo of bounded size.
+infinite. The trees of many short pieces of like length stand in one array and go through their merges side by side, each with
+its own root and updates; long pieces, and the few of a rare length, are merged one by one. Ids of short pieces are kept in a
+memo of bounded size.
 
 Defined cases: a null text encodes to no ids and decodes to the empty text; strings of added tokens inside a text become
 their ids; ids unknown to the vocabulary are passed over when decoding, a null list decodes to the empty text, and bytes
@@ -14,16 +16,20 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from scoregate.llm.bpe_model import Model, load, memo_for
-from scoregate.llm.common import ship, slices
+from scoregate.llm.bpe_model import LONGEST, Model, load, memo_for
+from scoregate.llm.common import kept_by, ship, slices
 
-#: Texts decoded together, in whole arrays.
-DECODED_AT_ONCE = 256
+#: Texts cut and encoded together, and decoded together in whole arrays.
+ENCODED_AT_ONCE, DECODED_AT_ONCE = 256, 256
+#: Pieces whose trees stand in one array: at least, at most.
+FEWEST, MOST = 24, 4096
+_NEVER = np.int64(1 << 62)
 
 
 def piece_encoder(model: Model):
@@ -90,6 +96,109 @@ def piece_encoder(model: Model):
     return encode
 
 
+class PairTable:
+    """Ranks of pairs of symbols, looked up for whole arrays: a slot by the pair's hash, a search where pairs share a slot."""
+
+    SLOTS = 20
+
+    def __init__(self, model: Model):
+        self.m, pairs = model.pairs()
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int64)
+        self.merged = np.zeros(int(self.ranks.max(initial=0)) + 1, np.int64)
+        self.merged[self.ranks] = [pairs[k][1] for k in self.keys.tolist()]
+        slot = self._slot(self.keys)
+        self.at = np.zeros(1 << self.SLOTS, np.int32)
+        self.at[slot] = np.arange(len(self.keys))
+        self.shared = np.bincount(slot, minlength=1 << self.SLOTS) > 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    def leaves(self, a: np.ndarray, b: np.ndarray, width: int, place: np.ndarray) -> np.ndarray:
+        """rank * width + place of each pair, _NEVER where there is none; a symbol below 0 pairs with nothing."""
+        if not len(self.keys):
+            return np.full(len(a), _NEVER)
+        keys = a * self.m + b
+        slot = self._slot(keys)
+        at = self.at[slot]
+        found = self.keys[at] == keys
+        again = np.flatnonzero(~found & self.shared[slot])
+        if len(again):
+            at[again] = np.minimum(np.searchsorted(self.keys, keys[again]), len(self.keys) - 1)
+            found[again] = self.keys[at[again]] == keys[again]
+        return np.where(found & (a >= 0) & (b >= 0), self.ranks[at] * width + place, _NEVER)
+
+
+def forest_encoder(model: Model):
+    """A function from pieces (or added tokens' ids) to their ids, each as the bytes of 32-bit integers."""
+    one, table = piece_encoder(model), PairTable(model)
+    symbols = np.array(model.symbols, np.int64)
+
+    def grown(raw: list[bytes], width: int) -> list[bytes]:
+        """Pieces of 2 to width + 1 bytes: a tree of `width` leaves for each, all in one array."""
+        count = len(raw)
+        n = np.fromiter(map(len, raw), np.int64, count)
+        span = width + 2  # a piece's symbols and the place after its last one
+        held = np.full((count, span), -1, np.int64)
+        held[np.arange(span)[None] < n[:, None]] = symbols[np.frombuffer(b"".join(raw), np.uint8)]
+        tree = np.full((count, 2 * width), _NEVER)
+        tree[:, width:] = table.leaves(held[:, :width].ravel(), held[:, 1 : width + 1].ravel(), width, np.tile(np.arange(width), count)).reshape(count, width)
+        low = width
+        while low > 1:
+            tree[:, low // 2 : low] = np.minimum(tree[:, low : 2 * low : 2], tree[:, low + 1 : 2 * low : 2])
+            low //= 2
+        after, before = (np.tile(np.arange(d, span + d), (count, 1)).ravel() for d in (1, -1))
+        flat, leaf = held.ravel(), tree.ravel()
+        rows = np.arange(count)
+        while True:
+            root = leaf[rows * 2 * width + 1]
+            live = root != _NEVER
+            rows, root = rows[live], root[live]
+            if not len(rows):
+                break
+            start, top = rows * span, rows * 2 * width
+            i, merged = root % width, table.merged[root // width]
+            j = after[start + i]
+            k = np.minimum(after[start + j], span - 1)
+            h = before[start + i]
+            flat[start + i], flat[start + j] = merged, -1
+            after[start + i], before[start + k] = k, i
+            # The three leaves that change: the pairs that start at, before and after the merge, that at the merge last.
+            j, left = np.where(j < width, j, i), np.maximum(h, 0)
+            leaf[top + width + j] = _NEVER
+            leaf[top + width + np.where(h < 0, i, h)] = table.leaves(np.where(h < 0, -1, flat[start + left]), merged, width, left)
+            leaf[top + width + i] = table.leaves(merged, flat[start + k], width, i)
+            at, tops = np.concatenate((i, np.where(h < 0, i, h), j)) + width, np.concatenate((top, top, top))
+            for _ in range(width.bit_length() - 1):
+                at >>= 1
+                low = tops + 2 * at
+                leaf[tops + at] = np.minimum(leaf[low], leaf[low + 1])
+        kept = held >= 0
+        ends = np.concatenate(([0], np.cumsum(kept.sum(1)) * 4)).tolist()
+        data = held[kept].astype(np.int32).tobytes()
+        return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def encode(pieces: list) -> list[bytes]:
+        out: list = [None] * len(pieces)
+        by_width: dict[int, list[int]] = {}
+        raw = [b"" if type(p) is int else p.encode("utf-8", "surrogatepass") for p in pieces]
+        for at, r in enumerate(raw):
+            if 2 <= len(r) <= 2 * LONGEST + 1:
+                by_width.setdefault(1 << (len(r) - 2).bit_length(), []).append(at)
+            else:
+                out[at] = one(pieces[at])
+        for width, members in by_width.items():
+            for a in range(0, len(members), MOST):
+                part = members[a : a + MOST]
+                found = grown([raw[x] for x in part], width) if len(part) >= FEWEST else [one(pieces[x]) for x in part]
+                for at, ids in zip(part, found, strict=True):
+                    out[at] = ids
+        return out
+
+    return encode
+
+
 def _with(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name != name] + [T.StructField(name, kind)])
 
@@ -102,8 +211,14 @@ def _replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBa
 
 def _encoding(model: Model, text: str, ids: str, keep_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo, cut = memo_for("encode", model, piece_encoder), model.cut()
-    for batch in slices(batches, owner="encode"):
-        found = [b"".join(map(memo.__getitem__, cut(t))) if t else b"" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+    store = kept_by("encode")
+    if "forest" not in store:
+        store["forest"] = forest_encoder(model)
+    together = store["forest"]
+    for batch in slices(batches, rows=ENCODED_AT_ONCE, owner="encode", column=text):
+        pieces = [cut(t) if t else () for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+        memo.learn(chain.from_iterable(pieces), together)
+        found = [b"".join(map(memo.__getitem__, p)) for p in pieces]
         ends = np.cumsum([0] + [len(f) // 4 for f in found])
         values = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int32)))
         out = _replaced(batch, ids, values)

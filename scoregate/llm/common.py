@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -100,8 +101,8 @@ def word_count(column):
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-#: Rows of an Arrow batch worked on at a time, which bounds what a worker holds beside the batch.
-SLICE = 1024
+#: Rows of an Arrow batch, and bytes of its text, worked on at a time, which bounds what a worker holds beside the batch.
+SLICE, SLICE_BYTES = 1024, 4 << 20
 
 
 #: What a Python worker keeps from task to task, all of one owner.
@@ -116,14 +117,25 @@ def kept_by(owner: str) -> dict:
     return _kept["values"]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, owner: str = "") -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of at most `rows` rows. When they end, the worker gives back the memory that it no longer uses, as it
-    lives on beside the next tasks."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, owner: str = "", column: str | int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most `rows` rows and, where a string column is named, of about SLICE_BYTES of its text; a longer
+    text is a piece of its own. When they end, the worker gives back the memory that it no longer uses, as it lives on beside the
+    next tasks."""
     kept_by(owner)
     try:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield batch.slice(at, rows)
+            if column is None:
+                ends = None
+            else:
+                ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                end = at + rows
+                if ends is not None:
+                    before = ends[at - 1] if at else 0
+                    end = min(end, max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right"))))
+                yield batch.slice(at, end - at)
+                at = end
     finally:
         _give_back()
 
@@ -138,7 +150,7 @@ def _give_back() -> None:
 
 def text_batches(batches: Iterator, column: str = "text", owner: str = "") -> Iterator:
     """(record batch, list of texts with null as None) of each piece of the batches."""
-    for batch in slices(batches, owner=owner):
+    for batch in slices(batches, owner=owner, column=column):
         yield batch, batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 
