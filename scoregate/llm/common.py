@@ -41,10 +41,8 @@ _shipped: dict[str, str] = {}
 
 def ship(spark: SparkSession) -> None:
     """Send this library to the Python workers of the session's executors, which need not have it installed, once for each
-    application; and make Arrow batches fit whole texts, if their size is still Spark's default."""
+    application."""
     context = spark.sparkContext
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default, too many whole texts for a batch
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(2 * SLICE))
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parents[1]
@@ -154,21 +152,31 @@ def text_batches(batches: Iterator, column: str = "text", owner: str = "") -> It
         yield batch, batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 
+#: Edges that a file of a scratch table holds, about.
+EDGES_A_FILE = 1_000_000
+
+
+def _are_stars(e: DataFrame) -> bool:
+    """Whether each u has one edge and is no v: then every v is the smallest node of its component."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 or up = 1 and root = 1").isEmpty()
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Components of an undirected graph given as (src, dst) longs: one (node, root) row for each node of an edge,
     root being the smallest node reachable.
 
-    Alternating large-star and small-star steps: every step is a grouped minimum and an equi-join, both of which Spark
-    combines before the shuffle or splits when a hub is hot; the edges never come to the driver. Each round is a
-    written table. Null ends and self loops are dropped; an empty graph gives an empty table."""
+    Alternating large-star and small-star steps until all that is left are stars, which is tested exactly: every step is a
+    grouped minimum and an equi-join; the edges never come to the driver. Each round is a written table, in as many files
+    as its edges need. Null ends and self loops are dropped; an empty graph gives an empty table."""
     e = (
         edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
         .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
         .distinct()
     )
     e = scratch.table(e, "edges")
-    before = None
-    while True:
+    while not _are_stars(e):
+        files = 1 + e.count() // EDGES_A_FILE
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -180,13 +188,9 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        following = scratch.table(small, "edges")
-        now = following.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        following = scratch.table(small.coalesce(files), "edges")
         scratch.drop(e)
         e = following
-        if tuple(now) == before:
-            break
-        before = tuple(now)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

@@ -11,9 +11,12 @@ sets share a token and the first n - a + 2 share two, whatever the order. The or
 shingles met often come last, by the count of a bounded table (HOT_LIMIT entries, 16 bytes each) that is broadcast.
 
 Groups: equal sets are one class. Instead of all pairs of a list, a list first links its members to one pivot; verified
-links make components, and only lists that still hold different components are then compared pair by pair between
-components. Each link between different components is verified on the full sets, so that no link which could join two
-components is lost, while a group of thousands of near copies costs a multiple of its size and not its square.
+links make components, and only lists that still hold different components are then compared between components: each
+member outside the list's largest component with all others, members of the largest never with each other. Each link
+between different components is verified on the full sets, so that no link which could join two components is lost, while
+a group of thousands of near copies costs a multiple of its size and not its square. A set travels once to each pair as
+its smaller partner or once to its own key; the join by pivot writes nothing but links and keeps no partitioning, so that
+Spark may split the pivot of a large group.
 
 Shingles and sets are known by 64-bit hashes. Defined cases: a null or empty text, or one without words, has no shingles,
 its component is its own doc_id; a text of fewer than five words has its whole sequence as one shingle; repeated rows
@@ -41,7 +44,7 @@ HOT_FROM = 24
 #: Shingles counted at a time within a task, and the count from which a shingle is reported.
 CHUNK, REPORT_FROM = 1_000_000, 5
 #: Bits of the broadcast filter of class ids.
-FILTER_BITS = 1 << 24
+FILTER_BITS = 1 << 25
 #: Sizes up to which two-token subsets may be listed.
 BOUNDARIES = (0, 5, 10, 20, 40, 64)
 #: Longs of the short bitmap, and how many of its preceding lists an entry names.
@@ -116,7 +119,7 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for size in np.unique(sizes):
                 yield rows(2, [int(size)], [int((sizes == size).sum())], [int(scanned[sizes == size].sum())])
 
-    for batch in slices(batches):
+    for batch in slices(batches, column=1):
         sizes, ids, bitmaps = [], [], []
         for _, s in shingle_sets(batch.column(1)):
             i = set_id(s)
@@ -171,7 +174,7 @@ def _lists(hot: tuple[np.ndarray, np.ndarray], boundary: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in slices(batches):
+        for batch in slices(batches, column=0):
             keys, ids, sizes, first, places = [], [], [], [], []
 
             def put(k: np.ndarray, i: int, n: int, firsts: int, keys=keys, ids=ids, sizes=sizes, first=first, places=places):
@@ -205,32 +208,41 @@ def _lists(hot: tuple[np.ndarray, np.ndarray], boundary: int):
 
 
 def _sets(bits: np.ndarray):
-    """The task that gives the whole sets of the documents that the filter may hold."""
-    schema = pa.schema([("id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    """The task that gives the whole sets of the documents that the filter may hold, each set once."""
+    schema = pa.schema([("place", pa.int64()), ("id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            at = batch.column(0).to_numpy()
-            wanted = (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-            sets = [s for _, s in shingle_sets(batch.column(1).filter(pa.array(wanted)))]
+        seen: set[tuple[int, int]] = set()
+        for batch in slices(batches, column=1):
+            at = batch.column(0).to_numpy() & (FILTER_BITS - 1)
+            batch = batch.filter(pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+            places, ids, sets = [], [], []
+            for place, (_, s) in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
+                found = place, set_id(s)
+                if found not in seen:
+                    seen.add(found)
+                    places.append(found[0])
+                    ids.append(found[1])
+                    sets.append(s)
             if sets:
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], schema=schema)
 
     return run
 
 
-def _position(doc_id):
-    """A document's place in the filter; rows without a doc_id share one."""
-    return F.xxhash64(doc_id).bitwiseAND(F.lit(FILTER_BITS - 1))
+def _place(doc_id):
+    """A document's place, of which the filter takes the low bits; rows without a doc_id share one."""
+    return F.xxhash64(doc_id)
 
 
-def _document_filter(doc_ids: DataFrame) -> np.ndarray:
+def _document_filter(places: DataFrame) -> np.ndarray:
     """A bit set of the places of some documents: FILTER_BITS bits whatever their number. Others may share a place."""
     bits = np.zeros(FILTER_BITS >> 6, np.uint64)
-    words = doc_ids.select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63L as int))").alias("bit"))
-    for row in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        bits[row["word"]] = np.int64(row["bits"]).view(np.uint64)
+    low = F.col("place").bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = places.select(F.shiftright(low, 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63L as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return bits
 
 
@@ -256,27 +268,24 @@ _PAIR = ("x.id as a", "y.id as b", "x.n as na", "y.n as nb", "x.place as pa", "y
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Those of the pairs (columns of _PAIR) whose whole sets are similar enough, as (src, dst)."""
+    """Those of the pairs (columns of _PAIR) whose whole sets are similar enough, as (src, dst). The sets of b, of which there are
+    many, meet the pairs first; those of a, the pivots, are then repeated by Spark only where a pivot's pairs are split."""
     kept = scratch.table(pairs, "pairs")
     bits = _document_filter(kept.select(F.col("pa").alias("place")).unionByName(kept.select(F.col("pb").alias("place"))))
     if not bits.any():
         return kept.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    sets = docs.select(_position(F.col("doc_id")).alias("place"), "text").mapInArrow(lambda it: _sets(shared.value)(it), "id long, tokens array<long>")
+    sets = docs.select(_place(F.col("doc_id")).alias("place"), "text").mapInArrow(lambda it: _sets(shared.value)(it), "place long, id long, tokens array<long>")
     sets = scratch.table(sets, "sets")
-    one = sets.dropDuplicates(["id"])
-    edges = (
-        kept.join(one.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
-        .join(one.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
+    return (
+        kept.join(sets.select(F.col("id").alias("b"), F.col("place").alias("pb"), F.col("tokens").alias("tb")), ["b", "pb"])
+        .join(sets.select(F.col("id").alias("a"), F.col("place").alias("pa"), F.col("tokens").alias("ta")), ["a", "pa"])
         .where(9 * F.size(F.array_intersect("ta", "tb")) >= 4 * (F.col("na") + F.col("nb")))
         .select(F.col("a").alias("src"), F.col("b").alias("dst"))
     )
-    edges = scratch.table(edges, "links")
-    scratch.drop(kept, sets)
-    return edges
 
 
-def ngram_jaccard_groups(documents: DataFrame, star_rounds: int = 2) -> DataFrame:
+def ngram_jaccard_groups(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; see the module's text."""
     spark = documents.sparkSession
     ship(spark)
@@ -284,8 +293,8 @@ def ngram_jaccard_groups(documents: DataFrame, star_rounds: int = 2) -> DataFram
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     summary = scratch.table(docs.mapInArrow(_summarise, SUMMARY), "summary")
     rows = summary.where("kind = 0")
-    # A class is its set's id; the place in the filter is that of one of its documents.
-    classes = rows.where("n > 0").groupBy("id").agg(F.any_value("n").alias("n"), F.any_value("bitmap").alias("bitmap"), F.any_value("folded").alias("folded"), F.min(_position(F.col("doc_id"))).alias("place"))
+    # A class is its set's id; its place is that of one of its documents.
+    classes = rows.where("n > 0").groupBy("id").agg(F.any_value("n").alias("n"), F.any_value("bitmap").alias("bitmap"), F.any_value("folded").alias("folded"), F.min(_place(F.col("doc_id"))).alias("place"), F.min("doc_id").alias("least"))
     classes = scratch.table(classes, "classes")
 
     often = summary.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_FROM)
@@ -302,43 +311,47 @@ def ngram_jaccard_groups(documents: DataFrame, star_rounds: int = 2) -> DataFram
     ends = entries.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.max(F.struct("n", "first", "place_in_set")).alias("most")).where("pivot < last and most is not null")
     live = scratch.table(entries.join(ends, "key").select("key", "id", "n", "first", "place_in_set", "pivot"), "lists")
 
-    links: DataFrame | None = None
-    for _ in range(star_rounds):
-        pairs = live.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        pairs = pairs.join(classes.alias("x"), F.col("a") == F.col("x.id")).join(classes.alias("y"), F.col("b") == F.col("y.id"))
-        found = _verified(pairs.where(_may_link()).selectExpr(*_PAIR), docs, scratch)
-        links = found if links is None else links.unionByName(found)
-        roots = scratch.table(connected_components(links, scratch), "roots")
-        live = _mixed(live, roots, scratch)
-    # Here entries carry short bitmaps and the lists that stand just before in their set's order: a list gives only pairs that
+    pairs = live.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    stars = connected_components(_verified(_possible(pairs, classes), docs, scratch), scratch)
+    mixed = _mixed(live, stars, scratch)
+
+    # Entries carry short bitmaps and the lists that stand just before in their set's order: a list gives only pairs that
     # the bitmaps don't rule out, and not those that a list before is known to give.
-    brief = classes.select("id", "place", *(F.col("folded")[i].alias(f"b{i}") for i in range(FOLD)))
+    brief = classes.select("id", *(F.col("folded")[i].alias(f"b{i}") for i in range(FOLD)))
     order = Window.partitionBy("id").orderBy("place_in_set", "key")
     before = F.array(*(F.lag("key", k).over(order) for k in range(1, BEFORE + 1)))
-    entries = live.drop("pivot").join(brief, "id").withColumn("before", F.array_compact(before)).drop("place_in_set")
-    apart = F.expr("x.root <> y.root and y.first and (x.n > y.n or x.n = y.n and x.id > y.id) and 5 * y.n >= 4 * x.n")
+    entries = mixed.join(brief, "id").withColumn("before", F.array_compact(before)).drop("place_in_set")
+    # Members of a list's main component meet only those of others.
+    smaller = entries.where("first").withColumn("other_main", F.explode(F.when(F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    apart = F.expr("x.root <> y.root and (x.n > y.n or x.n = y.n and x.id > y.id) and 5 * y.n >= 4 * x.n")
     differing = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(FOLD)])
     near = differing <= F.expr("x.n + y.n - 2 * ((4 * (x.n + y.n) + 8) div 9)")
-    pairs = entries.alias("x").join(entries.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & near & ~F.expr("arrays_overlap(x.before, y.before)"))
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.main") == F.col("y.other_main"))
+    pairs = entries.alias("x").join(smaller.alias("y"), meet & apart & near & ~F.expr("arrays_overlap(x.before, y.before)"))
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    pairs = pairs.join(classes.alias("x"), F.col("a") == F.col("x.id")).join(classes.alias("y"), F.col("b") == F.col("y.id"))
-    links = links.unionByName(_verified(pairs.where(_may_link()).selectExpr(*_PAIR), docs, scratch))
-    roots = scratch.table(connected_components(links, scratch), "roots")
+    links = _verified(_possible(pairs, classes), docs, scratch)
+    roots = connected_components(links.unionByName(stars.select(F.col("node").alias("src"), F.col("root").alias("dst"))), scratch)
+
+    # The smallest doc_id of each component from its classes, then one row for each class to meet the documents.
+    placed = classes.select("id", "least").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    smallest = placed.groupBy("root").agg(F.min("least").alias("component"))
+    known = scratch.table(placed.join(smallest, "root").select("id", "component"), "components")
+    return rows.select("doc_id", "n", "id").join(known, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
-    placed = rows.select("doc_id", "n", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    smallest = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return placed.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that their sizes and bitmaps don't rule out, with the columns of _PAIR."""
+    pairs = pairs.join(classes.alias("x"), F.col("a") == F.col("x.id")).join(classes.alias("y"), F.col("b") == F.col("y.id"))
+    return pairs.where(_may_link()).selectExpr(*_PAIR)
 
 
 def _mixed(live: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
-    """The entries of lists that hold more than one component, with a pivot of the component that is last by a hash."""
-    live = live.drop("root", "pivot").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    """The entries of lists that hold more than one component, and whether they belong to the list's largest one."""
+    live = live.drop("pivot").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     live = live.distinct().repartition("key")
-    ends = (
-        live.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max_by("id", F.xxhash64("root", "id")).alias("pivot"))
-        .where("low < high").select("key", "pivot")
-    )
-    return scratch.table(live.join(ends, "key").select("key", "id", "n", "first", "place_in_set", "root", "pivot"), "lists")
+    held = live.groupBy("key", "root").agg(F.count(F.lit(1)).alias("members"))
+    lists = held.groupBy("key").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("members", "root"))["root"].alias("largest")).where("components > 1")
+    return scratch.table(live.join(lists, "key").select("key", "id", "n", "first", "place_in_set", "root", (F.col("root") == F.col("largest")).alias("main")), "lists")
 
 
 def keep_one_of_each_group(documents: DataFrame) -> DataFrame:
