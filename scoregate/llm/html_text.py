@@ -5,16 +5,23 @@ paragraph, a table row or cell ends its forerunner, an end tag without its start
 take out what a browser would not show (head, scripts, styles, templates, hidden elements, `display: none`, closed
 details, fallback content); a renderer then emits all visible text: one line for each block, blank lines around
 paragraphs, headings, lists and tables, bullets and numbers with indentation, preformatted text as it stands, table cells
-padded to the width of their column. Builder and renderer work with explicit stacks: depth costs memory only.
+set under each other by the width of their column, over the rows and columns that they span. Builder and renderer work with
+explicit stacks and know where each kind of element is open, so that their time grows with the page and not with its depth.
 
 Defined cases: a null or empty page has no text (the empty string); broken or endless markup is read as far as it goes;
-tag-like text that isn't a tag stays text; repeated rows, null ids and further columns stay; the new column replaces one
-of its name; an empty table gives an empty result."""
+tag-like text that isn't a tag stays text; a number that isn't one counts as missing, a character reference beyond Unicode
+is U+FFFD; spans stop at the limits of HTML (1,000 columns, 65,534 rows, the table's end); from INDENTED levels on lists and
+quotes are no longer set in further; repeated rows, null ids and further columns stay; the new column replaces one of its
+name; an empty table gives an empty result."""
 
 from __future__ import annotations
 
+import bisect
 import html as entities
+import itertools
 import re
+import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +35,11 @@ _TOKEN = re.compile(rf"<(?:!--.*?(?:-->|--!>|\Z)|(/?)([A-Za-z][^\s/>]*)((?>[\s/]
 _ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+)(?>\s*=\s*({_VALUE}))?")
 _HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
+_LONG_REFERENCE = re.compile(r"&#(?:0*([0-9]{7,})|[xX]0*([0-9a-fA-F]{6,})|0{7,}([0-9]{1,6})|[xX]0{7,}([0-9a-fA-F]{1,5})(?![0-9a-fA-F]));?")
+_WHOLE = re.compile(r"[ \t\n\f\r]*([+-]?[0-9]{1,9})(?![0-9])", re.A)
+#: Levels up to which lists and quotes are set in.
+INDENTED = 64
+MOST_COLUMNS, MOST_ROWS = 1000, 65_534
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
@@ -63,35 +75,71 @@ class Node:
         self.tag, self.attributes, self.children, self.foreign = tag, attributes or {}, [], foreign
 
 
+def _long_reference(found: re.Match) -> str:
+    digits, base = next((found[i], 10 if i in (1, 3) else 16) for i in range(1, 5) if found[i])
+    return entities.unescape(f"&#{int(digits, base)};") if len(digits) <= 7 else "\ufffd"
+
+
+def unescaped(text: str) -> str:
+    """The text with its character references resolved, however many digits they have."""
+    if "&" not in text:
+        return text
+    return entities.unescape(_LONG_REFERENCE.sub(_long_reference, text) if "&#" in text else text)
+
+
 def _attributes(text: str) -> dict[str, str]:
     found: dict[str, str] = {}
     for name, value in _ATTRIBUTE.findall(text):
-        found.setdefault(name.lower(), entities.unescape(value[1:-1] if len(value) > 1 and value[0] in "\"'" and value[-1] == value[0] else value))
+        found.setdefault(name.lower(), unescaped(value[1:-1] if len(value) > 1 and value[0] in "\"'" and value[-1] == value[0] else value))
     return found
 
 
+def _whole(text: str | None) -> int | None:
+    """The whole number that an attribute begins with."""
+    found = _WHOLE.match(text or "")
+    return int(found[1]) if found else None
+
+
+class _Open:
+    """The stack of open elements, and at which places of it each tag is open."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> None:
+        """Close everything from a place on."""
+        while len(self.nodes) > at:
+            self.places[self.nodes.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        """The innermost place of any of the tags, 0 where none is open."""
+        places = self.places
+        return max((places[t][-1] for t in tags if t in places and places[t]), default=0)
+
+    def close(self, tags, stops) -> None:
+        """Close the innermost of the tags, with what is in it and those of the tags right around it, unless a stop is nearer."""
+        at = self.last(tags)
+        if at and at > self.last(stops):
+            while at > 1 and self.nodes[at - 1].tag in tags and self.nodes[at - 1].tag not in stops:
+                at -= 1
+            self.cut(at)
+
+
 def build(page: str) -> Node:
     """The tree of a page; children are nodes and strings."""
     root = Node("html")
-    open_ = [root]
+    open_ = _Open(root)
+    nodes = open_.nodes
     at, size = 0, len(page)
-
-    def close(tags, stops) -> None:
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].tag in stops:
-                return
-            if open_[i].tag in tags:
-                last = i
-                while last > 1 and open_[last - 1].tag in tags and open_[last - 1].tag not in stops:
-                    last -= 1
-                del open_[last:]
-                return
-
     while at < size:
         token = _TOKEN.search(page, at)
         start = token.start() if token else size
         if start > at:
-            open_[-1].children.append(entities.unescape(page[at:start]) if "&" in page[at:start] else page[at:start])
+            nodes[-1].children.append(unescaped(page[at:start]))
         if not token:
             break
         at = token.end()
@@ -100,42 +148,40 @@ def build(page: str) -> Node:
         tag = token[2].lower()
         if token[1]:
             if tag == "br":
-                open_[-1].children.append(Node("br"))
-                continue
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == tag:
-                    del open_[i:]
-                    break
-                if open_[i].tag in BARRIERS and not (tag in BARRIERS or tag in ("tr", *_SECTION)):
-                    break
+                nodes[-1].children.append(Node("br"))
+            elif (place := open_.last((tag,))) and (tag in BARRIERS or tag in ("tr", *_SECTION) or open_.last(BARRIERS) < place):
+                open_.cut(place)
             continue
         if tag in ("html", "body"):
             if tag == "body":
-                close(("head",), ())
+                open_.close(("head",), ())
             continue
-        if open_[-1].tag == "head" and tag not in ("title", "meta", "link", "script", "style", "base", "noscript", "template"):
-            open_.pop()
-        while tag in BREAKS_OUT and open_[-1].foreign and open_[-1].tag not in HOLDS_HTML:
-            open_.pop()
-        foreign = tag in FOREIGN or (open_[-1].foreign and open_[-1].tag not in HOLDS_HTML)
+        if nodes[-1].tag == "head" and tag not in ("title", "meta", "link", "script", "style", "base", "noscript", "template"):
+            open_.cut(len(nodes) - 1)
+        while tag in BREAKS_OUT and nodes[-1].foreign and nodes[-1].tag not in HOLDS_HTML:
+            open_.cut(len(nodes) - 1)
+        foreign = tag in FOREIGN or (nodes[-1].foreign and nodes[-1].tag not in HOLDS_HTML)
         if tag in ENDS_PARAGRAPH:
-            close(("p",), BARRIERS)
+            open_.close(("p",), BARRIERS)
         if tag in IMPLIED:
-            close(*IMPLIED[tag])
+            open_.close(*IMPLIED[tag])
         node = Node(tag, _attributes(token[3]) if token[3] else None, foreign)
-        open_[-1].children.append(node)
+        nodes[-1].children.append(node)
         if tag in VOID or (foreign and token[3].endswith("/")):
             continue
         if tag in RAW or tag in PLAIN:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+            end = _END_TAGS[tag].search(page, at)
             inside = page[at : end.start() if end else size]
-            node.children.append(entities.unescape(inside) if tag in PLAIN else inside)
+            node.children.append(unescaped(inside) if tag in PLAIN else inside)
             at = end.end() if end else size
         else:
-            open_.append(node)
+            open_.push(node)
     return root
 
 
+_END_TAGS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW | PLAIN}
+
+
 def visible(node: Node) -> bool:
     """Whether a browser would show an element."""
     a = node.attributes
@@ -144,100 +190,204 @@ def visible(node: Node) -> bool:
     return not ("style" in a and _HIDING.search(a["style"]))
 
 
-class _Lines:
-    """Lines of a block: text runs are gathered into one line until a break."""
+def _width(line: str) -> int:
+    """Columns that a line takes: two for a wide character, none for one that joins the one before."""
+    if line.isascii():
+        return len(line)
+    return sum(0 if unicodedata.category(c) in ("Mn", "Me", "Cf") else 2 if unicodedata.east_asian_width(c) in ("W", "F") else 1 for c in line)
+
+
+class _Sink:
+    """Where the lines of a page, a table or a cell gather: text runs make one line until a break."""
 
-    def __init__(self, node: Node, preformatted: bool, prefix: str = ""):
-        self.node, self.preformatted, self.prefix = node, preformatted, prefix
+    def __init__(self):
         self.lines: list[str] = []
         self.run: list[str] = []
         self.blank = False  # a blank line is due before the next line
-        self.count = 0
-        self.rows: list[list[list[str]]] = []
+        self.indent, self.levels = "", 0
+        self.pending: list[_Block] = []  # blocks set in whose first line is still to come
+        self.grid: _Grid | None = None
 
-    def text(self, value: str) -> None:
-        if self.preformatted:
+    def text(self, value: str, preformatted: bool) -> None:
+        if preformatted:
             parts = value.replace("\r\n", "\n").split("\n")
             for part in parts[:-1]:
                 self.run.append(part)
-                self.end(keep=True)
+                self.end(True, keep=True)
             self.run.append(parts[-1])
         else:
             self.run.append(value)
 
-    def end(self, keep: bool = False) -> None:
+    def end(self, preformatted: bool, keep: bool = False) -> None:
         """End the line; an empty one counts only if it is kept."""
+        if not self.run and not keep:
+            return
         line = "".join(self.run)
-        line = line.rstrip() if self.preformatted else _SPACE.sub(" ", line).strip(" ")
+        line = line.rstrip() if preformatted else _SPACE.sub(" ", line).strip(" ")
         self.run = []
         if line or keep:
-            self.put([line])
+            self.put(line)
 
-    def put(self, lines: list[str]) -> None:
+    def put(self, line: str) -> None:
         if self.blank and self.lines:
             self.lines.append("")
         self.blank = False
-        self.lines += lines
-
-
-def _table_lines(rows: list[list[list[str]]]) -> list[str]:
-    """Cells padded to their columns' widths; a cell of several lines takes several lines of the row."""
-    widths: list[int] = []
-    for row in rows:
-        for i, cell in enumerate(row):
-            width = max(map(len, cell), default=0)
-            if i < len(widths):
-                widths[i] = max(widths[i], width)
+        ahead = [self.indent]
+        for block in self.pending:
+            ahead.append(block.prefix)
+            block.before = self.indent, self.levels
+            if self.levels < INDENTED:
+                self.indent, self.levels = self.indent + " " * len(block.prefix), self.levels + 1
+        self.pending.clear()
+        self.lines.append(("".join(ahead) + line).rstrip() if not line else "".join(ahead) + line)
+
+
+    def put_all(self, lines: list[str]) -> None:
+        if lines:
+            self.put(lines[0])
+            self.lines += [self.indent + line if line else "" for line in lines[1:]] if self.indent else lines[1:]
+
+
+class _Block:
+    """An open block of a sink."""
+
+    __slots__ = ("node", "sink", "preformatted", "prefix", "apart", "start", "due", "before", "count")
+
+    def __init__(self, node: Node, sink: _Sink, preformatted: bool, prefix: str, apart: bool):
+        self.node, self.sink, self.preformatted, self.prefix, self.apart = node, sink, preformatted, prefix, apart
+        self.start, self.due, self.before, self.count = len(sink.lines), sink.blank, None, 0
+        sink.blank |= apart
+        if prefix:
+            sink.pending.append(self)
+
+    def close(self) -> None:
+        sink = self.sink
+        if self.prefix:
+            if self.before is None:
+                sink.pending.pop()
             else:
-                widths.append(width)
-    out = []
-    for row in rows:
-        for k in range(max(map(len, row), default=0)):
-            out.append("  ".join((cell[k] if k < len(cell) else "").ljust(w) for cell, w in zip(row, widths, strict=False)).rstrip())
-    return out
+                sink.indent, sink.levels = self.before
+        sink.blank = self.apart if len(sink.lines) > self.start else self.due
+
+
+class _Grid:
+    """The cells of a table: their lines, the row and column where they start, the rows and columns that they span."""
+
+    def __init__(self):
+        self.rows: list[list[tuple[list[str], int, int]]] = []
+
+    def row(self) -> None:
+        self.rows.append([])
+
+    def cell(self, lines: list[str], node: Node) -> None:
+        if not self.rows:
+            self.row()
+        across, down = _whole(node.attributes.get("colspan")), _whole(node.attributes.get("rowspan"))
+        across = min(across, MOST_COLUMNS) if across and across > 0 else 1
+        down = MOST_ROWS if down == 0 else min(down, MOST_ROWS) if down and down > 0 else 1
+        self.rows[-1].append((lines, across, down))
+
+    def placed(self) -> list[tuple[list[str], int, int, int, int]]:
+        """(lines, row, last row + 1, column, last column + 1) of each cell, beside the cells that reach down from above."""
+        out, above = [], []  # above: (column, end, row at which it ends), in order
+        for r, row in enumerate(self.rows):
+            above = [x for x in above if x[2] > r]
+            column, i, fresh = 0, 0, []
+            for lines, across, down in row:
+                while i < len(above) and above[i][0] <= column:
+                    column = max(column, above[i][1])
+                    i += 1
+                until = min(r + down, len(self.rows))
+                out.append((lines, r, until, column, column + across))
+                if until > r + 1:
+                    fresh.append((column, column + across, until))
+                column += across
+            merged: list[tuple[int, int, int]] = []
+            for x in sorted(above + fresh) if fresh else above:
+                if merged and merged[-1][1] == x[0] and merged[-1][2] == x[2]:
+                    merged[-1] = merged[-1][0], x[1], x[2]
+                else:
+                    merged.append(x)
+            above = merged
+        return out
+
+    def drawn(self) -> list[str]:
+        """The lines of the table. Only columns at which a cell starts count."""
+        cells = self.placed()
+        starts = sorted({c[3] for c in cells})
+        if len(starts) < 2 and all(last_row - row == 1 for _, row, last_row, _, _ in cells):
+            return list(itertools.chain.from_iterable(c[0] for c in cells))
+        index = {c: i for i, c in enumerate(starts)}
+        ends = sorted(starts)
+        widths, heights = [0] * len(starts), [0] * len(self.rows)
+        spanning = []
+        for lines, row, last_row, column, end in cells:
+            first, last = index[column], bisect.bisect_left(ends, end)
+            width = max(map(_width, lines), default=0)
+            if last - first == 1:
+                widths[first] = max(widths[first], width)
+            elif width:
+                spanning.append((last - first, first, width))
+            heights[row] = max(heights[row], len(lines) if last_row - row == 1 else min(1, len(lines)))
+        for span, first, width in sorted(spanning):
+            lacking = width - sum(widths[first : first + span]) - len(GAP) * (span - 1)
+            for k in range(span if lacking > 0 else 0):
+                widths[first + k] += lacking // span + (k < lacking % span)
+        for lines, row, last_row, _, _ in cells:
+            if last_row - row > 1 and lines and (lacking := len(lines) - sum(heights[row:last_row])) > 0:
+                heights[last_row - 1] += lacking
+        tops = [0, *itertools.accumulate(heights)]
+        lefts = [0, *itertools.accumulate(w + len(GAP) for w in widths)]
+        out: list[list[tuple[int, str]]] = [[] for _ in range(tops[-1])]
+        for lines, row, _, column, _ in cells:
+            for k, line in enumerate(lines):
+                if line:
+                    out[tops[row] + k].append((lefts[index[column]], line))
+        drawn = []
+        for parts in out:
+            line, at = "", 0
+            for left, text in sorted(parts):
+                line += " " * (left - at) + text
+                at = left + _width(text)
+            drawn.append(line.rstrip())
+        return drawn
+
+
+GAP = "  "
 
 
 def render(root: Node) -> str:
     """All visible text of a tree."""
-    top = _Lines(root, False)
-    blocks = [top]
+    top = _Sink()
+    blocks = [_Block(root, top, False, "", False)]
+    tables: list[_Sink] = []
+    lists: list[_Block] = []
     work: list = [("open", c) for c in reversed(root.children)]
     while work:
         what, node = work.pop()
         here = blocks[-1]
+        sink = here.sink
         if what == "close":
+            sink.end(here.preformatted)
+            here.close()
             blocks.pop()
-            here.end()
-            parent = blocks[-1]
-            tag, lines = node.tag, here.lines
+            tag = node.tag
+            if tag in _LISTS:
+                lists.pop()
             if tag == "table":
-                if here.rows:
-                    here.put(_table_lines(here.rows))
-                lines = here.lines
-            if tag in ("td", "th"):
-                table = next((b for b in reversed(blocks) if b.node.tag == "table"), None)
-                if table is not None:
-                    if not table.rows:
-                        table.rows.append([])
-                    table.rows[-1].append(lines)
-                    for _ in range(min(int(node.attributes.get("colspan", "1")) if node.attributes.get("colspan", "1").isdecimal() else 1, 1000) - 1):
-                        table.rows[-1].append([])
-                    continue
-            if lines:
-                if here.prefix:
-                    pad = " " * len(here.prefix)
-                    lines = [(here.prefix if i == 0 else pad if line else "") + line for i, line in enumerate(lines)]
-                apart = tag in SPACED and not (tag in _LISTS and any(b.node.tag in _LISTS for b in blocks))
-                parent.blank |= apart
-                parent.put(lines)
-                parent.blank = apart
+                tables.pop()
+                outer = _Block(node, blocks[-1].sink, False, "", True)
+                outer.sink.put_all(sink.lines + sink.grid.drawn() if sink.lines else sink.grid.drawn())
+                outer.close()
+            elif tag in ("td", "th") and tables:
+                tables[-1].grid.cell(sink.lines, node)
             continue
         if isinstance(node, str):
-            here.text(node)
+            sink.text(node, here.preformatted)
             continue
         tag = node.tag
         if tag == "br":
-            here.end(keep=True)
+            sink.end(here.preformatted, keep=True)
             continue
         if tag == "wbr" or not visible(node):
             continue
@@ -248,40 +398,49 @@ def render(root: Node) -> str:
             children = [c for c in children if isinstance(c, Node)]
         if tag not in BLOCKS and tag != "xmp":
             if node.foreign and tag == "text":  # a text of its own place in the drawing
-                here.run.append(" ")
+                sink.run.append(" ")
                 children = [*children, " "]
-            if tag in ("input", "button", "select", "img") and here.run:
-                here.run.append(" ")
+            if tag in ("input", "button", "select", "img") and sink.run:
+                sink.run.append(" ")
             work += [("open", c) for c in reversed(children)]
             continue
-        if tag in ("hr",):
-            here.end()
-            here.blank = True
+        if tag == "hr":
+            sink.end(here.preformatted)
+            sink.blank = True
             continue
         if tag in ("tr", "thead", "tbody", "tfoot"):
-            if tag == "tr":
-                table = next((b for b in reversed(blocks) if b.node.tag == "table"), None)
-                if table is not None:
-                    table.rows.append([])
-                    children = [c for c in children if not isinstance(c, str) or c.strip()]
+            if tag == "tr" and tables:
+                tables[-1].grid.row()
+                children = [c for c in children if not isinstance(c, str) or c.strip()]
             work += [("open", c) for c in reversed(children)]
             continue
-        here.end()
+        sink.end(here.preformatted)
         prefix = ""
         if tag == "li":
-            owner = next((b for b in reversed(blocks) if b.node.tag in _LISTS), None)
+            owner = lists[-1] if lists else None
             if owner is not None and owner.node.tag == "ol":
-                begin = node.attributes.get("value") or (owner.node.attributes.get("start", "1") if not owner.count else "")
-                owner.count = int(begin) if begin.lstrip("-").isdecimal() else owner.count + 1
+                begin = _whole(node.attributes.get("value"))
+                if begin is None and not owner.count:
+                    begin = _whole(owner.node.attributes.get("start"))
+                owner.count = owner.count + 1 if begin is None else begin
                 prefix = f"{owner.count}. "
             else:
                 prefix = "- "
         elif tag in ("dd", "blockquote"):
             prefix = "  "
-        blocks.append(_Lines(node, here.preformatted or tag in ("pre", "textarea", "xmp"), prefix))
+        apart = tag in SPACED and tag != "table" and not (tag in _LISTS and lists)
+        if tag == "table" or (tag in ("td", "th") and tables):
+            sink = _Sink()
+        block = _Block(node, sink, here.preformatted or tag in ("pre", "textarea", "xmp"), prefix, apart)
+        blocks.append(block)
+        if tag == "table":
+            sink.grid = _Grid()
+            tables.append(sink)
+        elif tag in _LISTS:
+            lists.append(block)
         work.append(("close", node))
         work += [("open", c) for c in reversed(children)]
-    top.end()
+    top.end(False)
     return "\n".join(top.lines).strip("\n")
 
 
@@ -294,7 +453,7 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFra
     ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, column=html):
             names = batch.schema.names
             kept = [i for i, n in enumerate(names) if n not in (html, text)]
             texts = [page_text(p) for p in batch.column(names.index(html)).to_pylist()]
