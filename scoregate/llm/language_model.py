@@ -5,9 +5,11 @@ MODEL_WORDS most frequent training tokens stand in classes of CLASS_WORDS by ran
 tokens share one class, in which a token's share is (c + 1) / (sum of c + 1, and one for the unknown), c being its count in
 training. Output biases start at the counts, so training starts from the unigram model. Training is truncated
 backpropagation in numpy over windows of WINDOW steps on LANES lanes, the state carried on. A seeded hash deals all training
-documents to ROUNDS rounds, so that each is learned from once; in a round every partition trains from the same weights on
-its own documents, and the partitions' weights are averaged, weighted by their tokens. Scoring carries the state across
-windows too, so that a document's log-likelihood covers it whole, however long.
+documents to ROUNDS rounds, so that each is learned from once, and in a round to shards of about SHARD_TOKENS tokens (or, from
+MOST_SHARDS shards on, to as many larger ones). The shards of a round train from the same weights, each on its documents in
+the order of the hash, and their weights are averaged, weighted by their tokens. Neither shards nor order depend on how the
+input is partitioned, so the scores don't. Scoring carries the state across windows too, so that a document's log-likelihood
+covers it whole, however long.
 
 Counts cover all training documents. Only the KNOWN most frequent counts are broadcast (16 bytes each); the counts of all
 other tokens meet the documents in a join. Tokens are known by 64-bit hashes.
@@ -23,18 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from scoregate.llm.common import Scratch, ship, slices, text_chunks, word_hashes
 
 MODEL_WORDS, CLASS_WORDS, KNOWN = 4096, 64, 1 << 17
 EMBED, HIDDEN = 24, 32
-WINDOW, LANES, SCORE_WINDOW, SCORE_LANES = 20, 32, 64, 256
-ROUNDS, RATE, CLIP = 2, 0.15, 2.0
+WINDOW, LANES, SCORE_WINDOW, SCORE_LANES = 20, 128, 64, 256
+#: Step sizes of the recurrent part and of the output tables; the sum of a window's gradients counts as so many tokens'.
+ROUNDS, RATE, OUTPUT_RATE, SCALE, CLIP = 2, 0.05, 0.02, 128, 32.0
+SHARD_TOKENS, MOST_SHARDS = 4_000_000, 4096
 #: Words trained on or scored together, and words counted at a time.
 CHUNK, COUNTED = 400_000, 1_000_000
-BLOCKS, SLOTS, ROWS = 16, 1 << 20, 2048
+BLOCKS, SLOTS, ROWS = 16, 1 << 20, 1024
 END = np.uint64(0x9E3779B97F4A7C15)
 SEED = 11
 
@@ -59,7 +62,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, counts = np.unique(np.concatenate(held), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], names=["token", "n"])
 
-    for batch in slices(batches):
+    for batch in slices(batches, column=0):
         for tokens in token_lists(batch.column(0)):
             held.append(tokens)
             pending += len(tokens)
@@ -216,6 +219,8 @@ class Network:
 class Trainer:
     """Adagrad over windows; tables of words are updated where they are touched."""
 
+    OUTPUT = frozenset(("wc", "bc", "wo", "bo"))
+
     def __init__(self, network: Network):
         self.net = network
         self.past = {n: np.full_like(getattr(network, n), 1e-2) for n in Network.NAMES}
@@ -223,56 +228,80 @@ class Trainer:
     def _step(self, name: str, gradient: np.ndarray, at=slice(None)) -> None:
         past, weights = self.past[name], getattr(self.net, name)
         past[at] += gradient * gradient
-        weights[at] -= RATE * gradient / np.sqrt(past[at])
+        weights[at] -= (OUTPUT_RATE if name in self.OUTPUT else RATE) * gradient / np.sqrt(past[at])
+
+    @staticmethod
+    def _slopes(logits: np.ndarray, want: np.ndarray, scale: np.float32) -> np.ndarray:
+        """scale * (softmax - one at what was wanted), in the place of the logits."""
+        if logits.max(initial=0) > 80:
+            logits -= logits.max(1, keepdims=True)
+        np.exp(logits, out=logits)
+        logits *= (scale / logits.sum(1))[:, None]
+        logits[np.arange(len(want)), want] -= scale
+        return logits
 
     def window(self, inputs: np.ndarray, targets: np.ndarray, used: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Learn from one (steps, lanes) window of which some places are used; the state after it."""
         net, keep = self.net, []
+        steps, lanes = inputs.shape
         hs = net.states(inputs, h, keep)
-        flat, want = hs.reshape(-1, HIDDEN)[used.ravel()], targets[used]
-        scale = np.float32(1 / max(1, len(want)) * 8)
-        p = flat @ net.wc + net.bc
-        p = np.exp(p - p.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(want)), net.class_of(want)] -= 1
-        p *= scale
+        flat, want = hs.reshape(-1, HIDDEN), targets.ravel()
+        whole = used.all()
+        if not whole:
+            flat, want = flat[used.ravel()], want[used.ravel()]
+        scale = np.float32(SCALE / max(1, len(want)))
+        logits = flat @ net.wc
+        logits += net.bc
+        p = self._slopes(logits, net.class_of(want), scale)
         dh = p @ net.wc.T
         g_wc, g_bc = flat.T @ p, p.sum(0)
         inside = np.flatnonzero(want != net.tail)
         for c, places in net.by_class(want[inside]):
             at = inside[places]
-            q = flat[at] @ net.wo[c] + net.bo[c]
-            q = np.exp(q - q.max(1, keepdims=True))
-            q /= q.sum(1, keepdims=True)
-            q[np.arange(len(at)), want[at] - c * CLASS_WORDS] -= 1
-            q *= scale
+            own = flat[at]
+            logits = own @ net.wo[c]
+            logits += net.bo[c]
+            q = self._slopes(logits, want[at] - c * CLASS_WORDS, scale)
             dh[at] += q @ net.wo[c].T
-            self._step("wo", flat[at].T @ q, c)
+            self._step("wo", own.T @ q, c)
             self._step("bo", q.sum(0), c)
         self._step("wc", g_wc)
         self._step("bc", g_bc)
-        all_dh = np.zeros((hs.shape[0] * hs.shape[1], HIDDEN), np.float32)
-        all_dh[used.ravel()] = dh
-        all_dh = all_dh.reshape(hs.shape)
-        dx = np.empty((*inputs.shape, 3 * HIDDEN), np.float32)
-        g_wh, carry = np.zeros_like(net.wh), np.zeros_like(h)
-        for t in range(len(inputs) - 1, -1, -1):
+        if whole:
+            all_dh = dh.reshape(hs.shape)
+        else:
+            all_dh = np.zeros((steps * lanes, HIDDEN), np.float32)
+            all_dh[used.ravel()] = dh
+            all_dh = all_dh.reshape(hs.shape)
+        # Gradients of the gates' inputs (dx) and, with r before the last third, of their recurrent parts (dg).
+        dx, dg = np.empty((2, steps, lanes, 3 * HIDDEN), np.float32)
+        befores, carry, back = np.empty_like(hs), np.zeros_like(h), np.ascontiguousarray(net.wh.T)
+        for t in range(steps - 1, -1, -1):
             before, g_n, r, z, n, fresh = keep[t]
-            d = all_dh[t] + carry
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * g_n * r * (1 - r)
-            dx[t] = np.concatenate([dr, dz, dn], 1)
-            dg = np.concatenate([dr, dz, dn * r], 1)
-            g_wh += before.T @ dg
-            carry = (d * z + dg @ net.wh.T) * fresh
+            befores[t] = before
+            carry += all_dh[t]
+            dr, dz, dn = dx[t, :, :HIDDEN], dx[t, :, HIDDEN : 2 * HIDDEN], dx[t, :, 2 * HIDDEN :]
+            dzh = carry * z
+            np.subtract(carry, dzh, out=dn)
+            dn *= 1 - n * n
+            np.subtract(before, n, out=dz)
+            dz *= dzh
+            dz *= 1 - z
+            np.multiply(dn, r, out=dg[t, :, 2 * HIDDEN :])
+            np.multiply(dg[t, :, 2 * HIDDEN :], g_n, out=dr)
+            dr *= 1 - r
+            dg[t, :, : 2 * HIDDEN] = dx[t, :, : 2 * HIDDEN]
+            carry = dg[t] @ back
+            carry += dzh
+            carry *= fresh
         flat_dx, flat_in = dx.reshape(-1, 3 * HIDDEN), inputs.ravel()
-        g_embed = flat_dx @ net.wx.T
-        words, where = np.unique(flat_in, return_inverse=True)
-        summed = np.zeros((len(words), EMBED), np.float32)
-        np.add.at(summed, where, g_embed)
+        g_wh = befores.reshape(-1, HIDDEN).T @ dg.reshape(-1, 3 * HIDDEN)
+        order = np.argsort(flat_in, kind="stable")
+        sorted_in = flat_in[order]
+        starts = np.flatnonzero(np.append(True, sorted_in[1:] != sorted_in[:-1]))
+        summed = np.add.reduceat((flat_dx @ net.wx.T)[order], starts)
         g_wx = net.embed[flat_in].T @ flat_dx
-        for name, g, at in (("wh", g_wh, slice(None)), ("wx", g_wx, slice(None)), ("b", flat_dx.sum(0), slice(None)), ("embed", summed, words)):
+        for name, g, at in (("wh", g_wh, slice(None)), ("wx", g_wx, slice(None)), ("b", flat_dx.sum(0), slice(None)), ("embed", summed, sorted_in[starts])):
             self._step(name, np.clip(g, -CLIP, CLIP), at)
         return hs[-1]
 
@@ -307,33 +336,39 @@ def windows(docs: list[np.ndarray], start: int, lanes: int, steps: int) -> Itera
         at += width
 
 
-def _train(shared, round_: int):
-    """The task that trains on a partition's documents of a round: blocks of its weights, with the tokens that it learned from."""
+def _train(shared):
+    """The task that trains on shards, whose documents come one after the other: blocks of a shard's weights, with the tokens that
+    it learned from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, weights = shared.value
-        net = Network(vocabulary).load(weights)
-        trainer, held, pending, learned = Trainer(net), [], 0, 0
+        shard, trainer, held, pending, learned = None, None, [], 0, 0
 
         def learn() -> None:
             h = np.zeros((LANES, HIDDEN), np.float32)
-            for inputs, targets, owner, live in windows(held, net.start, LANES, WINDOW):
+            for inputs, targets, owner, live in windows(held, trainer.net.start, LANES, WINDOW):
                 h = trainer.window(inputs, targets, owner >= 0, h[:live])
 
-        for batch in slices(batches):
-            for tokens in token_lists(batch.column(0)):
+        def ended() -> pa.RecordBatch:
+            parts = np.array_split(trainer.net.flat(), BLOCKS)
+            return pa.RecordBatch.from_arrays([pa.array(list(range(BLOCKS))), pa.array([shard] * BLOCKS, pa.int64()), pa.array([learned] * BLOCKS, pa.int64()), pa.array([p.astype(np.float32) for p in parts], pa.list_(pa.float32()))], names=["block", "part", "tokens", "weights"])
+
+        for batch in slices(batches, column=1):
+            for of, tokens in zip(batch.column(0).to_pylist(), token_lists(batch.column(1)), strict=True):
+                if of != shard or pending >= CHUNK:
+                    if held:
+                        learn()
+                    held, pending, learned = [], 0, learned + pending
+                    if of != shard:
+                        if shard is not None:
+                            yield ended()
+                        shard, trainer, learned = of, Trainer(Network(vocabulary).load(weights)), 0
                 held.append(vocabulary.look_up(tokens)[0])
                 pending += len(tokens)
-                if pending >= CHUNK:
-                    learn()
-                    held, pending, learned = [], 0, learned + pending
         if held:
             learn()
             learned += pending
-        if learned:
-            parts = np.array_split(net.flat(), BLOCKS)
-            task = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array(list(range(BLOCKS))), pa.array([task] * BLOCKS, pa.int64()), pa.array([learned] * BLOCKS, pa.int64()), pa.array([p.astype(np.float32) for p in parts], pa.list_(pa.float32()))], names=["block", "part", "tokens", "weights"])
+            yield ended()
 
     return run
 
@@ -350,11 +385,14 @@ def trained(training: DataFrame, vocabulary: Vocabulary, scratch: Scratch) -> np
     """The weights after all rounds. training: doc_id and text of the training documents."""
     spark = training.sparkSession
     weights = Network(vocabulary).flat()
+    shards = int(min(MOST_SHARDS, max(1, vocabulary.total // (ROUNDS * SHARD_TOKENS))))
+    place = F.xxhash64(F.lit(SEED), "doc_id", "text")
+    dealt = training.select(place.alias("place"), "text").withColumn("round", F.pmod("place", F.lit(ROUNDS))).withColumn("shard", F.pmod(F.shiftright("place", 8), F.lit(shards)))
     for round_ in range(ROUNDS):
         shared = spark.sparkContext.broadcast((vocabulary, weights))
-        share = training.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(ROUNDS)) == round_).select("text")
+        share = dealt.where(F.col("round") == round_).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "place", "text").select("shard", "text")
         schema = "block long, part long, tokens long, weights array<float>"
-        parts = scratch.table(share.mapInArrow(_train(shared, round_), schema), "weights")
+        parts = scratch.table(share.mapInArrow(_train(shared), schema), "weights")
         most = parts.agg(F.max("part")).first()[0]
         if most is None:
             return weights
@@ -399,10 +437,13 @@ def _score(shared):
             yield rows(0, [d[0] for d in held], doc_id=pa.array([d[1] for d in held], pa.int64()), held_out=pa.array([d[2] for d in held], pa.bool_()), n=sizes, known=per_doc(count > 0).astype(np.int64), tail=per_doc(outside).astype(np.int64), logs=per_doc(log), model=total / np.log(10) + per_doc(log * outside))
             rare = np.flatnonzero(count < 0)
             if len(rare):
-                keys = np.array([d[0] for d in held], np.int64)[which[rare]]
-                yield rows(1, keys, token=tokens[rare].view(np.int64), n=np.ones(len(rare), np.int64))
+                order = np.lexsort((tokens[rare], which[rare]))
+                rare = rare[order]
+                fresh = np.flatnonzero(np.append(True, (which[rare[1:]] != which[rare[:-1]]) | (tokens[rare[1:]] != tokens[rare[:-1]])))
+                keys = np.array([d[0] for d in held], np.int64)[which[rare[fresh]]]
+                yield rows(1, keys, token=tokens[rare[fresh]].view(np.int64), n=np.diff(np.append(fresh, len(rare))).astype(np.int64))
 
-        for batch in slices(batches):
+        for batch in slices(batches, column=3):
             for row, doc_id, out, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), token_lists(batch.column(3)), strict=True):
                 held.append((row, doc_id, out, tokens))
                 pending += len(tokens)
