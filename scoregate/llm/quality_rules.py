@@ -1,12 +1,11 @@
 """Quality rules from DataFrame functions alone: base counts of a text, then a hashed n-gram log-likelihood ratio.
 
-Method: the n-grams are all words and all pairs of adjacent words (``grams="words"``, which the queries use), or only the
-character trigrams that end the words (``grams="ends"``), hashed into BUCKETS buckets. Two multinomials are
-counted, of a trusted target (documents labelled good, of these at most ``trusted_limit`` with the smallest hashes of
-their doc_id, a documented bound so that the ids may be broadcast) and of the raw corpus, all documents. A document's
-score is the sum of log(p_target / p_raw) of its n-grams (each count plus one) over the number of its n-grams, and it is
-kept from THRESHOLD on, wherever the base rules don't fail it. Every document is counted and scored whole; the corpus
-statistics come to the driver as BUCKETS counts and go back as one literal array.
+Method: the n-grams are all words and all pairs of adjacent words of the whole text, hashed into BUCKETS buckets. Two
+multinomials are counted, of a trusted target (all documents labelled good) and of the raw corpus, all documents. A
+document's score is the sum of log(p_target / p_raw) of its n-grams (each count plus one) over the number of its n-grams,
+and it is kept from THRESHOLD on, wherever the base rules don't fail it. The trusted documents are found by an ordinary
+semi-join on doc_id, whose shuffle Spark filters by the ids at scale; corpus statistics come to the driver as BUCKETS counts
+and go back as one literal array.
 
 Defined cases: a null text has no words (and so fails the base rules); without trusted documents every ratio is 0; null
 labels and ids trust nothing; repeated rows and further columns stay; an empty table gives an empty result. Equal 8-word
@@ -22,7 +21,6 @@ from pyspark.sql import DataFrame, functions as F
 from scoregate.llm.common import words_of
 
 BUCKETS = 1 << 14
-TRUSTED_LIMIT = 20_000
 THRESHOLD = -0.5
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -35,12 +33,8 @@ def _let(value, body):
     return F.transform(F.array(value), body)[0]
 
 
-def _buckets(words, grams: str):
+def _buckets(words):
     """The bucket of each n-gram."""
-    if grams == "ends":
-        return F.transform(words, lambda w: F.pmod(F.xxhash64(F.right(w, F.lit(3))), F.lit(BUCKETS)).cast("int"))
-    if grams != "words":
-        raise ValueError(f"unknown n-grams: {grams}")
     place = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
     pairs = lambda h: F.zip_with(F.slice(h, F.lit(1), F.greatest(F.size(h) - 1, F.lit(0))), F.slice(h, F.lit(2), F.size(h)), lambda a, b: place(F.xxhash64(a, b)))
     return _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.concat(F.transform(h, place), pairs(h)))
@@ -69,32 +63,38 @@ def _repeat_words(words):
     return F.when(F.size(words) >= 2 * WINDOW - WINDOW + 1, _let(hashes, lambda h: _let(windows(h), found))).otherwise(0)
 
 
-def ratio_table(documents: DataFrame, trusted_ids: DataFrame, trusted_limit: int = TRUSTED_LIMIT, grams: str = "ends") -> list[float]:
+def _counts(documents: DataFrame) -> list[int]:
+    """How often the n-grams of the documents fall into each bucket."""
+    counted = documents.select(F.explode(_buckets(words_of(F.col("text")))).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    out = [0] * BUCKETS
+    for row in counted.collect():
+        out[row["bucket"]] = row["n"]
+    return out
+
+
+def ratio_table(documents: DataFrame, trusted_ids: DataFrame) -> list[float]:
     """log(p_target / p_raw) of each bucket."""
-    trusted = trusted_ids.select(F.col("doc_id").alias("_trusted")).where("_trusted is not null").distinct().orderBy(F.xxhash64("_trusted"), "_trusted").limit(trusted_limit)
-    flagged = documents.join(F.broadcast(trusted), F.col("doc_id") == F.col("_trusted"), "left").select(F.explode(_buckets(words_of(F.col("text")), grams)).alias("bucket"), F.col("_trusted").isNotNull().cast("long").alias("trusted"))
-    counted = flagged.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target")).collect()
-    raw, target = [0] * BUCKETS, [0] * BUCKETS
-    for row in counted:
-        raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
+    trusted = trusted_ids.select(F.col("doc_id").alias("_trusted")).where("_trusted is not null").distinct()
+    target = _counts(documents.join(trusted, F.col("doc_id") == F.col("_trusted"), "left_semi"))
     if not any(target):
         return [0.0] * BUCKETS
+    raw = _counts(documents)
     all_raw, all_target = sum(raw) + BUCKETS, sum(target) + BUCKETS
     return [math.log((t + 1) / all_target) - math.log((r + 1) / all_raw) for t, r in zip(target, raw, strict=True)]
 
 
-def judged(documents: DataFrame, labels: DataFrame, trusted_limit: int = TRUSTED_LIMIT, threshold: float = THRESHOLD, grams: str = "ends") -> DataFrame:
+def judged(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, grams: str = "words") -> DataFrame:
     """The documents with a struct column ``rules``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
     ratio (double), base_failed and kept (boolean)."""
     documents = documents.withColumn("text", F.col("text").cast("string"))
-    ratios = ratio_table(documents, labels.where("quality = 1"), trusted_limit, grams)
+    ratios = ratio_table(documents, labels.where("quality = 1"))
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, _BLANK, "") != "")
 
     def measured(words):
         n = F.size(words).cast("long")
-        ratio = _let(_buckets(words, grams), lambda found: F.aggregate(found, F.lit(0.0), lambda acc, b: acc + F.get(table, b)) / F.size(found))
+        ratio = _let(_buckets(words), lambda found: F.aggregate(found, F.lit(0.0), lambda acc, b: acc + F.get(table, b)) / F.size(found))
         return F.struct(
             n.alias("n_words"),
             _repeat_words(words).cast("long").alias("n_repeat_words"),
@@ -120,14 +120,14 @@ def judged(documents: DataFrame, labels: DataFrame, trusted_limit: int = TRUSTED
     ).drop("_dup_lines")
 
 
-def quality_rules(documents: DataFrame, labels: DataFrame, trusted_limit: int = TRUSTED_LIMIT, threshold: float = THRESHOLD, grams: str = "ends") -> DataFrame:
+def quality_rules(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, grams: str = "words") -> DataFrame:
     """doc_id and the fields of ``rules`` of every document."""
-    return judged(documents.select("doc_id", "text"), labels, trusted_limit, threshold, grams).select("doc_id", "rules.*")
+    return judged(documents.select("doc_id", "text"), labels, threshold).select("doc_id", "rules.*")
 
 
-def passing(documents: DataFrame, labels: DataFrame, trusted_limit: int = TRUSTED_LIMIT, threshold: float = THRESHOLD, grams: str = "ends") -> DataFrame:
+def passing(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, grams: str = "words") -> DataFrame:
     """The documents that the rules keep, with their own columns."""
     own = documents.columns
     held = documents.withColumnRenamed("rules", "_own_rules")
-    out = judged(held, labels, trusted_limit, threshold, grams).where("rules.kept").drop("rules")
+    out = judged(held, labels, threshold).where("rules.kept").drop("rules")
     return out.withColumnRenamed("_own_rules", "rules").select(*own)
