@@ -4,10 +4,11 @@ Method: documents are aggregated by their membership pattern, the set of sources
 patterns and sources (successive shortest paths) routes the patterns' words to the sources' quotas; a pattern may be used
 ``repeats`` times, each further time at a higher price, so that nothing is repeated while something fresh would do. Of a
 pattern's routed words the whole multiples repeat all its documents; for the rest documents are taken in the order of a
-seeded hash. The cut is found by counting words by hash range and then ordering only the range that holds it, for large
-documents first and the smaller ones after, which fill what the larger left; every document is then judged on its own
-against its pattern's cuts, by a broadcast table of a row for each pattern and size class (a number of patterns, not of
-documents, as on the driver).
+seeded hash. The cut is found by counting words by hash range, then by the ranges within the one that holds it, and so on for
+LEVELS levels, and then ordering only the last range, for large documents first and the smaller ones after, which fill what
+the larger left; every document is then judged on its own against its pattern's cuts, by a broadcast table of a row for each
+pattern and size class. The driver and that table hold a row for each pattern of memberships that occurs, not for documents;
+the flow is meant for patterns by the thousand.
 
 Targets: sources in code-point order, null last, weigh 5, 2, 1, repeating, and share all words; a target stops at
 ``repeats`` times its source's words and the excess is shared anew by weight.
@@ -18,6 +19,7 @@ taken 0 times; repeated rows share one decision; further columns stay in mixed_d
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
@@ -27,8 +29,8 @@ from scoregate.llm.common import Scratch, word_count
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 SEED = 17
-#: Hash ranges in which a pattern's words are counted.
-RANGES = 4096
+#: Bits of the hash by which a range is split at each level, and how often: a last range holds a 65,536th of a pattern.
+RANGE_BITS, LEVELS = 8, 2
 #: Documents above these shares of their pattern's words are decided before the smaller ones.
 CLASSES = (1 / 16, 1 / 256, 1 / 4096)
 
@@ -107,7 +109,8 @@ def route(patterns: dict[tuple, int], quotas: dict, repeats: int = REPEATS) -> d
             room[a ^ 1] += flow
 
 
-_NAME = "concat_ws('\\u0001', transform(members, s -> coalesce(concat('=', s), '')))"
+#: A pattern's name: the length and name of each source, so that no two patterns share one.
+_NAME = "concat_ws(',', transform(members, s -> coalesce(concat(length(s), '=', s), '')))"
 
 
 def _described(documents: DataFrame, members, seed: int) -> DataFrame:
@@ -118,36 +121,43 @@ def _described(documents: DataFrame, members, seed: int) -> DataFrame:
     return documents.select("*", held.alias("members"), word_count(F.col("text").cast("string")).alias("words"), hashed.alias("place")).withColumn("pattern", F.expr(_NAME))
 
 
+def _range(level: int):
+    """The number of a place's range at a level."""
+    return F.shiftrightunsigned(F.col("place").bitwiseXOR(F.lit(-(2**63))), 64 - RANGE_BITS * level)
+
+
 def _cuts(sized: DataFrame, wanted: dict[str, int]) -> dict[str, tuple[int, int, int]]:
     """The last document (place, doc_id) to take from each pattern so that about `wanted` words come together, and the words
     that then come together. sized: pattern, place, doc_id, words of the documents of one size class."""
     spark = sized.sparkSession
-    ranged = sized.withColumn("range", F.shiftrightunsigned(F.col("place").bitwiseXOR(F.lit(-(2**63))), 64 - RANGES.bit_length() + 1))
-    ask = F.broadcast(spark.createDataFrame(list(wanted.items()), "pattern string, wanted long"))
-    by_range = ranged.groupBy("pattern", "range").agg(F.sum("words").alias("words"))
-    running = F.sum("words").over(Window.partitionBy("pattern").orderBy("range"))
-    cut = by_range.withColumn("upto", running).join(ask, "pattern").where("upto - words < wanted").groupBy("pattern").agg(F.max(F.struct("range", (F.col("upto") - F.col("words")).alias("before"))).alias("m"))
-    cut = [(r["pattern"], r["m"]["range"], r["m"]["before"], wanted[r["pattern"]]) for r in cut.collect()]
-    if not cut:
-        return {}
-    edge = F.broadcast(spark.createDataFrame(cut, "pattern string, range long, before long, wanted long"))
+    schema = "pattern string, range long, before long, wanted long"
+    edges = [(p, 0, 0, w) for p, w in wanted.items()]
+    for level in range(LEVELS):
+        edge = F.broadcast(spark.createDataFrame(edges, schema))
+        inside = sized.withColumn("range", _range(level) if level else F.lit(0).cast("long")).join(edge, ["pattern", "range"]).withColumn("range", _range(level + 1))
+        by_range = inside.groupBy("pattern", "range", "before", "wanted").agg(F.sum("words").alias("words"))
+        upto = F.col("before") + F.sum("words").over(Window.partitionBy("pattern").orderBy("range"))
+        cut = by_range.withColumn("ahead", upto - F.col("words")).where("ahead < wanted").groupBy("pattern").agg(F.max(F.struct("range", "ahead", "wanted")).alias("m"))
+        edges = [(r["pattern"], *r["m"]) for r in cut.collect()]
+        if not edges:
+            return {}
+    edge = F.broadcast(spark.createDataFrame(edges, schema))
     order = Window.partitionBy("pattern").orderBy("place", "doc_id")
-    inside = ranged.join(edge, ["pattern", "range"]).withColumn("upto", F.col("before") + F.sum("words").over(order))
+    inside = sized.withColumn("range", _range(LEVELS)).join(edge, ["pattern", "range"]).withColumn("upto", F.col("before") + F.sum("words").over(order))
     near = inside.where("2 * upto - words <= 2 * wanted").groupBy("pattern").agg(F.max(F.struct("place", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "upto")).alias("m"))
     found = {r["pattern"]: (r["m"]["place"], r["m"]["doc_id"], r["m"]["upto"]) for r in near.collect()}
     # Where no document of the range at the cut is taken, the ranges below it are.
-    return {p: found.get(p, (_range_start(range_) - 1, 2**63 - 1, before)) for p, range_, before, _ in cut}
+    return {p: found.get(p, (_range_start(range_) - 1, 2**63 - 1, before)) for p, range_, before, _ in edges}
 
 
 def _range_start(range_: int) -> int:
-    return (range_ << (64 - RANGES.bit_length() + 1)) - 2**63
+    return (range_ << (64 - RANGE_BITS * LEVELS)) - 2**63
 
 
-def plan(documents: DataFrame, members, weights=WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> tuple[DataFrame, dict, dict]:
-    """(documents with members, words and copies, words of each source, target of each source)."""
-    spark = documents.sparkSession
-    described = _described(documents, members, seed)
-    sized = Scratch(spark).table(described.select("doc_id", "members", "pattern", "place", "words"), "sizes")
+def decide(sized: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> tuple[Callable[[DataFrame], DataFrame], dict, dict]:
+    """(a function that adds the column copies to a table of doc_id, pattern, place and words, words of each source, target of each
+    source). sized: doc_id, members, pattern, place and words of every document, in a table that is read several times."""
+    spark = sized.sparkSession
     groups = sized.groupBy("pattern").agg(F.any_value("members").alias("members"), F.sum("words").alias("words")).collect()
     patterns = {tuple(r["members"]): r["words"] for r in groups}
     sizes: dict = {}
@@ -177,21 +187,35 @@ def plan(documents: DataFrame, members, weights=WEIGHTS, repeats: int = REPEATS,
             table.append((n, i, place, doc_id))
     chosen = F.broadcast(spark.createDataFrame(table, "pattern string, class int, cut_place long, cut_id long"))
     always = F.broadcast(spark.createDataFrame(list(copies.items()), "pattern string, all_copies long"))
-    key = F.struct(F.col("place"), F.coalesce("doc_id", F.lit(-(2**63))))
-    out = described.join(limits, "pattern", "left").withColumn("class", klass).join(always, "pattern", "left").join(chosen, ["pattern", "class"], "left")
-    extra = F.coalesce((key <= F.struct("cut_place", "cut_id")).cast("long"), F.lit(0))
-    out = out.withColumn("copies", F.when(F.col("words") > 0, F.least(F.col("all_copies") + extra, F.lit(repeats))).otherwise(0).cast("long"))
-    return out.select(*documents.columns, "members", "words", "copies"), sizes, quotas
+
+    def judged(described: DataFrame) -> DataFrame:
+        key = F.struct(F.col("place"), F.coalesce("doc_id", F.lit(-(2**63))))
+        out = described.join(limits, "pattern", "left").withColumn("class", klass).join(always, "pattern", "left").join(chosen, ["pattern", "class"], "left")
+        extra = F.coalesce((key <= F.struct("cut_place", "cut_id")).cast("long"), F.lit(0))
+        out = out.withColumn("copies", F.when(F.col("words") > 0, F.least(F.col("all_copies") + extra, F.lit(repeats))).otherwise(0).cast("long"))
+        return out.select(*described.columns, "copies")
+
+    return judged, sizes, quotas
+
+
+def plan(documents: DataFrame, members, weights=WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> tuple[DataFrame, dict, dict]:
+    """(documents with members, words and copies, words of each source, target of each source)."""
+    described = _described(documents, members, seed)
+    sized = Scratch(documents.sparkSession).table(described.select("doc_id", "members", "pattern", "place", "words"), "sizes")
+    judged, sizes, quotas = decide(sized, weights, repeats)
+    return judged(described).select(*documents.columns, "members", "words", "copies"), sizes, quotas
 
 
 def mixed_sizes(documents: DataFrame, source: str = "source", weights=WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document, each belonging to the one source of its column."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(source).cast("string").alias("_source"))
-    out, sizes, quotas = plan(docs, F.array(F.col("_source")), weights, repeats, seed)
+    described = _described(docs, F.array(F.col("_source")), seed).drop("text")
+    sized = Scratch(spark).table(described, "sizes")  # the texts are read once
+    judged, sizes, quotas = decide(sized, weights, repeats)
     known = spark.createDataFrame([(s, sizes[s], quotas[s]) for s in sizes], T.StructType([T.StructField("_source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())]))
     known = F.broadcast(known.withColumnRenamed("_source", "_known"))
-    return out.join(known, F.col("_source").eqNullSafe(F.col("_known")), "left").select("doc_id", F.col("words").alias("size"), "source_size", "target", (F.col("words") * F.col("copies")).alias("taken"))
+    return judged(sized).join(known, F.col("_source").eqNullSafe(F.col("_known")), "left").select("doc_id", F.col("words").alias("size"), "source_size", "target", (F.col("words") * F.col("copies")).alias("taken"))
 
 
 def mixed_documents(documents: DataFrame, source: str = "source", weights=WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:

@@ -168,23 +168,6 @@ def test_quality_rules(spark, corpus):
     assert {r["ratio"] for r in quality_rules.quality_rules(df, labels.limit(0)).collect()} == {0.0}
 
 
-def test_quality_ratio_by_brute_force(spark):
-    texts = ["good words here again and again to be kept " * 4, "bad### bad### junk*** junk*** more&&& " * 6, "good words only in this one as well then " * 3]
-    df, labels = documents(spark, texts), spark.createDataFrame([(0, 1)], "doc_id long, quality int")
-    ends = {w[-3:] for t in texts for w in words(t)}
-    bucket = {r["w"]: r["b"] for r in spark.createDataFrame([(e,) for e in ends], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(quality_rules.BUCKETS)).alias("b")).collect()}
-    raw, target = collections.Counter(), collections.Counter()
-    for i, t in enumerate(texts):
-        for w in words(t):
-            raw[bucket[w[-3:]]] += 1
-            target[bucket[w[-3:]]] += i == 0
-    n_raw, n_target = sum(raw.values()) + quality_rules.BUCKETS, sum(target.values()) + quality_rules.BUCKETS
-    for r in quality_rules.quality_rules(df, labels).collect():
-        w = words(texts[r["doc_id"]])
-        want = sum(math.log((target[bucket[x[-3:]]] + 1) / n_target) - math.log((raw[bucket[x[-3:]]] + 1) / n_raw) for x in w) / len(w)
-        assert math.isclose(r["ratio"], want, rel_tol=1e-9, abs_tol=1e-12)
-
-
 def brute_vectors(rows, cosine=0.98):
     ok = {}
     for k, (i, v, label) in enumerate(rows):
@@ -408,6 +391,26 @@ def test_overlapping_memberships(spark):
     assert sizes == {"a": 400, "b": 200, None: 1} and out.agg(F.max("copies")).first()[0] <= 3 and out.count() == 41
 
 
+def test_patterns_of_odd_names_stay_apart(spark):
+    rows = [(0, "w w w", ["a\u0001=b"]), (1, "w w", ["a", "b"]), (2, "w", ["1=a,1=b"]), (3, "w w", ["a,1=b"]), (4, "w w", [None]), (5, "w", [""])]
+    out, sizes, _ = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, memberships array<string>"), F.col("memberships"))
+    assert sizes == {"a\u0001=b": 3, "a": 2, "b": 2, "1=a,1=b": 1, "a,1=b": 2, None: 2, "": 1} and out.count() == 6
+
+
+def test_cut_is_found_within_small_ranges(spark, monkeypatch):
+    """The words taken below the cut, told by sorting everything."""
+    rng = np.random.default_rng(3)
+    rows = [("p", int(x), i, int(w)) for i, (x, w) in enumerate(zip(rng.integers(-(2**63), 2**63 - 1, 500), rng.integers(1, 9, 500)))] + [("q", 5, 7, 3), ("q", 5, 8, 3)]
+    sized = spark.createDataFrame(rows, "pattern string, place long, doc_id long, words long")
+    got = mixing._cuts(sized, {"p": 700, "q": 4})
+    total, taken = 0, set()
+    for place, doc_id, size in sorted(r[1:] for r in rows if r[0] == "p"):
+        if 2 * (total + size) - size > 2 * 700:
+            break
+        total, taken = total + size, taken | {doc_id}
+    assert got["p"][2] == total and {r[2] for r in rows if r[0] == "p" and r[1:3] <= got["p"][:2]} == taken and got["q"] == (5, 7, 3)
+
+
 def test_classifier(spark):
     rng = np.random.default_rng(6)
     good = [" ".join(f"w{k}" for k in rng.integers(0, 500, 60)) for _ in range(300)]
