@@ -83,7 +83,7 @@ def ratio_table(documents: DataFrame, trusted_ids: DataFrame) -> list[float]:
     return [math.log((t + 1) / all_target) - math.log((r + 1) / all_raw) for t, r in zip(target, raw, strict=True)]
 
 
-def judged(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, grams: str = "words") -> DataFrame:
+def judged(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with a struct column ``rules``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
     ratio (double), base_failed and kept (boolean)."""
     documents = documents.withColumn("text", F.col("text").cast("string"))
@@ -120,12 +120,12 @@ def judged(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
     ).drop("_dup_lines")
 
 
-def quality_rules(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, grams: str = "words") -> DataFrame:
+def quality_rules(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and the fields of ``rules`` of every document."""
     return judged(documents.select("doc_id", "text"), labels, threshold).select("doc_id", "rules.*")
 
 
-def passing(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, grams: str = "words") -> DataFrame:
+def passing(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
     own = documents.columns
     held = documents.withColumnRenamed("rules", "_own_rules")
