@@ -53,6 +53,17 @@ def canonical_name(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[-_.]+", "-")
 
 
+def is_object(text: Column) -> Column:
+    """Whether a text is a JSON object; arrays, numbers, texts that don't parse and null are not."""
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
+
+
+def same_json(a: Column, b: Column) -> Column:
+    """Whether two texts are the same JSON value, whatever their spacing and the order of their keys."""
+    canonical = lambda c: F.to_json(F.try_parse_json(c))  # noqa: E731  a variant keeps its keys in order
+    return F.coalesce(canonical(a) == canonical(b), F.lit(False))
+
+
 def short_text(text: Column, most: int = 500) -> Column:
     """Whether a text says something within `most` characters once trimmed."""
     return F.coalesce(F.length(F.trim(text)).between(1, most), F.lit(False))

@@ -1,4 +1,8 @@
-"""Reveal, metrics, error cases, latency, gates, method selection."""
+"""Reveal, metrics, error cases, latency, gates, method selection.
+
+Defined cases: reveal is an inner join by exact key, to be made only where reveal_status says ok; everywhere else no row or
+method is lost. A missing fact fails its gate, a method without evidence is rejected, a null duration counts as an observation
+but has no rank. Repeated rows count as often as they stand; empty tables give empty results (reveal_status one row)."""
 
 from __future__ import annotations
 
@@ -6,21 +10,26 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from scoregate.functions import scalars as S
-from scoregate.operators.prefix import running
+from scoregate.operators.prefix import median_and_more, null_safe_join, running
 
 
-def reveal_status(items: DataFrame, labels: DataFrame, key: str = "item") -> DataFrame:
-    """One row: what the exact-key join of items and labels would meet, checked in a fixed order."""
-    left = items.groupBy(key).agg(F.count(F.lit(1)).alias("items"))
-    right = labels.groupBy(key).agg(F.count(F.lit(1)).alias("labels"), F.count_if(F.col("true_class").isin("normal", "anomaly")).alias("valid"))
-    both = left.join(right, key, "full_outer").agg(
+def reveal_status(items: DataFrame, labels: DataFrame, key: str = "item", order: str | None = None) -> DataFrame:
+    """One row: what the exact-key join of items and labels would meet, checked in a fixed order: empty, invalid, duplicate,
+    missing, extra and, where both sides carry an order column, out of order."""
+    at = [F.min(order).alias("__sg_order")] if order else []
+    left = items.groupBy(key).agg(F.count(F.lit(1)).alias("items"), *at)
+    right = labels.groupBy(key).agg(F.count(F.lit(1)).alias("labels"), F.count_if(F.col("true_class").isin("normal", "anomaly")).alias("valid"), *(c.alias("__sg_label_order") for c in ([F.min(order)] if order else [])))
+    moved = F.col("items").isNotNull() & F.col("labels").isNotNull() & ~F.col("__sg_order").eqNullSafe(F.col("__sg_label_order")) if order else F.lit(False)
+    both = null_safe_join(left, right, [key], "full_outer").agg(
         F.coalesce(F.sum("labels"), F.lit(0)).alias("label_count"),
         F.coalesce(F.sum(F.col("labels") - F.col("valid")), F.lit(0)).alias("invalid_count"),
         F.count_if(F.col("labels") > 1).alias("duplicate_count"),
+        F.count_if(F.col("items") > 1).alias("item_duplicate_count"),
         F.count_if(F.col("labels").isNull()).alias("missing_count"),
         F.count_if(F.col("items").isNull()).alias("extra_count"),
+        F.count_if(moved).alias("moved_count"),
     )
-    code = S.any_code((F.col("label_count") == 0, "LABELS_EMPTY"), (F.col("invalid_count") > 0, "LABELS_INVALID"), (F.col("duplicate_count") > 0, "LABELS_DUPLICATE"), (F.col("missing_count") > 0, "LABELS_MISSING"), (F.col("extra_count") > 0, "LABELS_EXTRA"))
+    code = S.any_code((F.col("label_count") == 0, "LABELS_EMPTY"), (F.col("invalid_count") > 0, "LABELS_INVALID"), (F.col("duplicate_count") > 0, "LABELS_DUPLICATE"), (F.col("item_duplicate_count") > 0, "ITEMS_DUPLICATE"), (F.col("missing_count") > 0, "LABELS_MISSING"), (F.col("extra_count") > 0, "LABELS_EXTRA"), (F.col("moved_count") > 0, "LABELS_MISORDERED"))
     return both.withColumn("status_code", F.coalesce(code, F.lit("ok")))
 
 
@@ -69,35 +78,54 @@ def error_cases(revealed: DataFrame, most: int = 5) -> DataFrame:
 
 
 def latency(observations: DataFrame, groups: list[str], expected: Column | None = None) -> DataFrame:
-    """Median, nearest-rank p95 over all observations and failures of each group; p95 only where all `expected` succeeded."""
-    p95 = F.expr("percentile_disc(0.95D) WITHIN GROUP (ORDER BY duration)")
+    """Median, nearest-rank p95 over all observations and failures of each group; p95 only where all `expected` succeeded. Both
+    are found by ranks over ranges of durations, so that a group with many rows is spread."""
     out = observations.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("observation_count"),
         F.count_if(F.col("score_status") == "failed").alias("failed_count"),
         F.count_distinct(F.when(F.col("score_status") == "failed", F.col("item"))).alias("failed_items"),
-        F.median("duration").alias("median_duration"),
-        p95.alias("p95_duration"),
         F.ceil(F.lit(0.95) * F.count(F.lit(1))).alias("p95_rank"),
         F.min("duration").alias("min_duration"), F.max("duration").alias("max_duration"),
     )
+    out = null_safe_join(out, median_and_more(observations, groups, "duration", {"p95_duration": 0.95}, "median_duration"), groups, "left")
     if expected is None:
         return out
     whole = (F.col("observation_count") == expected) & (F.col("failed_count") == 0)
     return out.withColumn("is_complete", whole).withColumn("complete_p95", F.when(whole, F.col("p95_duration")))
 
 
+def timing_failures(observations: DataFrame, keys: tuple[str, ...] = ("method", "item")) -> DataFrame:
+    """The items whose timing failed, with how many of their passes did and which was the first."""
+    failed = observations.where(F.col("score_status") == "failed")
+    return failed.groupBy(*keys).agg(F.count(F.lit(1)).alias("failed_passes"), F.min("pass_index").alias("first_failed_pass"))
+
+
+def metrics_with_latency(metrics: DataFrame, timed: DataFrame) -> DataFrame:
+    """Metrics and latency of each method, with whether both are there and cover as many items: evidence_state is ok,
+    metrics_missing, latency_missing or item_count. Both sides have method and item_count."""
+    joined = null_safe_join(metrics, timed.withColumnRenamed("item_count", "timed_items"), ["method"], "full_outer")
+    state = F.when(F.col("item_count").isNull(), "metrics_missing").when(F.col("timed_items").isNull(), "latency_missing").when(F.col("item_count") != F.col("timed_items"), "item_count").otherwise("ok")
+    return joined.withColumn("evidence_state", state)
+
+
 #: Gate, measured column, comparison, limit column: rows of facts carry both columns.
 GATES = (
     (1, "normal_fpr", "fpr", "<=", 0.05), (2, "anomaly_recall", "recall", ">=", 0.90), (3, "cpu_p95", "p95_duration", "<=", 1.0),
     (4, "normal_references", "reference_count", "<=", 20.0), (5, "no_anomaly_training", "anomaly_training_labels", "<=", 0.0), (6, "reproducible", "reproduced", ">=", 1.0),
 )
+#: The eight gates of the later contract: fit and leakage come first, and exactly 20 references.
+EIGHT_GATES = (
+    (1, "method_fit", "fit_ok", ">=", 1.0), (2, "test_leakage", "leaked_items", "<=", 0.0), (3, "final_test_normal_fpr", "fpr", "<=", 0.05), (4, "final_test_anomaly_recall", "recall", ">=", 0.90),
+    (5, "cpu_p95_scoring_latency", "p95_duration", "<=", 1.0), (6, "normal_reference_count", "reference_count", "==", 20.0), (7, "anomaly_training_labels", "anomaly_training_labels", "<=", 0.0), (8, "reproducibility", "reproduced", ">=", 1.0),
+)
 
 
 def gates(facts: DataFrame, rules=GATES) -> DataFrame:
     """One row for each method and gate: measured, limit, passed. Every gate is evaluated; a missing fact fails it."""
     rows = F.array(*(F.struct(F.lit(i).alias("gate_order"), F.lit(n).alias("gate"), F.col(c).cast("double").alias("measured"), F.lit(op).alias("comparison"), F.lit(float(limit)).alias("gate_limit")) for i, n, c, op, limit in rules))
     out = facts.select("method", F.inline(rows))
-    passed = F.when(F.col("comparison") == "<=", F.col("measured") <= F.col("gate_limit")).otherwise(F.col("measured") >= F.col("gate_limit"))
+    measured, limit = F.col("measured"), F.col("gate_limit")
+    passed = F.when(F.col("comparison") == "<=", measured <= limit).when(F.col("comparison") == "==", measured == limit).otherwise(measured >= limit)
     return out.withColumn("passed", F.coalesce(passed, F.lit(False)))
 
 
@@ -109,10 +137,19 @@ def short_circuit(gated: DataFrame) -> DataFrame:
 
 
 def decide(gated: DataFrame, evidence: DataFrame) -> DataFrame:
-    """ADOPT, ADOPT WITH CONDITIONS or REJECT for each method. evidence: method, leakage, contradicted, guardrail, condition."""
+    """ADOPT, ADOPT WITH CONDITIONS or REJECT for each method. evidence: method, leakage, contradicted, guardrail, condition; a method
+    without it is rejected, and its evidence isn't valid."""
     summary = gated.groupBy("method").agg(F.bool_and("passed").alias("all_passed"), F.min(F.when(~F.col("passed"), F.struct("gate_order", "gate")))["gate"].alias("first_failed_gate"))
-    decision = F.when(F.col("leakage") | ~F.col("all_passed") | F.col("contradicted"), "REJECT").when(F.col("guardrail"), "ADOPT WITH CONDITIONS").otherwise("ADOPT")
-    return summary.join(F.broadcast(evidence), "method").withColumn("decision", decision).withColumn("evidence_valid", F.col("guardrail") == S.short_text(F.col("condition")))
+    clear = F.col("all_passed") & ~F.col("leakage") & ~F.col("contradicted")
+    decision = F.when(~F.coalesce(clear, F.lit(False)), "REJECT").when(F.col("guardrail"), "ADOPT WITH CONDITIONS").otherwise("ADOPT")
+    joined = null_safe_join(summary, F.broadcast(evidence), ["method"], "left")
+    return joined.withColumn("decision", decision).withColumn("evidence_valid", F.coalesce(F.col("guardrail") == S.short_text(F.col("condition")), F.lit(False)))
+
+
+def complexity(method: Column, methods: list[str]) -> Column:
+    """A method's place in the fixed order from simple to complex; methods outside it come last."""
+    place = F.array_position(F.array(*map(F.lit, methods)), method)
+    return F.when(place > 0, place).otherwise(len(methods) + 1).cast("long")
 
 
 def select_method(candidates: DataFrame) -> DataFrame:

@@ -32,7 +32,8 @@ def score_items(items: DataFrame, item: str, value: str, scorer: Callable, prepa
 
 
 def extract_features(items: DataFrame, item: str, value: str, extractor: Callable, name: str = "features") -> DataFrame:
-    """item and the array of doubles that the extractor gives for each value; null where it fails."""
+    """item, the array of doubles that the extractor gives for each value, and failure_code: null, or where it fails (the array is
+    then null) EXTRACTOR_ERROR:<type of the exception>."""
     own = next(f for f in items.schema.fields if f.name == item)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,9 +41,9 @@ def extract_features(items: DataFrame, item: str, value: str, extractor: Callabl
             out = []
             for v in batch[value]:
                 try:
-                    out.append([float(x) for x in extractor(v)])
-                except Exception:  # noqa: BLE001
-                    out.append(None)
-            yield pd.DataFrame({item: batch[item], name: out})
+                    out.append(([float(x) for x in extractor(v)], None))
+                except Exception as problem:  # noqa: BLE001
+                    out.append((None, f"EXTRACTOR_ERROR:{type(problem).__name__}"))
+            yield pd.DataFrame({item: batch[item], name: [o[0] for o in out], "failure_code": [o[1] for o in out]})
 
-    return items.select(item, value).mapInPandas(run, T.StructType([own, T.StructField(name, T.ArrayType(T.DoubleType()))]))
+    return items.select(item, value).mapInPandas(run, T.StructType([own, T.StructField(name, T.ArrayType(T.DoubleType())), T.StructField("failure_code", T.StringType())]))

@@ -1,30 +1,36 @@
-"""Inventories: reconciliation, lineage, ordered digests, counts by kind, reachability."""
+"""Inventories: reconciliation, lineage, ordered digests, counts by kind, reachability.
+
+Defined cases: null equals null in keys and facts; rows that one side alone has are reported and never dropped; empty tables
+give empty results (lineage_intact one row, which is false); helper columns begin with ``__sg_``."""
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scoregate.functions import scalars as S
+from scoregate.operators.prefix import null_safe_join
 from scoregate.sources.stages import staged
 
 
 def reconcile(expected: DataFrame, observed: DataFrame, key: str, facts: list[str]) -> DataFrame:
     """What differs between two inventories: (key, diff_kind), one of missing, extra or the name of the first fact that differs.
     Keys are unique on each side."""
-    a = expected.select(key, F.struct(*facts).alias("_a"))
-    b = observed.select(key, F.struct(*facts).alias("_b"))
-    kind = S.any_code((F.col("_b").isNull(), "missing"), (F.col("_a").isNull(), "extra"), *((~F.col(f"_a.{f}").eqNullSafe(F.col(f"_b.{f}")), f) for f in facts))
-    return a.join(b, key, "full_outer").select(key, kind.alias("diff_kind")).where("diff_kind is not null")
+    a = expected.select(key, F.struct(*facts).alias("__sg_a"))
+    b = observed.select(key, F.struct(*facts).alias("__sg_b"))
+    kind = S.any_code((F.col("__sg_b").isNull(), "missing"), (F.col("__sg_a").isNull(), "extra"), *((~F.col(f"__sg_a.{f}").eqNullSafe(F.col(f"__sg_b.{f}")), f) for f in facts))
+    return null_safe_join(a, b, [key], "full_outer").select(key, kind.alias("diff_kind")).where("diff_kind is not null")
 
 
 def evidence(expected: DataFrame, observed: DataFrame, key: str, facts: list[str]) -> DataFrame:
     """Each expected row with its verification: verified, absent or changed; nothing is dropped."""
-    seen = observed.select(key, F.lit(True).alias("_seen"), *(F.col(f).alias(f"_o_{f}") for f in facts))
+    seen = observed.select(key, F.lit(True).alias("__sg_seen"), *(F.col(f).alias(f"__sg_o_{f}") for f in facts))
     same = F.lit(True)
     for f in facts:
-        same = same & F.col(f).eqNullSafe(F.col(f"_o_{f}"))
-    state = F.when(F.col("_seen").isNull(), "absent").when(same, "verified").otherwise("changed")
-    return expected.join(seen, key, "left").withColumn("verification", state).select(*expected.columns, "verification")
+        same = same & F.col(f).eqNullSafe(F.col(f"__sg_o_{f}"))
+    state = F.when(F.col("__sg_seen").isNull(), "absent").when(same, "verified").otherwise("changed")
+    return null_safe_join(expected, seen, [key], "left").withColumn("verification", state).select(*expected.columns, "verification")
 
 
 def lineage_intact(recorded: DataFrame, observed: DataFrame, key: str, digest: str) -> DataFrame:
@@ -35,7 +41,7 @@ def lineage_intact(recorded: DataFrame, observed: DataFrame, key: str, digest: s
 
 def state_presence(fits: DataFrame, states: DataFrame, key: str, digest: str) -> DataFrame:
     """Where fit status and stored state disagree: a good fit without the state of its digest, a failed one with a state, a stray."""
-    joined = fits.select(key, "fit_status", F.col(digest).alias("_want")).join(states.select(key, F.col(digest).alias("_got"), F.lit(True).alias("_stored")), key, "full_outer")
+    joined = null_safe_join(fits.select(key, "fit_status", F.col(digest).alias("_want")), states.select(key, F.col(digest).alias("_got"), F.lit(True).alias("_stored")), [key], "full_outer")
     rule = S.any_code(
         (F.col("fit_status").isNull(), "stray_state"),
         ((F.col("fit_status") == "ok") & F.col("_stored").isNull(), "state_missing"),
@@ -84,19 +90,27 @@ def path_kind(path: Column) -> Column:
     )
 
 
-def closure(roots: DataFrame, edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """Nodes reachable from the roots (column node) over edges (src, dst), with the fewest steps: (node, depth).
+def missing_nodes(roots: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Roots and ends of edges that the table of nodes doesn't have: (node, role), role being root, src or dst."""
+    asked = roots.select("node", F.lit("root").alias("role")).unionByName(edges.select(F.col("src").alias("node"), F.lit("src").alias("role"))).unionByName(edges.select(F.col("dst").alias("node"), F.lit("dst").alias("role")))
+    return null_safe_join(asked.distinct(), nodes.select("node").distinct(), ["node"], "left_anti")
+
+
+def closure(roots: DataFrame, edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Nodes reachable from the roots (column node) over edges (src, dst), with the fewest steps: (node, depth). With a table of nodes,
+    a root or end of an edge that isn't among them is an error.
 
-    Each round joins the frontier with the edges and keeps what is new, as a written table."""
+    Each round joins the frontier with the edges and keeps what is new, as a written table, until nothing is."""
+    if nodes is not None and (missing := [r["node"] for r in missing_nodes(roots, edges, nodes).limit(5).collect()]):
+        raise ValueError(f"nodes that aren't there: {missing}")
     reached = roots.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = reached
-    for depth in range(1, most_rounds + 1):
+    for depth in itertools.count(1):
         found = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         frontier = staged(found.join(reached, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return reached
         reached = staged(reached.unionByName(frontier))
-    raise RuntimeError(f"not closed after {most_rounds} rounds")
 
 
 def roles(nodes: DataFrame, runtime: DataFrame, development: DataFrame) -> DataFrame:

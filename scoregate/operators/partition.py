@@ -1,4 +1,7 @@
-"""Selection of reference and calibration rows, opaque identifiers, and the split of items from labels."""
+"""Selection of reference and calibration rows, opaque identifiers, and the split of items from labels.
+
+Defined cases: rows with a null group or path stay; a null group is a group of its own, null paths come first in the order.
+Repeated rows get ranks of their own; empty tables give empty results; helper columns begin with ``__sg_``."""
 
 from __future__ import annotations
 
@@ -6,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from scoregate.functions import scalars as S
 from scoregate.operators.prefix import numbered
+from scoregate.sources.stages import staged
 
 
 def seeded_partitions(rows: DataFrame, namespace: str, seed: int, references: int, group: str, path: str) -> DataFrame:
@@ -25,20 +29,31 @@ def opaque_order(rows: DataFrame, key: bytes, path: str) -> DataFrame:
     """Rows with an asset_id whose order only the holder of the key (32 bytes at least) can tell: HMAC order, from 0."""
     if len(key) < 32:
         raise ValueError("an ordering key has at least 32 bytes")
-    hashed = rows.withColumn("_one", F.lit(0)).withColumn("order_hmac", S.hmac_sha256(key, F.col(path).cast("string")))
-    return numbered(hashed, ["_one"], "order_hmac", [path], "_rank").withColumn("asset_id", S.asset_id(F.col("_rank") - 1)).drop("_one", "_rank", "order_hmac")
+    hashed = rows.withColumn("__sg_one", F.lit(0)).withColumn("__sg_hmac", S.hmac_sha256(key, F.col(path).cast("string")))
+    ranked = numbered(hashed, ["__sg_one"], "__sg_hmac", [path], "__sg_rank")
+    return ranked.withColumn("asset_id", S.asset_id(F.col("__sg_rank") - 1)).drop("__sg_one", "__sg_rank", "__sg_hmac")
 
 
 def split_labels(rows: DataFrame, key: bytes, path: str, label: str, item_columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(label-free items, sealed mapping of asset_id to path and label): they share asset_id alone. Checkpoint the rows
-    first if they aren't deterministic, as both sides are worked out on their own."""
+    """(label-free items, sealed mapping of asset_id to path and label): they share asset_id alone. The order is worked out and
+    written once, so that both sides see the same ids."""
     forbidden = {label, path} & set(item_columns)
     if forbidden:
         raise ValueError(f"items would reveal {sorted(forbidden)}")
-    opaque = opaque_order(rows, key, path)
+    opaque = staged(opaque_order(rows, key, path))
     return opaque.select("asset_id", *item_columns), opaque.select("asset_id", F.col(path).alias("source_path"), F.col(label).alias("class_label"))
 
 
+def write_split(rows: DataFrame, key: bytes, path: str, label: str, item_columns: list[str], items_root: str, sealed_root: str) -> None:
+    """split_labels written to two roots, neither of which lies in the other; an existing root is never overwritten."""
+    own, sealed = (f"{r.rstrip('/')}/" for r in (items_root, sealed_root))
+    if own.startswith(sealed) or sealed.startswith(own):
+        raise ValueError("the sealed root must lie outside the items' root, and the other way round")
+    items, mapping = split_labels(rows, key, path, label, item_columns)
+    mapping.orderBy("asset_id").write.mode("errorifexists").parquet(sealed_root)
+    items.orderBy("asset_id").write.mode("errorifexists").parquet(items_root)
+
+
 def overlapping(rows: DataFrame, key: str, partition: str) -> DataFrame:
     """Keys that stand in more than one partition, or twice in one."""
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct(partition).alias("partition_count")).where("row_count > 1")

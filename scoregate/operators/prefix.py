@@ -1,43 +1,104 @@
 """Exact ranks and running sums of few groups with many rows, without one task for each group.
 
 Rows are cut into ranges by approximate quantiles of each group (their number is fixed), ranges are summed, the few sums
-are accumulated and added to what is accumulated inside each range. The cuts only decide the balance, not the result."""
+are accumulated and added to what is accumulated inside each range. The cuts only decide the balance, not the result.
+
+Defined cases for all functions: null group keys are a group of their own; null values come first in ascending order (and
+in a range of their own); an empty table gives an empty result; the columns that they add and drop begin with ``__sg_``,
+so that other names can't clash."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from scoregate.sources.stages import staged
+
 RANGES = 64
+_RANGE, _CUTS, _COUNT, _BEFORE, _PLACE = "__sg_range", "__sg_cuts", "__sg_count", "__sg_before", "__sg_place"
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join on keys in which null equals null; the result has the left keys and the other columns of both."""
+    renamed = right.select(*(F.col(k).alias(f"__sg_key_{k}") if k in keys else F.col(k) for k in right.columns))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__sg_key_{k}"))
+    out = left.join(renamed, same, how)
+    if how in ("full", "outer", "full_outer"):  # a row of the right side alone has no left keys
+        right_only = F.col(_PLACE).isNull()
+        left = left.withColumn(_PLACE, F.lit(True))
+        out = left.join(renamed, same, how).withColumns({k: F.when(right_only, F.col(f"__sg_key_{k}")).otherwise(F.col(k)) for k in keys}).drop(_PLACE)
+    return out.drop(*(f"__sg_key_{k}" for k in keys))
 
 
 def ranged(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """df with the column ``_range``: where in its group's quantiles a row's value lies. Nulls come first."""
+    """df with the column ``__sg_range``: where in its group's quantiles a row's value lies. Nulls come first."""
     cuts = F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 2000)
-    bounds = df.groupBy(*groups).agg(cuts.alias("_cuts"))
-    return df.join(F.broadcast(bounds), groups).withColumn("_range", F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c < F.col(value)))).drop("_cuts")
+    bounds = df.groupBy(*groups).agg(cuts.alias(_CUTS))
+    kind = df.schema[value].dataType.simpleString()
+    below = F.size(F.filter(F.coalesce(_CUTS, F.array().cast(f"array<{kind}>")), lambda c: c < F.col(value)))
+    return null_safe_join(df, F.broadcast(bounds), groups).withColumn(_RANGE, F.when(F.col(value).isNull(), -1).otherwise(below)).drop(_CUTS)
 
 
 def running(df: DataFrame, groups: list[str], value: str, sums: dict[str, Column], descending: bool = False, ties: list[str] | None = None) -> DataFrame:
     """df with running sums in the order of value (then of ties), equal rows included: {new column: summed column}."""
     cut = ranged(df, groups, value)
-    totals = cut.groupBy(*groups, "_range").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
-    order = F.col("_range").desc() if descending else F.col("_range")
+    totals = cut.groupBy(*groups, _RANGE).agg(*(F.sum(c).alias(f"__sg_t_{n}") for n, c in sums.items()))
+    order = F.col(_RANGE).desc() if descending else F.col(_RANGE)
     above = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*groups, "_range", *(F.coalesce(F.sum(f"_t_{n}").over(above), F.lit(0)).alias(f"_o_{n}") for n in sums))
+    offsets = totals.select(*groups, _RANGE, *(F.coalesce(F.sum(f"__sg_t_{n}").over(above), F.lit(0)).alias(f"__sg_o_{n}") for n in sums))
     by = [F.col(value).desc() if descending else F.col(value), *map(F.col, ties or [])]
-    inside = Window.partitionBy(*groups, "_range").orderBy(*by)
-    out = cut.join(F.broadcast(offsets), [*groups, "_range"])
+    inside = Window.partitionBy(*groups, _RANGE).orderBy(*by)
+    out = null_safe_join(cut, F.broadcast(offsets), [*groups, _RANGE])
     for n, c in sums.items():
-        out = out.withColumn(n, F.col(f"_o_{n}") + F.sum(c).over(inside))
-    return out.drop("_range", *(f"_o_{n}" for n in sums))
+        out = out.withColumn(n, F.col(f"__sg_o_{n}") + F.sum(c).over(inside))
+    return out.drop(_RANGE, *(f"__sg_o_{n}" for n in sums))
+
+
+def at_ranks(df: DataFrame, groups: list[str], value: str, ranks: dict[str, Column], ties: list[str] | None = None, kept: list[str] | None = None) -> DataFrame:
+    """The rows of each group at given 1-based ranks in the order (value, ties): groups, rank_name, ``__sg_count`` (rows of the
+    group), value and the kept columns. ranks: name -> rank as a column over ``__sg_count``. Null values have no rank. Only
+    ranges that hold a rank are ordered."""
+    cut = ranged(df.where(F.col(value).isNotNull()), groups, value)
+    sizes = cut.groupBy(*groups, _RANGE).agg(F.count(F.lit(1)).alias(_PLACE))
+    upto, whole = F.sum(_PLACE).over(Window.partitionBy(*groups).orderBy(_RANGE)), F.sum(_PLACE).over(Window.partitionBy(*groups))
+    placed = sizes.withColumn(_BEFORE, upto - F.col(_PLACE)).withColumn(_COUNT, whole)
+    named = F.array(*(F.struct(F.lit(n).alias("rank_name"), r.cast("long").alias("__sg_rank")) for n, r in ranks.items()))
+    wanted = placed.select(*groups, _RANGE, _BEFORE, _COUNT, _PLACE, F.inline(named)).where(f"{_BEFORE} < __sg_rank and __sg_rank <= {_BEFORE} + {_PLACE}").drop(_PLACE)
+    wanted = wanted.groupBy(*groups, _RANGE, _BEFORE, _COUNT).agg(F.collect_list(F.struct("rank_name", "__sg_rank")).alias("__sg_asked"))
+    inside = Window.partitionBy(*groups, _RANGE).orderBy(value, *(ties or []))
+    ranked = null_safe_join(cut, F.broadcast(wanted), [*groups, _RANGE]).withColumn("__sg_at", F.col(_BEFORE) + F.row_number().over(inside))
+    rows = ranked.select(*groups, value, *(kept or []), _COUNT, "__sg_at", F.inline("__sg_asked")).where("__sg_at = __sg_rank")
+    return rows.select(*groups, "rank_name", F.col("__sg_rank").alias("rank"), _COUNT, value, *(kept or []))
+
+
+def median_and_more(df: DataFrame, groups: list[str], value: str, quantiles: dict[str, float] | None = None, median: str = "median") -> DataFrame:
+    """groups, the exact median and nearest-rank quantiles of a value, {name: quantile}; null values are left out."""
+    n = F.col(_COUNT)
+    ranks = {"__sg_low": F.floor((n + 1) / 2), "__sg_high": F.floor(n / 2) + 1} | {name: F.ceil(F.lit(float(q)) * n.cast("double")) for name, q in (quantiles or {}).items()}
+    found = at_ranks(df, groups, value, ranks)
+    pick = lambda name: F.max(F.when(F.col("rank_name") == name, F.col(value)))
+    middle = (pick("__sg_low").cast("double") + pick("__sg_high").cast("double")) / 2
+    return found.groupBy(*groups).agg(middle.alias(median), *(pick(name).alias(name) for name in quantiles or {}))
 
 
 def numbered(df: DataFrame, groups: list[str], digest: str, ties: list[str], name: str = "selection_rank", digits: int = 3) -> DataFrame:
     """df with 1-based ranks in the order of an evenly spread hex digest, then of ties; ranges are the first hex digits."""
-    cut = df.withColumn("_range", F.substring(digest, 1, digits))
-    sizes = cut.groupBy(*groups, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    above = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*groups, "_range", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy(*groups, "_range").orderBy(digest, *ties)
-    return cut.join(offsets, [*groups, "_range"]).withColumn(name, F.col("_o") + F.row_number().over(inside)).drop("_range", "_o")
+    cut = df.withColumn(_RANGE, F.substring(digest, 1, digits))
+    return _numbered(cut, groups, [digest, *ties], name)
+
+
+def ordinals(df: DataFrame, groups: list[str], order: list[str], name: str = "ordinal") -> DataFrame:
+    """df with 1-based ranks of each group in the order of columns of any kind: Spark's sampled range partitions, written once,
+    are the ranges."""
+    cut = staged(df.repartitionByRange(*groups, *order).withColumn(_RANGE, F.spark_partition_id()))
+    return _numbered(cut, groups, order, name)
+
+
+def _numbered(cut: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
+    sizes = cut.groupBy(*groups, _RANGE).agg(F.count(F.lit(1)).alias(_COUNT))
+    above = Window.partitionBy(*groups).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*groups, _RANGE, F.coalesce(F.sum(_COUNT).over(above), F.lit(0)).alias(_BEFORE))
+    inside = Window.partitionBy(*groups, _RANGE).orderBy(*order)
+    return null_safe_join(cut, offsets, [*groups, _RANGE]).withColumn(name, F.col(_BEFORE) + F.row_number().over(inside)).drop(_RANGE, _BEFORE)

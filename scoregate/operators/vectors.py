@@ -1,4 +1,9 @@
-"""Scoring of vectors: nearest neighbour in a bank, position z-scores, median templates, tiles."""
+"""Scoring of vectors: nearest neighbour in a bank, position z-scores, median templates, tiles.
+
+Defined cases: no item is lost. A vector that is null, too short or doesn't divide into patches gives one row at position -1
+with a null patch (a grid of the wrong size one tile at -1, -1), whose distance and so the item's score are null: with_failures
+makes a failed row of it. A position without fitted state and an empty bank give null distances too. Repeated items share one
+score; empty tables give empty results; helper columns begin with ``__sg_``."""
 
 from __future__ import annotations
 
@@ -6,76 +11,102 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from scoregate.functions import scalars as S
 from scoregate.operators.contracts import require_columns
+from scoregate.operators.prefix import median_and_more, null_safe_join
+from scoregate.sources.stages import staged
 
 #: Bank rows that may be broadcast; larger banks are scored block by block.
-BROADCAST_ROWS, BLOCK = 4096, 2048
+BROADCAST_ROWS, BLOCK, QUERIES = 4096, 2048, 16_384
 
 
 def patches(items: DataFrame, item: str, vector: str, size: int) -> DataFrame:
     """Consecutive pieces of each vector: item, position (from 0), patch."""
-    pieces = F.transform(F.sequence(F.lit(0), (F.size(vector) / size).cast("int") - 1), lambda i: F.slice(vector, i * size + 1, size))
-    return items.where(F.size(vector) >= size).select(item, F.posexplode(pieces).alias("position", "patch"))
+    kind = items.schema[vector].dataType.simpleString()
+    at = F.when((F.size(vector) >= size) & (F.size(vector) % size == 0), F.sequence(F.lit(0), (F.size(vector) / size).cast("int") - 1)).otherwise(F.array(F.lit(-1)))
+    placed = items.select(item, F.col(vector).alias("__sg_v"), F.explode(at).alias("position"))
+    return placed.select(item, "position", F.when(F.col("position") >= 0, F.slice("__sg_v", F.col("position") * size + 1, size)).cast(kind).alias("patch"))
 
 
 def tiles(items: DataFrame, item: str, vector: str, height: int, width: int, tile: tuple[int, int], stride: tuple[int, int]) -> DataFrame:
     """Row-major tiles of vectors read as height x width grids: item, tile_row, tile_col, tile (flat)."""
     rows, cols = (F.sequence(F.lit(0), F.lit(n - t), F.lit(s)) for n, t, s in zip((height, width), tile, stride, strict=True))
-    at = items.where(F.size(vector) == height * width).select(item, vector, F.posexplode(rows).alias("tile_row", "_r")).select("*", F.posexplode(cols).alias("tile_col", "_c"))
-    cut = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(tile[0] - 1)), lambda k: F.slice(vector, (F.col("_r") + k) * width + F.col("_c") + 1, tile[1])))
-    return at.select(item, "tile_row", "tile_col", cut.alias("tile"))
+    held = items.select(item, F.col(vector).alias("__sg_v"), F.coalesce(F.size(vector) == height * width, F.lit(False)).alias("__sg_ok"))
+    at = held.where("__sg_ok").select(item, "__sg_v", F.posexplode(rows).alias("tile_row", "__sg_r")).select("*", F.posexplode(cols).alias("tile_col", "__sg_c"))
+    cut = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(tile[0] - 1)), lambda k: F.slice("__sg_v", (F.col("__sg_r") + k) * width + F.col("__sg_c") + 1, tile[1])))
+    wrong = held.where("not __sg_ok").select(item, F.lit(-1).alias("tile_row"), F.lit(-1).alias("tile_col"), F.lit(None).cast(items.schema[vector].dataType).alias("tile"))
+    return at.select(item, "tile_row", "tile_col", cut.alias("tile")).unionByName(wrong)
 
 
 def bank(patched: DataFrame) -> DataFrame:
-    """Unit vectors of reference patches; zero patches are left out."""
+    """Unit vectors of reference patches; zero and null patches are left out."""
     unit = patched.withColumn("patch", S.unit(F.col("patch")))
     return unit.where(F.exists("patch", lambda x: x != 0)).select("patch")
 
 
+def _rows(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the vectors that are there and hold no null, as a matrix; which rows these are)."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    holes = np.zeros(len(sizes), bool)
+    if flat.null_count:
+        holes[np.repeat(np.arange(len(sizes)), sizes)[flat.is_null().to_numpy(zero_copy_only=False)]] = True
+    there = np.flatnonzero((sizes > 0) & ~holes)
+    width = int(sizes[there[0]]) if len(there) else 0
+    kept = column.take(pa.array(there)).flatten().to_numpy(zero_copy_only=False)
+    return kept.reshape(len(there), width), there
+
+
+def _nearest(queries: np.ndarray, reference: np.ndarray | None) -> np.ndarray:
+    out = np.full(len(queries), np.nan)
+    if reference is not None and len(reference):
+        unit = queries / np.maximum(np.sqrt((queries * queries).sum(1)), 1e-12)[:, None]
+        for a in range(0, len(unit), BLOCK):
+            out[a : a + BLOCK] = np.clip(1 - (unit[a : a + BLOCK] @ reference.T).max(1), 0, 2)
+    return out
+
+
 def nearest_distances(queries: DataFrame, item: str, reference: DataFrame, protected: tuple[str, ...] = ("label",)) -> DataFrame:
-    """The cosine distance of each query patch (item, position, patch) to the nearest of the reference patches. The bank is counted
-    first: a small one is broadcast, of a larger one every block meets the queries in numpy and the minima are combined."""
+    """The cosine distance of each query patch (item, position, patch) to the nearest of the reference patches. The bank is written
+    once and counted: a small one is broadcast, of a larger one each block of BLOCK patches meets the queries in groups of
+    about QUERIES patches, as many groups as the queries' count asks for, and the minima are combined."""
     require_columns(queries, [item, "position", "patch"], protected)
     schema = f"{item} {queries.schema[item].dataType.simpleString()}, position int, distance double"
-    head = reference.limit(BROADCAST_ROWS + 1).toArrow()
-    if head.num_rows <= BROADCAST_ROWS:
-        rows = head["patch"].combine_chunks().flatten().to_numpy().reshape(head.num_rows, -1) if head.num_rows else None
-        shared = queries.sparkSession.sparkContext.broadcast(rows)
+    reference = staged(reference.select(F.col("patch").cast("array<double>").alias("patch")))
+    asked = queries.select(item, F.col("position").cast("int").alias("position"), F.col("patch").cast("array<double>").alias("patch"))
+    count = reference.count()
+    if count <= BROADCAST_ROWS:
+        head = reference.limit(BROADCAST_ROWS).toArrow()
+        shared = queries.sparkSession.sparkContext.broadcast(_rows(head["patch"])[0] if head.num_rows else None)
 
         def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
-                x = x / np.maximum(np.sqrt((x * x).sum(1)), 1e-12)[:, None]
-                d = pa.nulls(len(x), pa.float64()) if shared.value is None else pa.array(np.clip(1 - (x @ shared.value.T).max(1), 0, 2))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), d], names=[item, "position", "distance"])
+                x, there = _rows(batch.column(2))
+                d = np.full(batch.num_rows, np.nan)
+                d[there] = _nearest(x, shared.value)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, mask=np.isnan(d))], names=[item, "position", "distance"])
 
-        asked = queries.select(item, F.col("position").cast("int").alias("position"), F.col("patch").cast("array<double>").alias("patch"))
         return asked.mapInArrow(nearest, schema)
-    unit = queries.withColumn("patch", S.unit(F.col("patch")))
-    blocks = reference.select("patch", F.pmod(F.xxhash64("patch"), F.lit(1 << 30)).alias("_h"))
-    count = F.ceil(F.lit(reference.count() / BLOCK)).cast("int")
-    blocks = blocks.withColumn("_block", F.pmod("_h", count)).select("_block", F.lit(True).alias("_is_bank"), F.lit(None).cast(unit.schema[item].dataType).alias(item), F.lit(0).alias("position"), "patch")
-    dealt = unit.withColumn("_block", F.explode(F.sequence(F.lit(0), count - 1))).select("_block", F.lit(False).alias("_is_bank"), item, F.col("position").cast("int").alias("position"), "patch")
+    blocks, salts = -(-count // BLOCK), -(-asked.count() // QUERIES)
+    none = F.lit(None).cast(asked.schema[item].dataType).alias(item)
+    b = reference.select(F.pmod(F.xxhash64("patch"), F.lit(blocks)).cast("int").alias("__sg_block"), F.explode(F.sequence(F.lit(0), F.lit(max(1, salts) - 1))).alias("__sg_salt"), F.lit(True).alias("__sg_bank"), none, F.lit(0).alias("position"), "patch")
+    salt = F.pmod(F.xxhash64(item, "position"), F.lit(max(1, salts))).cast("int").alias("__sg_salt")
+    q = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__sg_block"), salt, F.lit(False).alias("__sg_bank"), item, "position", "patch")
 
     def least(group: pa.Table) -> pa.Table:
-        is_bank = group["_is_bank"].to_numpy()
-        b, q = (group.filter(pa.array(m)) for m in (is_bank, ~is_bank))
-        matrix = lambda t: t["patch"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-        d = np.full(q.num_rows, 2.0)
-        if b.num_rows and q.num_rows:
-            x, y = matrix(q), matrix(b)
-            for a in range(0, len(x), BLOCK):
-                d[a : a + BLOCK] = np.clip(1 - (x[a : a + BLOCK] @ y.T).max(1), 0, 2)
-        return pa.table({item: q[item], "position": q["position"], "distance": d})
-
-    # Queries are salted, so that a group holds one block of the bank and a share of the queries.
-    b = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    q = dealt.withColumn("_salt", F.pmod(F.xxhash64(item, "position"), F.lit(16)).cast("int"))
-    return b.unionByName(q).groupBy("_block", "_salt").applyInArrow(least, schema).groupBy(item, "position").agg(F.min("distance").alias("distance"))
+        in_bank = group["__sg_bank"].to_numpy()
+        own = group.filter(pa.array(~in_bank))
+        x, there = _rows(own["patch"])
+        d = np.full(own.num_rows, np.nan)
+        d[there] = _nearest(x, _rows(group.filter(pa.array(in_bank))["patch"])[0])
+        return pa.table({item: own[item], "position": own["position"], "distance": pa.array(d, mask=np.isnan(d))})
+
+    return b.unionByName(q).groupBy("__sg_block", "__sg_salt").applyInArrow(least, schema).groupBy(item, "position").agg(F.min("distance").alias("distance"))
 
 
 def top_patches(scored: DataFrame, item: str, value: str, k: int) -> DataFrame:
@@ -85,8 +116,9 @@ def top_patches(scored: DataFrame, item: str, value: str, k: int) -> DataFrame:
 
 
 def item_scores(distances: DataFrame, item: str, value: str, fraction: float, rounding: str) -> DataFrame:
-    """Each item's mean over the top fraction of its patches."""
-    return distances.groupBy(item).agg(F.collect_list(value).alias("_values")).select(item, S.top_fraction_mean(F.col("_values"), fraction, rounding).alias("score"))
+    """Each item's mean over the top fraction of its patches; null if one of them has no value."""
+    held = distances.groupBy(item).agg(F.collect_list(value).alias("__sg_values"), F.count_if(F.col(value).isNull()).alias("__sg_missing"))
+    return held.select(item, F.when(F.col("__sg_missing") == 0, S.top_fraction_mean(F.col("__sg_values"), fraction, rounding)).alias("score"))
 
 
 def position_scalers(reference: DataFrame) -> DataFrame:
@@ -99,29 +131,30 @@ def position_scalers(reference: DataFrame) -> DataFrame:
 def position_zscores(patched: DataFrame, item: str, scalers: DataFrame) -> DataFrame:
     """Mean squared z of each patch against its position's scalers: item, position, distance. A stand-in for a one-class model of
     each position, not equal to one."""
-    state = scalers.groupBy("position").agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "scale"))).alias("_s"))
-    z = F.zip_with(F.col("patch").cast("array<double>"), F.col("_s"), lambda x, s: F.pow((x - s["mean"]) / s["scale"], 2))
-    return patched.join(F.broadcast(state), "position").select(item, "position", (F.aggregate(z, F.lit(0.0), lambda a, v: a + v) / F.size("patch")).alias("distance"))
+    state = scalers.groupBy("position").agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "scale"))).alias("__sg_s"))
+    z = F.zip_with(F.col("patch").cast("array<double>"), F.col("__sg_s"), lambda x, s: F.pow((x - s["mean"]) / s["scale"], 2))
+    return patched.join(F.broadcast(state), "position", "left").select(item, "position", (F.aggregate(z, F.lit(0.0), lambda a, v: a + v) / F.size("patch")).alias("distance"))
 
 
 def median_template(reference: DataFrame, vector: str, support: float = 0.75) -> DataFrame:
     """Median and support of each dimension over the reference vectors, nulls left out: dim, median, supported, support_share."""
     flat = reference.select(F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
-    out = flat.groupBy("dim").agg(F.median("x").alias("median"), F.bool_and(F.col("x").isNotNull()).alias("supported"), F.avg(F.col("x").isNotNull().cast("double")).alias("support_share"))
+    out = flat.groupBy("dim").agg(F.bool_and(F.col("x").isNotNull()).alias("supported"), F.avg(F.col("x").isNotNull().cast("double")).alias("support_share"))
+    out = null_safe_join(out, median_and_more(flat, ["dim"], "x"), ["dim"], "left")
     return out.withColumn("template_ok", F.col("support_share") >= support)
 
 
 def template_residuals(items: DataFrame, item: str, vector: str, template: DataFrame, fraction: float = 0.01, least_support: float = 0.95) -> DataFrame:
     """The mean of the largest share of absolute residuals from the median template, and a failure where too little is supported."""
-    state = template.agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "median", "supported"))), lambda s: F.struct(s["median"].alias("m"), s["supported"].alias("ok"))).alias("_t"))
-    pairs = F.zip_with(F.col(vector).cast("array<double>"), F.col("_t"), lambda x, t: F.when(t["ok"] & x.isNotNull(), F.abs(x - t["m"])))
-    joined = items.join(F.broadcast(state), F.lit(True)).withColumn("_r", F.array_compact(pairs))
-    share = F.size("_r") / F.size(F.filter("_t", lambda t: t["ok"]))
+    state = template.agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "median", "supported"))), lambda s: F.struct(s["median"].alias("m"), s["supported"].alias("ok"))).alias("__sg_t"))
+    pairs = F.zip_with(F.col(vector).cast("array<double>"), F.col("__sg_t"), lambda x, t: F.when(t["ok"] & x.isNotNull(), F.abs(x - t["m"])))
+    joined = items.join(F.broadcast(state), F.lit(True)).withColumn("__sg_r", F.array_compact(pairs))
+    share = F.when(F.col(vector).isNotNull(), F.size("__sg_r") / F.size(F.filter("__sg_t", lambda t: t["ok"])))
     ok = F.coalesce(share >= least_support, F.lit(False))
     return joined.select(
         item,
         share.alias("support_ratio"),
         F.when(ok, "ok").otherwise("failed").alias("score_status"),
         F.when(~ok, "SUPPORT_TOO_SMALL").alias("failure_code"),
-        F.when(ok, S.top_fraction_mean(F.col("_r"), fraction, "ceil")).alias("score"),
+        F.when(ok, S.top_fraction_mean(F.col("__sg_r"), fraction, "ceil")).alias("score"),
     )

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scoregate.operators import contracts, evaluation as ev, reproduce, scores as sc
+from scoregate.operators import contracts, evaluation as ev, partition, reproduce, scores as sc
 from scoregate.plans import inputs as I
 from scoregate.plans.registry import query
+from scoregate.sources.stages import staged
 
 
 @query("failure_substitution", f"WITH {I.SCORES_SQL} SELECT method, item, score_status, failure_code, score FROM scores")
@@ -72,18 +73,25 @@ def exact_id_reveal(spark, sf_dir):
 @query("reveal_status", f"""WITH {I.LABELS_SQL}, cases AS (
   SELECT 'complete' AS reveal_case, doc_id AS item FROM documents WHERE doc_id IN (SELECT item FROM truth) UNION ALL
   SELECT 'all_documents', doc_id FROM documents UNION ALL
-  SELECT 'fewer_items', doc_id FROM documents WHERE doc_id % 2 = 0 AND doc_id IN (SELECT item FROM truth)),
+  SELECT 'fewer_items', doc_id FROM documents WHERE doc_id % 2 = 0 AND doc_id IN (SELECT item FROM truth) UNION ALL
+  SELECT 'moved', doc_id FROM documents WHERE doc_id IN (SELECT item FROM truth) UNION ALL
+  SELECT 'repeated', doc_id FROM documents WHERE doc_id IN (SELECT item FROM truth) UNION ALL SELECT 'repeated', doc_id FROM documents WHERE doc_id % 5 = 0 AND doc_id IN (SELECT item FROM truth)),
 kinds AS (SELECT DISTINCT reveal_case FROM cases),
-a AS (SELECT reveal_case, item, 1 AS i FROM cases), l AS (SELECT reveal_case, item, 1 AS b FROM truth, kinds),
-j AS (SELECT reveal_case, i, b FROM a FULL JOIN l USING (reveal_case, item))
-SELECT reveal_case, coalesce(sum(b), 0)::BIGINT AS label_count, 0::BIGINT AS invalid_count, 0::BIGINT AS duplicate_count, count(*) FILTER (WHERE b IS NULL) AS missing_count, count(*) FILTER (WHERE i IS NULL) AS extra_count,
-  CASE WHEN count(*) FILTER (WHERE b IS NULL) > 0 THEN 'LABELS_MISSING' WHEN count(*) FILTER (WHERE i IS NULL) > 0 THEN 'LABELS_EXTRA' ELSE 'ok' END AS status_code FROM j GROUP BY reveal_case""")
+a AS (SELECT reveal_case, item, count(*) AS i FROM cases GROUP BY ALL), l AS (SELECT reveal_case, item, 1 AS b FROM truth, kinds),
+j AS (SELECT reveal_case, item, i, b FROM a FULL JOIN l USING (reveal_case, item)),
+n AS (SELECT reveal_case, coalesce(sum(b), 0)::BIGINT AS label_count, 0::BIGINT AS invalid_count, 0::BIGINT AS duplicate_count, count(*) FILTER (WHERE i > 1) AS item_duplicate_count,
+  count(*) FILTER (WHERE b IS NULL) AS missing_count, count(*) FILTER (WHERE i IS NULL) AS extra_count, count(*) FILTER (WHERE reveal_case = 'moved' AND item % 7 = 0 AND i IS NOT NULL AND b IS NOT NULL) AS moved_count FROM j GROUP BY reveal_case)
+SELECT *, CASE WHEN item_duplicate_count > 0 THEN 'ITEMS_DUPLICATE' WHEN missing_count > 0 THEN 'LABELS_MISSING' WHEN extra_count > 0 THEN 'LABELS_EXTRA' WHEN moved_count > 0 THEN 'LABELS_MISORDERED' ELSE 'ok' END AS status_code FROM n""")
 def reveal_status(spark, sf_dir):
-    labels, docs = I.labels(spark, sf_dir), I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"))
+    """A complete join, and joins that miss, repeat or move items."""
+    labels = I.labels(spark, sf_dir).withColumn("place", F.col("item"))
+    docs = I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.col("doc_id").alias("place"))
     known = docs.join(labels, "item", "left_semi")
+    moved = known.withColumn("place", F.when(F.col("item") % 7 == 0, -1).otherwise(F.col("place")))
+    cases = (("complete", known), ("all_documents", docs), ("fewer_items", known.where("item % 2 = 0")), ("moved", moved), ("repeated", known.unionByName(known.where("item % 5 = 0"))))
     out = None
-    for name, items in (("complete", known), ("all_documents", docs), ("fewer_items", known.where("item % 2 = 0"))):
-        one = ev.reveal_status(items, labels).withColumn("reveal_case", F.lit(name))
+    for name, items in cases:
+        one = ev.reveal_status(items, labels, order="place").withColumn("reveal_case", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -147,18 +155,22 @@ def latency_pass_contiguity(spark, sf_dir):
     return contracts.contiguity(I.observations(spark, sf_dir), ["method", "item"], "pass_index")
 
 
-@query("derived_durations", f"""WITH {I.OBSERVATIONS_SQL} SELECT event_id, method, CASE WHEN method = 'click' THEN coalesce(adapter, 0) + duration WHEN adapter IS NULL THEN duration END AS total_duration, method <> 'click' AND adapter IS NOT NULL AS adapter_forbidden
+@query("derived_durations", f"""WITH {I.OBSERVATIONS_SQL} SELECT event_id, method, CASE WHEN method = 'click' AND adapter IS NOT NULL THEN adapter + duration WHEN method <> 'click' AND adapter IS NULL THEN duration END AS total_duration,
+  (method = 'click') = (adapter IS NULL) AS times_contradict
 FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN duration / 4 END AS adapter FROM observations)""")
 def derived_durations(spark, sf_dir):
     """Adapter and scorer time add up for the one method that has an adapter; elsewhere an adapter time is an error."""
     o = I.observations(spark, sf_dir).withColumn("adapter", F.when(F.col("event_id") % 3 == 0, F.col("duration") / 4))
-    own = F.col("method") == "click"
-    return o.select("event_id", "method", F.when(own, F.coalesce("adapter", F.lit(0.0)) + F.col("duration")).when(F.col("adapter").isNull(), F.col("duration")).alias("total_duration"), (~own & F.col("adapter").isNotNull()).alias("adapter_forbidden"))
+    total, wrong = sc.total_duration(F.col("method"), F.col("adapter"), F.col("duration"), ("click",))
+    return o.select("event_id", "method", total.alias("total_duration"), wrong.alias("times_contradict"))
 
 
 FACTS_SQL = f"""{CONFUSION_SQL}, {LATENCY_SQL.replace('latency AS', 'latency_by_event AS')},
 p95 AS (SELECT quantile_disc(duration, 0.95) AS p95_duration, round(median(duration), 9) AS median_duration FROM observations),
-facts AS (SELECT method, fpr, recall, p95_duration, median_duration, 20.0::DOUBLE AS reference_count, 0.0::DOUBLE AS anomaly_training_labels, 1.0::DOUBLE AS reproduced FROM metrics, p95),
+refs AS (SELECT item FROM calibration GROUP BY item ORDER BY sha256('scoregate:42:' || item), item LIMIT 20),
+trained AS (SELECT count(*)::DOUBLE AS reference_count, (count(*) FILTER (WHERE item IN (SELECT item FROM truth WHERE true_class = 'anomaly')))::DOUBLE AS anomaly_training_labels FROM refs),
+again AS (SELECT method, CASE WHEN bool_or(method = 'template_residual' AND item % 50 = 3) THEN 0.0 ELSE 1.0 END::DOUBLE AS reproduced FROM final_test GROUP BY method),
+facts AS (SELECT method, fpr, recall, p95_duration, median_duration, reference_count, anomaly_training_labels, reproduced FROM metrics JOIN again USING (method), p95, trained),
 gates AS (SELECT method, g.gate_order, g.gate, g.comparison, g.gate_limit, CASE g.gate_order WHEN 1 THEN fpr WHEN 2 THEN recall WHEN 3 THEN p95_duration WHEN 4 THEN reference_count WHEN 5 THEN anomaly_training_labels ELSE reproduced END AS measured
   FROM facts, (VALUES (1, 'normal_fpr', '<=', 0.05::DOUBLE), (2, 'anomaly_recall', '>=', 0.9::DOUBLE), (3, 'cpu_p95', '<=', 1.0::DOUBLE), (4, 'normal_references', '<=', 20.0::DOUBLE), (5, 'no_anomaly_training', '<=', 0.0::DOUBLE), (6, 'reproducible', '>=', 1.0::DOUBLE)) g(gate_order, gate, comparison, gate_limit)),
 gated AS (SELECT *, CASE WHEN comparison = '<=' THEN measured <= gate_limit ELSE measured >= gate_limit END AS passed FROM gates)"""
@@ -167,8 +179,17 @@ gated AS (SELECT *, CASE WHEN comparison = '<=' THEN measured <= gate_limit ELSE
 def facts(spark, sf_dir):
     """What the gates measure, a row for each method."""
     overall = ev.latency(I.observations(spark, sf_dir).withColumn("all", F.lit(1)), ["all"]).select("p95_duration", F.round("median_duration", 9).alias("median_duration"))
-    m = confusion_metrics(spark, sf_dir).select("method", "fpr", "recall")
-    return m.join(F.broadcast(overall), F.lit(True)).withColumns({"reference_count": F.lit(20.0), "anomaly_training_labels": F.lit(0.0), "reproduced": F.lit(1.0)})
+    cal, fin = staged(I.calibration(spark, sf_dir)), staged(I.final_test(spark, sf_dir))
+    shown = ev.reveal(sc.classify(fin, sc.thresholds(cal)), I.labels(spark, sf_dir))
+    m = ev.confusion(shown).select("method", *(F.round(c, 9).alias(c) for c in ("fpr", "recall")))
+    references = partition.first_by_digest(cal.select("item").distinct(), I.NAMESPACE, I.SEED, "item", 20)
+    truth = I.labels(spark, sf_dir).select("item", (F.col("true_class") == "anomaly").alias("anomaly"))
+    trained = references.join(truth, "item", "left").agg(F.count(F.lit(1)).cast("double").alias("reference_count"), F.count_if("anomaly").cast("double").alias("anomaly_training_labels"))
+    # The second scoring run differs in some items of one method.
+    off = (F.col("method") == "template_residual") & (F.col("item") % 50 == 3)
+    repeated = reproduce.reproduction_summary(reproduce.compared(fin, fin.withColumn("score", F.when(off, F.col("score") + 0.5).otherwise(F.col("score"))), ["method", "item"]))
+    repeated = repeated.select("method", F.col("reproduced").cast("double").alias("reproduced"))
+    return staged(m.join(repeated, "method").join(F.broadcast(overall), F.lit(True)).join(F.broadcast(trained), F.lit(True)))
 
 
 @query("hard_gates", f"WITH {FACTS_SQL} SELECT method, gate_order, gate, measured, comparison, gate_limit, passed FROM gated")
@@ -187,9 +208,9 @@ summary AS (SELECT method, bool_and(passed) AS all_passed, first(gate ORDER BY g
 decisions AS (SELECT s.*, leakage, contradicted, guardrail, condition, CASE WHEN leakage OR NOT all_passed OR contradicted THEN 'REJECT' WHEN guardrail THEN 'ADOPT WITH CONDITIONS' ELSE 'ADOPT' END AS decision, guardrail = (condition IS NOT NULL) AS evidence_valid FROM summary s JOIN evidence USING (method))"""
 
 
-def decisions(spark, sf_dir):
+def decisions(spark, sf_dir, measured=None):
     evidence = spark.createDataFrame([("bank_nn", False, False, False, None), ("position_zscore", False, False, True, "watch drift"), ("template_residual", False, True, False, None)], "method string, leakage boolean, contradicted boolean, guardrail boolean, condition string")
-    return ev.decide(ev.gates(facts(spark, sf_dir)), evidence)
+    return ev.decide(ev.gates(measured or facts(spark, sf_dir)), evidence)
 
 
 @query("method_decision", f"WITH {DECISION_SQL} SELECT * FROM decisions")
@@ -197,11 +218,12 @@ def method_decision(spark, sf_dir):
     return decisions(spark, sf_dir)
 
 
-@query("method_selection", f"""WITH {DECISION_SQL}, c AS (SELECT d.method, decision, recall, fpr, p95_duration, median_duration, length(d.method) AS complexity, CASE decision WHEN 'ADOPT' THEN 0 WHEN 'ADOPT WITH CONDITIONS' THEN 1 ELSE 2 END AS k FROM decisions d JOIN facts USING (method)),
+@query("method_selection", f"""WITH {DECISION_SQL}, c AS (SELECT d.method, decision, recall, fpr, p95_duration, median_duration, CASE d.method WHEN 'template_residual' THEN 1 WHEN 'position_zscore' THEN 2 ELSE 3 END AS complexity, CASE decision WHEN 'ADOPT' THEN 0 WHEN 'ADOPT WITH CONDITIONS' THEN 1 ELSE 2 END AS k FROM decisions d JOIN facts USING (method)),
 p AS (SELECT *, row_number() OVER w AS preference, first(decision) OVER w AS best FROM c WINDOW w AS (ORDER BY k, recall DESC, fpr, p95_duration, median_duration, complexity, method))
 SELECT method, decision, recall, fpr, preference, CASE WHEN min(k) OVER () = 2 THEN 'REJECT' ELSE best END AS project_decision FROM p""")
 def method_selection(spark, sf_dir):
-    c = decisions(spark, sf_dir).join(facts(spark, sf_dir), "method").withColumn("complexity", F.length("method"))
+    measured = facts(spark, sf_dir)
+    c = decisions(spark, sf_dir, measured).join(measured, "method").withColumn("complexity", ev.complexity(F.col("method"), ["template_residual", "position_zscore", "bank_nn"]))
     return ev.select_method(c).select("method", "decision", "recall", "fpr", "preference", "project_decision")
 
 
@@ -212,40 +234,68 @@ def candidate_preference(spark, sf_dir):
     return ev.prefer(t, "supplier", ["N", "A", "R"])
 
 
-@query("metrics_latency_join", f"WITH {FACTS_SQL} SELECT method, true_positive + false_negative + true_negative + false_positive AS item_count, fpr, recall, p95_duration FROM metrics, p95")
+@query("metrics_latency_join", f"""WITH {CONFUSION_SQL}, lat AS (SELECT method, count(*) + CASE WHEN method = 'bank_nn' THEN 0 ELSE 1 END AS timed_items, quantile_disc((item * 7) % 1000, 0.95)::BIGINT AS p95_duration FROM final_test WHERE method <> 'template_residual' GROUP BY method)
+SELECT m.method, true_positive + false_negative + true_negative + false_positive AS item_count, timed_items, fpr, recall, p95_duration,
+  CASE WHEN timed_items IS NULL THEN 'latency_missing' WHEN timed_items <> true_positive + false_negative + true_negative + false_positive THEN 'item_count' ELSE 'ok' END AS evidence_state FROM metrics m LEFT JOIN lat ON lat.method = m.method""")
 def metrics_latency_join(spark, sf_dir):
-    m, f = confusion_metrics(spark, sf_dir), facts(spark, sf_dir).select("method", "p95_duration")
-    return m.join(f, "method").select("method", F.expr("true_positive + false_negative + true_negative + false_positive").alias("item_count"), "fpr", "recall", "p95_duration")
+    """One method's latency covers an item too many, another's is missing."""
+    m = confusion_metrics(spark, sf_dir).withColumn("item_count", F.expr("true_positive + false_negative + true_negative + false_positive"))
+    fin = I.final_test(spark, sf_dir).where("method <> 'template_residual'").select("method", "item", "score_status", ((F.col("item") * 7) % 1000).alias("duration"))
+    timed = ev.latency(fin, ["method"]).select("method", (F.col("observation_count") + F.when(F.col("method") == "bank_nn", 0).otherwise(1)).alias("item_count"), "p95_duration")
+    return ev.metrics_with_latency(m, timed).select("method", "item_count", "timed_items", "fpr", "recall", "p95_duration", "evidence_state")
 
 
-@query("semantic_violations", f"""WITH {I.CLASSIFIED_SQL} SELECT method, item, 'flag' AS rule FROM classified WHERE item % 10 = 0""")
+@query("semantic_violations", f"""WITH {I.CLASSIFIED_SQL} SELECT method, item, unnest(CASE item % 10 WHEN 0 THEN ['flag', 'class'] WHEN 1 THEN ['margin'] WHEN 2 THEN ['class'] ELSE ['reason'] END) AS rule FROM classified WHERE item % 10 < 4""")
 def semantic_violations(spark, sf_dir):
-    """Every tenth row has its flag turned: each is reported."""
-    return contracts.semantic_violations(I.classified(spark, sf_dir).withColumn("is_anomalous", F.col("is_anomalous") != (F.col("item") % 10 == 0)))
+    """Of ten rows one has its flag turned, one its margin moved, one its class turned, one its reason lost."""
+    k = F.col("item") % 10
+    rows = I.classified(spark, sf_dir).withColumns({
+        "score_margin": F.when(k == 1, F.col("score_margin") + 1).otherwise(F.col("score_margin")),
+        "predicted_class": F.when(k == 2, F.when(F.col("is_anomalous"), "normal").otherwise("anomaly")).otherwise(F.col("predicted_class")),
+        "decision_reason": F.when(k != 3, F.col("decision_reason")),
+        "is_anomalous": F.col("is_anomalous") != (k == 0),
+    })
+    return contracts.semantic_violations(rows)
 
 
-@query("summary_violations", f"WITH {CONFUSION_SQL} SELECT method, 'counts' AS rule FROM confusion WHERE method <> 'bank_nn'")
+BROKEN = ("none", "counts", "fpr", "recall", "failures_not_anomalous", "rank")
+
+
+@query("summary_violations", f"WITH {CONFUSION_SQL} SELECT method || ':' || v AS method, v AS rule FROM confusion, (VALUES ('counts'), ('fpr'), ('recall'), ('failures_not_anomalous'), ('rank')) t(v)")
 def summary_violations(spark, sf_dir):
-    m = ev.confusion(I.revealed(spark, sf_dir))
+    """Each method's summary as it is, and with one fact wrong at a time: each rule is broken once for each method."""
+    m = ev.confusion(I.revealed(spark, sf_dir)).withColumn("v", F.explode(F.array(*map(F.lit, BROKEN))))
     n = F.expr("true_positive + false_negative + true_negative + false_positive")
-    return contracts.summary_violations(m.withColumn("item_count", n + F.when(F.col("method") == "bank_nn", 0).otherwise(1)))
+    off = lambda rule, by: F.when(F.col("v") == rule, by).otherwise(F.lit(0))
+    return contracts.summary_violations(m.select(
+        F.concat("method", F.lit(":"), "v").alias("method"), "true_positive", "false_negative", "true_negative", "false_positive",
+        (n + off("counts", 1)).alias("item_count"), (F.col("fpr") + off("fpr", 0.1)).alias("fpr"), (F.col("recall") + off("recall", 0.1)).alias("recall"),
+        F.when(F.col("v") == "failures_not_anomalous", F.expr("true_positive + false_positive + 1")).otherwise(F.col("score_failures")).alias("score_failures"),
+        n.alias("observation_count"), (F.ceil(F.lit(0.95) * n) + off("rank", 1)).alias("p95_rank"),
+    ))
 
 
-REPRO_SQL = f"""{I.SCORES_SQL}, cmp AS (SELECT method, item, score_status AS expected_score_status, failure_code AS expected_failure_code, score AS expected_score, score_status AS reproduced_score_status, failure_code AS reproduced_failure_code,
-  CASE WHEN item % 50 = 3 THEN score + 0.5 ELSE score END AS reproduced_score FROM scores)"""
+REPRO_SQL = f"""{I.SCORES_SQL}, again AS (SELECT method, CASE WHEN item % 50 = 6 THEN -item ELSE item END AS item, score_status, failure_code, CASE WHEN item % 50 = 3 THEN score + 0.5 ELSE score END AS score FROM scores WHERE item % 50 <> 4),
+cmp AS (SELECT method, item, s.score_status AS expected_score_status, s.failure_code AS expected_failure_code, s.score AS expected_score, a.score_status AS reproduced_score_status, a.failure_code AS reproduced_failure_code, a.score AS reproduced_score,
+  CASE WHEN a.score IS NULL THEN 'absent' WHEN s.score IS NULL THEN 'extra' ELSE 'compared' END AS pair_state, abs(s.score - a.score) AS absolute_difference, coalesce(abs(s.score - a.score) <= 1e-6, false) AS within_tolerance
+  FROM scores s FULL JOIN again a USING (method, item))"""
 
 
 def _repeat(spark, sf_dir):
+    """A second run that misses some items, has others instead, and scores some differently."""
     s = I.scores(spark, sf_dir)
-    return reproduce.compared(s, s.withColumn("score", F.when(F.col("item") % 50 == 3, F.col("score") + 0.5).otherwise(F.col("score"))), ["method", "item"])
+    k = F.col("item") % 50
+    again = s.where(k != 4).withColumns({"score": F.when(k == 3, F.col("score") + 0.5).otherwise(F.col("score")), "item": F.when(k == 6, -F.col("item")).otherwise(F.col("item"))})
+    return reproduce.compared(s, again, ["method", "item"])
 
 
-@query("score_reproduction", f"WITH {REPRO_SQL} SELECT *, abs(expected_score - reproduced_score) AS absolute_difference, abs(expected_score - reproduced_score) <= 1e-6 AS within_tolerance FROM cmp")
+@query("score_reproduction", f"WITH {REPRO_SQL} SELECT * FROM cmp")
 def score_reproduction(spark, sf_dir):
     return _repeat(spark, sf_dir)
 
 
-@query("reproduction_summary", f"WITH {REPRO_SQL} SELECT method, count(*) AS compared_count, max(abs(expected_score - reproduced_score)) AS max_difference, bool_and(abs(expected_score - reproduced_score) <= 1e-6) AS reproduced FROM cmp GROUP BY method")
+@query("reproduction_summary", f"""WITH {REPRO_SQL} SELECT method, count(*) FILTER (WHERE pair_state = 'compared') AS compared_count, count(*) FILTER (WHERE pair_state = 'absent') AS absent_count, count(*) FILTER (WHERE pair_state = 'extra') AS extra_count,
+  max(absolute_difference) AS max_difference, bool_and(within_tolerance) AS reproduced FROM cmp GROUP BY method""")
 def reproduction_summary(spark, sf_dir):
     return reproduce.reproduction_summary(_repeat(spark, sf_dir))
 
@@ -255,12 +305,25 @@ def first_items(spark, sf_dir):
     return reproduce.first_items(I.scores(spark, sf_dir), 10).select("method", "item", "score", "item_order")
 
 
-@query("recomputed_tables", f"WITH {I.CALIBRATION_SQL} SELECT method, CASE WHEN k = 1 THEN 'stored_only' ELSE 'fresh_only' END AS side, 'thresholds' AS table_name FROM cuts, (VALUES (1), (2)) s(k) WHERE method = 'bank_nn'")
+@query("recomputed_tables", f"""WITH {RANKING_SQL}, t AS (SELECT method, 'thresholds' AS table_name FROM cuts UNION ALL SELECT method, 'metrics' FROM (SELECT DISTINCT method FROM revealed) UNION ALL SELECT DISTINCT method, 'decision' FROM revealed),
+wrong AS (SELECT method, table_name FROM t WHERE method = 'bank_nn' UNION ALL SELECT method, 'classes' FROM classified WHERE item % 10 = 0 UNION ALL SELECT method, 'reveal' FROM revealed WHERE item % 10 = 1)
+SELECT table_name, side, method, count(*) AS row_count FROM wrong, (VALUES ('stored_only'), ('fresh_only')) s(side) GROUP BY ALL
+UNION ALL SELECT 'cases', 'stored_only', method, count(*) FROM (SELECT method, CASE WHEN true_class = 'normal' AND is_anomalous THEN 'fp' WHEN true_class = 'anomaly' AND NOT is_anomalous THEN 'fn' END AS k, row_number() OVER (PARTITION BY method, CASE WHEN true_class = 'normal' AND is_anomalous THEN 'fp' WHEN true_class = 'anomaly' AND NOT is_anomalous THEN 'fn' END ORDER BY item) AS r FROM revealed) WHERE k IS NOT NULL AND r = 1 GROUP BY method
+UNION ALL SELECT 'cases', 'fresh_only', method, count(*) FROM (SELECT method, CASE WHEN true_class = 'normal' AND is_anomalous THEN 'fp' WHEN true_class = 'anomaly' AND NOT is_anomalous THEN 'fn' END AS k, row_number() OVER (PARTITION BY method, CASE WHEN true_class = 'normal' AND is_anomalous THEN 'fp' WHEN true_class = 'anomaly' AND NOT is_anomalous THEN 'fn' END ORDER BY item) AS r FROM revealed) WHERE k IS NOT NULL AND r = 1 GROUP BY method""")
 def recomputed_tables(spark, sf_dir):
-    """A stored threshold table with one changed row, against its recomputation."""
-    fresh = sc.thresholds(I.calibration(spark, sf_dir))
-    stored = fresh.withColumn("threshold", F.when(F.col("method") == "bank_nn", F.col("threshold") + 1).otherwise(F.col("threshold")))
-    return reproduce.recomputed_violations(stored, fresh, "thresholds").select(F.get_json_object("row_json", "$.method").alias("method"), "side", "table_name")
+    """All tables of an evaluation, each with some rows changed, against their recomputation from the scores."""
+    cal, fin, labels = staged(I.calibration(spark, sf_dir)), staged(I.final_test(spark, sf_dir)), I.labels(spark, sf_dir)
+    fresh = reproduce.evaluation_tables(cal, fin, labels)
+    bank, k = F.col("method") == "bank_nn", F.col("item") % 10
+    stored = dict(fresh)
+    stored["thresholds"] = fresh["thresholds"].withColumn("threshold", F.when(bank, F.col("threshold") + 1).otherwise(F.col("threshold")))
+    stored["classes"] = fresh["classes"].withColumn("is_anomalous", F.col("is_anomalous") != (k == 0))
+    stored["reveal"] = fresh["reveal"].withColumn("true_class", F.when(k == 1, "unknown").otherwise(F.col("true_class")))
+    stored["metrics"] = fresh["metrics"].withColumn("true_positive", F.col("true_positive") + bank.cast("int"))
+    stored["cases"] = fresh["cases"].withColumn("score", F.when(F.col("case_rank") == 1, F.col("score") + 1).otherwise(F.col("score")))
+    stored["decision"] = fresh["decision"].withColumn("decision", F.when(bank, "ADOPT").otherwise(F.col("decision")))
+    out = reproduce.recomputed_all(stored, fresh)
+    return out.select("table_name", "side", F.get_json_object("row_json", "$.method").alias("method")).groupBy("table_name", "side", "method").agg(F.count(F.lit(1)).alias("row_count"))
 
 
 PASSES = "passes AS (SELECT method, item, p, score_status, failure_code, score + CASE WHEN p = 2 AND item % 100 = 1 THEN 1e-3 ELSE 0 END AS score, (item * 7 + p) % 1000 AS duration FROM final_test, (VALUES (0), (1), (2)) q(p))"
@@ -283,28 +346,29 @@ def all_method_scores(spark, sf_dir):
     return s.groupBy("method").agg(F.count(F.lit(1)).alias("item_count"), F.round(F.sum(F.when(F.col("score_status") == "ok", F.col("score"))), 6).alias("score_total"))
 
 
-@query("diagnostics_json", f"WITH {I.CLASSIFIED_SQL} SELECT method, item, json_object('is_anomalous', is_anomalous, 'item', item, 'reason', decision_reason)::VARCHAR AS diagnostics_json FROM classified")
+@query("diagnostics_json", f"""WITH {I.CLASSIFIED_SQL} SELECT method, item, CASE method WHEN 'bank_nn' THEN '{{"is_anomalous":' || is_anomalous || ',"reason":"' || decision_reason || '"}}' WHEN 'position_zscore' THEN '{{"code":' || coalesce('"' || failure_code || '"', 'null') || ',"item":' || item || '}}' END AS diagnostics_json FROM classified""")
 def diagnostics_json(spark, sf_dir):
-    c = I.classified(spark, sf_dir)
-    return c.select("method", "item", F.to_json(F.struct("is_anomalous", "item", F.col("decision_reason").alias("reason")), {"ignoreNullFields": "false"}).alias("diagnostics_json"))
+    """Each method's own fields, sorted; one method has none."""
+    packed = {"bank_nn": {"reason": F.col("decision_reason"), "is_anomalous": F.col("is_anomalous")}, "position_zscore": {"item": F.col("item"), "code": F.col("failure_code")}}
+    return I.classified(spark, sf_dir).select("method", "item", sc.diagnostics(F.col("method"), packed).alias("diagnostics_json"))
 
 
 @query("stage_guard", f"""WITH {I.CALIBRATION_SQL}, st AS (
-  SELECT 1 AS stage_order, 'calibration' AS stage, count(*) AS expected_count, count(*) AS observed_count FROM calibration UNION ALL
-  SELECT 2, 'scoring', count(*), count(*) FILTER (WHERE item % 2 = 0) FROM final_test UNION ALL SELECT 3, 'reveal', count(*), 0 FROM final_test UNION ALL SELECT 4, 'decision', 3, 3 FROM cuts WHERE method = 'bank_nn'),
+  SELECT 1 AS stage_order, 'calibration' AS stage, count(*) AS expected_count, count(*) AS observed_count, true AS agree FROM calibration UNION ALL
+  SELECT 2, 'scoring', count(*), count(*), count(*) FILTER (WHERE item % 100 = 1) = 0 FROM final_test UNION ALL SELECT 3, 'reveal', count(*), 0, false FROM final_test UNION ALL SELECT 4, 'decision', 3, 3, true FROM cuts WHERE method = 'bank_nn'),
 g AS (SELECT *, min(CASE WHEN observed_count = 0 THEN stage_order END) OVER () AS gap FROM st)
-SELECT stage_order, stage, expected_count, observed_count, CASE WHEN observed_count > 0 AND stage_order > gap THEN 'ran_early' WHEN observed_count = 0 THEN 'due' WHEN observed_count <> expected_count THEN 'disagrees' ELSE 'done' END AS stage_state FROM g""")
+SELECT stage_order, stage, expected_count, observed_count, CASE WHEN observed_count > 0 AND stage_order > gap THEN 'ran_early' WHEN observed_count = 0 THEN 'due' WHEN observed_count <> expected_count OR NOT agree THEN 'disagrees' ELSE 'done' END AS stage_state FROM g""")
 def stage_guard(spark, sf_dir):
-    n = F.count(F.lit(1))
-    cal, fin = I.calibration(spark, sf_dir), I.final_test(spark, sf_dir)
-    rows = [
-        cal.agg(n.alias("expected_count"), n.alias("observed_count")).select(F.lit(1).alias("stage_order"), F.lit("calibration").alias("stage"), "*"),
-        fin.agg(n.alias("expected_count"), F.count_if(F.col("item") % 2 == 0).alias("observed_count")).select(F.lit(2).alias("stage_order"), F.lit("scoring").alias("stage"), "*"),
-        fin.agg(n.alias("expected_count"), F.lit(0).cast("long").alias("observed_count")).select(F.lit(3).alias("stage_order"), F.lit("reveal").alias("stage"), "*"),
-        sc.thresholds(cal).agg(n.alias("expected_count"), n.alias("observed_count")).select(F.lit(4).alias("stage_order"), F.lit("decision").alias("stage"), "*"),
-    ]
-    st = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
-    return reproduce.stage_guard(st.withColumn("digests_agree", F.lit(True))).drop("digests_agree")
+    """A stage that is done, one of as many rows with another digest, one that is due, and one that ran early."""
+    cal, fin = staged(I.calibration(spark, sf_dir)), staged(I.final_test(spark, sf_dir))
+    moved = fin.withColumn("score", F.when(F.col("item") % 100 == 1, F.col("score") + 1).otherwise(F.col("score")))
+    cuts = staged(sc.thresholds(cal))
+    stages = (("calibration", cal, cal), ("scoring", fin, moved), ("reveal", fin, fin.limit(0)), ("decision", cuts, cuts))
+    out = None
+    for i, (name, expected, observed) in enumerate(stages):
+        one = reproduce.stage_facts(expected, observed).select(F.lit(i + 1).alias("stage_order"), F.lit(name).alias("stage"), "*")
+        out = one if out is None else out.unionByName(one)
+    return reproduce.stage_guard(out).drop("digests_agree")
 
 
 @query("window_share_by_pass", f"WITH {I.OBSERVATIONS_SQL} SELECT method, pass_index, count(*) AS observation_count, count(*) FILTER (WHERE score_status = 'failed') AS failed_count FROM observations GROUP BY ALL")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scoregate.operators.inventory import ordered_digest
+from scoregate.operators.prefix import null_safe_join
 
 
 def content_digest(df: DataFrame, groups: list[str]) -> DataFrame:
@@ -17,12 +19,34 @@ def content_digest(df: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def write_bundle(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table by method under path, then the manifest: a bundle without its manifest was not finished."""
+    """Each table by method, then the manifest (type, method, path, digest, rows), all to a staging folder beside path that gets its
+    name only when everything is there: the bundle is whole or absent. An existing path is never overwritten."""
+    spark = next(iter(tables.values())).sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, staging = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"))
+    system = target.getFileSystem(conf)
+    if system.exists(target):
+        raise FileExistsError(path)
     manifests = []
-    for name, df in tables.items():
-        df.write.mode("errorifexists").partitionBy("method").parquet(f"{path}/{name}")
-        manifests.append(content_digest(df.sparkSession.read.parquet(f"{path}/{name}"), ["method"]).select(F.lit(name).alias("artifact_type"), "method", F.col("digest").alias("sha256"), F.col("line_count").alias("record_count")))
-    reduce(DataFrame.unionByName, manifests).write.mode("errorifexists").parquet(f"{path}/_bundle_manifest.parquet")
+    try:
+        for name, df in tables.items():
+            df.write.mode("errorifexists").partitionBy("method").parquet(f"{staging.toString()}/{name}")
+            held = spark.read.schema(df.schema).parquet(f"{staging.toString()}/{name}")
+            relative = F.concat(F.lit(f"{name}/method="), F.coalesce(F.col("method").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")))
+            manifests.append(content_digest(held, ["method"]).select(F.lit(name).alias("artifact_type"), "method", relative.alias("relative_path"), F.col("digest").alias("sha256"), F.col("line_count").alias("record_count")))
+        reduce(DataFrame.unionByName, manifests).orderBy("relative_path").write.mode("errorifexists").parquet(f"{staging.toString()}/_bundle_manifest.parquet")
+        if not system.rename(staging, target):
+            raise FileExistsError(path)
+    except BaseException:
+        system.delete(staging, True)
+        raise
+
+
+def bundle_violations(spark: SparkSession, path: str, schemas: dict) -> DataFrame:
+    """Entries of a bundle's manifest whose stored rows have another digest or number, with the table's schema by name."""
+    found = [content_digest(spark.read.schema(schema).parquet(f"{path}/{name}"), ["method"]).select(F.lit(name).alias("artifact_type"), "method", F.col("digest").alias("_digest"), F.col("line_count").alias("_rows")) for name, schema in schemas.items()]
+    both = null_safe_join(read_manifest(spark, path), reduce(DataFrame.unionByName, found), ["artifact_type", "method"], "full_outer")
+    return both.where(~F.col("sha256").eqNullSafe(F.col("_digest")) | ~F.col("record_count").eqNullSafe(F.col("_rows"))).select("artifact_type", "method", "relative_path")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from scoregate.operators.contracts import contiguity
 from scoregate.operators.inventory import evidence
 
 
@@ -27,11 +30,72 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.select(*sorted(df.columns)).write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
 
 
-def read_split(spark: SparkSession, path: str, category: str) -> DataFrame:
-    """Rows of a split table (object, split, label, image, mask) of one category."""
-    schema = "object string, split string, label string, image string, mask string"
-    rows = spark.read.csv(path, schema=schema, header=True, enforceSchema=False, escape='"', mode="FAILFAST")
-    return rows.where(F.col("object") == category)
+SPLIT = "object string, split string, label string, image string, mask string"
+
+
+def read_split(spark: SparkSession, path: str, category: str, sha256: str | None = None) -> DataFrame:
+    """Rows of a split table (object, split, label, image, mask) of one category, or whose image lies under it. With a digest the one
+    file at the path must have it; then each row has its source_row too, from 2, the header being row 1 (a file whose rows are
+    numbered is read by one task, as its order is)."""
+    if sha256 is not None:
+        return _numbered_split(spark, path, sha256).where(_in_category(category))
+    return spark.read.csv(path, schema=SPLIT, header=True, enforceSchema=False, escape='"', mode="FAILFAST").where(_in_category(category))
+
+
+def _in_category(category: str):
+    return F.coalesce((F.col("object") == category) | F.startswith("image", F.lit(f"{category}/")), F.lit(False))
+
+
+def _numbered_split(spark: SparkSession, path: str, sha256: str) -> DataFrame:
+    whole = spark.read.format("binaryFile").load(path).select("content", F.sha2("content", 256).alias("found"))
+    found = [r["found"] for r in whole.select("found").limit(2).collect()]
+    if found != [sha256]:
+        raise ValueError(f"{path} has the digest {found}, not {sha256}")
+    lines = F.split(F.regexp_replace(F.rtrim(F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", ""), F.lit("\r\n")), "\r\n", "\n"), "\n")
+    rows = whole.select(F.posexplode(lines).alias("at", "line"))
+    header = [part.split(" ")[0] for part in SPLIT.split(", ")]
+    wrong = F.raise_error(F.lit(f"the header of {path} isn't {','.join(header)}"))
+    parsed = rows.where((F.col("at") > 0) | F.when(F.col("line") == ",".join(header), False).otherwise(wrong)).select(
+        (F.col("at") + 1).cast("long").alias("source_row"), F.from_csv("line", SPLIT, {"escape": '"', "mode": "FAILFAST"}).alias("row")
+    )
+    return parsed.select("source_row", "row.*")
+
+
+def read_exactly(spark: SparkSession, path: str, schema: T.StructType, expected: dict, group: str = "method") -> DataFrame:
+    """A contract CSV that must hold exactly so many rows of each group ({group: rows}), no more groups and no fewer."""
+    rows = read_csv(spark, path, schema)
+    found = {r[group]: r["n"] for r in rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).limit(len(expected) + 1).collect()}
+    if found != expected:
+        raise ValueError(f"{path} holds {found} rows, not {expected}")
+    return rows
+
+
+def read_ranked(spark: SparkSession, path: str, schema: T.StructType, groups: list[str], rank: str) -> DataFrame:
+    """A contract CSV whose ranks must run from 1 without gap or repeat in each group."""
+    rows = read_csv(spark, path, schema)
+    broken = contiguity(rows, groups, rank, 1).where("not contiguous").limit(5).collect()
+    if broken:
+        raise ValueError(f"{path} has ranks that don't run from 1 in {[tuple(r[g] for g in groups) for r in broken]}")
+    return rows
+
+
+def write_json(spark: SparkSession, value: dict, path: str) -> None:
+    """One JSON document with sorted keys, in one file below path; an existing path is never overwritten. Not finite numbers are
+    refused."""
+    text = json.dumps(value, sort_keys=True, ensure_ascii=False, allow_nan=False)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(path)
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    rows = spark.read.text(path, wholetext=True).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{path} doesn't hold one document")
+    return json.loads(rows[0]["value"])
+
+
+def write_bytes(assets: DataFrame, content: str, path: str, suffix: str) -> None:
+    """Each row's text as a line of text files below path, grouped by the suffix column: what read_bytes then reads as bytes."""
+    assets.select(F.col(suffix).alias("part"), F.col(content).alias("value")).repartition("part").write.mode("errorifexists").partitionBy("part").text(path)
 
 
 def read_bytes(spark: SparkSession, path: str) -> DataFrame:
