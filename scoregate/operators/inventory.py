@@ -39,6 +39,22 @@ def lineage_intact(recorded: DataFrame, observed: DataFrame, key: str, digest: s
     return checked.agg(F.count(F.lit(1)).alias("input_count"), F.coalesce(F.bool_and(F.col("verification") == "verified"), F.lit(False)).alias("lineage_intact"))
 
 
+def lineage_by(recorded: DataFrame, observed: DataFrame, key: str, digest: str, groups: list[str]) -> DataFrame:
+    """lineage_intact for each group of recorded rows."""
+    checked = evidence(recorded.select(key, digest, *groups), observed.select(key, digest), key, [digest])
+    return checked.groupBy(*groups).agg(F.count(F.lit(1)).alias("input_count"), F.bool_and(F.col("verification") == "verified").alias("lineage_intact"))
+
+
+def split_counts(rows: DataFrame, by: list[str], kind: str) -> DataFrame:
+    """Rows and distinct kinds of each combination of columns, null being a value."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct(kind).alias("kinds"))
+
+
+def case_clashes(rows: DataFrame, name: str) -> DataFrame:
+    """Names that differ in case alone: folded, and how many spellings share it. Upper then lower case stands for full folding."""
+    return rows.where(F.col(name).isNotNull()).groupBy(F.lower(F.upper(name)).alias("folded")).agg(F.count_distinct(name).alias("name_count")).where("name_count > 1")
+
+
 def state_presence(fits: DataFrame, states: DataFrame, key: str, digest: str) -> DataFrame:
     """Where fit status and stored state disagree: a good fit without the state of its digest, a failed one with a state, a stray."""
     joined = null_safe_join(fits.select(key, "fit_status", F.col(digest).alias("_want")), states.select(key, F.col(digest).alias("_got"), F.lit(True).alias("_stored")), [key], "full_outer")

@@ -54,6 +54,11 @@ def write_split(rows: DataFrame, key: bytes, path: str, label: str, item_columns
     items.orderBy("asset_id").write.mode("errorifexists").parquet(items_root)
 
 
+def anchors(rows: DataFrame, group: str, path: str, name: str = "anchor") -> DataFrame:
+    """The first path of each group."""
+    return rows.groupBy(group).agg(F.min(path).alias(name))
+
+
 def overlapping(rows: DataFrame, key: str, partition: str) -> DataFrame:
     """Keys that stand in more than one partition, or twice in one."""
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct(partition).alias("partition_count")).where("row_count > 1")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scoregate.functions import scalars as S
-from scoregate.operators import contracts as c, inventory as inv, partition
+from scoregate.operators import contracts as c, inventory as inv, partition, prefix
 from scoregate.plans import inputs as I
 from scoregate.plans.registry import query
 from scoregate.sources import bundles, files
-from scoregate.sources.stages import stage_path as _scratch
+from scoregate.sources.stages import stage_path as _scratch, staged
 from scoregate.streaming import score_streams
 
 PATHS_SQL = "paths AS (SELECT p_partkey, p_brand AS category, p_brand || '/' || replace(p_type, ' ', '_') || '/' || p_partkey || '.JPG' AS path, p_size FROM part)"
@@ -56,15 +56,15 @@ def opaque_split(spark, sf_dir):
 
 @query("path_ordinals", f"WITH {PATHS_SQL} SELECT category, path, row_number() OVER (PARTITION BY category ORDER BY path) AS ordinal FROM paths")
 def path_ordinals(spark, sf_dir):
-    from pyspark.sql.window import Window
+    return prefix.ordinals(paths(spark, sf_dir).select("category", "path"), ["category"], ["path"])
 
-    return paths(spark, sf_dir).select("category", "path", F.row_number().over(Window.partitionBy("category").orderBy("path")).cast("long").alias("ordinal"))
 
-
-@query("category_filter", f"WITH {PATHS_SQL} SELECT path, p_size FROM paths WHERE category = 'Brand#1' OR (starts_with(path, category || '/') AND p_size > 40)")
+@query("category_filter", f"WITH {PATHS_SQL} SELECT path, p_size FROM paths WHERE category = 'Brand#1' OR starts_with(path, 'Brand#12/')")
 def category_filter(spark, sf_dir):
+    """Rows of a category by name, or by the folder of their path."""
     p = paths(spark, sf_dir)
-    return p.where((F.col("category") == "Brand#1") | (F.startswith("path", F.concat("category", F.lit("/"))) & (F.col("p_size") > 40))).select("path", "p_size")
+    named, placed = S.in_category(F.col("category"), F.lit(None).cast("string"), "Brand#1"), S.in_category(F.lit(None).cast("string"), F.col("path"), "Brand#12")
+    return p.where(named | placed).select("path", "p_size")
 
 
 @query("safe_paths", """WITH t AS (SELECT page_id, url AS path FROM pages UNION ALL SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN source || '/a.JPG' WHEN 1 THEN '/' || source WHEN 2 THEN '../' || source WHEN 3 THEN source || '/../x' WHEN 4 THEN source || '\\x' ELSE NULL END FROM documents)
@@ -77,17 +77,21 @@ def safe_paths(spark, sf_dir):
     return t.select("item", S.safe_relative_path(F.col("path")).alias("is_safe"), S.safe_relative_path(F.col("path"), True).alias("is_safe_strict"))
 
 
-@query("split_rule_violations", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_orderpriority LIKE '1%' THEN 'train_not_normal' WHEN o_orderstatus NOT IN ('F', 'O', 'P') THEN 'unknown_split' END AS rule FROM orders WHERE (o_orderstatus = 'F' AND o_orderpriority LIKE '1%') OR o_orderstatus NOT IN ('F', 'O', 'P')")
+@query("split_rule_violations", """WITH r AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'train' WHEN 'O' THEN 'test' ELSE 'other' END AS split, CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'anomaly' WHEN '2' THEN NULL WHEN '3' THEN 'odd' ELSE 'normal' END AS label FROM orders)
+SELECT o_orderkey, CASE split WHEN 'train' THEN 'train_not_normal' WHEN 'test' THEN 'test_label_unknown' ELSE 'unknown_split' END AS rule FROM r
+WHERE split = 'other' OR (split = 'train' AND label IS DISTINCT FROM 'normal') OR (split = 'test' AND (label IS NULL OR label NOT IN ('normal', 'anomaly')))""")
 def split_rule_violations(spark, sf_dir):
-    """Orders as split rows: finished ones are training, urgent ones are anomalies; training rows must be normal."""
-    o = I.table(spark, sf_dir, "orders")
-    rule = S.any_code(((F.col("o_orderstatus") == "F") & F.col("o_orderpriority").startswith("1"), "train_not_normal"), (~F.col("o_orderstatus").isin("F", "O", "P"), "unknown_split"))
-    return o.select("o_orderkey", rule.alias("rule")).where("rule is not null")
+    """Orders as split rows: training rows must be normal, test rows normal or anomalies, and others are unknown."""
+    status, first = F.col("o_orderstatus"), F.substring("o_orderpriority", 1, 1)
+    split = F.when(status == "F", "train").when(status == "O", "test").otherwise("other")
+    label = F.when(first == "1", "anomaly").when(first == "3", "odd").when(first != "2", "normal")
+    rows = I.table(spark, sf_dir, "orders").select("o_orderkey", split.alias("split"), label.alias("label"))
+    return c.split_violations(rows).select("o_orderkey", "rule")
 
 
-@query("split_counts", "SELECT lang, source, count(*) AS row_count, count(DISTINCT lang || source) AS kinds FROM documents GROUP BY lang, source")
+@query("split_counts", "SELECT lang, source, count(*) AS row_count, count(DISTINCT n_chars) AS kinds FROM documents GROUP BY lang, source")
 def split_counts(spark, sf_dir):
-    return I.table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct(F.concat("lang", "source")).alias("kinds"))
+    return inv.split_counts(I.table(spark, sf_dir, "documents"), ["lang", "source"], "n_chars")
 
 
 @query("label_free_projection", "SELECT doc_id AS item, sha256(coalesce(text, '')) AS content_sha256, octet_length(encode(coalesce(text, '')))::BIGINT AS byte_count FROM documents")
@@ -123,13 +127,13 @@ def manifest_recomputation(spark, sf_dir):
     return recomputed_violations(stored, fresh, "manifest").select(F.get_json_object("row_json", "$.path").alias("path"), "side")
 
 
-ORDER_FACTS_SQL = "e AS (SELECT o_orderkey AS k, 1 AS dummy FROM orders), o AS (SELECT l_orderkey AS k, count(*) AS n, max(l_linenumber) AS m FROM lineitem GROUP BY 1)"
-
-
-@query("inventory_reconciliation", "WITH e AS (SELECT o_orderkey AS k, o_custkey % 5 AS lines FROM orders), o AS (SELECT l_orderkey AS k, count(*) AS lines FROM lineitem WHERE l_orderkey % 11 <> 0 GROUP BY 1) SELECT k AS order_key, CASE WHEN o.lines IS NULL THEN 'missing' WHEN e.lines IS NULL THEN 'extra' ELSE 'line_count' END AS diff_kind FROM e FULL JOIN o USING (k) WHERE e.lines IS DISTINCT FROM o.lines")
+@query("inventory_reconciliation", """WITH e AS (SELECT o_orderkey AS k, o_custkey % 5 AS lines FROM orders), o AS (SELECT CASE WHEN l_orderkey % 11 = 0 THEN -l_orderkey ELSE l_orderkey END AS k, count(*) AS lines FROM lineitem GROUP BY 1)
+SELECT k AS order_key, CASE WHEN o.lines IS NULL THEN 'missing' WHEN e.lines IS NULL THEN 'extra' ELSE 'line_count' END AS diff_kind FROM e FULL JOIN o USING (k) WHERE e.lines IS DISTINCT FROM o.lines""")
 def inventory_reconciliation(spark, sf_dir):
+    """Orders against what their lines say, some of which stand under a key that no order has."""
     e = I.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_key"), (F.col("o_custkey") % 5).alias("line_count"))
-    o = I.table(spark, sf_dir, "lineitem").where("l_orderkey % 11 <> 0").groupBy(F.col("l_orderkey").alias("order_key")).agg(F.count(F.lit(1)).alias("line_count"))
+    key = F.when(F.col("l_orderkey") % 11 == 0, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")).alias("order_key")
+    o = I.table(spark, sf_dir, "lineitem").groupBy(key).agg(F.count(F.lit(1)).alias("line_count"))
     return inv.reconcile(e, o, "order_key", ["line_count"])
 
 
@@ -139,10 +143,15 @@ def evidence_identity(spark, sf_dir):
     return inv.evidence(d, I.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item"), "quality"), "item", ["quality"]).select("item", "verification")
 
 
-@query("lineage_digests", "SELECT count(*) AS input_count, bool_and(md5(coalesce(text, '')) = md5(coalesce(text, ''))) AS lineage_intact FROM documents")
+@query("lineage_digests", """WITH d AS (SELECT lang, md5(coalesce(text, '')) AS a, md5(coalesce(text, '') || CASE WHEN lang = 'es' AND doc_id % 10 = 0 THEN 'x' ELSE '' END) AS b FROM documents)
+SELECT lang, count(*) AS input_count, bool_and(a = b) AS lineage_intact FROM d GROUP BY lang""")
 def lineage_digests(spark, sf_dir):
-    d = I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
-    return inv.lineage_intact(d, d, "item", "digest")
+    """Digests recorded of the documents against those of a written copy, in which some texts of one language were changed."""
+    changed = (F.col("lang") == "es") & (F.col("doc_id") % 10 == 0)
+    docs = I.table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    copy = staged(docs.withColumn("text", F.when(changed, F.concat("text", F.lit("x"))).otherwise(F.col("text"))))
+    digests = lambda df: df.select(F.col("doc_id").alias("item"), "lang", F.md5("text").alias("digest"))
+    return inv.lineage_by(digests(docs), digests(copy), "item", "digest", ["lang"])
 
 
 @query("preflight_conditions", """WITH f AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'size' WHEN doc_id % 3 = 1 THEN 'lang' ELSE 'source' END AS gate, n_chars >= 0 AND (doc_id % 3 <> 1 OR lang <> 'es') AS ok FROM documents),
@@ -183,9 +192,12 @@ def inventory_totals(spark, sf_dir):
     return inv.totals(I.table(spark, sf_dir, "documents"), F.col("source"), "n_chars")
 
 
-@query("array_inventory", "SELECT label, count(*) AS array_count, sum(len(embedding))::BIGINT AS element_count, true AS all_finite, sum(len(embedding))::BIGINT * 4 AS byte_count FROM embeddings GROUP BY label")
+@query("array_inventory", "SELECT label, count(*) AS array_count, sum(len(embedding))::BIGINT AS element_count, bool_and(vec_id % 40 <> 3) AS all_finite, sum(len(embedding))::BIGINT * 4 AS byte_count FROM embeddings GROUP BY label")
 def array_inventory(spark, sf_dir):
-    return inv.array_inventory(I.table(spark, sf_dir, "embeddings"), "label", "embedding")
+    """Embeddings by label, some with a component that isn't a number."""
+    e = F.col("embedding")
+    broken = F.when(F.col("vec_id") % 40 == 3, F.concat(F.slice(e, 2, F.greatest(F.size(e) - 1, F.lit(0))), F.array(F.lit(float("nan")).cast("float")))).otherwise(e)
+    return inv.array_inventory(I.table(spark, sf_dir, "embeddings").withColumn("embedding", broken), "label", "embedding")
 
 
 KIND_SQL = "k AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_brand || '/LICENSE.txt' WHEN 1 THEN p_brand || '/lib' || p_partkey || '.so.1' WHEN 2 THEN 'NOTICE' WHEN 3 THEN p_brand || '/AUTHORS' ELSE p_brand || '/a.py' END AS path FROM part)"
@@ -214,13 +226,22 @@ def reachability_closure(spark, sf_dir):
     return inv.closure(e.where("src like 'c%'").select(F.col("src").alias("node")), e)
 
 
-@query("dependency_roles", f"""WITH RECURSIVE {EDGES_SQL}, nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), a AS (SELECT src AS node FROM edges WHERE src LIKE 'c%' UNION SELECT dst FROM a JOIN edges ON src = node), b AS (SELECT src AS node FROM edges WHERE src LIKE 's%' AND length(src) < 4 UNION SELECT dst FROM b JOIN edges ON src = node)
+@query("dependency_roles", f"""WITH RECURSIVE {EDGES_SQL}, nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), a AS (SELECT src AS node FROM edges WHERE src LIKE 'c%' UNION SELECT dst FROM a JOIN edges ON src = node), b AS (SELECT src AS node FROM edges WHERE src IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal > 5000) UNION SELECT dst FROM b JOIN edges ON src = node)
 SELECT node, CASE WHEN node IN (SELECT node FROM a) THEN 'runtime' WHEN node IN (SELECT node FROM b) THEN 'development' ELSE 'orphan' END AS role FROM nodes""")
 def dependency_roles(spark, sf_dir):
     e = _edges(spark, sf_dir)
     nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
-    start = lambda like: e.where(like).select(F.col("src").alias("node"))
-    return inv.roles(nodes, inv.closure(start("src like 'c%'"), e), inv.closure(start("src like 's%' and length(src) < 4"), e))
+    rich = I.table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
+    return inv.roles(nodes, inv.closure(e.where("src like 'c%'").select(F.col("src").alias("node")), e), inv.closure(rich, e, nodes))
+
+
+@query("missing_nodes", f"""WITH {EDGES_SQL}, nodes AS (SELECT src AS node FROM edges WHERE src NOT LIKE 'n1%' UNION SELECT dst FROM edges WHERE dst NOT LIKE 'r%' AND dst NOT LIKE 'n1%'),
+a AS (SELECT src AS node, 'root' AS role FROM edges WHERE src LIKE 'c%' UNION SELECT src, 'src' FROM edges UNION SELECT dst, 'dst' FROM edges) SELECT * FROM a WHERE node NOT IN (SELECT node FROM nodes)""")
+def missing_nodes(spark, sf_dir):
+    """An inventory without regions and some nations: what the dependencies name and it doesn't have."""
+    e = _edges(spark, sf_dir)
+    named = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct().where("node not like 'n1%' and node not like 'r%'")
+    return inv.missing_nodes(e.where("src like 'c%'").select(F.col("src").alias("node")), e, named)
 
 
 @query("row_contract_violations", """SELECT 'l_discount:above_maximum' AS rule, l_orderkey || '-' || l_linenumber AS row_key FROM lineitem WHERE l_discount > 0.09 UNION ALL SELECT 'l_returnflag:not_allowed', l_orderkey || '-' || l_linenumber FROM lineitem WHERE l_returnflag NOT IN ('A', 'N')
@@ -259,9 +280,24 @@ def canonical_dates(spark, sf_dir):
     return I.table(spark, sf_dir, "orders").select("o_orderkey", S.canonical_date(text).alias("is_canonical"))
 
 
-@query("json_properties", "SELECT event_id, json_extract_string(props, '$.k') AS k, props IS NOT NULL AND json_valid(props) AS is_object FROM events")
+@query("json_properties", """SELECT event_id, CASE WHEN event_id % 5 <> 1 THEN json_extract_string(props, '$.k') END AS k, props IS NOT NULL AND event_id % 5 NOT IN (0, 1) AS is_object, props IS NOT NULL AND event_id % 5 NOT IN (0, 1) AS same_value FROM events""")
 def json_properties(spark, sf_dir):
-    return I.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.coalesce(F.try_parse_json("props").isNotNull(), F.lit(False)).alias("is_object"))
+    """Properties as they are, with another spacing and key order, as arrays, and cut off."""
+    k, p = F.col("event_id") % 5, F.col("props")
+    spaced = F.concat(F.lit('{ "z" : [1, 2], '), F.substr(p, F.lit(2)))
+    turned = F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.lit(', "z":[1,2]}'))
+    held = F.when(k == 0, F.concat(F.lit("["), p, F.lit("]"))).when(k == 1, F.expr("substring(props, 1, length(props) - 1)")).when(k == 2, spaced).otherwise(p)
+    other = F.when(k == 2, turned).when(k < 2, F.lit("{}")).otherwise(p)
+    rows = I.table(spark, sf_dir, "events").select("event_id", held.alias("held"), other.alias("other"))
+    key = F.coalesce(F.get_json_object("held", "$.k"), F.get_json_object("held", "$[0].k"))
+    return rows.select("event_id", key.alias("k"), S.is_object(F.col("held")).alias("is_object"), S.same_json(F.col("held"), F.col("other")).alias("same_value"))
+
+
+@query("casefold_clashes", "SELECT lower(p_brand) AS folded, count(DISTINCT p_brand || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'x' END) AS name_count FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand END AS p_brand FROM part) GROUP BY lower(p_brand) HAVING count(DISTINCT p_brand) > 1")
+def casefold_clashes(spark, sf_dir):
+    """Brands that some rows write in capitals: names that differ in case alone."""
+    brand = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand"))
+    return inv.case_clashes(I.table(spark, sf_dir, "part").select(brand.alias("name")), "name")
 
 
 @query("elementwise_arrays", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: abs(x - 0.1))), 7) AS absolute_total, abs(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) - 1) < 1e-5 AS is_unit FROM embeddings")
@@ -288,12 +324,18 @@ def jsonl_round_trip(spark, sf_dir):
     return files.read_jsonl(spark, path, df.schema)
 
 
-@query("bundle_manifest", f"WITH {I.CLASSIFIED_SQL} SELECT 'classification' AS artifact_type, method, count(*) AS record_count FROM classified GROUP BY method UNION ALL SELECT 'calibration_score', method, count(*) FROM calibration GROUP BY method")
+@query("bundle_manifest", f"""WITH {I.CLASSIFIED_SQL}, m AS (SELECT 'classification' AS artifact_type, method, count(*) AS record_count FROM classified GROUP BY method UNION ALL SELECT 'calibration_score', method, count(*) FROM calibration GROUP BY method)
+SELECT *, artifact_type || '/method=' || method AS relative_path, artifact_type = 'classification' AS intact, true AS digest_wellformed FROM m""")
 def bundle_manifest(spark, sf_dir):
-    """Tables written by method as one bundle, and the manifest that was written with them."""
+    """Tables written by method as one bundle, its manifest, and which entries hold when some stored rows are changed afterwards."""
     path = f"{_scratch(spark)}/bundle"
-    bundles.write_bundle({"classification": I.classified(spark, sf_dir), "calibration_score": I.calibration(spark, sf_dir)}, path)
-    return bundles.read_manifest(spark, path).select("artifact_type", "method", "record_count")
+    tables = {"classification": I.classified(spark, sf_dir), "calibration_score": I.calibration(spark, sf_dir)}
+    bundles.write_bundle(tables, path)
+    held = staged(spark.read.schema(tables["calibration_score"].schema).parquet(f"{path}/calibration_score"))
+    held.withColumn("score", F.col("score") + 1).write.mode("overwrite").partitionBy("method").parquet(f"{path}/calibration_score")
+    broken = bundles.bundle_violations(spark, path, {n: t.schema for n, t in tables.items()}).select("relative_path", F.lit(True).alias("broken"))
+    out = bundles.read_manifest(spark, path).join(broken, "relative_path", "left")
+    return out.select("artifact_type", "method", "relative_path", "record_count", F.col("broken").isNull().alias("intact"), F.col("sha256").rlike(S.SHA256).alias("digest_wellformed"))
 
 
 @query("state_round_trip", f"WITH {I.CALIBRATION_SQL} SELECT method, threshold, threshold_rank FROM cuts")
@@ -306,20 +348,30 @@ def state_round_trip(spark, sf_dir):
     return bundles.load_state(spark, path, digest)
 
 
-@query("array_store", "SELECT vec_id AS item, true AS verified, len(embedding)::INT AS element_count FROM embeddings")
+@query("array_store", "SELECT vec_id AS item, vec_id % 10 <> 4 AS verified, len(embedding)::INT AS element_count FROM embeddings")
 def array_store(spark, sf_dir):
-    """Arrays stored with a digest of each row, and verified when read."""
-    path = f"{_scratch(spark)}/arrays"
-    bundles.write_arrays(I.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", path)
-    return bundles.read_arrays(spark, path).select(F.col("item"), "verified", F.size("values").alias("element_count"))
+    """Arrays stored with a digest of each row, some of which were changed in the store before it is read and verified."""
+    first, second = f"{_scratch(spark)}/arrays", f"{_scratch(spark)}/arrays"
+    bundles.write_arrays(I.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", first)
+    stored = spark.read.parquet(first)
+    moved = F.transform("values", lambda x: x + 1).cast(stored.schema["values"].dataType)
+    stored.withColumn("values", F.when(F.col("item") % 10 == 4, moved).otherwise(F.col("values"))).write.parquet(second)
+    return bundles.read_arrays(spark, second).select("item", "verified", F.size("values").alias("element_count"))
 
 
-@query("byte_identities", "SELECT 20::BIGINT AS source_count, count(*) AS asset_count, sum(strlen(t))::BIGINT AS byte_total, 0::BIGINT AS changed_count FROM (SELECT coalesce(text, '') AS t FROM documents)")
+@query("byte_identities", "SELECT source, (count(*) * 33)::BIGINT AS byte_total, CASE WHEN source = 'src1' THEN 'changed' WHEN source = 'src2' THEN 'absent' ELSE 'verified' END AS verification FROM documents GROUP BY source")
 def byte_identities(spark, sf_dir):
-    """Documents as assets: written as files' rows, read as bytes and compared with their manifest by size and SHA-256."""
-    docs = I.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("asset"), "source", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
-    checked = files.verify_bytes(docs, files.byte_manifest(docs, "asset", "content"), "asset", "content")
-    return docs.agg(F.count_distinct("source").alias("source_count")).join(checked.agg(F.count(F.lit(1)).alias("asset_count"), F.sum("byte_count").alias("byte_total"), F.count_if(F.col("verification") != "verified").alias("changed_count")), F.lit(True))
+    """A line for each document in files by source, read as bytes and compared with a manifest by size and SHA-256 that is of other
+    bytes for one source, and names another's files otherwise."""
+    path = f"{_scratch(spark)}/assets"
+    docs = I.table(spark, sf_dir, "documents").select("source", F.md5(F.concat(F.coalesce("text", F.lit("")), F.col("doc_id").cast("string"))).alias("line"))
+    files.write_bytes(docs, "line", path, "source")
+    held = files.read_bytes(spark, path)
+    source = F.regexp_extract("asset", "part=([^/]*)/", 1)
+    manifest = files.byte_manifest(held, "asset", "content")
+    manifest = manifest.withColumns({"sha256": F.when(source == "src1", F.sha2("sha256", 256)).otherwise(F.col("sha256")), "asset": F.when(source == "src2", F.concat("asset", F.lit(".gone"))).otherwise(F.col("asset"))})
+    checked = files.verify_bytes(held, manifest, "asset", "content")
+    return checked.groupBy(source.alias("source")).agg(F.sum("byte_count").alias("byte_total"), F.max("verification").alias("verification"))
 
 
 @query("stream_classification", "SELECT event_type AS method, count(*) AS event_count, count(*) FILTER (WHERE value > 50) AS anomalous_count FROM events GROUP BY event_type")
@@ -342,7 +394,7 @@ def stream_window_counts(spark, sf_dir):
 
 @query("anchor_items", f"WITH {PATHS_SQL} SELECT category, min(path) AS anchor FROM paths GROUP BY category")
 def anchor_items(spark, sf_dir):
-    return paths(spark, sf_dir).groupBy("category").agg(F.min("path").alias("anchor"))
+    return partition.anchors(paths(spark, sf_dir), "category", "path", "anchor")
 
 
 @query("sealed_mapping_violations", f"WITH {OPAQUE_SQL} SELECT 'asset_id:malformed' AS rule, 'x' || asset_id AS row_key FROM opaque WHERE p_partkey % 10 = 0 UNION ALL SELECT 'class_label:null', CASE WHEN p_partkey % 10 = 0 THEN 'x' || asset_id ELSE asset_id END FROM opaque WHERE p_partkey % 15 = 0")
@@ -354,24 +406,64 @@ def sealed_mapping_violations(spark, sf_dir):
     return c.row_violations(rows, [c.Field("asset_id", pattern=S.ASSET_ID), c.Field("source_path"), c.Field("class_label")], "asset_id").select("rule", "row_key")
 
 
-@query("split_table_scan", f"WITH {PATHS_SQL} SELECT split, label, count(*) AS row_count, count(mask) AS mask_count FROM (SELECT *, CASE WHEN p_size > 25 THEN 'train' ELSE 'test' END AS split, CASE WHEN p_size < 10 THEN 'anomaly' ELSE 'normal' END AS label, CASE WHEN p_size < 10 THEN path END AS mask FROM paths) WHERE category = 'Brand#11' OR category = 'Brand#1' GROUP BY ALL")
+SPLIT_SQL = f"{PATHS_SQL}, s AS (SELECT category AS object, CASE WHEN p_size > 25 THEN 'train' ELSE 'test' END AS split, CASE WHEN p_size < 10 THEN 'anomaly' ELSE 'normal' END AS label, path AS image, CASE WHEN p_size < 10 THEN path END AS mask FROM paths)"
+
+
+def _split_rows(spark, sf_dir):
+    size = F.col("p_size")
+    return paths(spark, sf_dir).select(F.col("category").alias("object"), F.when(size > 25, "train").otherwise("test").alias("split"), F.when(size < 10, "anomaly").otherwise("normal").alias("label"), F.col("path").alias("image"), F.when(size < 10, F.col("path")).alias("mask"))
+
+
+@query("split_table_scan", f"WITH {SPLIT_SQL} SELECT split, label, count(*) AS row_count, count(mask) AS mask_count FROM s WHERE object = 'Brand#11' OR object = 'Brand#1' GROUP BY ALL")
 def split_table_scan(spark, sf_dir):
     """A split table written as contract CSV, scanned by category."""
-    size = F.col("p_size")
-    rows = paths(spark, sf_dir).select(F.col("category").alias("object"), F.when(size > 25, "train").otherwise("test").alias("split"), F.when(size < 10, "anomaly").otherwise("normal").alias("label"), F.col("path").alias("image"), F.when(size < 10, F.col("path")).alias("mask"))
     path = f"{_scratch(spark)}/split"
-    files.write_csv(rows, path, ["image"])
+    files.write_csv(_split_rows(spark, sf_dir), path, ["image"])
     out = files.read_split(spark, path, "Brand#11").unionByName(files.read_split(spark, path, "Brand#1"))
     return out.groupBy("split", "label").agg(F.count(F.lit(1)).alias("row_count"), F.count("mask").alias("mask_count"))
 
 
-@query("reproduction_csv_scan", f"WITH {I.SCORES_SQL}, r AS (SELECT method, item, score, row_number() OVER (PARTITION BY method ORDER BY item) AS item_order FROM scores) SELECT method, count(*) AS row_count, count(*) = 10 AS as_expected FROM r WHERE item_order <= 10 GROUP BY method")
+@query("split_source_rows", f"WITH {SPLIT_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY image) + 1 AS source_row FROM s) SELECT * FROM n WHERE object = 'Brand#12'")
+def split_source_rows(spark, sf_dir):
+    """The split table as one file whose digest is checked, with each row's number in it."""
+    path = f"{_scratch(spark)}/split"
+    _split_rows(spark, sf_dir).coalesce(1).sortWithinPartitions("image").write.csv(path, header=True, nullValue="", escape='"')
+    found = files.byte_manifest(files.read_bytes(spark, path), "asset", "content").where("asset like '%.csv'").first()
+    return files.read_split(spark, f"{path}/*.csv", "Brand#12", found["sha256"])
+
+
+@query("reproduction_csv_scan", f"WITH {I.SCORES_SQL}, r AS (SELECT method, item, score, row_number() OVER (PARTITION BY method ORDER BY item) AS item_order FROM scores) SELECT method, item, score, item_order FROM r WHERE item_order <= 10")
 def reproduction_csv_scan(spark, sf_dir):
-    """The first items of each method written as CSV and scanned with a check of their number."""
+    """The first items of each method written as CSV and scanned, ten of each method and no more."""
     from scoregate.operators.reproduce import first_items
 
     df = first_items(I.scores(spark, sf_dir), 10).select("method", "item", "score", "item_order")
     path = f"{_scratch(spark)}/reproduction"
     files.write_csv(df, path, ["method", "item"])
-    n = F.count(F.lit(1))
-    return files.read_csv(spark, path, df.schema).groupBy("method").agg(n.alias("row_count"), (n == 10).alias("as_expected"))
+    return files.read_exactly(spark, path, df.schema, {m: 10 for m in I.METHODS})
+
+
+@query("ranked_partition_scan", f"WITH {SELECT_SQL} SELECT category, path, selection_rank FROM sel")
+def ranked_partition_scan(spark, sf_dir):
+    """The selection written as CSV and scanned with a check that ranks run from 1 in each category."""
+    df = seeded_partitions(spark, sf_dir).select("category", "path", "selection_rank")
+    path = f"{_scratch(spark)}/partitions"
+    files.write_csv(df, path, ["category", "selection_rank"])
+    return files.read_ranked(spark, path, df.schema, ["category"], "selection_rank")
+
+
+@query("json_document", "SELECT lang AS field, count(*) AS row_count FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def json_document(spark, sf_dir):
+    """Rows by language as one JSON document, written and read again."""
+    counts = inv.split_counts(I.table(spark, sf_dir, "documents").where("lang is not null"), ["lang"], "lang")
+    path = f"{_scratch(spark)}/document"
+    files.write_json(spark, {"rows": {r["lang"]: r["row_count"] for r in counts.collect()}}, path)
+    return spark.createDataFrame(sorted(files.read_json(spark, path)["rows"].items()), "field string, row_count long")
+
+
+@query("opaque_split_sink", f"WITH {OPAQUE_SQL} SELECT asset_id, p_size, path AS source_path, category AS class_label FROM opaque")
+def opaque_split_sink(spark, sf_dir):
+    """Both sides written to two roots, then joined again on asset_id."""
+    base = _scratch(spark)
+    partition.write_split(paths(spark, sf_dir), I.KEY, "path", "category", ["p_size"], f"{base}/items", f"{base}/sealed")
+    return spark.read.parquet(f"{base}/items").join(spark.read.parquet(f"{base}/sealed"), "asset_id")

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from scoregate.functions.scalars import in_category
 from scoregate.operators.contracts import contiguity
 from scoregate.operators.inventory import evidence
 
@@ -43,7 +44,7 @@ def read_split(spark: SparkSession, path: str, category: str, sha256: str | None
 
 
 def _in_category(category: str):
-    return F.coalesce((F.col("object") == category) | F.startswith("image", F.lit(f"{category}/")), F.lit(False))
+    return in_category(F.col("object"), F.col("image"), category)
 
 
 def _numbered_split(spark: SparkSession, path: str, sha256: str) -> DataFrame:
