@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from scoregate.plans import data_queries, score_queries, vector_queries  # noqa: E402, F401
+from scoregate.plans import contract_queries, data_queries, score_queries, vector_queries  # noqa: E402, F401
