@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scoregate.functions import scalars as S
-from scoregate.operators import evaluation as ev, hooks, partition, scores as sc, vectors as v
+from scoregate.operators import evaluation as ev, hooks, partition, reproduce, scores as sc, vectors as v
 from scoregate.plans import inputs as I
 from scoregate.plans.registry import query
 from scoregate.sources.stages import staged
@@ -20,16 +20,16 @@ u AS (SELECT *, list_transform(p, lambda x: x / greatest(sqrt(list_dot_product(p
 
 
 def parted(spark, sf_dir):
-    """Embeddings with partition: 20 references of label 0, of its other rows odd ranks calibration, all else final test."""
-    rows = I.table(spark, sf_dir, "embeddings")
+    """Embeddings with partition: 20 references of label 0, of its other rows odd ranks calibration, all else final test. Written
+    once, as references, calibration and final test all read it; a query that needs it twice passes it on."""
+    rows = I.table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     ranked = partition.seeded_partitions(rows, I.NAMESPACE, I.SEED, 20, "label", "vec_id")
     part = F.when(F.col("label") != 0, "final-test").when(F.col("selection_rank") <= 20, "reference").when(F.col("selection_rank") % 2 == 1, "calibration").otherwise("final-test")
-    return ranked.withColumn("part", part)
+    return staged(ranked.select("vec_id", "label", "embedding", part.alias("part"), "selection_rank"))
 
 
-def patched(spark, sf_dir, part, label=False):
-    rows = parted(spark, sf_dir).where(F.col("part").isin(*part))
-    return v.patches(rows, "vec_id", "embedding", SIZE)
+def patched(rows, part):
+    return v.patches(rows.where(F.col("part").isin(*part)), "vec_id", "embedding", SIZE)
 
 
 NN_SQL = f"""{PARTS_SQL}, b AS (SELECT q FROM u WHERE part = 'reference'),
@@ -38,13 +38,14 @@ top AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance DESC,
 item AS (SELECT vec_id AS item, label, part, round(avg(distance), 9) AS score FROM top WHERE patch_rank <= 2 GROUP BY ALL)"""
 
 
-def distances(spark, sf_dir):
-    bank = v.bank(patched(spark, sf_dir, ["reference"]))
-    return v.nearest_distances(patched(spark, sf_dir, ["calibration", "final-test"]), "vec_id", bank)
+def distances(rows, asked=None):
+    """Distances of the rows outside the references (or of some of them) to the bank of the references."""
+    asked = rows if asked is None else asked
+    return v.nearest_distances(patched(asked, ["calibration", "final-test"]), "vec_id", v.bank(patched(rows, ["reference"])))
 
 
-def nn_scores(spark, sf_dir):
-    s = v.item_scores(distances(spark, sf_dir), "vec_id", "distance", 0.25, "ceil")
+def nn_scores(rows, asked=None):
+    s = v.item_scores(distances(rows, asked), "vec_id", "distance", 0.25, "ceil")
     return s.select(F.lit("bank_nn").alias("method"), F.col("vec_id").alias("item"), F.lit("ok").alias("score_status"), F.lit(None).cast("string").alias("failure_code"), F.round("score", 9).alias("score"))
 
 
@@ -56,24 +57,24 @@ def bank_selection(spark, sf_dir):
 
 @query("bank_unit_vectors", f"WITH {PARTS_SQL} SELECT vec_id, position, round(list_sum(q), 9) AS patch_sum, true AS unit_norm FROM u WHERE part = 'reference'")
 def bank_unit_vectors(spark, sf_dir):
-    p = patched(spark, sf_dir, ["reference"]).withColumn("patch", S.unit(F.col("patch")))
+    p = patched(parted(spark, sf_dir), ["reference"]).withColumn("patch", S.unit(F.col("patch")))
     total = F.aggregate("patch", F.lit(0.0), lambda s, x: s + x)
     return p.select("vec_id", "position", F.round(total, 9).alias("patch_sum"), (F.abs(S.dot(F.col("patch"), F.col("patch")) - 1) < 1e-9).alias("unit_norm"))
 
 
 @query("nearest_neighbour_distances", f"WITH {NN_SQL} SELECT vec_id, position, round(distance, 9) AS distance FROM dist")
 def nearest_neighbour_distances(spark, sf_dir):
-    return distances(spark, sf_dir).withColumn("distance", F.round("distance", 9))
+    return distances(parted(spark, sf_dir)).withColumn("distance", F.round("distance", 9))
 
 
 @query("nearest_neighbour_scores", f"WITH {NN_SQL} SELECT item, score FROM item")
 def nearest_neighbour_scores(spark, sf_dir):
-    return nn_scores(spark, sf_dir).select("item", "score")
+    return nn_scores(parted(spark, sf_dir)).select("item", "score")
 
 
 @query("top_patches", f"WITH {NN_SQL} SELECT vec_id, position, patch_rank, round(distance, 9) AS distance FROM top WHERE patch_rank <= 3")
 def top_patches(spark, sf_dir):
-    return v.top_patches(distances(spark, sf_dir), "vec_id", "distance", 3).select("vec_id", "position", "patch_rank", F.round("distance", 9).alias("distance"))
+    return v.top_patches(distances(parted(spark, sf_dir)), "vec_id", "distance", 3).select("vec_id", "position", "patch_rank", F.round("distance", 9).alias("distance"))
 
 
 @query("top_fraction_rounding", """WITH a AS (SELECT vec_id, list_reverse_sort(embedding::DOUBLE[]) AS e, len(embedding) AS n FROM embeddings)
@@ -89,14 +90,15 @@ fit AS (SELECT position, dim, avg(x) AS mean, stddev_pop(x) AS deviation, CASE W
 
 @query("position_scalers", f"WITH {ZSCORE_SQL} SELECT position, dim::INT AS dim, round(mean, 7) AS mean, round(deviation, 7) AS deviation, round(scale, 7) AS scale FROM fit")
 def position_scalers(spark, sf_dir):
-    return v.position_scalers(patched(spark, sf_dir, ["reference"])).withColumns({c: F.round(c, 7) for c in ("mean", "deviation", "scale")})
+    return v.position_scalers(patched(parted(spark, sf_dir), ["reference"])).withColumns({c: F.round(c, 7) for c in ("mean", "deviation", "scale")})
 
 
 @query("position_zscore_scores", f"""WITH {ZSCORE_SQL}, z AS (SELECT vec_id, f.position, sum(((x - mean) / scale) * ((x - mean) / scale)) / 8 AS distance FROM flat f JOIN fit USING (position, dim) WHERE part <> 'reference' GROUP BY ALL),
 t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance DESC) AS k FROM z) SELECT vec_id, round(distance, 6) AS score FROM t WHERE k = 1""")
-def position_zscore_scores(spark, sf_dir):
-    scalers = v.position_scalers(patched(spark, sf_dir, ["reference"]))
-    z = v.position_zscores(patched(spark, sf_dir, ["calibration", "final-test"]), "vec_id", scalers)
+def position_zscore_scores(spark, sf_dir, rows=None):
+    rows = rows or parted(spark, sf_dir)
+    scalers = v.position_scalers(patched(rows, ["reference"]))
+    z = v.position_zscores(patched(rows, ["calibration", "final-test"]), "vec_id", scalers)
     return v.item_scores(z, "vec_id", "distance", 0.05, "ceil").withColumn("score", F.round("score", 6))
 
 
@@ -112,8 +114,8 @@ def median_template(spark, sf_dir):
 
 @query("template_residual_scores", f"""WITH {TEMPLATE_SQL}, res AS (SELECT vec_id, abs(x - median) AS a, row_number() OVER (PARTITION BY vec_id ORDER BY abs(x - median) DESC) AS k FROM el JOIN tpl USING (dim) WHERE part <> 'reference')
 SELECT vec_id, 1.0::DOUBLE AS support_ratio, 'ok' AS score_status, round(avg(a), 9) AS score FROM res WHERE k <= 4 GROUP BY vec_id""")
-def template_residual_scores(spark, sf_dir):
-    rows = parted(spark, sf_dir)
+def template_residual_scores(spark, sf_dir, rows=None):
+    rows = rows or parted(spark, sf_dir)
     template = v.median_template(rows.where("part = 'reference'"), "embedding")
     out = v.template_residuals(rows.where("part <> 'reference'"), "vec_id", "embedding", template, fraction=0.05)
     return out.select("vec_id", "support_ratio", "score_status", F.round("score", 9).alias("score"))
@@ -144,16 +146,21 @@ SELECT 'bank_nn' AS method, threshold, tp AS true_positive, fn AS false_negative
 FROM thr, conf, rk, lat""")
 def flagship_decision(spark, sf_dir):
     """Bank, scores, threshold from normal rows, classes, reveal, metrics and decision: one row."""
-    rows = parted(spark, sf_dir).select("vec_id", "label", "part")
+    rows = parted(spark, sf_dir)
     # Calibration, classification and metrics all read the scores: they are worked out once.
-    s = staged(nn_scores(spark, sf_dir).join(rows.select(F.col("vec_id").alias("item"), "part"), "item"))
+    s = staged(nn_scores(rows).join(rows.select(F.col("vec_id").alias("item"), "part"), "item"))
     cuts = sc.thresholds(s.where("part = 'calibration'"))
     classes = sc.classify(s.where("part = 'final-test'"), cuts)
     truth = rows.select(F.col("vec_id").alias("item"), F.when(F.col("label") == 0, "normal").otherwise("anomaly").alias("true_class"))
     shown = staged(ev.reveal(classes, truth))
     latency = I.table(spark, sf_dir, "events").select(F.lit("bank_nn").alias("method"), F.lit("ok").alias("score_status"), F.col("user_id").alias("item"), F.col("value").alias("duration"))
     measured = ev.confusion(shown).join(ev.ranking_quality(shown), "method").join(ev.latency(latency, ["method"]).select("method", "p95_duration"), "method").join(cuts.select("method", "threshold"), "method")
-    facts = measured.withColumns({"reference_count": F.lit(20.0), "anomaly_training_labels": F.lit(0.0), "reproduced": F.lit(1.0)})
+    trained = rows.where("part = 'reference'").agg(F.count(F.lit(1)).cast("double").alias("reference_count"), F.count_if(F.col("label") != 0).cast("double").alias("anomaly_training_labels"))
+    # The first ten items are scored again, on their own.
+    first = reproduce.first_items(s.where("part = 'final-test'"), 10)
+    again = nn_scores(rows, rows.join(F.broadcast(first.select(F.col("item").alias("vec_id"))), "vec_id", "left_semi"))
+    repeated = reproduce.reproduction_summary(reproduce.compared(first, again, ["method", "item"])).select("method", F.col("reproduced").cast("double").alias("reproduced"))
+    facts = measured.join(repeated, "method").join(F.broadcast(trained), F.lit(True))
     evidence = facts.select("method", F.lit(False).alias("leakage"), F.lit(False).alias("contradicted"), F.lit(False).alias("guardrail"), F.lit(None).cast("string").alias("condition"))
     decided = ev.decide(ev.gates(facts), evidence).select("method", "decision", "first_failed_gate")
     out = measured.join(decided, "method")
@@ -168,8 +175,9 @@ res AS (SELECT vec_id, abs(x - median) AS a, row_number() OVER (PARTITION BY vec
 SELECT 'bank_nn' AS method, item, score FROM item UNION ALL SELECT 'position_zscore', vec_id, round(max(distance), 6) FROM z GROUP BY vec_id UNION ALL SELECT 'template_residual', vec_id, round(avg(a), 9) FROM res WHERE k <= 4 GROUP BY vec_id""")
 def vector_method_scores(spark, sf_dir):
     """All three methods over the same items, as one score table."""
-    out = None
-    for name, df in (("bank_nn", nn_scores(spark, sf_dir).select("item", "score")), ("position_zscore", position_zscore_scores(spark, sf_dir).select(F.col("vec_id").alias("item"), "score")), ("template_residual", template_residual_scores(spark, sf_dir).select(F.col("vec_id").alias("item"), "score"))):
+    rows, out = parted(spark, sf_dir), None
+    own = lambda df: df.select(F.col("vec_id").alias("item"), "score")
+    for name, df in (("bank_nn", nn_scores(rows).select("item", "score")), ("position_zscore", own(position_zscore_scores(spark, sf_dir, rows))), ("template_residual", own(template_residual_scores(spark, sf_dir, rows)))):
         one = df.select(F.lit(name).alias("method"), "item", "score")
         out = one if out is None else out.unionByName(one)
     return out
@@ -189,7 +197,10 @@ def scorer_hook(spark, sf_dir):
     return hooks.score_items(rows, "vec_id", "v", scorer).withColumn("score", F.round("score", 9))
 
 
-@query("feature_hook", "SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 6) AS total, round(list_min(embedding::DOUBLE[]), 9) AS least FROM embeddings")
+@query("feature_hook", "SELECT vec_id, CASE WHEN vec_id % 10 = 3 THEN 'EXTRACTOR_ERROR:ValueError' END AS failure_code, CASE WHEN vec_id % 10 <> 3 THEN round(list_sum(embedding::DOUBLE[]), 6) END AS total, CASE WHEN vec_id % 10 <> 3 THEN round(list_min(embedding::DOUBLE[]), 9) END AS least FROM embeddings")
 def feature_hook(spark, sf_dir):
-    out = hooks.extract_features(I.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", lambda v: (sum(float(x) for x in v), min(v)))
-    return out.select("vec_id", F.round(F.col("features")[0], 6).alias("total"), F.round(F.col("features")[1], 9).alias("least"))
+    """Sums and minima by a Python extractor, which fails on empty vectors."""
+    e = F.col("embedding")
+    rows = I.table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 10 == 3, F.slice(e, 1, 0)).otherwise(e).alias("v"))
+    out = hooks.extract_features(rows, "vec_id", "v", lambda v: (min(v), sum(float(x) for x in v))[::-1])
+    return out.select("vec_id", "failure_code", F.round(F.col("features")[0], 6).alias("total"), F.round(F.col("features")[1], 9).alias("least"))

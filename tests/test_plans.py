@@ -35,7 +35,7 @@ def test_methods_are_not_ordered_in_one_task_each(spark):
         assert "CartesianProduct" not in text
         # Rows are ordered by method and range; by method alone only the 64 range sums are.
         for dealt in re.findall(r"Window \[(?:row_number|sum\((?:pos|neg))[^\n]*?\], \[([^\]]*)\]", text):
-            assert "_range" in dealt
+            assert "__sg_range" in dealt
 
 
 def test_thresholds_are_broadcast(spark):
