@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from scoregate.llm.common import Scratch, connected_components, mix64, ship, slices, text_chunks, window_hashes, word_hashes
+from scoregate.llm.common import EDGES_A_FILE, Scratch, connected_components, mix64, ship, slices, text_chunks, window_hashes, word_hashes
 
 N = 5
 #: Entries of the broadcast table of frequent shingles, at most.
@@ -332,10 +332,12 @@ def ngram_jaccard_groups(documents: DataFrame) -> DataFrame:
     links = _verified(_possible(pairs, classes), docs, scratch)
     roots = connected_components(links.unionByName(stars.select(F.col("node").alias("src"), F.col("root").alias("dst"))), scratch)
 
-    # The smallest doc_id of each component from its classes, then one row for each class to meet the documents.
-    placed = classes.select("id", "least").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component"))
-    known = scratch.table(placed.join(smallest, "root").select("id", "component"), "components")
+    # The smallest doc_id of each component from its linked classes, written, so that the join back may be split where a component
+    # is large; then one row for each class to meet the documents.
+    linked = roots.select(F.col("node").alias("id"), "root").join(classes.select("id", "least"), "id")
+    smallest = scratch.table(linked.groupBy("root").agg(F.min("least").alias("component")).coalesce(1 + roots.count() // EDGES_A_FILE), "smallest")
+    known = roots.join(smallest, "root").select(F.col("node").alias("id"), "component")
+    known = scratch.table(classes.select("id", "least").join(known, "id", "left").select("id", F.coalesce("component", "least").alias("component")), "components")
     return rows.select("doc_id", "n", "id").join(known, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
