@@ -4,38 +4,25 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import json
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from scoregate.sources.stages import shared_dir
 
 #: The white space that separates words: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    set_on_context = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_on_context.isDefined():
-        return set_on_context.get().rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="scoregate-"))
-    return _own_dir[0]
-
-
 _shipped: dict[str, str] = {}
 
 
@@ -196,6 +183,28 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     )
 
 
+#: Bits of a sieve: 256 KB, whatever it holds.
+SIEVE_BITS = 1 << 21
+
+
+def sieve(places: DataFrame) -> Callable[[Column], Column]:
+    """A bit set of the column place (longs), as a function that says of a long whether it may be among them: it is, or shares its
+    bit with one that is. It keeps rows out of a shuffle that decides the rest, in expressions alone."""
+    at = F.pmod("place", F.lit(SIEVE_BITS))
+    words = places.select(F.shiftright(at, 6).alias("word"), F.lit(1).cast("long").alias("one"), (at % 64).cast("int").alias("bit"))
+    held = [0] * (SIEVE_BITS >> 6)
+    for row in words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits")).collect():
+        held[row["word"]] = row["bits"]
+    table = F.from_json(F.lit(json.dumps(held)), "array<bigint>")
+
+    def maybe(place: Column) -> Column:
+        own = F.pmod(place, F.lit(SIEVE_BITS))
+        bits = F.get(table, F.shiftright(own, 6).cast("int"))
+        return F.call_function("shiftrightunsigned", bits, (own % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return maybe
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = x ^ (x >> np.uint64(30))

@@ -3,9 +3,9 @@
 Method: the n-grams are all words and all pairs of adjacent words of the whole text, hashed into BUCKETS buckets. Two
 multinomials are counted, of a trusted target (all documents labelled good) and of the raw corpus, all documents. A
 document's score is the sum of log(p_target / p_raw) of its n-grams (each count plus one) over the number of its n-grams,
-and it is kept from THRESHOLD on, wherever the base rules don't fail it. The trusted documents are found by an ordinary
-semi-join on doc_id, whose shuffle Spark filters by the ids at scale; corpus statistics come to the driver as BUCKETS counts
-and go back as one literal array.
+and it is kept from THRESHOLD on, wherever the base rules don't fail it. The trusted documents are found by a semi-join on
+doc_id that is shuffled at every size; a bit set (common.sieve) keeps most other texts out of that shuffle and decides
+nothing. Corpus statistics come to the driver as BUCKETS counts and go back as one literal array.
 
 Defined cases: a null text has no words (and so fails the base rules); without trusted documents every ratio is 0; null
 labels and ids trust nothing; repeated rows and further columns stay; an empty table gives an empty result. Equal 8-word
@@ -18,7 +18,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from scoregate.llm.common import words_of
+from scoregate.llm.common import sieve, words_of
 
 BUCKETS = 1 << 14
 THRESHOLD = -0.5
@@ -75,7 +75,9 @@ def _counts(documents: DataFrame) -> list[int]:
 def ratio_table(documents: DataFrame, trusted_ids: DataFrame) -> list[float]:
     """log(p_target / p_raw) of each bucket."""
     trusted = trusted_ids.select(F.col("doc_id").alias("_trusted")).where("_trusted is not null").distinct()
-    target = _counts(documents.join(trusted, F.col("doc_id") == F.col("_trusted"), "left_semi"))
+    maybe = sieve(trusted.select(F.xxhash64(F.col("_trusted").cast("string")).alias("place")))
+    asked = documents.select("doc_id", "text").where(maybe(F.xxhash64(F.col("doc_id").cast("string"))))
+    target = _counts(asked.join(trusted.hint("shuffle_merge"), F.col("doc_id") == F.col("_trusted"), "left_semi"))
     if not any(target):
         return [0.0] * BUCKETS
     raw = _counts(documents)

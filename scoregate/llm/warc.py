@@ -2,11 +2,14 @@
 
 Method: the bytes of a payload are stored once, under their SHA-256, in the table ``payloads``; the exact header block of
 every record is a row of the table ``headers``, with the key of its payload. Reading checks every payload against its key
-and fails on a mismatch; joins of the two tables give the original WARC records back, byte for byte.
+and fails on a mismatch; joins of the two tables give the original WARC records back, byte for byte. The two tables are the
+archive: Spark reads and splits them as it can't split WARC files; write_files makes such files of them.
 
 Of equal payloads of at least ``revisit_from`` bytes the record with the largest page_id is a response and the others
 revisit it; smaller ones are all responses. The copies of a payload are told apart by key and page_id alone: payload
-bytes are dealt out once, by page_id, so that a payload that a third of the pages share is spread over all tasks.
+bytes are dealt out at most once, by page_id, so that a payload that a third of the pages share is spread over all tasks,
+and not at all where a bit set shows that a page is its payload's only or last one. Revisits have an empty block and never
+meet the payload's bytes; the responses of a short payload, which may be many, are spread by SALTS.
 
 Defined cases: a null html is an empty payload; a null url leaves out the target line, line breaks in a url are encoded;
 rows repeated with the response's page_id are responses too; a null page_id counts below all others; further columns are
@@ -20,7 +23,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-REVISIT_FROM = 1000
+from scoregate.llm.common import sieve
+
+REVISIT_FROM, SALTS = 1000, 16
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = "\r\n"
@@ -43,17 +48,21 @@ def write_archive(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM,
     content = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), _payload(F.col("html")).alias("payload"))
     content = content.withColumn("payload_key", F.sha2("payload", 256))
     facts = content.select("page_id", "url", "payload_key", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("digest"))
-    owners = facts.groupBy("payload_key").agg(F.max("page_id").alias("owner"))
+    owners = facts.groupBy("payload_key").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("pages"))
 
     # The owner's row alone stays; of rows repeated with its page_id one is kept where the join has dealt them, without a shuffle.
     keys = ["payload_key", "_id", "_none"]
     placed = content.select("payload_key", F.coalesce("page_id", F.lit(0)).alias("_id"), F.col("page_id").isNull().alias("_none"), "payload")
-    wanted = owners.select("payload_key", F.coalesce("owner", F.lit(0)).alias("_id"), F.col("owner").isNull().alias("_none"))
-    stored = placed.join(wanted.hint("shuffle_merge"), keys, "left_semi").dropDuplicates(keys)
+    owned = owners.select("payload_key", F.coalesce("owner", F.lit(0)).alias("_id"), F.col("owner").isNull().alias("_none"), "pages")
+    others = facts.join(owners.where("pages > 1"), "payload_key")
+    others = others.select(F.xxhash64("payload_key", F.coalesce("page_id", F.lit(0)), F.col("page_id").isNull()).alias("place"))
+    shared = sieve(others)(F.xxhash64(*keys))
+    met = placed.where(shared).join(owned.hint("shuffle_merge"), keys, "left_semi").dropDuplicates(keys)
+    stored = placed.where(~shared).unionByName(met)
     stored.select("payload_key", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
     revisit = (F.col("payload_bytes") >= revisit_from) & ~F.col("page_id").eqNullSafe(F.col("owner"))
-    described = facts.join(owners, "payload_key").withColumn("revisit", revisit)
+    described = facts.join(owners.drop("pages"), "payload_key").withColumn("revisit", revisit)
     header = F.concat(
         F.lit("WARC/1.1" + _END),
         _line("WARC-Type", F.when(F.col("revisit"), "revisit").otherwise("response")),
@@ -90,18 +99,59 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The original records: the fields of read_headers, with payload (that of the response for a revisit) and record, the bytes
-    of the whole WARC record."""
-    block = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    joined = read_headers(spark, path).join(read_payloads(spark, path), "payload_key")
-    return joined.withColumn("record", F.concat(F.encode("header", "UTF-8"), block, F.lit(b"\r\n\r\n")))
+    """The original records: the fields of read_headers, with block (the payload, empty for a revisit) and record, the bytes of the
+    whole WARC record."""
+    headers = read_headers(spark, path)
+    revisits = headers.where(F.col("record_type") == "revisit").withColumn("block", F.lit(b""))
+    # Of payloads from revisit_from bytes on there is one response; shorter ones meet theirs in SALTS groups.
+    payloads = read_payloads(spark, path)
+    salts = F.when(F.octet_length("payload") < REVISIT_FROM, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    length = F.coalesce(F.try_to_number(_field("Content-Length"), F.lit("9999999999999999999")), F.lit(0))
+    salt = F.when(length < REVISIT_FROM, F.pmod(F.xxhash64("header"), F.lit(SALTS))).otherwise(0).cast("int")
+    responses = headers.where(~F.col("record_type").eqNullSafe(F.lit("revisit"))).withColumn("salt", salt)
+    responses = responses.join(payloads.select("payload_key", F.col("payload").alias("block"), F.explode(salts).alias("salt")), ["payload_key", "salt"]).drop("salt")
+    records = responses.unionByName(revisits)
+    return records.withColumn("record", F.concat(F.encode("header", "UTF-8"), "block", F.lit(b"\r\n\r\n")))
 
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
-    """The fields of read_headers with payload_bytes and payload_digest (SHA-1) of the full payload, measured on the stored bytes
-    where they are read, so that the join moves facts and no payloads."""
-    measured = read_payloads(spark, path).select("payload_key", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    return read_headers(spark, path).join(measured, "payload_key")
+    """The fields of read_headers with payload_bytes and payload_digest (SHA-1) of the full payload. A response's are measured on its
+    rebuilt record, cut at its header's end and Content-Length, a revisit's are those of the response that it refers to; a
+    record whose length or digest isn't what its header says fails the read."""
+    fail = lambda what: F.raise_error(F.concat(F.lit(f"{what} of record "), F.coalesce(F.col("page_id").cast("string"), F.lit("none"))))
+    said = F.regexp_extract("header", r"\r\nWARC-Payload-Digest: sha1:([0-9a-f]{40})\r\n", 1)
+    length = F.try_to_number(_field("Content-Length"), F.lit("9999999999999999999")).cast("long")
+    head = F.octet_length("header")
+    records = read_records(spark, path).select("header", "payload_key", "page_id", "url", "record_type", "refers_to", "record")
+    whole = F.octet_length("record") == head + length + 4
+    block = F.substr("record", head + 1, length.cast("int"))
+    measured = records.withColumns({"payload_bytes": F.when(whole, length).otherwise(fail("length")), "payload_digest": F.sha1(block)}).drop("record")
+    responses = measured.where(~F.col("record_type").eqNullSafe(F.lit("revisit")))
+    responses = responses.withColumn("payload_digest", F.when(F.col("payload_digest") == said, F.col("payload_digest")).otherwise(fail("digest")))
+    known = read_payloads(spark, path).where(F.octet_length("payload") >= REVISIT_FROM)
+    known = known.select("payload_key", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+    revisits = measured.where(F.col("record_type") == "revisit").drop("payload_bytes", "payload_digest").join(known, "payload_key")
+    revisits = revisits.withColumn("payload_digest", F.when(F.col("payload_digest") == said, F.col("payload_digest")).otherwise(fail("digest")))
+    return responses.unionByName(revisits)
+
+
+def write_files(spark: SparkSession, path: str, target: str) -> None:
+    """The archive's records as gzipped WARC members (path-free binary rows of about 64 MB together), in the Parquet column content;
+    Spark has no writer for bare binary files, so a reader saves each row as a .warc.gz file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for record in batch.column(0).to_pylist():
+                held.append(gzip.compress(record, 6, mtime=0))
+                size += len(held[-1])
+                if size >= 64 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["content"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["content"])
+
+    read_records(spark, path).select("record").mapInArrow(run, "content binary").write.parquet(target)
 
 
 def parse_records(files: DataFrame) -> DataFrame:

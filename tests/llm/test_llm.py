@@ -128,6 +128,10 @@ def test_warc_round_trip(spark):
     parsed = warc.parse_records(one_file).collect()
     responses = [(html or "").encode() for page_id, _, html in rows if not (html == big and page_id != 9)]
     assert len(parsed) == len(rows) and sorted(bytes(p["block"]) for p in parsed if "WARC-Type: response" in p["header"]) == sorted(responses)
+    files = Scratch(spark).path("files")
+    warc.write_files(spark, path, files)
+    members = warc.parse_records(spark.read.parquet(files).select(F.lit("f").alias("path"), "content")).collect()
+    assert sorted((p["header"], bytes(p["block"])) for p in members) == sorted((p["header"], bytes(p["block"])) for p in parsed)
     empty = Scratch(spark).path("archive")
     warc.write_archive(pages.limit(0), empty)
     assert warc.read_facts(spark, empty).count() == 0
@@ -140,6 +144,19 @@ def test_damaged_payload_fails(spark):
         warc.read_payloads(spark, path).collect()
 
 
+@pytest.mark.parametrize("old,new,what", [("Content-Length: 5", "Content-Length: 4", "length"), ("sha1:0", "sha1:f", "digest")])
+def test_header_that_contradicts_its_payload_fails(spark, old, new, what):
+    path = Scratch(spark).path("archive")
+    text = next(t for t in (f"abc{i:02d}" for i in range(99)) if hashlib.sha1(t.encode()).hexdigest()[0] == "0")
+    warc.write_archive(spark.createDataFrame([(1, "u", text)], "page_id long, url string, html string"), path)
+    assert warc.read_facts(spark, path).count() == 1
+    broken = Scratch(spark).path("archive")
+    spark.read.parquet(f"{path}/headers").withColumn("header", F.replace("header", F.lit(old), F.lit(new))).write.parquet(f"{broken}/headers")
+    spark.read.parquet(f"{path}/payloads").write.parquet(f"{broken}/payloads")
+    with pytest.raises(Exception, match=f"{what} of record 1"):
+        warc.read_facts(spark, broken).collect()
+
+
 def base_counts(text):
     w = words(text)
     seen, repeated_lines = set(), 0
