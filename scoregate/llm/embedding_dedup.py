@@ -3,7 +3,8 @@
 Method: a coarse quantiser deals the unit vectors into inverted lists; each vector's residual is coded in SUBSPACES
 subspaces, and the length of what the code misses is kept beside it. A query probes every list that can hold a partner: a
 partner x within distance r of q lies in the cell of centroid c only if (|q-c|^2 - |q-c0|^2) / (2 |c-c0|) <= r, c0 being
-the query's own centroid. In a list, asymmetric distances from lookup tables drop every entry whose coded distance exceeds
+the query's own centroid, and only if |q-c| <= r + the distance from c of the farthest entry of the query's label in the cell
+(and so only where the label has one). In a list, asymmetric distances from lookup tables drop every entry whose coded distance exceeds
 r plus what its code misses, which can't be a partner; the exact cosine in double precision decides the rest. Both bounds
 hold for any centroids and codebooks, so no link is lost, whatever sample they were fitted on: recall is 1.
 
@@ -58,6 +59,10 @@ class Index:
         self.books = [_centres(residual[:, s], CODES) for s in self.cuts]
         self.between = np.sqrt(_squares(self.centres, self.centres))
 
+    def away(self, x: np.ndarray) -> np.ndarray:
+        """Distances to all centres: (vectors, lists)."""
+        return np.sqrt(_squares(x, self.centres))
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, codes and the length that the code misses, of unit vectors."""
         own = _squares(x, self.centres).argmin(1)
@@ -122,21 +127,24 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, sample: int =
                 x = _matrix(own.column(1))
                 listed, codes, missed = index.encode(x)
                 which, probed = np.nonzero(index.probes(x, radius))
+                away = index.away(x)
                 take = np.concatenate([np.arange(len(x)), which])
                 query = np.concatenate([np.zeros(len(x), bool), np.ones(len(which), bool)])
                 at = np.concatenate([listed, probed])
                 picked = own.take(pa.array(take))
                 yield pa.RecordBatch.from_arrays(
-                    [picked.column(0), picked.column(1), picked.column(2), picked.column(3), picked.column(4), pa.array(at.astype(np.int32)), pa.array(query), pa.array([codes[i].tobytes() for i in take], pa.binary()), pa.array(missed[take])],
-                    names=["node", "vector", "label_text", "length", "copies", "list", "query", "codes", "missed"],
+                    [picked.column(0), picked.column(1), picked.column(2), picked.column(3), picked.column(4), pa.array(at.astype(np.int32)), pa.array(query), pa.array([codes[i].tobytes() for i in take], pa.binary()), pa.array(missed[take]), pa.array(away[take, at])],
+                    names=["node", "vector", "label_text", "length", "copies", "list", "query", "codes", "missed", "away"],
                 )
 
     dealt = entries.select("node", "vector", F.col("label").cast("string").alias("label_text"), F.col("length").cast("long"), "copies")
-    dealt = dealt.mapInArrow(deal, f"node long, vector {kind}, label_text string, length long, copies long, list int, query boolean, codes binary, missed double")
+    dealt = dealt.mapInArrow(deal, f"node long, vector {kind}, label_text string, length long, copies long, list int, query boolean, codes binary, missed double, away double")
     dealt = scratch.table(dealt, "dealt")
     key = ["label_text", "length", "list"]
-    blocks = dealt.groupBy(*key).agg(F.ceil(F.count_if(~F.col("query")) / BLOCK).alias("entry_blocks"), F.ceil(F.count_if("query") / BLOCK).alias("query_blocks")).where("entry_blocks > 0")
-    placed = dealt.join(blocks, key).withColumn("mine", F.pmod(F.xxhash64("node"), F.when(F.col("query"), F.col("query_blocks")).otherwise(F.col("entry_blocks"))))
+    reach = dealt.where(~F.col("query")).groupBy(*key).agg(F.max("away").alias("reach"))
+    dealt_near = dealt.join(reach, key).where(~F.col("query") | (F.col("away") <= F.col("reach") + radius + _SLACK)).drop("reach", "away")
+    blocks = dealt_near.groupBy(*key).agg(F.ceil(F.count_if(~F.col("query")) / BLOCK).alias("entry_blocks"), F.ceil(F.count_if("query") / BLOCK).alias("query_blocks")).where("entry_blocks > 0")
+    placed = dealt_near.join(blocks, key).withColumn("mine", F.pmod(F.xxhash64("node"), F.when(F.col("query"), F.col("query_blocks")).otherwise(F.col("entry_blocks"))))
     other = F.sequence(F.lit(0), F.when(F.col("query"), F.col("entry_blocks")).otherwise(F.col("query_blocks")) - 1)
     placed = placed.withColumn("theirs", F.explode(other))
     placed = placed.select("node", "vector", "length", "copies", "list", "query", "codes", "missed", "label_text", F.when(F.col("query"), F.col("theirs")).otherwise(F.col("mine")).alias("entry_block"), F.when(F.col("query"), F.col("mine")).otherwise(F.col("theirs")).alias("query_block"))
