@@ -31,9 +31,10 @@ from scoregate.llm.common import Scratch, ship, slices, text_chunks, word_hashes
 
 MODEL_WORDS, CLASS_WORDS, KNOWN = 4096, 64, 1 << 17
 EMBED, HIDDEN = 24, 32
-WINDOW, LANES, SCORE_WINDOW, SCORE_LANES = 20, 128, 64, 256
-#: Step sizes of the recurrent part and of the output tables; the sum of a window's gradients counts as so many tokens'.
-ROUNDS, RATE, OUTPUT_RATE, SCALE, CLIP = 2, 0.05, 0.02, 128, 32.0
+WINDOW, LANES, SCORE_WINDOW, SCORE_LANES = 20, 64, 64, 256
+#: The step size, which falls as 1 / sqrt(1 + windows / DECAY) beside Adagrad's own fall; the mean of a window's gradients is taken
+#: SCALE times.
+ROUNDS, RATE, DECAY, SCALE, CLIP = 2, 0.15, 100, 32, 8.0
 SHARD_TOKENS, MOST_SHARDS = 4_000_000, 4096
 #: Words trained on or scored together, and words counted at a time.
 CHUNK, COUNTED = 400_000, 1_000_000
@@ -219,16 +220,14 @@ class Network:
 class Trainer:
     """Adagrad over windows; tables of words are updated where they are touched."""
 
-    OUTPUT = frozenset(("wc", "bc", "wo", "bo"))
-
     def __init__(self, network: Network):
-        self.net = network
+        self.net, self.rate, self.seen = network, np.float32(RATE), 0
         self.past = {n: np.full_like(getattr(network, n), 1e-2) for n in Network.NAMES}
 
     def _step(self, name: str, gradient: np.ndarray, at=slice(None)) -> None:
         past, weights = self.past[name], getattr(self.net, name)
         past[at] += gradient * gradient
-        weights[at] -= (OUTPUT_RATE if name in self.OUTPUT else RATE) * gradient / np.sqrt(past[at])
+        weights[at] -= self.rate * gradient / np.sqrt(past[at])
 
     @staticmethod
     def _slopes(logits: np.ndarray, want: np.ndarray, scale: np.float32) -> np.ndarray:
@@ -244,6 +243,7 @@ class Trainer:
         """Learn from one (steps, lanes) window of which some places are used; the state after it."""
         net, keep = self.net, []
         steps, lanes = inputs.shape
+        self.rate, self.seen = np.float32(RATE / (1 + self.seen / DECAY) ** 0.5), self.seen + 1
         hs = net.states(inputs, h, keep)
         flat, want = hs.reshape(-1, HIDDEN), targets.ravel()
         whole = used.all()
