@@ -134,7 +134,7 @@ def load(path: str) -> Model:
 
 
 #: Pieces that a worker remembers in each of two generations, and the longest piece worth it.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 120_000, 64
 
 
 class Memo(dict):
