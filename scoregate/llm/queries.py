@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scoregate.llm import bpe, gam, html_text, mixing, quality_rules, warc
+from scoregate.llm import bpe, gam, html_text, merkle, mixing, quality_rules, warc
 from scoregate.llm.common import Scratch
 from scoregate.llm.embedding_dedup import near_duplicates
 from scoregate.llm.language_model import language_scores
@@ -144,3 +144,60 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_language_model")
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n::BIGINT)) AS t),
+d AS (
+  SELECT doc_id, source, text,
+    coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
+    xor(list_reduce(list_transform(range(len(doc_id::VARCHAR)), lambda i: unicode(substr(doc_id::VARCHAR, i + 1, 1))::BIGINT),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 5 = 0 AS tampered
+  FROM documents, crc),
+f AS (
+  SELECT doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+    CASE WHEN tampered THEN sha256(head || coalesce(octet_length(encode(text)) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS changed
+  FROM d),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS tree FROM f),
+nodes AS (
+  SELECT tree, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, pos, h, count(*) OVER (PARTITION BY tree) FROM (
+    SELECT tree, any_value(level) AS level, pos // 16 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM nodes WHERE n > 1 GROUP BY tree, pos // 16)),
+roots AS (
+  SELECT 0 AS level, tree AS pos, h, count(*) OVER () AS n FROM nodes WHERE n = 1
+  UNION ALL
+  SELECT level + 1, pos, h, count(*) OVER () FROM (
+    SELECT any_value(level) AS level, pos // 16 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM roots WHERE n > 1 GROUP BY pos // 16)),
+heights AS (SELECT tree, max(level) AS height FROM nodes GROUP BY tree),
+steps AS (
+  SELECT l.doc_id, l.leaf, l.tree, l.pos AS leaf_pos, s.level,
+    coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos < l.pos // (16 ** s.level)::BIGINT), '') AS before,
+    coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos > l.pos // (16 ** s.level)::BIGINT), '') AS after
+  FROM leaves l JOIN nodes s ON s.tree = l.tree AND s.n > 1 AND s.pos // 16 = l.pos // (16 ** (s.level + 1))::BIGINT
+  GROUP BY ALL
+  UNION ALL
+  SELECT l.doc_id, l.leaf, l.tree, l.pos, g.height + s.level,
+    coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos < l.tree // (16 ** s.level)::BIGINT), ''),
+    coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos > l.tree // (16 ** s.level)::BIGINT), '')
+  FROM leaves l JOIN heights g ON g.tree = l.tree JOIN roots s ON s.n > 1 AND s.pos // 16 = l.tree // (16 ** (s.level + 1))::BIGINT
+  GROUP BY ALL),
+ways AS (
+  SELECT tree, leaf_pos, list(before ORDER BY level) AS b, list(after ORDER BY level) AS a FROM steps GROUP BY tree, leaf_pos),
+root AS (SELECT h AS root FROM roots WHERE n = 1)
+SELECT l.doc_id, l.leaf, s.h AS subroot, r.root,
+  sha256(coalesce(array_to_string(list_transform(w.b, lambda x, i: x || w.a[i]), ''), '')) AS proof_sha256,
+  list_reduce(coalesce(list_transform(range(len(w.b)), lambda i: i::VARCHAR), []::VARCHAR[]), lambda h, i: sha256(w.b[i::INT + 1] || h || w.a[i::INT + 1]), coalesce(l.changed, l.leaf)) AS folded_root,
+  folded_root = r.root AS verified
+FROM leaves l JOIN nodes s ON s.tree = l.tree AND s.n = 1 CROSS JOIN root r LEFT JOIN ways w ON w.tree = l.tree AND w.leaf_pos = l.pos
+"""
+
+
+@query("op13_merkle_manifest", OP13_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = (merkle.is_tampered(F.col("doc_id")), "text", merkle.lowered_text())
+    out = merkle.merkle_manifest(table(spark, sf_dir, "documents"), tampered=changed)
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
