@@ -10,6 +10,7 @@ from scoregate.llm import bpe, gam, html_text, merkle, mixing, quality_rules, wa
 from scoregate.llm.common import Scratch
 from scoregate.llm.embedding_dedup import near_duplicates
 from scoregate.llm.language_model import language_scores
+from scoregate.llm.license_scan import license_scan
 from scoregate.llm.ngram_jaccard import ngram_jaccard_groups
 from scoregate.llm.token_counts import token_counts
 
@@ -201,3 +202,9 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = (merkle.is_tampered(F.col("doc_id")), "text", merkle.lowered_text())
     out = merkle.merkle_manifest(table(spark, sf_dir, "documents"), tampered=changed)
     return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op12_license_scan")
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
