@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scoregate.llm import bpe, gam, html_text, merkle, mixing, quality_rules, warc
+from scoregate.llm.collocations import collocations
 from scoregate.llm.common import Scratch
 from scoregate.llm.embedding_dedup import near_duplicates
 from scoregate.llm.language_model import language_scores
@@ -208,3 +209,38 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda i: struct_pack(p := array_to_string(w[i:i + k - 1], ' '), b := (i > 1)::INT, e := (i + k - 1 < len(w))::INT))) AS g
+  FROM words, (SELECT unnest([1, 2, 3]) AS k)),
+f AS (SELECT lang, k, g.p AS phrase, count(*) AS a, sum(g.b)::BIGINT AS n_before, sum(g.e)::BIGINT AS n_after FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cuttable AS (
+  SELECT lang, k, phrase, a, n_before, n_after,
+    unnest(list_transform(range(1, k), lambda i: struct_pack(cut := i, lp := array_to_string(w[1:i], ' '), rp := array_to_string(w[i + 1:], ' ')))) AS c
+  FROM (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10)),
+parted AS (SELECT lang, phrase, a, n_before, n_after, c.cut AS cut, c.lp AS lp, c.rp AS rp FROM cuttable),
+cuts AS (
+  SELECT p.*, l.a AS l, r.a AS r, ((1000000::HUGEINT * p.a * p.a) // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM parted p JOIN f l ON l.lang = p.lang AND l.phrase = p.lp JOIN f r ON r.lang = p.lang AND r.phrase = p.rp),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_parts AS (
+  SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase
+  FROM (SELECT lang, a, string_split(phrase, ' ') AS w FROM f WHERE k = 3 AND a >= 10)),
+covered AS (SELECT lang, phrase, max(a) AS most FROM inner_parts GROUP BY ALL),
+left_over AS (SELECT c.* FROM lowest c LEFT JOIN covered v ON v.lang = c.lang AND v.phrase = c.phrase AND 100 * v.most >= 50 * c.a WHERE v.phrase IS NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM left_over)
+SELECT lang, rank, phrase, a, l, r, n, score, n_before, n_after FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op11_collocations", OP11_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=10, covered_percent=50, most=2000)
