@@ -11,7 +11,9 @@ explicit stacks and know where each kind of element is open, so that their time
 Defined cases: a null or empty page has no text (the empty string); broken or endless markup is read as far as it goes;
 tag-like text that isn't a tag stays text; a number that isn't one counts as missing, a character reference beyond Unicode
 is U+FFFD; spans stop at the limits of HTML (1,000 columns, 65,534 rows, the table's end); from INDENTED levels on lists and
-quotes are no longer set in further; repeated rows, null ids and further columns stay; the new column replaces one of its
+quotes are no longer set in further; a cell that would stand beyond ALIGNED places of its line follows the text before it after a
+gap, so that no line has more padding than that for each of NESTED tables around it; tables deeper than that are read cell by cell,
+each a block; no text is lost by either; repeated rows, null ids and further columns stay; the new column replaces one of its
 name; an empty table gives an empty result."""
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
@@ -40,6 +43,8 @@ _WHOLE = re.compile(r"[ \t\n\f\r]*([+-]?[0-9]{1,9})(?![0-9])", re.A)
 #: Levels up to which lists and quotes are set in.
 INDENTED = 64
 MOST_COLUMNS, MOST_ROWS = 1000, 65_534
+#: Places of a line up to which cells are set under each other; tables within each other that are laid out; columns searched at once.
+ALIGNED, NESTED, SEARCHED = 200, 8, 512
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
@@ -289,26 +294,16 @@ class _Grid:
 
     def placed(self) -> list[tuple[list[str], int, int, int, int]]:
         """(lines, row, last row + 1, column, last column + 1) of each cell, beside the cells that reach down from above."""
-        out, above = [], []  # above: (column, end, row at which it ends), in order
+        out, taken = [], _Taken()
         for r, row in enumerate(self.rows):
-            above = [x for x in above if x[2] > r]
-            column, i, fresh = 0, 0, []
+            column = 0
             for lines, across, down in row:
-                while i < len(above) and above[i][0] <= column:
-                    column = max(column, above[i][1])
-                    i += 1
+                column = taken.free(column, r)
                 until = min(r + down, len(self.rows))
                 out.append((lines, r, until, column, column + across))
                 if until > r + 1:
-                    fresh.append((column, column + across, until))
+                    taken.take(column, column + across, until)
                 column += across
-            merged: list[tuple[int, int, int]] = []
-            for x in sorted(above + fresh) if fresh else above:
-                if merged and merged[-1][1] == x[0] and merged[-1][2] == x[2]:
-                    merged[-1] = merged[-1][0], x[1], x[2]
-                else:
-                    merged.append(x)
-            above = merged
         return out
 
     def drawn(self) -> list[str]:
@@ -318,26 +313,34 @@ class _Grid:
         if len(starts) < 2 and all(last_row - row == 1 for _, row, last_row, _, _ in cells):
             return list(itertools.chain.from_iterable(c[0] for c in cells))
         index = {c: i for i, c in enumerate(starts)}
-        ends = sorted(starts)
-        widths, heights = [0] * len(starts), [0] * len(self.rows)
-        spanning = []
+        widths, heights = np.zeros(len(starts), np.int64), [0] * len(self.rows)
+        spanning, reaching = [], []
         for lines, row, last_row, column, end in cells:
-            first, last = index[column], bisect.bisect_left(ends, end)
+            first, last = index[column], bisect.bisect_left(starts, end)
             width = max(map(_width, lines), default=0)
             if last - first == 1:
                 widths[first] = max(widths[first], width)
             elif width:
                 spanning.append((last - first, first, width))
             heights[row] = max(heights[row], len(lines) if last_row - row == 1 else min(1, len(lines)))
+            if last_row - row > 1 and lines:
+                reaching.append((last_row, row, len(lines)))
         for span, first, width in sorted(spanning):
-            lacking = width - sum(widths[first : first + span]) - len(GAP) * (span - 1)
-            for k in range(span if lacking > 0 else 0):
-                widths[first + k] += lacking // span + (k < lacking % span)
-        for lines, row, last_row, _, _ in cells:
-            if last_row - row > 1 and lines and (lacking := len(lines) - sum(heights[row:last_row])) > 0:
+            own = widths[first : first + span]
+            lacking = width - int(own.sum()) - len(GAP) * (span - 1)
+            if lacking > 0:
+                own += lacking // span
+                own[: lacking % span] += 1
+        # What cells over many rows lack goes to their last row; from the top, so that sums of what was given stay sums of a list's end.
+        upto, given, sums = [0, *itertools.accumulate(heights)], [], [0]
+        for last_row, row, n in sorted(reaching):
+            lacking = n - (upto[last_row] - upto[row]) - (sums[-1] - sums[bisect.bisect_left(given, row)])
+            if lacking > 0:
                 heights[last_row - 1] += lacking
+                given.append(last_row - 1)
+                sums.append(sums[-1] + lacking)
         tops = [0, *itertools.accumulate(heights)]
-        lefts = [0, *itertools.accumulate(w + len(GAP) for w in widths)]
+        lefts = [0, *np.cumsum(widths + len(GAP)).tolist()]
         out: list[list[tuple[int, str]]] = [[] for _ in range(tops[-1])]
         for lines, row, _, column, _ in cells:
             for k, line in enumerate(lines):
@@ -345,14 +348,44 @@ class _Grid:
                     out[tops[row] + k].append((lefts[index[column]], line))
         drawn = []
         for parts in out:
-            line, at = "", 0
+            pieces, at = [], 0
             for left, text in sorted(parts):
-                line += " " * (left - at) + text
-                at = left + _width(text)
-            drawn.append(line.rstrip())
+                gap = left - at if left <= ALIGNED else max(ALIGNED - at, len(GAP) if at else 0)
+                pieces += (" " * gap, text)
+                at += gap + _width(text)
+            drawn.append("".join(pieces).rstrip())
         return drawn
 
 
+class _Taken:
+    """Until which row each column is taken by a cell from above. The least of every SEARCHED columns is kept beside them, so that
+    the next free column is found without a look at each one."""
+
+    def __init__(self):
+        self.until, self.least = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def take(self, first: int, end: int, until: int) -> None:
+        if end > len(self.until):
+            more = max(end, 2 * len(self.until)) // SEARCHED + 1
+            self.until, self.least = (np.append(x, np.zeros(n - len(x), np.int32)) for x, n in ((self.until, more * SEARCHED), (self.least, more)))
+        np.maximum(self.until[first:end], until, out=self.until[first:end])
+        for k in range(first // SEARCHED, (end - 1) // SEARCHED + 1):
+            self.least[k] = self.until[k * SEARCHED : (k + 1) * SEARCHED].min()
+
+    def free(self, column: int, row: int) -> int:
+        """The first column from the given one on that no cell from above takes in a row."""
+        k = column // SEARCHED
+        while k < len(self.least):
+            here = self.until[max(column, k * SEARCHED) : (k + 1) * SEARCHED] <= row
+            if here.any():
+                return max(column, k * SEARCHED) + int(here.argmax())
+            later = self.least[k + 1 :] <= row
+            if not later.any():
+                return max(column, len(self.until))
+            k += 1 + int(later.argmax())
+        return column
+
+
 GAP = "  "
 
 
@@ -360,7 +393,7 @@ def render(root: Node) -> str:
     """All visible text of a tree."""
     top = _Sink()
     blocks = [_Block(root, top, False, "", False)]
-    tables: list[_Sink] = []
+    tables: list[_Sink | None] = []  # None: one that isn't laid out
     lists: list[_Block] = []
     work: list = [("open", c) for c in reversed(root.children)]
     while work:
@@ -374,12 +407,11 @@ def render(root: Node) -> str:
             tag = node.tag
             if tag in _LISTS:
                 lists.pop()
-            if tag == "table":
-                tables.pop()
+            if tag == "table" and tables.pop() is not None:
                 outer = _Block(node, blocks[-1].sink, False, "", True)
                 outer.sink.put_all(sink.lines + sink.grid.drawn() if sink.lines else sink.grid.drawn())
                 outer.close()
-            elif tag in ("td", "th") and tables:
+            elif tag in ("td", "th") and tables and tables[-1]:
                 tables[-1].grid.cell(sink.lines, node)
             continue
         if isinstance(node, str):
@@ -409,7 +441,7 @@ def render(root: Node) -> str:
             sink.blank = True
             continue
         if tag in ("tr", "thead", "tbody", "tfoot"):
-            if tag == "tr" and tables:
+            if tag == "tr" and tables and tables[-1]:
                 tables[-1].grid.row()
                 children = [c for c in children if not isinstance(c, str) or c.strip()]
             work += [("open", c) for c in reversed(children)]
@@ -429,13 +461,15 @@ def render(root: Node) -> str:
         elif tag in ("dd", "blockquote"):
             prefix = "  "
         apart = tag in SPACED and tag != "table" and not (tag in _LISTS and lists)
-        if tag == "table" or (tag in ("td", "th") and tables):
+        laid_out = tag == "table" and len(tables) < NESTED
+        if laid_out or (tag in ("td", "th") and tables and tables[-1]):
             sink = _Sink()
         block = _Block(node, sink, here.preformatted or tag in ("pre", "textarea", "xmp"), prefix, apart)
         blocks.append(block)
         if tag == "table":
-            sink.grid = _Grid()
-            tables.append(sink)
+            if laid_out:
+                sink.grid = _Grid()
+            tables.append(sink if laid_out else None)
         elif tag in _LISTS:
             lists.append(block)
         work.append(("close", node))
