@@ -239,8 +239,9 @@ class Trainer:
         logits[np.arange(len(want)), want] -= scale
         return logits
 
-    def window(self, inputs: np.ndarray, targets: np.ndarray, used: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Learn from one (steps, lanes) window of which some places are used; the state after it."""
+    def window(self, inputs: np.ndarray, targets: np.ndarray, used: np.ndarray, h: np.ndarray, places: int | None = None) -> np.ndarray:
+        """Learn from one (steps, lanes) window of which some places are used; the state after it. places: what the loss is divided
+        by; the number of places in use if none is given."""
         net, keep = self.net, []
         steps, lanes = inputs.shape
         self.rate, self.seen = np.float32(RATE / (1 + self.seen / DECAY) ** 0.5), self.seen + 1
@@ -249,7 +250,7 @@ class Trainer:
         whole = used.all()
         if not whole:
             flat, want = flat[used.ravel()], want[used.ravel()]
-        scale = np.float32(SCALE / max(1, len(want)))
+        scale = np.float32(SCALE / (places or max(1, len(want))))
         logits = flat @ net.wc
         logits += net.bc
         p = self._slopes(logits, net.class_of(want), scale)
@@ -347,7 +348,8 @@ def _train(shared):
         def learn() -> None:
             h = np.zeros((LANES, HIDDEN), np.float32)
             for inputs, targets, owner, live in windows(held, trainer.net.start, LANES, WINDOW):
-                h = trainer.window(inputs, targets, owner >= 0, h[:live])
+                # Every token weighs the same: a window in which one long document is left mustn't take a whole window's step.
+                h = trainer.window(inputs, targets, owner >= 0, h[:live], LANES * WINDOW)
 
         def ended() -> pa.RecordBatch:
             parts = np.array_split(trainer.net.flat(), BLOCKS)
