@@ -353,6 +353,6 @@ RULES = (*BASE, *_tags(), *_lines(TEXTS), *_creative(), *_lines(NAMES))
 GATES = (
     "licen", "permission", "software", "warranty", "redistribution", "domain", "reserved", "copyright", "published", "reproduced", "unauthorized",
     "confidential", "materials", "package", "promote", "waived", "fuck", "misrepresented", "damages", "commons", "opensource", "gnu", "mozilla", "apache",
-    "gpl", "bsd", "cddl", "eupl", "cecill", "gfdl", "odbl", "wtfpl", "cc0", "perl", "nasa", "rail",
+    "gpl", "bsd", "cddl", "eupl", "cecill", "gfdl", "odbl", "wtfpl", "cc0", "perl", "nasa", "rail", "consortium",
 )
 SHORT_GATES = ("mit", "cc", "epl", "mpl", "asl")
