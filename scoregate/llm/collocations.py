@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 from scoregate.llm.common import Scratch, mix64, ship, slices, text_chunks
 
 #: Words of a shard, about; rows of a batch that a shard returns.
-SHARD, ROWS = 1 << 22, 1 << 16
+SHARD, ROWS = 1 << 21, 1 << 16
 #: Bits of the set of what may be extended: 8 MB, whatever it holds.
 SIEVE_BITS = 1 << 26
 #: Parts that a language's candidates are ranked in before the best of each meet.
@@ -169,6 +169,14 @@ def extended(index: Index, found: Intervals, usual: np.ndarray, order: np.ndarra
     return out.only(usual[symbol])
 
 
+def single_words(codes: np.ndarray, fresh: np.ndarray, symbols: int) -> Intervals:
+    """What the intervals of single words count."""
+    n, before = (np.bincount(codes[kept], minlength=symbols)[1:] for kept in (slice(None), ~fresh))
+    after = np.bincount(codes[:-1][~fresh[1:]], minlength=symbols)[1:]
+    none = np.zeros(len(n), np.int64)
+    return Intervals(np.arange(1, symbols), none - 1, none, n, none, before, after)
+
+
 class Shard:
     """Words of one language until they are indexed and counted."""
 
@@ -201,8 +209,13 @@ class Shard:
 
 def phrases_of(words: pa.DictionaryArray, fresh: np.ndarray, lang: str, length: int, sieve: Sieve | None) -> Iterator[tuple[pa.Array, Intervals]]:
     """The phrases of one length in a shard with their intervals. sieve: of the phrases that are one word shorter."""
-    codes, names = words.indices.to_numpy().astype(np.int64) + 1, words.dictionary
+    codes, names = words.indices.to_numpy() + np.int32(1), words.dictionary
     rare = len(names) + 1
+    if length == 1:  # a word's rows are all of its places: no index is needed to count them
+        alone = single_words(codes, fresh, rare)
+        for at in range(0, len(names), ROWS):
+            yield names.slice(at, ROWS), alone.only(np.arange(at, min(at + ROWS, len(names))))
+        return
     usual = np.ones(rare + 1, bool)
     usual[[0, rare]] = False
     own = np.zeros(rare + 1, np.uint64)
@@ -210,8 +223,8 @@ def phrases_of(words: pa.DictionaryArray, fresh: np.ndarray, lang: str, length:
         own[1:rare] = hashes([n.as_buffer().to_pybytes() for n in names], lang)
         if length == 2:
             usual[1:rare] = sieve.may_hold(own[1:rare])
-            codes = np.where(usual[codes], codes, rare)
-    sequence = np.zeros(len(codes) + int(fresh.sum()) + 1, np.int64)
+            codes = np.where(usual[codes], codes, np.int32(rare))
+    sequence = np.zeros(len(codes) + int(fresh.sum()) + 1, np.int32)
     sequence[np.arange(len(codes)) + np.cumsum(fresh)] = codes
     index = Index.of(sequence, rare + 1, length)
     steps = [single(index, np.flatnonzero(usual & (np.diff(index.begin) > 0)))]
@@ -268,7 +281,8 @@ def counted(documents: DataFrame, length: int, least: int, sieve: Sieve | None,
 
     asked = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     parts = asked.mapInArrow(run, _COUNTS)
-    sums = parts.groupBy("lang", "phrase").agg(*(F.sum(c).alias(c) for c in ("n", "n_before", "n_after")))
+    # Dealt out as they come: a shard gives each phrase once, so summing before the shuffle would only fill memory.
+    sums = parts.repartition("lang", "phrase").groupBy("lang", "phrase").agg(*(F.sum(c).alias(c) for c in ("n", "n_before", "n_after")))
     return scratch.table(sums.where((F.col("n") >= least) | F.col("phrase").isNull()), f"phrases-{length}")
 
 
