@@ -167,7 +167,8 @@ def merkle_manifest(
         asked["now"] = F.when(condition, digest(*(framed(value if c == changed else F.col(c)) for c in columns)))
     else:
         asked["now"] = F.lit(None).cast("string")
-    leaves = placed(documents.select(*(c.alias(n) for n, c in asked.items())), ["key", "digest"], scratch, "leaves")
+    digests = scratch.table(documents.select(*(c.alias(n) for n, c in asked.items())), "digests")  # else sampling for ranges would hash all texts once more
+    leaves = placed(digests, ["key", "digest"], scratch, "leaves")
     rounds = grown(leaves, 0, scratch, "nodes")
     trees = rounds[-1].nodes.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest")
     forest = grown(placed(trees, ["name"], scratch, "trees"), rounds[-1].level, scratch, "roots")
