@@ -69,6 +69,14 @@ class Scratch:
                     folder.getFileSystem(conf).delete(folder, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have yet, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(column):
     """Lower-case A-Z only."""
     return F.translate(column, UPPER, UPPER.lower())

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from scoregate.llm.common import Scratch, ship, slices, text_chunks, window_hashes, word_hashes
+from scoregate.llm.common import Scratch, free_name, ship, slices, text_chunks, window_hashes, word_hashes
 
 FEATURES = ("bytes", "words", "word_bytes", "upper", "symbols", "marks", "stops", "digits", "non_ascii", "lines", "repeated_lines", "distinct", "repeated_runs", "short_words", "top_word", "space")
 FIT_ROWS, BINS, LEAVES = 20_000, 48, 3
@@ -247,5 +247,5 @@ def accepted(documents: DataFrame, labels: DataFrame, cut: float = 0.3, fit_rows
     """The documents that the model scores at least `cut`, with their own columns."""
     described = Scratch(documents.sparkSession).table(features(documents), "features")
     model = fit(described, labels, fit_rows)
-    own = [c for c in documents.columns]
-    return score_documents(documents, model, "_gam_score").where(F.col("_gam_score") >= cut).select(*own)
+    score = free_name(documents, "__sg_score")
+    return score_documents(documents, model, score).where(F.col(score) >= cut).drop(score)

@@ -18,7 +18,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from scoregate.llm.common import sieve, words_of
+from scoregate.llm.common import free_name, sieve, words_of
 
 BUCKETS = 1 << 14
 THRESHOLD = -0.5
@@ -104,7 +104,8 @@ def judged(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
         )
 
     bare = F.translate(text, _BLANK, "")
-    counted = documents.withColumn("rules", _let(words_of(text), measured)).withColumn("_dup_lines", _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))))
+    repeats = free_name(documents, "__sg_dup_lines")
+    counted = documents.withColumn("rules", _let(words_of(text), measured)).withColumn(repeats, _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))))
     n, repeated = F.col("rules.n_words"), F.col("rules.n_repeat_words")
     failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)
     return counted.withColumn(
@@ -113,13 +114,13 @@ def judged(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
             n.alias("n_words"),
             F.length(bare).cast("long").alias("word_chars"),
             (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            F.col("_dup_lines").cast("long").alias("n_dup_lines"),
+            F.col(repeats).cast("long").alias("n_dup_lines"),
             repeated.alias("n_repeat_words"),
             F.col("rules.ratio").alias("ratio"),
             failed.alias("base_failed"),
             (~failed & (F.col("rules.ratio") >= threshold)).alias("kept"),
         ),
-    ).drop("_dup_lines")
+    ).drop(repeats)
 
 
 def quality_rules(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -130,6 +131,7 @@ def quality_rules(documents: DataFrame, labels: DataFrame, threshold: float = TH
 def passing(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
     own = documents.columns
-    held = documents.withColumnRenamed("rules", "_own_rules")
+    kept = free_name(documents, "__sg_rules")
+    held = documents.withColumnRenamed("rules", kept)
     out = judged(held, labels, threshold).where("rules.kept").drop("rules")
-    return out.withColumnRenamed("_own_rules", "rules").select(*own)
+    return out.withColumnRenamed(kept, "rules").select(*own)
