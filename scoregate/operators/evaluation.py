@@ -72,9 +72,9 @@ def error_cases(revealed: DataFrame, most: int = 5) -> DataFrame:
     """The worst false positives (highest scores) and false negatives (lowest scores) of each method, ties by item."""
     case = F.when((F.col("true_class") == "normal") & F.col("is_anomalous"), "false_positive").when((F.col("true_class") == "anomaly") & ~F.col("is_anomalous"), "false_negative")
     signed = F.when(F.col("case_type") == "false_positive", -F.col("score")).otherwise(F.col("score"))
-    order = Window.partitionBy("method", "case_type").orderBy("_signed", "item")
-    out = revealed.withColumn("case_type", case).where("case_type is not null").withColumn("_signed", signed)
-    return out.withColumn("case_rank", F.row_number().over(order)).where(F.col("case_rank") <= most).withColumn("case_rank", F.col("case_rank").cast("long")).drop("_signed")
+    order = Window.partitionBy("method", "case_type").orderBy("__sg_signed", "item")
+    out = revealed.withColumn("case_type", case).where("case_type is not null").withColumn("__sg_signed", signed)
+    return out.withColumn("case_rank", F.row_number().over(order)).where(F.col("case_rank") <= most).withColumn("case_rank", F.col("case_rank").cast("long")).drop("__sg_signed")
 
 
 def latency(observations: DataFrame, groups: list[str], expected: Column | None = None) -> DataFrame:
@@ -156,10 +156,10 @@ def select_method(candidates: DataFrame) -> DataFrame:
     """Methods in order of preference: decision, recall, false positive rate, p95, median, complexity; rank 1 is selected. The
     table has a row for each method."""
     rank = F.when(F.col("decision") == "ADOPT", 0).when(F.col("decision") == "ADOPT WITH CONDITIONS", 1).otherwise(2)
-    order = Window.orderBy("_rank", F.desc("recall"), "fpr", "p95_duration", "median_duration", "complexity", "method")
-    best = F.min("_rank").over(Window.partitionBy())
-    out = candidates.withColumn("_rank", rank)
-    return out.withColumn("preference", F.row_number().over(order).cast("long")).withColumn("project_decision", F.when(best == 2, "REJECT").otherwise(F.first("decision").over(order))).drop("_rank")
+    order = Window.orderBy("__sg_rank", F.desc("recall"), "fpr", "p95_duration", "median_duration", "complexity", "method")
+    best = F.min("__sg_rank").over(Window.partitionBy())
+    out = candidates.withColumn("__sg_rank", rank)
+    return out.withColumn("preference", F.row_number().over(order).cast("long")).withColumn("project_decision", F.when(best == 2, "REJECT").otherwise(F.first("decision").over(order))).drop("__sg_rank")
 
 
 def prefer(candidates: DataFrame, group: str, preference: list) -> DataFrame:

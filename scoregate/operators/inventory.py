@@ -57,12 +57,12 @@ def case_clashes(rows: DataFrame, name: str) -> DataFrame:
 
 def state_presence(fits: DataFrame, states: DataFrame, key: str, digest: str) -> DataFrame:
     """Where fit status and stored state disagree: a good fit without the state of its digest, a failed one with a state, a stray."""
-    joined = null_safe_join(fits.select(key, "fit_status", F.col(digest).alias("_want")), states.select(key, F.col(digest).alias("_got"), F.lit(True).alias("_stored")), [key], "full_outer")
+    joined = null_safe_join(fits.select(key, "fit_status", F.col(digest).alias("__sg_want")), states.select(key, F.col(digest).alias("__sg_got"), F.lit(True).alias("__sg_stored")), [key], "full_outer")
     rule = S.any_code(
         (F.col("fit_status").isNull(), "stray_state"),
-        ((F.col("fit_status") == "ok") & F.col("_stored").isNull(), "state_missing"),
-        ((F.col("fit_status") == "ok") & ~F.col("_want").eqNullSafe(F.col("_got")), "state_changed"),
-        ((F.col("fit_status") != "ok") & F.col("_stored").isNotNull(), "state_of_failed_fit"),
+        ((F.col("fit_status") == "ok") & F.col("__sg_stored").isNull(), "state_missing"),
+        ((F.col("fit_status") == "ok") & ~F.col("__sg_want").eqNullSafe(F.col("__sg_got")), "state_changed"),
+        ((F.col("fit_status") != "ok") & F.col("__sg_stored").isNotNull(), "state_of_failed_fit"),
     )
     return joined.select(key, rule.alias("rule")).where("rule is not null")
 
@@ -70,17 +70,17 @@ def state_presence(fits: DataFrame, states: DataFrame, key: str, digest: str) ->
 def ordered_digest(lines: DataFrame, groups: list[str], order: str, line: Column, separator: str = "\n", digits: int = 2) -> DataFrame:
     """A digest of each group's lines in their order, in two levels, so that no task holds all lines: first of the lines that share
     the first digits of their key's hash, then of those digests in order."""
-    cut = lines.withColumn("_cut", F.substring(F.sha2(F.col(order).cast("string"), 256), 1, digits)).withColumn("_line", line)
-    text = F.expr(f"listagg(_line, '{separator}') WITHIN GROUP (ORDER BY {order})")
-    parts = cut.groupBy(*groups, "_cut").agg(F.sha2(text, 256).alias("_part"), F.count(F.lit(1)).alias("_n"))
-    whole = F.expr("listagg(concat(_cut, ':', _part), '\n') WITHIN GROUP (ORDER BY _cut)")
-    return parts.groupBy(*groups).agg(F.sha2(whole, 256).alias("digest"), F.sum("_n").alias("line_count"))
+    cut = lines.withColumn("__sg_cut", F.substring(F.sha2(F.col(order).cast("string"), 256), 1, digits)).withColumn("__sg_line", line)
+    text = F.expr(f"listagg(__sg_line, '{separator}') WITHIN GROUP (ORDER BY {order})")
+    parts = cut.groupBy(*groups, "__sg_cut").agg(F.sha2(text, 256).alias("__sg_part"), F.count(F.lit(1)).alias("__sg_n"))
+    whole = F.expr("listagg(concat(__sg_cut, ':', __sg_part), '\n') WITHIN GROUP (ORDER BY __sg_cut)")
+    return parts.groupBy(*groups).agg(F.sha2(whole, 256).alias("digest"), F.sum("__sg_n").alias("line_count"))
 
 
 def flat_digest(lines: DataFrame, groups: list[str], order: str, line: Column) -> DataFrame:
     """SHA-256 over each group's newline-ended lines in their order, for groups that fit one task."""
-    text = F.expr(f"listagg(concat(_line, '\n'), '') WITHIN GROUP (ORDER BY {order})")
-    return lines.withColumn("_line", line).groupBy(*groups).agg(F.sha2(text, 256).alias("digest"))
+    text = F.expr(f"listagg(concat(__sg_line, '\n'), '') WITHIN GROUP (ORDER BY {order})")
+    return lines.withColumn("__sg_line", line).groupBy(*groups).agg(F.sha2(text, 256).alias("digest"))
 
 
 def totals(items: DataFrame, prefix: Column, size: str) -> DataFrame:
@@ -131,6 +131,6 @@ def closure(roots: DataFrame, edges: DataFrame, nodes: DataFrame | None = None)
 
 def roles(nodes: DataFrame, runtime: DataFrame, development: DataFrame) -> DataFrame:
     """Each node's role: runtime if reachable from the runtime roots, else development, else orphan."""
-    r = runtime.select("node", F.lit(True).alias("_r"))
-    d = development.select("node", F.lit(True).alias("_d"))
-    return nodes.select("node").join(r, "node", "left").join(d, "node", "left").select("node", F.when(F.col("_r").isNotNull(), "runtime").when(F.col("_d").isNotNull(), "development").otherwise("orphan").alias("role"))
+    r = runtime.select("node", F.lit(True).alias("__sg_r"))
+    d = development.select("node", F.lit(True).alias("__sg_d"))
+    return nodes.select("node").join(r, "node", "left").join(d, "node", "left").select("node", F.when(F.col("__sg_r").isNotNull(), "runtime").when(F.col("__sg_d").isNotNull(), "development").otherwise("orphan").alias("role"))

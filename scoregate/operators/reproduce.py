@@ -78,8 +78,8 @@ def evaluation_tables(calibration: DataFrame, scores: DataFrame, labels: DataFra
 def stage_facts(expected: DataFrame, observed: DataFrame) -> DataFrame:
     """One row for stage_guard: rows of both sides and whether their contents have one digest, whatever their order."""
     a, b = (content_digest(df, []).select(F.coalesce("line_count", F.lit(0)).alias("n"), F.coalesce("digest", F.lit("")).alias("d")) for df in (expected, observed))
-    both = a.select(F.col("n").alias("expected_count"), F.col("d").alias("_a")).join(b.select(F.col("n").alias("observed_count"), F.col("d").alias("_b")), F.lit(True))
-    return both.select("expected_count", "observed_count", (F.col("_a") == F.col("_b")).alias("digests_agree"))
+    both = a.select(F.col("n").alias("expected_count"), F.col("d").alias("__sg_a")).join(b.select(F.col("n").alias("observed_count"), F.col("d").alias("__sg_b")), F.lit(True))
+    return both.select("expected_count", "observed_count", (F.col("__sg_a") == F.col("__sg_b")).alias("digests_agree"))
 
 
 def label_free_summary(scores: DataFrame, classified: DataFrame, passes: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:

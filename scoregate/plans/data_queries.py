@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from scoregate.functions import scalars as S
@@ -10,7 +12,7 @@ from scoregate.plans import inputs as I
 from scoregate.plans.registry import query
 from scoregate.sources import bundles, files
 from scoregate.sources.stages import stage_path as _scratch, staged
-from scoregate.streaming import score_streams
+from scoregate.streaming import guards, score_streams
 
 PATHS_SQL = "paths AS (SELECT p_partkey, p_brand AS category, p_brand || '/' || replace(p_type, ' ', '_') || '/' || p_partkey || '.JPG' AS path, p_size FROM part)"
 
@@ -392,6 +394,42 @@ def stream_window_counts(spark, sf_dir):
     return score_streams.window_counts(spark, f"{sf_dir}/events.parquet", 50.0, "1 day", f"{_scratch(spark)}/stream")
 
 
+@query("stream_window_metrics", """WITH e AS (SELECT ts, event_type AS method, value, event_id % 9 = 0 AS failed, time_bucket(INTERVAL 1 DAY, ts) AS window_start FROM events),
+w AS (SELECT window_start, method, count(*) AS event_count, count(*) FILTER (WHERE failed) AS failed_count, count(*) FILTER (WHERE failed OR value > 50) AS anomalous_count FROM e GROUP BY ALL)
+SELECT *, anomalous_count / event_count AS anomalous_share, true AS p95_within FROM w WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def stream_window_metrics(spark, sf_dir):
+    """Counts, failures, anomalous share and p95 of daily windows, each given when the watermark has passed it, with whether the p95's
+    rank among the window's rows is as near to 0.95 as is stated."""
+    source, path = f"{sf_dir}/events.parquet", _scratch(spark)
+    failing = lambda scores: scores.withColumn("score_status", F.when(F.col("item") % 9 == 0, "failed").otherwise("ok"))
+    guards.drained(guards.window_metrics(failing(score_streams.scores_from(spark, source)), 50.0, "1 day", "10 minutes"), path)
+    out = spark.read.parquet(f"{path}/out")
+    batch = failing(I.table(spark, sf_dir, "events").select(F.col("event_id").alias("item"), F.col("event_type").alias("method"), "ts", F.col("value").alias("score")))
+    ranked = guards.p95_ranks(out, batch, "1 day")
+    return ranked.select("window_start", "method", "event_count", "failed_count", "anomalous_count", "anomalous_share", (F.col("p95_error") <= guards.RANK_ERROR).alias("p95_within"))
+
+
+@query("stream_repeats", """SELECT event_type AS method, count(*) + count(*) FILTER (WHERE event_id % 15 = 0) AS first_count, count(*) FILTER (WHERE event_id % 10 = 0) AS repeat_count,
+count(*) FILTER (WHERE event_id % 10 = 0) AS within_count FROM events GROUP BY event_type""")
+def stream_repeats(spark, sf_dir):
+    """Events with planted repeats, some five minutes later and some in a second run a day after the last event: how many rows begin a
+    key and how many repeat one, and how many of these lie within the horizon of the row that they repeat."""
+    base = _scratch(spark)
+    events = I.table(spark, sf_dir, "events").select(F.col("event_type").alias("method"), F.col("event_id").alias("item"), "ts")
+    later = lambda df, at: df.withColumn("ts", at)
+    own = guards.stateful_session(spark)
+    near = later(events.where("item % 10 = 0"), F.col("ts") + F.expr("INTERVAL 5 MINUTES"))
+    last = events.agg(F.max("ts").alias("last"))
+    far = later(events.where("item % 15 = 0").join(F.broadcast(last)), F.col("last") + F.expr("INTERVAL 1 DAY")).drop("last")
+    for rows in (events.unionByName(near), far):
+        rows.write.mode("append").parquet(f"{base}/in")
+        arriving = own.readStream.schema(events.schema).parquet(f"{base}/in")
+        guards.drained(guards.guarded(arriving, ["item"], timedelta(minutes=10)), f"{base}/guard")
+    out = spark.read.parquet(f"{base}/guard/out")
+    gap = F.unix_micros("ts") - F.unix_micros("first_time")
+    return out.groupBy("method").agg(F.count_if(~F.col("is_repeat")).alias("first_count"), F.count_if("is_repeat").alias("repeat_count"), F.count_if(F.col("is_repeat") & (gap <= 600_000_000)).alias("within_count"))
+
+
 @query("anchor_items", f"WITH {PATHS_SQL} SELECT category, min(path) AS anchor FROM paths GROUP BY category")
 def anchor_items(spark, sf_dir):
     return partition.anchors(paths(spark, sf_dir), "category", "path", "anchor")

@@ -14,8 +14,8 @@ from scoregate.operators.prefix import null_safe_join
 def content_digest(df: DataFrame, groups: list[str]) -> DataFrame:
     """A digest and row count of each group's rows, whatever their order."""
     row = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
-    keyed = df.select(*groups, row.alias("_row"))
-    return ordered_digest(keyed, groups, "_row", F.col("_row"))
+    keyed = df.select(*groups, row.alias("__sg_row"))
+    return ordered_digest(keyed, groups, "__sg_row", F.col("__sg_row"))
 
 
 def write_bundle(tables: dict[str, DataFrame], path: str) -> None:
@@ -44,9 +44,9 @@ def write_bundle(tables: dict[str, DataFrame], path: str) -> None:
 
 def bundle_violations(spark: SparkSession, path: str, schemas: dict) -> DataFrame:
     """Entries of a bundle's manifest whose stored rows have another digest or number, with the table's schema by name."""
-    found = [content_digest(spark.read.schema(schema).parquet(f"{path}/{name}"), ["method"]).select(F.lit(name).alias("artifact_type"), "method", F.col("digest").alias("_digest"), F.col("line_count").alias("_rows")) for name, schema in schemas.items()]
+    found = [content_digest(spark.read.schema(schema).parquet(f"{path}/{name}"), ["method"]).select(F.lit(name).alias("artifact_type"), "method", F.col("digest").alias("__sg_digest"), F.col("line_count").alias("__sg_rows")) for name, schema in schemas.items()]
     both = null_safe_join(read_manifest(spark, path), reduce(DataFrame.unionByName, found), ["artifact_type", "method"], "full_outer")
-    return both.where(~F.col("sha256").eqNullSafe(F.col("_digest")) | ~F.col("record_count").eqNullSafe(F.col("_rows"))).select("artifact_type", "method", "relative_path")
+    return both.where(~F.col("sha256").eqNullSafe(F.col("__sg_digest")) | ~F.col("record_count").eqNullSafe(F.col("__sg_rows"))).select("artifact_type", "method", "relative_path")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
