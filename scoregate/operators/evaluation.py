@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from scoregate.functions import scalars as S
-from scoregate.operators.prefix import median_and_more, null_safe_join, running
+from scoregate.operators.prefix import held, median_and_more, null_safe_join, running
 
 
 def reveal_status(items: DataFrame, labels: DataFrame, key: str = "item", order: str | None = None) -> DataFrame:
@@ -80,6 +80,7 @@ def error_cases(revealed: DataFrame, most: int = 5) -> DataFrame:
 def latency(observations: DataFrame, groups: list[str], expected: Column | None = None) -> DataFrame:
     """Median, nearest-rank p95 over all observations and failures of each group; p95 only where all `expected` succeeded. Both
     are found by ranks over ranges of durations, so that a group with many rows is spread."""
+    observations = held(observations, [*groups, "item", "score_status", "duration"])
     out = observations.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("observation_count"),
         F.count_if(F.col("score_status") == "failed").alias("failed_count"),

@@ -1,7 +1,9 @@
 """Exact ranks and running sums of few groups with many rows, without one task for each group.
 
-Rows are cut into ranges by approximate quantiles of each group (their number is fixed), ranges are summed, the few sums
-are accumulated and added to what is accumulated inside each range. The cuts only decide the balance, not the result.
+Rows are cut into ranges by splitters over (value, ties, row), taken from a sample of each large group, so that a value that most
+rows share is cut as any other. Ranges are counted, the few counts are accumulated, and only what is accumulated inside a range
+needs its rows together. The splitters decide the balance alone: of N rows a range has about N / RANGES, and with SAMPLE rows drawn
+for them hardly ever more than three times as many. What is read more than once is written once.
 
 Defined cases for all functions: null group keys are a group of their own; null values come first in ascending order (and
 in a range of their own); an empty table gives an empty result; the columns that they add and drop begin with ``__sg_``,
@@ -14,8 +16,9 @@ from pyspark.sql.window import Window
 
 from scoregate.sources.stages import staged
 
-RANGES = 64
-_RANGE, _CUTS, _COUNT, _BEFORE, _PLACE = "__sg_range", "__sg_cuts", "__sg_count", "__sg_before", "__sg_place"
+#: Ranges of a large group, and rows drawn of one for its splitters; a group of up to so many rows is one range.
+RANGES, SAMPLE = 64, 2048
+_RANGE, _CUTS, _COUNT, _BEFORE, _PLACE, _ROW = "__sg_range", "__sg_cuts", "__sg_count", "__sg_before", "__sg_place", "__sg_row"
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -32,18 +35,30 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return out.drop(*(f"__sg_key_{k}" for k in keys))
 
 
-def ranged(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """df with the column ``__sg_range``: where in its group's quantiles a row's value lies. Nulls come first."""
-    cuts = F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 2000)
-    bounds = df.groupBy(*groups).agg(cuts.alias(_CUTS))
-    kind = df.schema[value].dataType.simpleString()
-    below = F.size(F.filter(F.coalesce(_CUTS, F.array().cast(f"array<{kind}>")), lambda c: c < F.col(value)))
-    return null_safe_join(df, F.broadcast(bounds), groups).withColumn(_RANGE, F.when(F.col(value).isNull(), -1).otherwise(below)).drop(_CUTS)
+def held(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns written once with a number for each row, for at_ranks and others to read."""
+    return staged(df.select(*dict.fromkeys(columns), F.monotonically_increasing_id().alias(_ROW)))
+
+
+def ranged(df: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
+    """df with the column ``__sg_range``: where among its group's splitters a row lies in the order of the columns named. Rows with a
+    null in the first of them are in range -1. df is read three times: it should be a written table."""
+    key = F.struct(*order)
+    known = df.where(F.col(order[0]).isNotNull())
+    large = known.groupBy(*groups).agg(F.count(F.lit(1)).alias(_COUNT)).where(F.col(_COUNT) > SAMPLE)
+    drawn = F.pmod(F.xxhash64(F.lit("splitters"), *order), F.lit(1 << 40)) / float(1 << 40) < SAMPLE / F.col(_COUNT)
+    sample = null_safe_join(known, F.broadcast(large), groups).where(drawn)
+    found = sample.groupBy(*groups).agg(F.sort_array(F.collect_list(key)).alias(_CUTS))
+    every = F.transform(F.sequence(F.lit(1), F.lit(RANGES - 1)), lambda i: F.get(_CUTS, F.floor(i * F.size(_CUTS) / RANGES).cast("int")))
+    cuts = found.select(*groups, F.array_distinct(every).alias(_CUTS))
+    below = F.size(F.filter(F.col(_CUTS), lambda c: c < key))
+    return null_safe_join(df, F.broadcast(cuts), groups, "left").withColumn(_RANGE, F.when(F.col(order[0]).isNull(), -1).when(F.col(_CUTS).isNull(), 0).otherwise(below)).drop(_CUTS)
 
 
 def running(df: DataFrame, groups: list[str], value: str, sums: dict[str, Column], descending: bool = False, ties: list[str] | None = None) -> DataFrame:
-    """df with running sums in the order of value (then of ties), equal rows included: {new column: summed column}."""
-    cut = ranged(df, groups, value)
+    """df with running sums in the order of value (then of ties), equal rows included: {new column: summed column}. Equal rows count as
+    one place, so those of a range come together; a table with many should be grouped first."""
+    cut = ranged(staged(df), groups, [value] if descending else [value, *(ties or [])])
     totals = cut.groupBy(*groups, _RANGE).agg(*(F.sum(c).alias(f"__sg_t_{n}") for n, c in sums.items()))
     order = F.col(_RANGE).desc() if descending else F.col(_RANGE)
     above = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -59,18 +74,21 @@ def running(df: DataFrame, groups: list[str], value: str, sums: dict[str, Column
 def at_ranks(df: DataFrame, groups: list[str], value: str, ranks: dict[str, Column], ties: list[str] | None = None, kept: list[str] | None = None) -> DataFrame:
     """The rows of each group at given 1-based ranks in the order (value, ties): groups, rank_name, ``__sg_count`` (rows of the
     group), value and the kept columns. ranks: name -> rank as a column over ``__sg_count``. Null values have no rank. Only
-    ranges that hold a rank are ordered."""
-    cut = ranged(df.where(F.col(value).isNotNull()), groups, value)
+    ranges that hold a rank are ordered. df is written first, unless it comes from ``held``."""
+    ties, kept = ties or [], kept or []
+    if _ROW not in df.columns:
+        df = held(df, [*groups, value, *ties, *kept])
+    cut = ranged(df.where(F.col(value).isNotNull()), groups, [value, *ties, _ROW])
     sizes = cut.groupBy(*groups, _RANGE).agg(F.count(F.lit(1)).alias(_PLACE))
     upto, whole = F.sum(_PLACE).over(Window.partitionBy(*groups).orderBy(_RANGE)), F.sum(_PLACE).over(Window.partitionBy(*groups))
     placed = sizes.withColumn(_BEFORE, upto - F.col(_PLACE)).withColumn(_COUNT, whole)
     named = F.array(*(F.struct(F.lit(n).alias("rank_name"), r.cast("long").alias("__sg_rank")) for n, r in ranks.items()))
     wanted = placed.select(*groups, _RANGE, _BEFORE, _COUNT, _PLACE, F.inline(named)).where(f"{_BEFORE} < __sg_rank and __sg_rank <= {_BEFORE} + {_PLACE}").drop(_PLACE)
     wanted = wanted.groupBy(*groups, _RANGE, _BEFORE, _COUNT).agg(F.collect_list(F.struct("rank_name", "__sg_rank")).alias("__sg_asked"))
-    inside = Window.partitionBy(*groups, _RANGE).orderBy(value, *(ties or []))
+    inside = Window.partitionBy(*groups, _RANGE).orderBy(value, *ties, _ROW)
     ranked = null_safe_join(cut, F.broadcast(wanted), [*groups, _RANGE]).withColumn("__sg_at", F.col(_BEFORE) + F.row_number().over(inside))
-    rows = ranked.select(*groups, value, *(kept or []), _COUNT, "__sg_at", F.inline("__sg_asked")).where("__sg_at = __sg_rank")
-    return rows.select(*groups, "rank_name", F.col("__sg_rank").alias("rank"), _COUNT, value, *(kept or []))
+    rows = ranked.select(*groups, value, *kept, _COUNT, "__sg_at", F.inline("__sg_asked")).where("__sg_at = __sg_rank")
+    return rows.select(*groups, "rank_name", F.col("__sg_rank").alias("rank"), _COUNT, value, *kept)
 
 
 def median_and_more(df: DataFrame, groups: list[str], value: str, quantiles: dict[str, float] | None = None, median: str = "median") -> DataFrame:
