@@ -17,11 +17,12 @@ from pyspark.sql.window import Window
 
 from scoregate.functions import scalars as S
 from scoregate.operators.contracts import require_columns
+from scoregate.operators.pivots import nearest_in_bank
 from scoregate.operators.prefix import median_and_more, null_safe_join
 from scoregate.sources.stages import staged
 
-#: Bank rows that may be broadcast; larger banks are scored block by block.
-BROADCAST_ROWS, BLOCK, QUERIES = 4096, 2048, 16_384
+#: Bank rows that are compared as a whole, and query rows at a time; larger banks are searched by pivots.
+BROADCAST_ROWS, BLOCK = 4096, 2048
 
 
 def patches(items: DataFrame, item: str, vector: str, size: int) -> DataFrame:
@@ -73,8 +74,8 @@ def _nearest(queries: np.ndarray, reference: np.ndarray | None) -> np.ndarray:
 
 def nearest_distances(queries: DataFrame, item: str, reference: DataFrame, protected: tuple[str, ...] = ("label",)) -> DataFrame:
     """The cosine distance of each query patch (item, position, patch) to the nearest of the reference patches. The bank is written
-    once and counted: a small one is broadcast, of a larger one each block of BLOCK patches meets the queries in groups of
-    about QUERIES patches, as many groups as the queries' count asks for, and the minima are combined."""
+    once and counted: a small one is broadcast and compared as a whole; of a larger one, pieces are broadcast one after another and
+    most of it is never compared (pivots.nearest_in_bank). Queries aren't shuffled."""
     require_columns(queries, [item, "position", "patch"], protected)
     schema = f"{item} {queries.schema[item].dataType.simpleString()}, position int, distance double"
     reference = staged(reference.select(F.col("patch").cast("array<double>").alias("patch")))
@@ -92,21 +93,7 @@ def nearest_distances(queries: DataFrame, item: str, reference: DataFrame, prote
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, mask=np.isnan(d))], names=[item, "position", "distance"])
 
         return asked.mapInArrow(nearest, schema)
-    blocks, salts = -(-count // BLOCK), -(-asked.count() // QUERIES)
-    none = F.lit(None).cast(asked.schema[item].dataType).alias(item)
-    b = reference.select(F.pmod(F.xxhash64("patch"), F.lit(blocks)).cast("int").alias("__sg_block"), F.explode(F.sequence(F.lit(0), F.lit(max(1, salts) - 1))).alias("__sg_salt"), F.lit(True).alias("__sg_bank"), none, F.lit(0).alias("position"), "patch")
-    salt = F.pmod(F.xxhash64(item, "position"), F.lit(max(1, salts))).cast("int").alias("__sg_salt")
-    q = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__sg_block"), salt, F.lit(False).alias("__sg_bank"), item, "position", "patch")
-
-    def least(group: pa.Table) -> pa.Table:
-        in_bank = group["__sg_bank"].to_numpy()
-        own = group.filter(pa.array(~in_bank))
-        x, there = _rows(own["patch"])
-        d = np.full(own.num_rows, np.nan)
-        d[there] = _nearest(x, _rows(group.filter(pa.array(in_bank))["patch"])[0])
-        return pa.table({item: own[item], "position": own["position"], "distance": pa.array(d, mask=np.isnan(d))})
-
-    return b.unionByName(q).groupBy("__sg_block", "__sg_salt").applyInArrow(least, schema).groupBy(item, "position").agg(F.min("distance").alias("distance"))
+    return nearest_in_bank(asked, item, reference).select(item, "position", "distance")
 
 
 def top_patches(scored: DataFrame, item: str, value: str, k: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scoregate.functions import scalars as S
-from scoregate.operators import evaluation as ev, hooks, partition, reproduce, scores as sc, vectors as v
+from scoregate.operators import evaluation as ev, hooks, partition, pivots, reproduce, scores as sc, vectors as v
 from scoregate.plans import inputs as I
 from scoregate.plans.registry import query
 from scoregate.sources.stages import staged
@@ -49,6 +49,15 @@ def nn_scores(rows, asked=None):
     return s.select(F.lit("bank_nn").alias("method"), F.col("vec_id").alias("item"), F.lit("ok").alias("score_status"), F.lit(None).cast("string").alias("failure_code"), F.round("score", 9).alias("score"))
 
 
+@query("large_bank_distances", f"""WITH {PARTS_SQL} SELECT a.vec_id, a.position, round(min(least(greatest(1 - list_dot_product(a.q, b.q), 0), 2)), 9) AS distance
+FROM u a, u b WHERE a.part = 'calibration' AND b.part <> 'calibration' GROUP BY ALL""")
+def large_bank_distances(spark, sf_dir):
+    """Calibration patches against a bank of all others, by pivots whatever its size."""
+    rows = parted(spark, sf_dir)
+    found = pivots.nearest_in_bank(patched(rows, ["calibration"]), "vec_id", patched(rows, ["reference", "final-test"]))
+    return found.select("vec_id", "position", F.round("distance", 9).alias("distance"))
+
+
 @query("bank_selection", f"WITH {PARTS_SQL} SELECT vec_id, d AS selection_sha256 FROM parts WHERE part = 'reference'")
 def bank_selection(spark, sf_dir):
     rows = I.table(spark, sf_dir, "embeddings").where("label = 0")
