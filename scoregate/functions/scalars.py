@@ -43,9 +43,14 @@ def safe_relative_path(path: Column, strict: bool = False) -> Column:
     return F.coalesce(F.forall(F.split(path, "/"), lambda p: ~p.isin("", ".", "..")) & ~path.rlike(banned), F.lit(False))
 
 
-def in_category(category: Column, path: Column, wanted: str) -> Column:
-    """Whether a row is of a category, by its name or by the folder that its path begins with; null is not."""
-    return F.coalesce(category == wanted, F.lit(False)) | F.coalesce(F.startswith(path, F.lit(f"{wanted}/")), F.lit(False))
+def in_category(category: Column, wanted: str) -> Column:
+    """Whether a row is of a category, by its name; null is not."""
+    return F.coalesce(category == wanted, F.lit(False))
+
+
+def under_category(category: Column, path: Column) -> Column:
+    """Whether a path lies in its category's folder; null is not."""
+    return F.coalesce(F.startswith(path, F.concat(category, F.lit("/"))), F.lit(False))
 
 
 def canonical_date(text: Column) -> Column:

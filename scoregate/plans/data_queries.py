@@ -10,7 +10,7 @@ from scoregate.functions import scalars as S
 from scoregate.operators import contracts as c, inventory as inv, partition, prefix
 from scoregate.plans import inputs as I
 from scoregate.plans.registry import query
-from scoregate.sources import bundles, files
+from scoregate.sources import bundles, files, records
 from scoregate.sources.stages import stage_path as _scratch, staged
 from scoregate.streaming import guards, score_streams
 
@@ -61,12 +61,13 @@ def path_ordinals(spark, sf_dir):
     return prefix.ordinals(paths(spark, sf_dir).select("category", "path"), ["category"], ["path"])
 
 
-@query("category_filter", f"WITH {PATHS_SQL} SELECT path, p_size FROM paths WHERE category = 'Brand#1' OR starts_with(path, 'Brand#12/')")
+@query("category_filter", f"""WITH {PATHS_SQL}, r AS (SELECT category, CASE WHEN p_partkey % 7 = 0 THEN 'Brand#21' || substring(path, strpos(path, '/')) ELSE path END AS path, p_size FROM paths)
+SELECT path, p_size, starts_with(path, 'Brand#12/') AS is_inside FROM r WHERE category = 'Brand#12'""")
 def category_filter(spark, sf_dir):
-    """Rows of a category by name, or by the folder of their path."""
+    """Rows of a category, some of whose paths lie in another one's folder."""
     p = paths(spark, sf_dir)
-    named, placed = S.in_category(F.col("category"), F.lit(None).cast("string"), "Brand#1"), S.in_category(F.lit(None).cast("string"), F.col("path"), "Brand#12")
-    return p.where(named | placed).select("path", "p_size")
+    moved = F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("Brand#21/"), F.substring_index("path", "/", -2))).otherwise(F.col("path"))
+    return p.where(S.in_category(F.col("category"), "Brand#12")).select(moved.alias("path"), "p_size", S.under_category(F.col("category"), moved).alias("is_inside"))
 
 
 @query("safe_paths", """WITH t AS (SELECT page_id, url AS path FROM pages UNION ALL SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN source || '/a.JPG' WHEN 1 THEN '/' || source WHEN 2 THEN '../' || source WHEN 3 THEN source || '/../x' WHEN 4 THEN source || '\\x' ELSE NULL END FROM documents)
@@ -415,7 +416,7 @@ def stream_repeats(spark, sf_dir):
     """Events with planted repeats, some five minutes later and some in a second run a day after the last event: how many rows begin a
     key and how many repeat one, and how many of these lie within the horizon of the row that they repeat."""
     base = _scratch(spark)
-    events = I.table(spark, sf_dir, "events").select(F.col("event_type").alias("method"), F.col("event_id").alias("item"), "ts")
+    events = I.table(spark, sf_dir, "events").select(F.col("event_type").alias("method"), F.col("event_id").alias("item"), F.col("ts").cast("timestamp").alias("ts"))
     later = lambda df, at: df.withColumn("ts", at)
     own = guards.stateful_session(spark)
     near = later(events.where("item % 10 = 0"), F.col("ts") + F.expr("INTERVAL 5 MINUTES"))
@@ -452,12 +453,12 @@ def _split_rows(spark, sf_dir):
     return paths(spark, sf_dir).select(F.col("category").alias("object"), F.when(size > 25, "train").otherwise("test").alias("split"), F.when(size < 10, "anomaly").otherwise("normal").alias("label"), F.col("path").alias("image"), F.when(size < 10, F.col("path")).alias("mask"))
 
 
-@query("split_table_scan", f"WITH {SPLIT_SQL} SELECT split, label, count(*) AS row_count, count(mask) AS mask_count FROM s WHERE object = 'Brand#11' OR object = 'Brand#1' GROUP BY ALL")
+@query("split_table_scan", f"WITH {SPLIT_SQL} SELECT split, label, count(*) AS row_count, count(mask) AS mask_count FROM s WHERE object = 'Brand#11' GROUP BY ALL")
 def split_table_scan(spark, sf_dir):
     """A split table written as contract CSV, scanned by category."""
     path = f"{_scratch(spark)}/split"
     files.write_csv(_split_rows(spark, sf_dir), path, ["image"])
-    out = files.read_split(spark, path, "Brand#11").unionByName(files.read_split(spark, path, "Brand#1"))
+    out = files.read_split(spark, path, "Brand#11")
     return out.groupBy("split", "label").agg(F.count(F.lit(1)).alias("row_count"), F.count("mask").alias("mask_count"))
 
 
@@ -470,6 +471,28 @@ def split_source_rows(spark, sf_dir):
     return files.read_split(spark, f"{path}/*.csv", "Brand#12", found["sha256"])
 
 
+@query("numbered_scan", f"""WITH {SPLIT_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY image) AS k FROM s),
+n AS (SELECT * REPLACE (CASE WHEN k % 11 = 0 THEN 'Brand#21/' || k WHEN k % 13 = 0 THEN '../' || k ELSE image END AS image), k + 1 AS source_row FROM r),
+d AS (SELECT * FROM n)
+SELECT source_row, reason FROM (SELECT source_row, CASE WHEN starts_with(image, '../') THEN 'unsafe_path' WHEN NOT starts_with(image, 'Brand#12/') THEN 'outside_category' END AS reason FROM d WHERE object = 'Brand#12' AND k % 17 <> 0
+  UNION ALL SELECT source_row, 'malformed' FROM d WHERE k % 17 = 0
+  UNION ALL SELECT source_row, 'train_not_normal' FROM d WHERE object = 'Brand#12' AND k % 17 <> 0 AND split = 'train' AND label <> 'normal') WHERE reason IS NOT NULL""")
+def numbered_scan(spark, sf_dir):
+    """A split table as one file with a byte order mark, empty lines and masks that run over lines, read in many splits: what is wrong
+    with one category's rows, and with records that can't be read, by record number."""
+    base = _scratch(spark)
+    k = F.col("k")
+    rows = prefix.ordinals(_split_rows(spark, sf_dir).withColumn("one", F.lit(0)), ["one"], ["image"], "k")
+    image = F.when(k % 11 == 0, F.concat(F.lit("Brand#21/"), k.cast("string"))).when(k % 13 == 0, F.concat(F.lit("../"), k.cast("string"))).otherwise(F.col("image"))
+    mask = F.concat(F.lit('"a ""mask""\nof '), k.cast("string"), F.when(k % 5 == 0, F.lit('"')).otherwise(F.lit('\n"')))
+    text = F.when(k % 17 == 0, F.concat_ws(",", "object", "split")).otherwise(F.concat_ws(",", "object", "split", "label", image, mask))
+    head = F.when(k == 1, F.lit("\ufeffobject,split,label,image,mask\n")).otherwise(F.lit(""))
+    lines = rows.select("k", F.concat(head, text, F.when(k % 7 == 0, F.lit("\r\n")).otherwise(F.lit(""))).alias("value"))
+    lines.coalesce(1).sortWithinPartitions("k").select("value").write.text(f"{base}/split")
+    found = records.csv_records(spark, f"{base}/split", files.SPLIT)
+    return records.split_scan_violations(found, "Brand#12").select("source_row", "reason")
+
+
 @query("reproduction_csv_scan", f"WITH {I.SCORES_SQL}, r AS (SELECT method, item, score, row_number() OVER (PARTITION BY method ORDER BY item) AS item_order FROM scores) SELECT method, item, score, item_order FROM r WHERE item_order <= 10")
 def reproduction_csv_scan(spark, sf_dir):
     """The first items of each method written as CSV and scanned, ten of each method and no more."""

@@ -6,9 +6,10 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from scoregate.functions.scalars import in_category
 from scoregate.operators.contracts import contiguity
 from scoregate.operators.inventory import evidence
+from scoregate.sources import records
+from scoregate.sources.stages import staged
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -22,7 +23,10 @@ def write_csv(df: DataFrame, path: str, keys: list[str]) -> None:
     df.orderBy(*keys).write.mode("errorifexists").csv(path, header=True, nullValue="", escape='"')
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, located: bool = False) -> DataFrame:
+    """JSON lines; a line that can't be read fails the read. located: look first for lines that aren't objects, and name them."""
+    if located and (broken := records.json_records(spark, path).where(F.col("reason").isNotNull()).orderBy("file", "line").limit(5).collect()):
+        raise ValueError("; ".join(f"{r['file'].rsplit('/', 1)[-1]}:{r['line']} {r['reason']}" for r in broken))
     return spark.read.schema(schema).json(path, mode="FAILFAST")
 
 
@@ -35,31 +39,20 @@ SPLIT = "object string, split string, label string, image string, mask string"
 
 
 def read_split(spark: SparkSession, path: str, category: str, sha256: str | None = None) -> DataFrame:
-    """Rows of a split table (object, split, label, image, mask) of one category, or whose image lies under it. With a digest the one
-    file at the path must have it; then each row has its source_row too, from 2, the header being row 1 (a file whose rows are
-    numbered is read by one task, as its order is)."""
+    """Rows of a split table (object, split, label, image, mask) of one category. With a digest the one file at the path must have it;
+    then each row has its source_row too, from 2, the header being row 1. A record that can't be read is an error, and so are a path
+    of the category that lies outside its folder or comes twice (records.split_scan_violations lists them all)."""
     if sha256 is not None:
-        return _numbered_split(spark, path, sha256).where(_in_category(category))
-    return spark.read.csv(path, schema=SPLIT, header=True, enforceSchema=False, escape='"', mode="FAILFAST").where(_in_category(category))
-
-
-def _in_category(category: str):
-    return in_category(F.col("object"), F.col("image"), category)
-
-
-def _numbered_split(spark: SparkSession, path: str, sha256: str) -> DataFrame:
-    whole = spark.read.format("binaryFile").load(path).select("content", F.sha2("content", 256).alias("found"))
-    found = [r["found"] for r in whole.select("found").limit(2).collect()]
-    if found != [sha256]:
-        raise ValueError(f"{path} has the digest {found}, not {sha256}")
-    lines = F.split(F.regexp_replace(F.rtrim(F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", ""), F.lit("\r\n")), "\r\n", "\n"), "\n")
-    rows = whole.select(F.posexplode(lines).alias("at", "line"))
-    header = [part.split(" ")[0] for part in SPLIT.split(", ")]
-    wrong = F.raise_error(F.lit(f"the header of {path} isn't {','.join(header)}"))
-    parsed = rows.where((F.col("at") > 0) | F.when(F.col("line") == ",".join(header), False).otherwise(wrong)).select(
-        (F.col("at") + 1).cast("long").alias("source_row"), F.from_csv("line", SPLIT, {"escape": '"', "mode": "FAILFAST"}).alias("row")
-    )
-    return parsed.select("source_row", "row.*")
+        found = [r["found"] for r in spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("found")).limit(2).collect()]
+        if found != [sha256]:
+            raise ValueError(f"{path} has the digest {found}, not {sha256}")
+    rows = staged(records.csv_records(spark, path, SPLIT))
+    wrong = ("header", "malformed", "quote_not_closed", "unsafe_path", "outside_category", "repeated_path")
+    broken = records.split_scan_violations(rows, category).where(F.col("reason").isin(*wrong)).limit(5).collect()
+    if broken:
+        raise ValueError(f"{path}: " + ", ".join(f"{r['reason']} at line {r['line']}" for r in broken))
+    own = records.split_rows(rows, category)
+    return own.select(*(["source_row"] if sha256 is not None else []), *(c.split(" ")[0] for c in SPLIT.split(", ")))
 
 
 def read_exactly(spark: SparkSession, path: str, schema: T.StructType, expected: dict, group: str = "method") -> DataFrame:

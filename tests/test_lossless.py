@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoregate.functions import scalars as S
-from scoregate.operators import contracts as c, evaluation as ev, inventory as inv, partition, prefix, reproduce, scores as sc, vectors as v
+from scoregate.operators import contracts as c, evaluation as ev, inventory as inv, partition, pivots, prefix, reproduce, scores as sc, vectors as v
 from scoregate.sources import bundles, files, stages
 
 SCORE = "method string, item long, score_status string, failure_code string, score double"
@@ -77,8 +77,8 @@ def test_vectors_of_the_wrong_size_become_failed_items(spark):
 
 @pytest.mark.parametrize("most", [0, 4096])
 def test_nearest_distances_by_blocks_and_by_broadcast(spark, monkeypatch, most):
-    for name, value in (("BROADCAST_ROWS", most), ("BLOCK", 7), ("QUERIES", 10)):
-        monkeypatch.setattr(v, name, value)
+    for where, name, value in ((v, "BROADCAST_ROWS", most), (v, "BLOCK", 7), (pivots, "QUERIES", 10), (pivots, "PIECE_BYTES", 160)):
+        monkeypatch.setattr(where, name, value)
     t = spark.range(60).select(F.col("id").alias("item"), F.array(F.sin(F.col("id") * 1.0), F.cos(F.col("id") * 3.0), F.sin(F.col("id") * 0.7 + 1)).alias("v"))
     bank = v.bank(v.patches(t.where("item < 20"), "item", "v", 3))
     got = {r["item"]: r["distance"] for r in v.nearest_distances(v.patches(t, "item", "v", 3), "item", bank).collect()}
