@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-SHA256, COMMIT, ASSET_ID, RUN_ID = r"^[0-9a-f]{64}$", r"^[0-9a-f]{40}$", r"^asset-[0-9]{6,}$", r"^[a-z0-9][a-z0-9._-]{0,127}$"
+SHA256, ASSET_ID, RUN_ID = r"^[0-9a-f]{64}$", r"^asset-[0-9]{6,}$", r"^[a-z0-9][a-z0-9._-]{0,127}$"
 
 
 def selection_digest(namespace: str, seed: int, key: Column) -> Column:
@@ -75,8 +75,8 @@ def same_json(a: Column, b: Column) -> Column:
 
 
 def short_text(text: Column, most: int = 500) -> Column:
-    """Whether a text says something within `most` characters once trimmed."""
-    return F.coalesce(F.length(F.trim(text)).between(1, most), F.lit(False))
+    """Whether a text is trimmed and says something within `most` characters."""
+    return F.coalesce((F.trim(text) == text) & F.length(text).between(1, most), F.lit(False))
 
 
 def finite(x: Column) -> Column:

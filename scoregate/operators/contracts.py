@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from scoregate.functions import scalars as S
 from scoregate.operators.evaluation import latency
 from scoregate.operators.prefix import null_safe_join, ordinals
+from scoregate.operators.reproduce import agreement
+from scoregate.operators.scores import verdicts
 
 
 @dataclass(frozen=True)
@@ -123,12 +125,12 @@ def _differs(a: Column, b: Column) -> Column:
 
 def semantic_violations(classified: DataFrame) -> DataFrame:
     """Rows whose flag, class, reason or margin contradict score and threshold: (method, item, rule), a row for each rule."""
-    failed, above = F.col("score_status") == "failed", F.col("score") > F.col("threshold")
+    want = verdicts()
     return _broken(classified, ["method", "item"], (
-        (_differs(F.col("score_margin"), F.col("score") - F.col("threshold")), "margin"),
-        (_differs(F.col("is_anomalous"), failed | above), "flag"),
+        (_differs(F.col("score_margin"), want["score_margin"]), "margin"),
+        (_differs(F.col("is_anomalous"), want["is_anomalous"]), "flag"),
         (_differs(F.col("predicted_class"), F.when(F.col("is_anomalous"), "anomaly").otherwise("normal")), "class"),
-        (_differs(F.col("decision_reason"), F.when(failed, "score_failed").when(above, "above_threshold").otherwise("within_threshold")), "reason"),
+        (_differs(F.col("decision_reason"), want["decision_reason"]), "reason"),
     ))
 
 
@@ -151,11 +153,10 @@ def duration_violations(observations: DataFrame, with_adapter: tuple[str, ...])
 
 def reproduction_violations(comparison: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """Rows of a stored comparison (reproduce.compared) whose difference or verdict isn't what its scores say: (method, item, rule)."""
-    difference = F.abs(F.col("expected_score") - F.col("reproduced_score"))
-    same = (F.col("expected_score_status") == F.col("reproduced_score_status")) & F.col("expected_failure_code").eqNullSafe(F.col("reproduced_failure_code"))
+    difference, agrees = agreement(tolerance)
     return _broken(comparison, ["method", "item"], (
         (_differs(F.col("absolute_difference"), difference), "difference"),
-        (_differs(F.col("within_tolerance"), F.coalesce(same & (difference <= tolerance), F.lit(False))), "tolerance"),
+        (_differs(F.col("within_tolerance"), agrees), "tolerance"),
     ))
 
 
@@ -171,7 +172,8 @@ def case_violations(cases: DataFrame) -> DataFrame:
 
 
 def summary_violations(metrics: DataFrame) -> DataFrame:
-    """Methods whose counts, rates, class support or stored p95 rank contradict one another: (method, rule), a row for each rule."""
+    """Methods whose counts, rates, stored class support (metrics_status) or p95 rank contradict one another: (method, rule), a row for
+    each rule."""
     pos, neg = F.col("true_positive") + F.col("false_negative"), F.col("true_negative") + F.col("false_positive")
     away = lambda stored, k, n: F.when(n > 0, F.coalesce(F.abs(stored - k / n) > 1e-12, F.lit(True))).otherwise(stored.isNotNull())
     return _broken(metrics, ["method"], (
@@ -179,6 +181,7 @@ def summary_violations(metrics: DataFrame) -> DataFrame:
         (away(F.col("fpr"), F.col("false_positive"), neg), "fpr"),
         (away(F.col("recall"), F.col("true_positive"), pos), "recall"),
         (F.coalesce(F.col("score_failures") > F.col("true_positive") + F.col("false_positive"), F.lit(True)), "failures_not_anomalous"),
+        *(((_differs(F.col("metrics_status"), F.when((pos > 0) & (neg > 0), "ok").otherwise("METRICS_CLASS_SUPPORT_INVALID")), "class_support"),) if "metrics_status" in metrics.columns else ()),
         *(((_differs(F.col("p95_rank"), F.ceil(F.lit(0.95) * F.col("observation_count"))), "rank"),) if "p95_rank" in metrics.columns else ()),
     ))
 
@@ -191,7 +194,7 @@ def decision_violations(decided: DataFrame, gated: DataFrame) -> DataFrame:
         F.lit(True).alias("__sg_seen"),
     )
     joined = null_safe_join(decided, first, ["method"], "left")
-    rejected = F.col("__sg_first").isNotNull() | F.coalesce(F.col("leakage"), F.lit(True)) | F.coalesce(F.col("contradicted"), F.lit(True))
+    rejected = F.col("__sg_first").isNotNull() | ~F.coalesce(F.col("evidence_valid"), F.lit(False)) | F.coalesce(F.col("leakage"), F.lit(True)) | F.coalesce(F.col("contradicted"), F.lit(True))
     want = F.when(rejected, "REJECT").when(F.col("guardrail"), "ADOPT WITH CONDITIONS").otherwise("ADOPT")
     return _broken(joined, ["method"], (
         (F.col("__sg_seen").isNull(), "gates_missing"),

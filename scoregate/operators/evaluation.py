@@ -41,7 +41,8 @@ def reveal(classified: DataFrame, labels: DataFrame, key: str = "item") -> DataF
 def coverage(scored: DataFrame, labelled: DataFrame, key: str = "item") -> DataFrame:
     """Keys on one side alone: (key, side)."""
     a, b = scored.select(key).distinct(), labelled.select(key).distinct()
-    return a.join(b, key, "left_anti").withColumn("side", F.lit("unlabelled")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("unscored")))
+    alone = lambda x, y, side: null_safe_join(x, y, [key], "left_anti").withColumn("side", F.lit(side))
+    return alone(a, b, "unlabelled").unionByName(alone(b, a, "unscored"))
 
 
 def confusion(revealed: DataFrame) -> DataFrame:
@@ -58,13 +59,14 @@ def confusion(revealed: DataFrame) -> DataFrame:
 
 
 def ranking_quality(revealed: DataFrame) -> DataFrame:
-    """AUROC with ties as half and average precision with tied scores as one step, from the distinct scores of each method."""
+    """AUROC with ties as half and average precision with tied scores as one step, from the distinct scores of each method. A method
+    with a null score has neither: such a row has no place in the order."""
     steps = revealed.groupBy("method", "score").agg(F.count_if(F.col("true_class") == "anomaly").alias("pos"), F.count_if(F.col("true_class") == "normal").alias("neg"))
     r = running(steps, ["method"], "score", {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")}, descending=True)
     pos, neg = F.sum("pos"), F.sum("neg")
     auroc = F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2)) / (pos * neg)
     precision = F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))) / pos
-    both = (pos > 0) & (neg > 0)
+    both = (pos > 0) & (neg > 0) & (F.count_if(F.col("score").isNull()) == 0)
     return r.groupBy("method").agg(F.when(both, auroc).alias("auroc"), F.when(both, precision).alias("average_precision"))
 
 
@@ -138,13 +140,24 @@ def short_circuit(gated: DataFrame) -> DataFrame:
 
 
 def decide(gated: DataFrame, evidence: DataFrame) -> DataFrame:
-    """ADOPT, ADOPT WITH CONDITIONS or REJECT for each method. evidence: method, leakage, contradicted, guardrail, condition; a method
-    without it is rejected, and its evidence isn't valid."""
+    """ADOPT, ADOPT WITH CONDITIONS or REJECT for each method, with the reason: evidence_invalid, gate_failed, leakage, contradicted,
+    guardrail or all_passed, the first that holds. evidence: method, leakage, contradicted, guardrail, condition and maybe rationale.
+
+    It is valid if the three facts are known, a condition stands where a guardrail is asked for and nowhere else, and condition and
+    rationale are trimmed texts of at most 500 characters. A method without valid evidence is rejected, whatever it measured; a
+    condition is handed on only with the decision that carries it."""
     summary = gated.groupBy("method").agg(F.bool_and("passed").alias("all_passed"), F.min(F.when(~F.col("passed"), F.struct("gate_order", "gate")))["gate"].alias("first_failed_gate"))
-    clear = F.col("all_passed") & ~F.col("leakage") & ~F.col("contradicted")
-    decision = F.when(~F.coalesce(clear, F.lit(False)), "REJECT").when(F.col("guardrail"), "ADOPT WITH CONDITIONS").otherwise("ADOPT")
-    joined = null_safe_join(summary, F.broadcast(evidence), ["method"], "left")
-    return joined.withColumn("decision", decision).withColumn("evidence_valid", F.coalesce(F.col("guardrail") == S.short_text(F.col("condition")), F.lit(False)))
+    known = F.col("leakage").isNotNull() & F.col("contradicted").isNotNull() & F.col("guardrail").isNotNull()
+    valid = known & F.when(F.col("guardrail"), S.short_text(F.col("condition"))).otherwise(F.col("condition").isNull())
+    if "rationale" in evidence.columns:
+        valid = valid & S.short_text(F.col("rationale"))
+    reason = S.any_code(
+        (~F.col("evidence_valid"), "evidence_invalid"), (~F.coalesce(F.col("all_passed"), F.lit(False)), "gate_failed"), (F.col("leakage"), "leakage"),
+        (F.col("contradicted"), "contradicted"), (F.col("guardrail"), "guardrail"), (F.lit(True), "all_passed"),
+    )
+    joined = null_safe_join(summary, F.broadcast(evidence), ["method"], "left").withColumn("evidence_valid", F.coalesce(valid, F.lit(False))).withColumn("decision_reason", reason)
+    decision = F.when(F.col("decision_reason") == "all_passed", "ADOPT").when(F.col("decision_reason") == "guardrail", "ADOPT WITH CONDITIONS").otherwise("REJECT")
+    return joined.withColumn("decision", decision).withColumn("condition", F.when(F.col("decision_reason") == "guardrail", F.col("condition")))
 
 
 def complexity(method: Column, methods: list[str]) -> Column:

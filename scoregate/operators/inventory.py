@@ -51,8 +51,11 @@ def split_counts(rows: DataFrame, by: list[str], kind: str) -> DataFrame:
 
 
 def case_clashes(rows: DataFrame, name: str) -> DataFrame:
-    """Names that differ in case alone: folded, and how many spellings share it. Upper then lower case stands for full folding."""
-    return rows.where(F.col(name).isNotNull()).groupBy(F.lower(F.upper(name)).alias("folded")).agg(F.count_distinct(name).alias("name_count")).where("name_count > 1")
+    """Names that differ in case alone: the least of them in lower case, and how many spellings there are. Names meet by a collation without
+    case, so that `STRASSE` is `straße` and a final sigma is a sigma, while accents tell names apart."""
+    named = rows.where(F.col(name).isNotNull()).select(F.collate(name, "UNICODE_CI").alias("__sg_key"), F.col(name).alias("__sg_name"))
+    found = named.groupBy("__sg_key").agg(F.min(F.lower("__sg_name")).alias("folded"), F.count_distinct("__sg_name").alias("name_count"))
+    return found.where("name_count > 1").select("folded", "name_count")
 
 
 def state_presence(fits: DataFrame, states: DataFrame, key: str, digest: str) -> DataFrame:
@@ -122,8 +125,8 @@ def closure(roots: DataFrame, edges: DataFrame, nodes: DataFrame | None = None)
     reached = roots.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = reached
     for depth in itertools.count(1):
-        found = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = staged(found.join(reached, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        found = frontier.join(edges, F.col("node").eqNullSafe(F.col("src"))).select(F.col("dst").alias("node")).distinct()
+        frontier = staged(null_safe_join(found, reached.select("node"), ["node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return reached
         reached = staged(reached.unionByName(frontier))
@@ -133,4 +136,4 @@ def roles(nodes: DataFrame, runtime: DataFrame, development: DataFrame) -> DataF
     """Each node's role: runtime if reachable from the runtime roots, else development, else orphan."""
     r = runtime.select("node", F.lit(True).alias("__sg_r"))
     d = development.select("node", F.lit(True).alias("__sg_d"))
-    return nodes.select("node").join(r, "node", "left").join(d, "node", "left").select("node", F.when(F.col("__sg_r").isNotNull(), "runtime").when(F.col("__sg_d").isNotNull(), "development").otherwise("orphan").alias("role"))
+    return null_safe_join(null_safe_join(nodes.select("node"), r, ["node"], "left"), d, ["node"], "left").select("node", F.when(F.col("__sg_r").isNotNull(), "runtime").when(F.col("__sg_d").isNotNull(), "development").otherwise("orphan").alias("role"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from scoregate.operators import evaluation as ev, scores as S
@@ -18,6 +18,13 @@ from scoregate.sources.stages import staged
 TOLERANCE = 1e-6
 
 
+def agreement(tolerance: float = TOLERANCE) -> tuple[Column, Column]:
+    """The difference of a pair's scores, and whether the pair agrees: compared, of one status and code, and near enough."""
+    difference = F.abs(F.col("expected_score") - F.col("reproduced_score"))
+    same = (F.col("expected_score_status") == F.col("reproduced_score_status")) & F.col("expected_failure_code").eqNullSafe(F.col("reproduced_failure_code"))
+    return difference, F.coalesce(same & (difference <= tolerance) & (F.col("pair_state") == "compared"), F.lit(False))
+
+
 def compared(expected: DataFrame, reproduced: DataFrame, keys: list[str], tolerance: float = TOLERANCE, order: str | None = None) -> DataFrame:
     """Expected and reproduced score states of each key with their difference; every mismatch is kept and flagged. pair_state is
     compared, absent (not reproduced), extra (not expected) or, where an order column is named, moved. Repeated keys are
@@ -29,10 +36,8 @@ def compared(expected: DataFrame, reproduced: DataFrame, keys: list[str], tolera
     joined = null_safe_join(a, b, [*keys, "__sg_copy"], "full_outer").drop("__sg_copy")
     moved = ~F.col(f"expected_{order}").eqNullSafe(F.col(f"reproduced_{order}")) if order else F.lit(False)
     state = F.when(F.col("__sg_b").isNull(), "absent").when(F.col("__sg_a").isNull(), "extra").when(moved, "moved").otherwise("compared")
-    difference = F.abs(F.col("expected_score") - F.col("reproduced_score"))
-    same = (F.col("expected_score_status") == F.col("reproduced_score_status")) & F.col("expected_failure_code").eqNullSafe(F.col("reproduced_failure_code"))
-    out = joined.withColumn("pair_state", state).drop("__sg_a", "__sg_b").withColumn("absolute_difference", difference)
-    return out.withColumn("within_tolerance", F.coalesce(same & (difference <= tolerance) & (F.col("pair_state") == "compared"), F.lit(False)))
+    difference, agrees = agreement(tolerance)
+    return joined.withColumn("pair_state", state).drop("__sg_a", "__sg_b").withColumn("absolute_difference", difference).withColumn("within_tolerance", agrees)
 
 
 def reproduction_summary(comparison: DataFrame) -> DataFrame:
@@ -64,15 +69,21 @@ def recomputed_all(stored: dict[str, DataFrame], fresh: dict[str, DataFrame]) ->
     return reduce(DataFrame.unionByName, [recomputed_violations(stored[t], fresh[t], t) for t in stored])
 
 
-def evaluation_tables(calibration: DataFrame, scores: DataFrame, labels: DataFrame, quantile: float = 0.95) -> dict[str, DataFrame]:
-    """Every table of an evaluation worked out from its scores and labels: thresholds, classes, reveal, metrics, cases, decision."""
+def evaluation_tables(calibration: DataFrame, scores: DataFrame, labels: DataFrame, quantile: float = 0.95, facts: DataFrame | None = None, evidence: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Every table of an evaluation worked out from its scores and labels: thresholds, classes, reveal, metrics, cases, decision.
+
+    facts: p95_duration, reference_count, anomaly_training_labels and reproduced of each method; evidence: as evaluation.decide has it.
+    A method without facts fails its gates, one without evidence is rejected for that."""
     cuts = staged(S.thresholds(calibration, quantile))
     classes = staged(S.classify(scores, cuts))
     shown = staged(ev.reveal(classes, labels))
     metrics = staged(ev.confusion(shown))
-    measured = metrics.select("method", "fpr", "recall", *(F.lit(None).cast("double").alias(c) for c in ("p95_duration", "reference_count", "anomaly_training_labels", "reproduced")))
-    none = metrics.select("method", *(F.lit(False).alias(c) for c in ("leakage", "contradicted", "guardrail")), F.lit(None).cast("string").alias("condition"))
-    return {"thresholds": cuts, "classes": classes, "reveal": shown, "metrics": metrics, "cases": staged(ev.error_cases(shown)), "decision": staged(ev.decide(ev.gates(measured), none))}
+    asked = ("p95_duration", "reference_count", "anomaly_training_labels", "reproduced")
+    own = metrics.select("method", "fpr", "recall")
+    measured = null_safe_join(own, facts.select("method", *asked), ["method"], "left") if facts is not None else own.withColumns({c: F.lit(None).cast("double") for c in asked})
+    if evidence is None:
+        evidence = metrics.select("method", *(F.lit(False).alias(c) for c in ("leakage", "contradicted", "guardrail")), F.lit(None).cast("string").alias("condition"))
+    return {"thresholds": cuts, "classes": classes, "reveal": shown, "metrics": metrics, "cases": staged(ev.error_cases(shown)), "decision": staged(ev.decide(ev.gates(measured), evidence))}
 
 
 def stage_facts(expected: DataFrame, observed: DataFrame) -> DataFrame:

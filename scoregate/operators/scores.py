@@ -54,17 +54,21 @@ def thresholds(scores: DataFrame, quantile: float = 0.95) -> DataFrame:
     return row.select("method", F.col("__sg_count").alias("item_count"), F.col("rank").alias("threshold_rank"), F.col("score").alias("threshold"), F.col("item").alias("threshold_item"))
 
 
-def classify(scores: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Fixed-threshold classes: anomalous if failed or strictly above; cuts has a row (method, threshold) for each method."""
+def verdicts() -> dict[str, Column]:
+    """What score_status, score and threshold of a row say: flag, class, reason and margin. A row without one of them is anomalous."""
     failed, above = F.col("score_status") == "failed", F.col("score") > F.col("threshold")
-    joined = null_safe_join(scores, F.broadcast(cuts.select("method", "threshold")), ["method"], "left")
     said = F.coalesce(failed, F.lit(True)) | F.coalesce(above, F.lit(True))
-    return joined.withColumns({
+    return {
         "is_anomalous": said,
         "predicted_class": F.when(said, "anomaly").otherwise("normal"),
         "decision_reason": F.when(failed, "score_failed").when(F.col("threshold").isNull(), "threshold_missing").when(above, "above_threshold").when(said, "score_missing").otherwise("within_threshold"),
         "score_margin": F.col("score") - F.col("threshold"),
-    })
+    }
+
+
+def classify(scores: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Fixed-threshold classes: anomalous if failed or strictly above; cuts has a row (method, threshold) for each method."""
+    return null_safe_join(scores, F.broadcast(cuts.select("method", "threshold")), ["method"], "left").withColumns(verdicts())
 
 
 def realized_rate(classified: DataFrame) -> DataFrame:

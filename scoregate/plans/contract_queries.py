@@ -124,8 +124,7 @@ def eight_gates(spark, sf_dir):
 
 
 @query("decision_violations", f"""WITH {sq.DECISION_SQL}, v AS (SELECT method, v FROM decisions, (VALUES ('none'), ('decision'), ('first_failed_gate'), ('condition')) t(v))
-SELECT v.method || ':' || v AS method, unnest(CASE v WHEN 'condition' THEN CASE WHEN decision = 'ADOPT WITH CONDITIONS' THEN ['condition_missing'] ELSE ['condition_without_guardrail'] END WHEN 'none' THEN CASE WHEN decision <> 'ADOPT WITH CONDITIONS' AND condition IS NOT NULL THEN ['condition_without_guardrail'] ELSE [] END
-  ELSE CASE WHEN decision <> 'ADOPT WITH CONDITIONS' AND condition IS NOT NULL THEN [v, 'condition_without_guardrail'] ELSE [v] END END) AS rule FROM v JOIN decisions ON decisions.method = v.method""")
+SELECT v.method || ':' || v AS method, unnest(CASE v WHEN 'condition' THEN CASE WHEN decision = 'ADOPT WITH CONDITIONS' THEN ['condition_missing'] ELSE ['condition_without_guardrail'] END WHEN 'none' THEN [] ELSE [v] END) AS rule FROM v JOIN decisions ON decisions.method = v.method""")
 def decision_violations(spark, sf_dir):
     """Each method's decision as it is, and with its decision, its first failed gate or its condition wrong."""
     measured = sq.facts(spark, sf_dir)

@@ -205,7 +205,10 @@ def ordered_gates(spark, sf_dir):
 
 DECISION_SQL = f"""{FACTS_SQL}, evidence(method, leakage, contradicted, guardrail, condition) AS (VALUES ('bank_nn', false, false, false, NULL), ('position_zscore', false, false, true, 'watch drift'), ('template_residual', false, true, false, NULL)),
 summary AS (SELECT method, bool_and(passed) AS all_passed, first(gate ORDER BY gate_order) FILTER (WHERE NOT passed) AS first_failed_gate FROM gated GROUP BY method),
-decisions AS (SELECT s.*, leakage, contradicted, guardrail, condition, CASE WHEN leakage OR NOT all_passed OR contradicted THEN 'REJECT' WHEN guardrail THEN 'ADOPT WITH CONDITIONS' ELSE 'ADOPT' END AS decision, guardrail = (condition IS NOT NULL) AS evidence_valid FROM summary s JOIN evidence USING (method))"""
+reasons AS (SELECT s.*, leakage, contradicted, guardrail, condition AS asked, guardrail = (condition IS NOT NULL) AS evidence_valid,
+  CASE WHEN guardrail <> (condition IS NOT NULL) THEN 'evidence_invalid' WHEN NOT all_passed THEN 'gate_failed' WHEN leakage THEN 'leakage' WHEN contradicted THEN 'contradicted' WHEN guardrail THEN 'guardrail' ELSE 'all_passed' END AS decision_reason
+  FROM summary s JOIN evidence USING (method)),
+decisions AS (SELECT * EXCLUDE (asked), CASE decision_reason WHEN 'all_passed' THEN 'ADOPT' WHEN 'guardrail' THEN 'ADOPT WITH CONDITIONS' ELSE 'REJECT' END AS decision, CASE WHEN decision_reason = 'guardrail' THEN asked END AS condition FROM reasons)"""
 
 
 def decisions(spark, sf_dir, measured=None):
@@ -227,6 +230,45 @@ def method_selection(spark, sf_dir):
     return ev.select_method(c).select("method", "decision", "recall", "fpr", "preference", "project_decision")
 
 
+GRADED = (("follows", 1000.0, False, False, False, None), ("guarded", 1000.0, False, False, True, "watch drift"), ("slow", 100.0, False, False, False, None), ("opaque", 1000.0, False, False, True, None), ("leaky", 1000.0, True, False, False, None), ("disputed", 1000.0, False, True, False, None), ("noisy", 1000.0, False, False, False, None))
+_BOOL = lambda x: str(x).lower()
+GRADED_SQL = f"""{I.LABELS_SQL}, m(method, parts, leakage, contradicted, guardrail, asked) AS (VALUES {', '.join(f"('{n}', {d}::DOUBLE, {_BOOL(a)}, {_BOOL(b)}, {_BOOL(g)}, {'NULL' if t is None else repr(t)})" for n, d, a, b, g, t in GRADED)}),
+cal AS (SELECT doc_id AS item, (doc_id % 100) / 100.0::DOUBLE AS score FROM documents WHERE doc_id NOT IN (SELECT item FROM truth)),
+cut AS (SELECT score AS threshold FROM (SELECT score, row_number() OVER (ORDER BY score, item) AS r, count(*) OVER () AS n FROM cal) WHERE r = ceil(0.95::DOUBLE * n::DOUBLE)),
+fin AS (SELECT method, true_class, CASE WHEN method = 'noisy' THEN (item % 97) / 97.0::DOUBLE WHEN true_class = 'anomaly' THEN 2.0::DOUBLE + (item % 7) / 10.0::DOUBLE ELSE (item % 50) / 100.0::DOUBLE END > threshold AS said FROM truth, m, cut),
+met AS (SELECT method, count(*) FILTER (WHERE said AND true_class = 'normal') / count(*) FILTER (WHERE true_class = 'normal') AS fpr, count(*) FILTER (WHERE said AND true_class = 'anomaly') / count(*) FILTER (WHERE true_class = 'anomaly') AS recall FROM fin GROUP BY method),
+lat AS (SELECT method, quantile_disc(value / parts, 0.95) AS p95_duration, median(value / parts) AS median_duration FROM events, m GROUP BY method),
+failed AS (SELECT *, CASE WHEN fpr > 0.05 THEN 'normal_fpr' WHEN recall < 0.9 THEN 'anomaly_recall' WHEN p95_duration > 1.0 THEN 'cpu_p95' END AS first_failed_gate FROM met JOIN lat USING (method) JOIN m USING (method)),
+why AS (SELECT *, CASE WHEN guardrail <> (asked IS NOT NULL) THEN 'evidence_invalid' WHEN first_failed_gate IS NOT NULL THEN 'gate_failed' WHEN leakage THEN 'leakage' WHEN contradicted THEN 'contradicted' WHEN guardrail THEN 'guardrail' ELSE 'all_passed' END AS decision_reason FROM failed),
+told AS (SELECT *, CASE decision_reason WHEN 'all_passed' THEN 'ADOPT' WHEN 'guardrail' THEN 'ADOPT WITH CONDITIONS' ELSE 'REJECT' END AS decision, CASE WHEN decision_reason = 'guardrail' THEN asked END AS condition, CASE decision_reason WHEN 'all_passed' THEN 0 WHEN 'guardrail' THEN 1 ELSE 2 END AS k FROM why),
+liked AS (SELECT *, row_number() OVER (ORDER BY k, recall DESC, fpr, p95_duration, median_duration, method) AS preference FROM told)"""
+
+
+def graded_tables(spark, sf_dir):
+    """An evaluation whose methods' scores follow the label, all but one's, with times in seconds: (tables, facts)."""
+    m = F.broadcast(spark.createDataFrame([x[:2] for x in GRADED], "method string, parts double"))
+    truth, docs = I.labels(spark, sf_dir), I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"))
+    ok = lambda df, score: df.join(m, F.lit(True)).select("method", "item", F.lit("ok").alias("score_status"), F.lit(None).cast("string").alias("failure_code"), score.alias("score"))
+    k = F.col("item")
+    cal = ok(docs.join(truth, "item", "left_anti"), k % 100 / 100.0)
+    fin = staged(ok(truth, F.when(F.col("method") == "noisy", k % 97 / 97.0).when(F.col("true_class") == "anomaly", 2.0 + k % 7 / 10.0).otherwise(k % 50 / 100.0)))
+    timed = I.observations(spark, sf_dir).drop("method").join(m, F.lit(True)).withColumn("duration", F.col("duration") / F.col("parts"))
+    speed = ev.latency(timed, ["method"]).select("method", "p95_duration", "median_duration")
+    again = reproduce.reproduction_summary(reproduce.compared(fin, fin, ["method", "item"])).select("method", F.col("reproduced").cast("double").alias("reproduced"))
+    facts = staged(speed.join(again, "method").withColumns({"reference_count": F.lit(20.0), "anomaly_training_labels": F.lit(0.0)}))
+    evidence = spark.createDataFrame([(x[0], *x[2:]) for x in GRADED], "method string, leakage boolean, contradicted boolean, guardrail boolean, condition string")
+    return reproduce.evaluation_tables(cal, fin, truth, facts=facts, evidence=evidence), facts
+
+
+@query("graded_decisions", f"WITH {GRADED_SQL} SELECT method, fpr, recall, first_failed_gate, evidence_valid, decision_reason, decision, condition, preference, 'ADOPT' AS project_decision FROM (SELECT *, guardrail = (asked IS NOT NULL) AS evidence_valid FROM liked)")
+def graded_decisions(spark, sf_dir):
+    """Methods that are adopted, adopted with a condition, and rejected for each reason there is, with the order of preference."""
+    tables, facts = graded_tables(spark, sf_dir)
+    candidates = tables["decision"].join(tables["metrics"].select("method", "fpr", "recall"), "method").join(facts.select("method", "p95_duration", "median_duration"), "method")
+    out = ev.select_method(candidates.withColumn("complexity", F.lit(1).cast("long")))
+    return out.select("method", "fpr", "recall", "first_failed_gate", "evidence_valid", "decision_reason", "decision", "condition", "preference", "project_decision")
+
+
 @query("candidate_preference", """WITH t AS (SELECT l_returnflag AS candidate, l_suppkey AS g, sum(l_quantity) > 600 AS passed FROM lineitem GROUP BY ALL)
 SELECT g AS supplier, first(candidate ORDER BY CASE candidate WHEN 'N' THEN 1 WHEN 'A' THEN 2 ELSE 3 END) FILTER (WHERE passed) AS selected FROM t GROUP BY g""")
 def candidate_preference(spark, sf_dir):
