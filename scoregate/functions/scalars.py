@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, functions as F
 
 SHA256, ASSET_ID, RUN_ID = r"^[0-9a-f]{64}$", r"^asset-[0-9]{6,}$", r"^[a-z0-9][a-z0-9._-]{0,127}$"
@@ -53,6 +55,19 @@ def under_category(category: Column, path: Column) -> Column:
     return F.coalesce(F.startswith(path, F.concat(category, F.lit("/"))), F.lit(False))
 
 
+#: What full case folding makes of characters that lower case leaves as they are, by Unicode's own rule.
+FOLDS = {c: c.casefold() for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000))) if c.lower() == c != c.casefold()}
+
+
+def folded(text: Column) -> Column:
+    """A text under full case folding: lower case, and what that leaves apart, such as a sharp s, a final sigma and ligatures."""
+    single = {c: f for c, f in FOLDS.items() if len(f) == 1}
+    several = F.from_json(F.lit(json.dumps({c: f for c, f in FOLDS.items() if len(f) > 1})), "map<string, string>")
+    even = F.translate(F.lower(text), "".join(single), "".join(single.values()))
+    spelt = F.array_join(F.transform(F.split(even, ""), lambda c: F.coalesce(F.try_element_at(several, c), c)), "")
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(spelt)
+
+
 def canonical_date(text: Column) -> Column:
     """Whether a text is an ISO date in its one canonical form."""
     return F.coalesce(F.date_format(F.try_to_date(text, "yyyy-MM-dd"), "yyyy-MM-dd") == text, F.lit(False))
