@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from scoregate.functions import scalars as S
 from scoregate.operators.evaluation import latency
 from scoregate.operators.prefix import null_safe_join, ordinals
-from scoregate.operators.reproduce import agreement
+from scoregate.operators.reproduce import agreement, only_differing
 from scoregate.operators.scores import verdicts
 
 
@@ -238,7 +238,7 @@ def manifest_report(manifest: DataFrame, fresh: DataFrame, counts: DataFrame, st
     if "content_sha256" in manifest.columns:
         out = out.unionByName(manifest.where(~F.coalesce(F.col("content_sha256").rlike(S.SHA256), F.lit(False))).select(F.lit("digest_malformed").alias("rule"), F.col("record_id").alias("key")))
     same = ["record_id", "partition", "selection_rank"]
-    stored, again = manifest.where(F.col("partition") != "final-test").select(*same), fresh.select(*same)
+    stored, again, _ = only_differing(manifest.where(F.col("partition") != "final-test").select(*same), fresh.select(*same))
     gone, new = stored.exceptAll(again), again.exceptAll(stored)
     return out.unionByName(gone.select(F.lit("not_in_selection").alias("rule"), F.col("record_id").alias("key"))).unionByName(new.select(F.lit("not_in_manifest").alias("rule"), F.col("record_id").alias("key")))
 

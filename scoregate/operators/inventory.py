@@ -6,8 +6,13 @@ give empty results (lineage_intact one row, which is false); helper columns begi
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
+from hashlib import sha256
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from scoregate.functions import scalars as S
 from scoregate.operators.prefix import null_safe_join
@@ -78,10 +83,54 @@ def ordered_digest(lines: DataFrame, groups: list[str], order: str, line: Column
     return parts.groupBy(*groups).agg(F.sha2(whole, 256).alias("digest"), F.sum("__sg_n").alias("line_count"))
 
 
+def tree_line(path: Column, digest: Column, size: Column | None = None, separator: str = "\t") -> Column:
+    """A line of a tree's digest: path and digest with a NUL or a tab between, and in the sized layout the bytes between them."""
+    return F.concat_ws(separator, path, *([size.cast("string")] if size is not None else []), digest)
+
+
 def flat_digest(lines: DataFrame, groups: list[str], order: str, line: Column) -> DataFrame:
-    """SHA-256 over each group's newline-ended lines in their order, for groups that fit one task."""
-    text = F.expr(f"listagg(concat(__sg_line, '\n'), '') WITHIN GROUP (ORDER BY {order})")
-    return lines.withColumn("__sg_line", line).groupBy(*groups).agg(F.sha2(text, 256).alias("digest"))
+    """SHA-256 over each group's newline-ended lines in their order, in constant memory: a group's rows come sorted to one task, which
+    takes a running digest of them batch by batch, so that a group may be larger than any task's memory. Null lines are passed
+    over; a group of them alone has a null digest."""
+    sorted_lines = lines.select(*groups, F.col(order).alias("__sg_order"), F.concat(line, F.lit("\n")).alias("__sg_line"))
+    dealt = sorted_lines.repartition(*groups) if groups else sorted_lines.repartition(1)
+    schema = T.StructType([*(lines.schema[g] for g in groups), T.StructField("digest", T.StringType())])
+    return dealt.sortWithinPartitions(*groups, "__sg_order").drop("__sg_order").mapInArrow(_running_digest(groups), schema)
+
+
+def _running_digest(groups: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, digest, some = None, None, False
+
+        def ended() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*of, pa.array([digest.hexdigest() if some else None], pa.string())], names=[*groups, "digest"])
+
+        for batch in batches:
+            edge = np.zeros(batch.num_rows, bool)
+            for name in groups:  # where a row's group isn't the one of the row before
+                column = batch.column(batch.schema.get_field_index(name))
+                a, b = column.slice(0, len(column) - 1), column.slice(1)
+                same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+                edge[1:] |= ~same.to_numpy(zero_copy_only=False)
+            starts = [0, *np.flatnonzero(edge).tolist()]
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                own = [batch.column(batch.schema.get_field_index(g)).slice(a, 1) for g in groups]
+                if of is None or any(x.to_pylist() != y.to_pylist() for x, y in zip(of, own, strict=True)):
+                    if of is not None:
+                        yield ended()
+                    of, digest, some = own, sha256(), False
+                text = batch.column(batch.num_columns - 1).slice(a, b - a).drop_null().cast(pa.large_string())
+                if len(text):
+                    some = True
+                    _, offsets, data = text.buffers()
+                    at = np.frombuffer(offsets, np.int64)[text.offset : text.offset + len(text) + 1]
+                    digest.update(memoryview(data)[at[0] : at[-1]])
+        if of is not None:
+            yield ended()
+
+    return run
 
 
 def totals(items: DataFrame, prefix: Column, size: str) -> DataFrame:

@@ -431,6 +431,47 @@ def stream_repeats(spark, sf_dir):
     return out.groupBy("method").agg(F.count_if(~F.col("is_repeat")).alias("first_count"), F.count_if("is_repeat").alias("repeat_count"), F.count_if(F.col("is_repeat") & (gap <= 600_000_000)).alias("within_count"))
 
 
+@query("tree_digests", f"""WITH {PATHS_SQL}, t AS (SELECT category, path, sha256(path) AS d, p_size FROM paths)
+SELECT category, sha256(string_agg(path || chr(9) || p_size || chr(9) || d || chr(10), '' ORDER BY path)) AS sized, sha256(string_agg(path || '|' || d || chr(10), '' ORDER BY path)) AS plain FROM t GROUP BY category""")
+def tree_digests(spark, sf_dir):
+    """Digests of each category's paths in their order, with and without sizes."""
+    p, digest = paths(spark, sf_dir), F.sha2("path", 256)
+    sized = inv.flat_digest(p, ["category"], "path", inv.tree_line(F.col("path"), digest, F.col("p_size"))).withColumnRenamed("digest", "sized")
+    plain = inv.flat_digest(p, ["category"], "path", inv.tree_line(F.col("path"), digest, separator="|")).withColumnRenamed("digest", "plain")
+    return sized.join(plain, "category")
+
+
+@query("whole_table_comparison", """WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem),
+b AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 997 = 3 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity FROM lineitem WHERE l_orderkey % 1009 <> 5 UNION ALL SELECT * FROM a WHERE l_orderkey % 991 = 7),
+d AS (SELECT 'stored_only' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'fresh_only', * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))
+SELECT side, l_orderkey, l_linenumber, l_quantity::DOUBLE AS l_quantity, count(*) AS copies, true AS few_ranges FROM d GROUP BY ALL""")
+def whole_table_comparison(spark, sf_dir):
+    """A table against a copy with rows changed, dropped and repeated: the rows that differ with their copies, and whether no more ranges
+    of hashes were compared row by row than rows differ."""
+    from scoregate.operators.reproduce import only_differing
+
+    a = I.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("l_quantity"))
+    k = F.col("l_orderkey")
+    b = a.where(k % 1009 != 5).withColumn("l_quantity", F.when(k % 997 == 3, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))).unionByName(a.where(k % 991 == 7))
+    stored, fresh, moved = only_differing(a, b)
+    gone, new = (x.exceptAll(y).withColumn("side", F.lit(s)) for x, y, s in ((stored, fresh, "stored_only"), (fresh, stored, "fresh_only")))
+    out = staged(gone.unionByName(new).groupBy("side", *a.columns).agg(F.count(F.lit(1)).alias("copies")))
+    few = out.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).join(moved.agg(F.count(F.lit(1)).alias("m")), F.lit(True)).select((F.col("m") <= F.col("n")).alias("few_ranges"))
+    return out.join(few, F.lit(True))
+
+
+@query("published_bundle", f"""WITH {SELECT_SQL}, t AS (SELECT category AS method, selection_rank FROM sel WHERE selection_rank > 5) SELECT method, count(*) AS record_count, 2 AS version FROM t GROUP BY method""")
+def published_bundle(spark, sf_dir):
+    """Two versions of a bundle and an attempt that was never committed: what a reader sees."""
+    rows = staged(seeded_partitions(spark, sf_dir).select(F.col("category").alias("method"), "selection_rank"))
+    path = f"{_scratch(spark)}/bundle"
+    bundles.publish({"ranks": rows}, path)
+    bundles.publish({"ranks": rows.where("selection_rank > 5")}, path, replaces=1)
+    bundles.write_bundle({"ranks": rows.limit(1)}, f"{path}/attempts/abandoned", staging=False)
+    version, folder = bundles.open_bundle(spark, path)
+    return bundles.read_manifest(spark, folder).select("method", "record_count", F.lit(version).alias("version"))
+
+
 @query("anchor_items", f"WITH {PATHS_SQL} SELECT category, min(path) AS anchor FROM paths GROUP BY category")
 def anchor_items(spark, sf_dir):
     return partition.anchors(paths(spark, sf_dir), "category", "path", "anchor")
