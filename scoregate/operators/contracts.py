@@ -243,6 +243,31 @@ def manifest_report(manifest: DataFrame, fresh: DataFrame, counts: DataFrame, st
     return out.unionByName(gone.select(F.lit("not_in_selection").alias("rule"), F.col("record_id").alias("key"))).unionByName(new.select(F.lit("not_in_manifest").alias("rule"), F.col("record_id").alias("key")))
 
 
+def sealed_violations(mapping: DataFrame, source: str = "source_path", label: str = "class_label") -> DataFrame:
+    """What a sealed mapping (asset_id, source path, class label) breaks: (rule, key), a row for each: ids that aren't `asset-` and at least six
+    digits in their one form, ids and paths met twice, numbers that don't run from 0 (asset_gap), unsafe paths, empty classes, no rows."""
+    say = lambda df, rule, key: df.select(F.lit(rule).alias("rule"), key.cast("string").alias("key"))
+    number = S.asset_index(F.col("asset_id"))
+    rules = (
+        (~F.col("asset_id").eqNullSafe(S.asset_id(number)), "asset_malformed"),
+        (~S.safe_relative_path(F.col(source), True), "unsafe_path"),
+        (F.coalesce(F.trim(label) == "", F.lit(True)), "class_missing"),
+    )
+    out = mapping.select(F.explode(F.array_compact(F.array(*(F.when(bad, F.lit(name)) for bad, name in rules)))).alias("rule"), F.col("asset_id").alias("key"))
+    for column, rule in (("asset_id", "asset_repeated"), (source, "path_repeated")):
+        out = out.unionByName(say(key_violations(mapping.where(F.col(column).isNotNull()), [column]), rule, F.col(column)))
+    numbers = mapping.select(number.alias("n")).where("n is not null").distinct().agg(F.count("n").alias("count"), F.min("n").alias("low"), F.max("n").alias("high"))
+    out = out.unionByName(say(numbers.where("count > 0 and (low <> 0 or high <> count - 1)"), "asset_gap", F.col("high")))
+    return out.unionByName(say(mapping.agg(F.count(F.lit(1)).alias("count")).where("count = 0"), "empty", F.col("count")))
+
+
+def with_partition_labels(rows: DataFrame, label: str = "label", partition: str = "partition", hidden: tuple[str, ...] = ("final-test",)) -> DataFrame:
+    """The rows with their label where their partition may show it, and null where it is hidden; a row without a partition shows none.
+    Written as JSON without nulls, hidden labels leave no trace."""
+    shown = F.coalesce(~F.col(partition).isin(*hidden), F.lit(False))
+    return rows.withColumn(label, F.when(shown, F.col(label)))
+
+
 def split_violations(rows: DataFrame, split: str = "split", label: str = "label") -> DataFrame:
     """Rows of a split table that break its rules: training rows are normal, test rows normal or anomalies, and no other split is
     there. The rows with the column rule."""

@@ -472,6 +472,40 @@ def published_bundle(spark, sf_dir):
     return bundles.read_manifest(spark, folder).select("method", "record_count", F.lit(version).alias("version"))
 
 
+@query("sealed_mapping_report", f"""WITH {OPAQUE_SQL}, s AS (SELECT asset_id, path, category, substring(asset_id, 7)::BIGINT AS k FROM opaque),
+n AS (SELECT max(k) AS top FROM s)
+SELECT 'asset_malformed' AS rule, 'x' || asset_id AS key FROM s WHERE k % 100 = 10 UNION ALL SELECT 'unsafe_path', asset_id FROM s WHERE k % 100 = 20 UNION ALL SELECT 'class_missing', asset_id FROM s WHERE k % 100 = 30
+UNION ALL SELECT 'asset_repeated', asset_id FROM s WHERE k % 100 = 40 UNION ALL SELECT 'path_repeated', path FROM s WHERE k % 100 = 40 UNION ALL SELECT 'asset_gap', top::VARCHAR FROM n""")
+def sealed_mapping_report(spark, sf_dir):
+    """A sealed mapping with ids changed and repeated, paths that leave their root and empty classes."""
+    _, sealed = partition.split_labels(paths(spark, sf_dir), I.KEY, "path", "category", ["p_size"])
+    k = S.asset_index(F.col("asset_id")) % 100
+    sealed = staged(sealed.withColumn("k", k))
+    rows = sealed.select(
+        F.when(F.col("k") == 10, F.concat(F.lit("x"), "asset_id")).otherwise(F.col("asset_id")).alias("asset_id"),
+        F.when(F.col("k") == 20, F.concat(F.lit("../"), "source_path")).otherwise(F.col("source_path")).alias("source_path"),
+        F.when(F.col("k") != 30, F.col("class_label")).otherwise(F.lit(" ")).alias("class_label"), "k",
+    )
+    return c.sealed_violations(rows.unionByName(rows.where("k = 40")).drop("k"))
+
+
+@query("partition_labels", f"WITH {SELECT_SQL} SELECT record_id, CASE WHEN selection_rank <= 20 THEN 'reference' WHEN selection_rank % 2 = 0 THEN 'calibration' ELSE 'final-test' END AS partition, CASE WHEN selection_rank <= 20 OR selection_rank % 2 = 0 THEN category END AS label FROM sel")
+def partition_labels(spark, sf_dir):
+    """A manifest whose labels are shown for normal partitions and hidden for the final test."""
+    rank = F.col("selection_rank")
+    part = F.when(rank <= 20, "reference").when(rank % 2 == 0, "calibration").otherwise("final-test")
+    rows = seeded_partitions(spark, sf_dir).select("record_id", part.alias("partition"), F.col("category").alias("label"))
+    return c.with_partition_labels(rows)
+
+
+@query("indexed_fetch", "SELECT vec_id AS item, true AS verified, len(embedding) AS element_count FROM embeddings WHERE vec_id IN (3, 77, 200)")
+def indexed_fetch(spark, sf_dir):
+    """Three arrays fetched by their index from a sorted store."""
+    path = f"{_scratch(spark)}/arrays"
+    bundles.write_indexed(I.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", path)
+    return bundles.fetch(spark, path, [3, 77, 200]).select("item", "verified", F.size("values").cast("long").alias("element_count"))
+
+
 @query("anchor_items", f"WITH {PATHS_SQL} SELECT category, min(path) AS anchor FROM paths GROUP BY category")
 def anchor_items(spark, sf_dir):
     return partition.anchors(paths(spark, sf_dir), "category", "path", "anchor")

@@ -141,6 +141,24 @@ def write_arrays(df: DataFrame, item: str, values: str, path: str) -> None:
     df.select(F.col(item).alias("item"), F.col(values).alias("values"), digest.alias("sha256")).write.mode("errorifexists").parquet(path)
 
 
+#: Bytes of a row group of an indexed store, and rows of a page, which are what a fetch reads.
+GROUP_BYTES, PAGE_ROWS = 4 << 20, 1024
+
+
+def write_indexed(df: DataFrame, item: str, values: str, path: str) -> None:
+    """Arrays with their digest, in files whose ranges of items don't overlap, each sorted by item: the statistics of files, row groups and
+    pages then say where an item is."""
+    digest = F.sha2(F.concat_ws(",", F.col(values).cast("array<string>")), 256)
+    out = df.select(F.col(item).alias("item"), F.col(values).alias("values"), digest.alias("sha256")).repartitionByRange("item").sortWithinPartitions("item")
+    out.write.mode("errorifexists").option("parquet.block.size", GROUP_BYTES).option("parquet.page.row.count.limit", PAGE_ROWS).parquet(path)
+
+
+def fetch(spark: SparkSession, path: str, items: list) -> DataFrame:
+    """The arrays of some items of an indexed store, with whether each has its digest still; the items are looked up by the filter that is
+    pushed to the files, so that only row groups and pages that may hold one are read."""
+    return read_arrays(spark, path).where(F.col("item").isin(*items))
+
+
 def read_arrays(spark: SparkSession, path: str) -> DataFrame:
     """Stored arrays with whether each still has its digest."""
     df = spark.read.parquet(path)
