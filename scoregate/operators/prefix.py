@@ -16,8 +16,8 @@ from pyspark.sql.window import Window
 
 from scoregate.sources.stages import staged
 
-#: Ranges of a large group, and rows drawn of one for its splitters; a group of up to so many rows is one range.
-RANGES, SAMPLE = 64, 2048
+#: Ranges of a large group, rows drawn of one for its splitters, and rows up to which a group isn't large and is one range.
+RANGES, SAMPLE, SMALL = 64, 2048, 65_536
 _RANGE, _CUTS, _COUNT, _BEFORE, _PLACE, _ROW = "__sg_range", "__sg_cuts", "__sg_count", "__sg_before", "__sg_place", "__sg_row"
 
 
@@ -45,7 +45,9 @@ def ranged(df: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
     null in the first of them are in range -1. df is read three times: it should be a written table."""
     key = F.struct(*order)
     known = df.where(F.col(order[0]).isNotNull())
-    large = known.groupBy(*groups).agg(F.count(F.lit(1)).alias(_COUNT)).where(F.col(_COUNT) > SAMPLE)
+    large = known.groupBy(*groups).agg(F.count(F.lit(1)).alias(_COUNT)).where(F.col(_COUNT) > SMALL)
+    if large.isEmpty():
+        return df.withColumn(_RANGE, F.when(F.col(order[0]).isNull(), -1).otherwise(0))
     drawn = F.pmod(F.xxhash64(F.lit("splitters"), *order), F.lit(1 << 40)) / float(1 << 40) < SAMPLE / F.col(_COUNT)
     sample = null_safe_join(known, F.broadcast(large), groups).where(drawn)
     found = sample.groupBy(*groups).agg(F.sort_array(F.collect_list(key)).alias(_CUTS))

@@ -10,6 +10,11 @@ from scoregate.operators import prefix, scores
 N = 60_000
 
 
+@pytest.fixture(autouse=True)
+def groups_are_large(monkeypatch):
+    monkeypatch.setattr(prefix, "SMALL", 2048)
+
+
 @pytest.fixture(scope="module")
 def tied(spark):
     """One score for nine tenths of a method's rows; a method with all scores and items alike; a small one; nulls."""
