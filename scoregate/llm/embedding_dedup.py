@@ -31,7 +31,7 @@ from scoregate.llm.common import Scratch, connected_components, ship, slices
 COSINE = 0.98
 SAMPLE, PER_LIST, COARSE, FINE = 20_000, 512, 1024, 1024
 SUBSPACES, CODES, ROUNDS = 8, 64, 8
-BLOCK, QUERIES_AT_ONCE, PROBES_AT_ONCE = 2048, 256, 4096
+BLOCK, QUERIES_AT_ONCE, PROBES_AT_ONCE = 8192, 256, 4096
 _SLACK = 1e-6
 
 
