@@ -113,7 +113,13 @@ def load(path: str) -> Model:
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     model, before = spec["model"], spec.get("pre_tokenizer") or {}
-    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    plain = model["type"] == "BPE" and not any(
+        model.get(k)
+        for k in (
+            "dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback",
+            "ignore_merges"
+        )
+    )
     if not plain or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or spec.get("normalizer"):
         raise ValueError(f"{path} is not a plain byte-level BPE vocabulary")
     vocabulary = model["vocab"]

@@ -261,7 +261,10 @@ def counted(documents: DataFrame, length: int, least: int, sieve: Sieve | None,
         words, fresh = full
         for phrases, found in phrases_of(words, fresh, lang, length, shared.value):
             numbers = [pa.array(x, pa.int64()) for x in (found.n, found.before, found.after)]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), phrases.cast(pa.string()), *numbers], names=["lang", "phrase", "n", "n_before", "n_after"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(phrases), pa.string()), phrases.cast(pa.string()), *numbers],
+                names=["lang", "phrase", "n", "n_before", "n_after"]
+            )
         if length == 1:
             yield pa.RecordBatch.from_pylist([{"lang": lang, "phrase": None, "n": len(words), "n_before": 0, "n_after": 0}], schema=_ARROW)
 
@@ -334,15 +337,42 @@ def collocations(documents: DataFrame, least: int = 10, covered_percent: int = 5
     own = ["lang", "phrase", F.col("n").alias("a"), "n_before", "n_after"]
     word = lambda i: F.split_part("phrase", F.lit(" "), F.lit(i))
     two = pairs.select(*own, word(1).alias("first"), word(2).alias("last"))
-    two = looked_up(looked_up(two, words, "first"), words, "last").select(*own[:2], "a", *own[3:], F.col("n_first").alias("l"), F.col("n_last").alias("r"), _score(F.col("n_first"), F.col("n_last")).alias("score"))
-    three = triples.select(*own, word(1).alias("first"), word(3).alias("last"), F.concat_ws(" ", word(1), word(2)).alias("head"), F.concat_ws(" ", word(2), word(3)).alias("tail"))
+    two = looked_up(looked_up(two, words, "first"), words, "last").select(
+        *own[:2],
+        "a",
+        *own[3:],
+        F.col("n_first").alias("l"),
+        F.col("n_last").alias("r"),
+        _score(F.col("n_first"), F.col("n_last")).alias("score")
+    )
+    three = triples.select(
+        *own,
+        word(1).alias("first"),
+        word(3).alias("last"),
+        F.concat_ws(" ", word(1), word(2)).alias("head"),
+        F.concat_ws(" ", word(2), word(3)).alias("tail")
+    )
     three = looked_up(looked_up(looked_up(looked_up(three, pairs, "head"), pairs, "tail"), words, "first"), words, "last")
-    three = scratch.table(three.withColumn("cut1", _score(F.col("n_first"), F.col("n_tail"))).withColumn("cut2", _score(F.col("n_head"), F.col("n_last"))), "three")
+    three = scratch.table(
+        three.withColumn(
+            "cut1", _score(F.col("n_first"), F.col("n_tail"))
+        ).withColumn("cut2", _score(F.col("n_head"), F.col("n_last"))),
+        "three"
+    )
     early = F.col("cut1") <= F.col("cut2")
     best = lambda a, b: F.when(early, F.col(a)).otherwise(F.col(b))
     covering = lambda part: three.where(100 * F.col("a") >= covered_percent * F.col(f"n_{part}")).select("lang", F.col(part).alias("phrase"))
     two = two.join(covering("head").unionByName(covering("tail")).distinct(), ["lang", "phrase"], "left_anti")
-    out = two.unionByName(three.select(*own[:2], "a", *own[3:], best("n_first", "n_head").alias("l"), best("n_tail", "n_last").alias("r"), best("cut1", "cut2").alias("score")))
+    out = two.unionByName(
+        three.select(
+            *own[:2],
+            "a",
+            *own[3:],
+            best("n_first", "n_head").alias("l"),
+            best("n_tail", "n_last").alias("r"),
+            best("cut1", "cut2").alias("score")
+        )
+    )
     if most is not None:
         order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
         part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))

@@ -226,7 +226,9 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, sample: int =
     scratch.drop(met)
     components = connected_components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")), scratch)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    known = entries.select("node", "copies").join(links, "node", "left").join(components, "node", "left").select("node", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
+    known = entries.select("node", "copies").join(links, "node", "left").join(components, "node", "left").select(
+        "node", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root")
+    )
     out = rows.select("vec_id", "node").join(known, "node", "left")
     least = out.where("node is not null").groupBy("root").agg(F.min("vec_id").alias("least"))
     out = out.join(least, "root", "left")

@@ -24,12 +24,18 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from scoregate.llm.common import Scratch, free_name, ship, slices, text_chunks, window_hashes, word_hashes
 
-FEATURES = ("bytes", "words", "word_bytes", "upper", "symbols", "marks", "stops", "digits", "non_ascii", "lines", "repeated_lines", "distinct", "repeated_runs", "short_words", "top_word", "space")
+FEATURES = (
+    "bytes", "words", "word_bytes", "upper", "symbols", "marks", "stops", "digits", "non_ascii", "lines", "repeated_lines",
+    "distinct", "repeated_runs", "short_words", "top_word", "space"
+)
 FIT_ROWS, BINS, LEAVES = 20_000, 48, 3
 ROUNDS, PAIR_ROUNDS, PAIRS, RATE, MIN_HESSIAN, PENALTY = 120, 60, 6, 0.15, 2.0, 1.0
 
 _CLASS = np.zeros(256, np.uint8)
-for _kind, _bytes in ((1, range(65, 91)), (2, b"#*$%&|<>"), (3, b"!?"), (4, b".,;:"), (5, range(48, 58)), (6, range(128, 256)), (7, b"\n"), (8, b" \t\r\x0b\x0c")):
+for _kind, _bytes in (
+    (1, range(65, 91)), (2, b"#*$%&|<>"), (3, b"!?"), (4, b".,;:"), (5, range(48, 58)), (6, range(128, 256)), (7, b"\n"),
+    (8, b" \t\r\x0b\x0c")
+):
     _CLASS[list(_bytes)] = _kind
 _RUN = 8
 
@@ -140,7 +146,14 @@ def _quadrants(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
     gain = sum(_gain(x, y) for x, y in zip(pg, ph, strict=True)) - _gain(all_g, all_h)
     i, j = np.unravel_index(np.argmax(gain), gain.shape)
     step = np.zeros_like(g)
-    for k, (rows, cols) in enumerate(((slice(0, i + 1), slice(0, j + 1)), (slice(0, i + 1), slice(j + 1, None)), (slice(i + 1, None), slice(0, j + 1)), (slice(i + 1, None), slice(j + 1, None)))):
+    for k, (rows, cols) in enumerate(
+        (
+            (slice(0, i + 1), slice(0, j + 1)),
+            (slice(0, i + 1), slice(j + 1, None)),
+            (slice(i + 1, None), slice(0, j + 1)),
+            (slice(i + 1, None), slice(j + 1, None))
+        )
+    ):
         step[rows, cols] = -pg[k][i, j] / (ph[k][i, j] + PENALTY)
     return float(gain[i, j]), step
 
@@ -203,7 +216,9 @@ def held_out(doc_id):
 
 def fit(described: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, label: str = "quality") -> Model:
     """A model from the rows of ``features`` that have a label and aren't held out, of these at most fit_rows."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
+    known = labels.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")
+    ).where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
     rows = described.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(fit_rows).select("features", "label").toArrow()
     x = np.array(rows["features"].to_pylist(), float).reshape(rows.num_rows, len(FEATURES))
@@ -240,7 +255,12 @@ def quality_scores(documents: DataFrame, labels: DataFrame, cut: float = 0.3, fi
     """doc_id, held_out, score and predicted (1 from `cut` on) of every document."""
     described = Scratch(documents.sparkSession).table(features(documents), "features")
     model = fit(described, labels, fit_rows)
-    return score_features(described, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= cut, 1).otherwise(0).cast("int").alias("predicted"))
+    return score_features(described, model).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= cut, 1).otherwise(0).cast("int").alias("predicted")
+    )
 
 
 def accepted(documents: DataFrame, labels: DataFrame, cut: float = 0.3, fit_rows: int = FIT_ROWS) -> DataFrame:

@@ -34,7 +34,10 @@ from scoregate.llm.common import ship, slices
 
 #: A quote opens a value only directly after "=", and only where it closes; otherwise it is a character as any other.
 _VALUE = r"\"[^\"]*\"|'[^']*'|[^\s>]*"
-_TOKEN = re.compile(rf"<(?:!--.*?(?:-->|--!>|\Z)|(/?)([A-Za-z][^\s/>]*)((?>[\s/]+|[^\s/>][^\s/>=]*+(?>\s*=\s*(?>{_VALUE}))?)*+)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
+_TOKEN = re.compile(
+    rf"<(?:!--.*?(?:-->|--!>|\Z)|(/?)([A-Za-z][^\s/>]*)((?>[\s/]+|[^\s/>][^\s/>=]*+(?>\s*=\s*(?>{_VALUE}))?)*+)(?:>|\Z)|[!?/][^>]*(?:>|\Z))",
+    re.S
+)
 _ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+)(?>\s*=\s*({_VALUE}))?")
 _HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -52,11 +55,20 @@ PLAIN = frozenset("textarea title".split())
 UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title meta link map area rp".split())
 #: Drawings and formulas: what has no text to show in them, whose own text isn't drawn, whose content is HTML, what ends them.
 FOREIGN = frozenset(("svg", "math"))
-UNSEEN_FOREIGN = frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml mphantom".split())
+UNSEEN_FOREIGN = frozenset(
+    "defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml mphantom".split()
+)
 UNDRAWN = frozenset(("svg", "g"))
 HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
-BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
-BLOCKS = frozenset("textarea address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p "
+    "pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+BLOCKS = frozenset(
+    "textarea address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer "
+    "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table "
+    "tbody td tfoot th thead tr ul caption".split()
+)
 #: Blocks with a blank line before and after.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure menu dir xmp".split())
 ENDS_PARAGRAPH = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "caption", "legend"}

@@ -322,7 +322,14 @@ def windows(docs: list[np.ndarray], start: int, lanes: int, steps: int) -> Itera
     """(inputs, targets, document of each place or -1, lanes still in use) of each window over documents given as numbers;
     a lane goes on where it stopped, so the number of lanes only falls."""
     dealt = lanes_of([len(d) for d in docs], lanes)
-    rows = [(np.concatenate([np.concatenate(([start], docs[d][:-1])) for d in ds]), np.concatenate([docs[d] for d in ds]), np.repeat(ds, [len(docs[d]) for d in ds])) for ds in dealt]
+    rows = [
+        (
+            np.concatenate([np.concatenate(([start], docs[d][:-1])) for d in ds]),
+            np.concatenate([docs[d] for d in ds]),
+            np.repeat(ds, [len(docs[d]) for d in ds])
+        )
+        for ds in dealt
+    ]
     at = 0
     while rows:
         live = sum(len(r[0]) > at for r in rows)
@@ -353,7 +360,15 @@ def _train(shared):
 
         def ended() -> pa.RecordBatch:
             parts = np.array_split(trainer.net.flat(), BLOCKS)
-            return pa.RecordBatch.from_arrays([pa.array(list(range(BLOCKS))), pa.array([shard] * BLOCKS, pa.int64()), pa.array([learned] * BLOCKS, pa.int64()), pa.array([p.astype(np.float32) for p in parts], pa.list_(pa.float32()))], names=["block", "part", "tokens", "weights"])
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(list(range(BLOCKS))),
+                    pa.array([shard] * BLOCKS, pa.int64()),
+                    pa.array([learned] * BLOCKS, pa.int64()),
+                    pa.array([p.astype(np.float32) for p in parts], pa.list_(pa.float32()))
+                ],
+                names=["block", "part", "tokens", "weights"]
+            )
 
         for batch in slices(batches, column=1):
             for of, tokens in zip(batch.column(0).to_pylist(), token_lists(batch.column(1)), strict=True):
@@ -380,7 +395,14 @@ def _average(group: pa.Table) -> pa.Table:
     order = np.argsort(group["part"].to_numpy(), kind="stable")
     rows = group["weights"].combine_chunks().flatten().to_numpy().reshape(len(tokens), -1)
     mean = sum(tokens[i] * rows[i].astype(np.float64) for i in order) / tokens.sum()
-    return pa.table({"block": group["block"][:1], "part": group["part"][:1], "tokens": pa.array([int(tokens.sum())]), "weights": pa.array([mean.astype(np.float32)], pa.list_(pa.float32()))})
+    return pa.table(
+        {
+            "block": group["block"][:1],
+            "part": group["part"][:1],
+            "tokens": pa.array([int(tokens.sum())]),
+            "weights": pa.array([mean.astype(np.float32)], pa.list_(pa.float32()))
+        }
+    )
 
 
 def trained(training: DataFrame, vocabulary: Vocabulary, scratch: Scratch) -> np.ndarray:
@@ -389,10 +411,14 @@ def trained(training: DataFrame, vocabulary: Vocabulary, scratch: Scratch) -> np
     weights = Network(vocabulary).flat()
     shards = int(min(MOST_SHARDS, max(1, vocabulary.total // (ROUNDS * SHARD_TOKENS))))
     place = F.xxhash64(F.lit(SEED), "doc_id", "text")
-    dealt = training.select(place.alias("place"), "text").withColumn("round", F.pmod("place", F.lit(ROUNDS))).withColumn("shard", F.pmod(F.shiftright("place", 8), F.lit(shards)))
+    dealt = training.select(place.alias("place"), "text").withColumn("round", F.pmod("place", F.lit(ROUNDS))).withColumn(
+        "shard", F.pmod(F.shiftright("place", 8), F.lit(shards))
+    )
     for round_ in range(ROUNDS):
         shared = spark.sparkContext.broadcast((vocabulary, weights))
-        share = dealt.where(F.col("round") == round_).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "place", "text").select("shard", "text")
+        share = dealt.where(F.col("round") == round_).repartitionById(
+            shards, F.col("shard").cast("int")
+        ).sortWithinPartitions("shard", "place", "text").select("shard", "text")
         schema = "block long, part long, tokens long, weights array<float>"
         parts = scratch.table(share.mapInArrow(_train(shared), schema), "weights")
         most = parts.agg(F.max("part")).first()[0]
@@ -419,8 +445,19 @@ def _score(shared):
 
         def rows(kind, keys, **columns):
             n = len(keys)
-            fill = {"doc_id": pa.nulls(n, pa.int64()), "held_out": pa.nulls(n, pa.bool_()), "token": pa.nulls(n, pa.int64()), "n": np.zeros(n, np.int64), "known": np.zeros(n, np.int64), "tail": np.zeros(n, np.int64), "logs": np.zeros(n), "model": np.zeros(n)} | columns
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(keys, pa.int64()), *(c if isinstance(c, pa.Array) else pa.array(c) for c in fill.values())], names=["kind", "row", *fill])
+            fill = {
+                "doc_id": pa.nulls(n, pa.int64()), "held_out": pa.nulls(n, pa.bool_()), "token": pa.nulls(n, pa.int64()),
+                "n": np.zeros(n, np.int64), "known": np.zeros(n, np.int64), "tail": np.zeros(n, np.int64), "logs": np.zeros(n),
+                "model": np.zeros(n)
+            } | columns
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(n, kind, np.int32)),
+                    pa.array(keys, pa.int64()),
+                    *(c if isinstance(c, pa.Array) else pa.array(c) for c in fill.values())
+                ],
+                names=["kind", "row", *fill]
+            )
 
         def flush():
             sizes = np.array([len(d[3]) for d in held])
@@ -436,7 +473,17 @@ def _score(shared):
                 h, used = hs[-1], owner >= 0
                 found = net.log_likelihoods(hs.reshape(-1, HIDDEN)[used.ravel()], targets[used])
                 total += np.bincount(owner[used], found, len(docs))
-            yield rows(0, [d[0] for d in held], doc_id=pa.array([d[1] for d in held], pa.int64()), held_out=pa.array([d[2] for d in held], pa.bool_()), n=sizes, known=per_doc(count > 0).astype(np.int64), tail=per_doc(outside).astype(np.int64), logs=per_doc(log), model=total / np.log(10) + per_doc(log * outside))
+            yield rows(
+                0,
+                [d[0] for d in held],
+                doc_id=pa.array([d[1] for d in held], pa.int64()),
+                held_out=pa.array([d[2] for d in held], pa.bool_()),
+                n=sizes,
+                known=per_doc(count > 0).astype(np.int64),
+                tail=per_doc(outside).astype(np.int64),
+                logs=per_doc(log),
+                model=total / np.log(10) + per_doc(log * outside)
+            )
             rare = np.flatnonzero(count < 0)
             if len(rare):
                 order = np.lexsort((tokens[rare], which[rare]))
@@ -446,7 +493,13 @@ def _score(shared):
                 yield rows(1, keys, token=tokens[rare[fresh]].view(np.int64), n=np.diff(np.append(fresh, len(rare))).astype(np.int64))
 
         for batch in slices(batches, column=3):
-            for row, doc_id, out, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), token_lists(batch.column(3)), strict=True):
+            for row, doc_id, out, tokens in zip(
+                batch.column(0).to_pylist(),
+                batch.column(1).to_pylist(),
+                batch.column(2).to_pylist(),
+                token_lists(batch.column(3)),
+                strict=True
+            ):
                 held.append((row, doc_id, out, tokens))
                 pending += len(tokens)
                 if pending >= CHUNK:
@@ -463,7 +516,11 @@ def language_scores(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     ship(spark)
     scratch = Scratch(spark)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    docs = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.col("text").cast("string").alias("text")
+    )
     training = docs.where(~F.col("held_out")).select("doc_id", "text")
     counts = scratch.table(training.select("text").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
     whole = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct")).first()
@@ -474,7 +531,10 @@ def language_scores(documents: DataFrame) -> DataFrame:
 
     shared = spark.sparkContext.broadcast((vocabulary, weights))
     scored = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    scored = scored.mapInArrow(_score(shared), "kind int, row long, doc_id long, held_out boolean, token long, n long, known long, tail long, logs double, model double")
+    scored = scored.mapInArrow(
+        _score(shared),
+        "kind int, row long, doc_id long, held_out boolean, token long, n long, known long, tail long, logs double, model double"
+    )
     scored = scratch.table(scored, "scored")
     rare = scored.where("kind = 1").select("row", "token", F.col("n").alias("times")).join(counts, "token")
     rare = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_logs"), F.sum("times").alias("rare_known"))

@@ -333,7 +333,15 @@ def _creative() -> list[Rule]:
         for version in VERSIONS:
             number = version.replace(".", " ")
             label = f"cc-{short}-{version}"
-            out.append(Rule(label, 1.0, "commons", f"(?:the |a )?creative commons {words}(?: international| unported| generic)? {number}(?: international| unported| generic)?(?: public)?(?: licen[sc]e)?"))
+            out.append(
+                Rule(
+                    label,
+                    1.0,
+                    "commons",
+                    f"(?:the |a )?creative commons {words}(?: international| unported| generic)? {number}(?: international| "
+                    f"unported| generic)?(?: public)?(?: licen[sc]e)?"
+                )
+            )
             out.append(Rule(label, 0.9, "cc", f"cc {spaced}(?: v)? ?{number}(?: licen[sc]e)?"))
             out.append(Rule(label, 1.0, "creativecommons", f"creativecommons org licenses {spaced} {number}"))
         out.append(Rule(f"cc-{short}", 0.8, "commons", f"(?:the |a )?creative commons {words}(?: public)?(?: licen[sc]e)?"))

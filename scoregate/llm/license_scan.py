@@ -49,7 +49,14 @@ def _places_of(words: Column, rule: Column) -> Column:
         parts = F.split(text, " ")
         at = lambda found: F.filter(F.transform(parts, lambda w, i: F.when(found(w), i)), lambda i: i.isNotNull())
         starts, ends = at(lambda w: F.startswith(w, F.lit(_OPEN))), at(lambda w: F.endswith(w, F.lit(_CLOSE)))
-        return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (-e).alias("turned"), rule["id"].alias("id"), e.alias("end"), rule["label"].alias("label"), rule["weight"].alias("weight"), rule["base"].alias("base")))
+        return F.zip_with(
+            starts,
+            ends,
+            lambda s, e: F.struct(
+                s.alias("start"), (-e).alias("turned"), rule["id"].alias("id"), e.alias("end"), rule["label"].alias("label"),
+                rule["weight"].alias("weight"), rule["base"].alias("base")
+            )
+        )
 
     found = _let(F.regexp_replace(words, rule["pattern"], F.lit(f"{_OPEN}$0{_CLOSE}")), marked)
     return F.when(F.rlike(words, rule["pattern"]), found).otherwise(F.array().cast(PLACE))
@@ -83,7 +90,17 @@ def license_scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES, base: tu
     an array of (label, start, end, weight, rule), words counted from 0, of what stands after suppression, in order of start.
 
     rules: in order of priority; base: those of them whose places are counted and whose labels stay."""
-    held = [{"id": i, "label": r.label, "weight": r.weight, "keyword": r.keyword, "pattern": rf"(?<![^ ])(?:{r.pattern})(?![^ ])", "base": r in base} for i, r in enumerate(rules)]
+    held = [
+        {
+            "id": i,
+            "label": r.label,
+            "weight": r.weight,
+            "keyword": r.keyword,
+            "pattern": rf"(?<![^ ])(?:{r.pattern})(?![^ ])",
+            "base": r in base
+        }
+        for i, r in enumerate(rules)
+    ]
     table = F.from_json(F.lit(json.dumps(held)), _RULE)
     keywords = F.from_json(F.lit(json.dumps(sorted({r.keyword for r in rules}))), "array<string>")
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -105,7 +122,16 @@ def license_scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES, base: tu
                 F.size(own).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
                 _joined(F.transform(own, label)).alias("base_labels"), _joined(F.transform(F.concat(own, left), label)).alias("labels"),
                 F.coalesce(F.array_max(F.transform(F.concat(own, left), lambda d: d["weight"])), F.lit(0.0)).alias("score"),
-                F.transform(left, lambda d: F.struct(label(d).alias("label"), d["start"].alias("start"), d["end"].alias("end"), d["weight"].alias("weight"), d["id"].alias("rule"))).alias("places"),
+                F.transform(
+                    left,
+                    lambda d: F.struct(
+                        label(d).alias("label"),
+                        d["start"].alias("start"),
+                        d["end"].alias("end"),
+                        d["weight"].alias("weight"),
+                        d["id"].alias("rule")
+                    )
+                ).alias("places"),
             )
 
         return _let(_resolved(all_places), told)

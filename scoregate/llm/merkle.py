@@ -64,7 +64,12 @@ def placed(leaves: DataFrame, order: list[str], scratch: Scratch, name: str) ->
     pieces = written.groupBy("tree", part.alias("part")).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     whole = Window.partitionBy("tree")
     above = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = pieces.select("tree", "part", (F.coalesce(F.sum("n").over(above), F.lit(0)) - F.col("first")).alias("shift"), F.sum("n").over(whole).alias("size"))
+    offsets = pieces.select(
+        "tree",
+        "part",
+        (F.coalesce(F.sum("n").over(above), F.lit(0)) - F.col("first")).alias("shift"),
+        F.sum("n").over(whole).alias("size")
+    )
     return written.withColumn("part", part).join(offsets, ["tree", "part"]).select(*leaves.columns, (F.col("at") + F.col("shift")).alias("pos"), "size")
 
 
@@ -161,7 +166,12 @@ def merkle_manifest(
     scratch = Scratch(spark)
     leaf = digest(*(framed(F.col(c)) for c in columns))
     kind = documents.schema[key].dataType.simpleString()
-    asked = {"key": F.col(key), "shown": F.col(key).cast("string"), "tree": F.coalesce(F.concat(F.lit("="), F.col(tree).cast("string")), F.lit("")), "digest": leaf}
+    asked = {
+        "key": F.col(key),
+        "shown": F.col(key).cast("string"),
+        "tree": F.coalesce(F.concat(F.lit("="), F.col(tree).cast("string")), F.lit("")),
+        "digest": leaf
+    }
     if tampered is not None:
         condition, changed, value = tampered
         asked["now"] = F.when(condition, digest(*(framed(value if c == changed else F.col(c)) for c in columns)))

@@ -118,7 +118,9 @@ def _described(documents: DataFrame, members, seed: int) -> DataFrame:
     own = F.array_sort(F.array_distinct(members))
     held = F.when(members.isNull() | (F.size(members) == 0), F.array(F.lit(None).cast("string"))).otherwise(own)
     hashed = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    return documents.select("*", held.alias("members"), word_count(F.col("text").cast("string")).alias("words"), hashed.alias("place")).withColumn("pattern", F.expr(_NAME))
+    return documents.select(
+        "*", held.alias("members"), word_count(F.col("text").cast("string")).alias("words"), hashed.alias("place")
+    ).withColumn("pattern", F.expr(_NAME))
 
 
 def _range(level: int):
@@ -134,17 +136,23 @@ def _cuts(sized: DataFrame, wanted: dict[str, int]) -> dict[str, tuple[int, int,
     edges = [(p, 0, 0, w) for p, w in wanted.items()]
     for level in range(LEVELS):
         edge = F.broadcast(spark.createDataFrame(edges, schema))
-        inside = sized.withColumn("range", _range(level) if level else F.lit(0).cast("long")).join(edge, ["pattern", "range"]).withColumn("range", _range(level + 1))
+        inside = sized.withColumn(
+            "range", _range(level) if level else F.lit(0).cast("long")
+        ).join(edge, ["pattern", "range"]).withColumn("range", _range(level + 1))
         by_range = inside.groupBy("pattern", "range", "before", "wanted").agg(F.sum("words").alias("words"))
         upto = F.col("before") + F.sum("words").over(Window.partitionBy("pattern").orderBy("range"))
-        cut = by_range.withColumn("ahead", upto - F.col("words")).where("ahead < wanted").groupBy("pattern").agg(F.max(F.struct("range", "ahead", "wanted")).alias("m"))
+        cut = by_range.withColumn("ahead", upto - F.col("words")).where("ahead < wanted").groupBy("pattern").agg(
+            F.max(F.struct("range", "ahead", "wanted")).alias("m")
+        )
         edges = [(r["pattern"], *r["m"]) for r in cut.collect()]
         if not edges:
             return {}
     edge = F.broadcast(spark.createDataFrame(edges, schema))
     order = Window.partitionBy("pattern").orderBy("place", "doc_id")
     inside = sized.withColumn("range", _range(LEVELS)).join(edge, ["pattern", "range"]).withColumn("upto", F.col("before") + F.sum("words").over(order))
-    near = inside.where("2 * upto - words <= 2 * wanted").groupBy("pattern").agg(F.max(F.struct("place", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "upto")).alias("m"))
+    near = inside.where("2 * upto - words <= 2 * wanted").groupBy("pattern").agg(
+        F.max(F.struct("place", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "upto")).alias("m")
+    )
     found = {r["pattern"]: (r["m"]["place"], r["m"]["doc_id"], r["m"]["upto"]) for r in near.collect()}
     # Where no document of the range at the cut is taken, the ranges below it are.
     return {p: found.get(p, (_range_start(range_) - 1, 2**63 - 1, before)) for p, range_, before, _ in edges}
@@ -171,7 +179,12 @@ def decide(sized: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> tuple[C
     rest = {names[p]: routed[p] - copies[names[p]] * words for p, words in patterns.items()}
     whole = {names[p]: words for p, words in patterns.items()}
 
-    limits = F.broadcast(spark.createDataFrame([(n, *(int(w * c) for c in CLASSES)) for n, w in whole.items()], "pattern string, " + ", ".join(f"c{i} long" for i in range(len(CLASSES)))))
+    limits = F.broadcast(
+        spark.createDataFrame(
+            [(n, *(int(w * c) for c in CLASSES)) for n, w in whole.items()],
+            "pattern string, " + ", ".join(f"c{i} long" for i in range(len(CLASSES)))
+        )
+    )
     klass = F.lit(len(CLASSES))
     for i in reversed(range(len(CLASSES))):
         klass = F.when(F.col("words") > F.col(f"c{i}"), i).otherwise(klass)
@@ -213,15 +226,31 @@ def mixed_sizes(documents: DataFrame, source: str = "source", weights=WEIGHTS, r
     described = _described(docs, F.array(F.col("_source")), seed).drop("text")
     sized = Scratch(spark).table(described, "sizes")  # the texts are read once
     judged, sizes, quotas = decide(sized, weights, repeats)
-    known = spark.createDataFrame([(s, sizes[s], quotas[s]) for s in sizes], T.StructType([T.StructField("_source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())]))
+    known = spark.createDataFrame(
+        [(s, sizes[s], quotas[s]) for s in sizes],
+        T.StructType(
+            [
+                T.StructField("_source", T.StringType()),
+                T.StructField("source_size", T.LongType()),
+                T.StructField("target", T.DoubleType())
+            ]
+        )
+    )
     known = F.broadcast(known.withColumnRenamed("_source", "_known"))
-    return judged(sized).join(known, F.col("_source").eqNullSafe(F.col("_known")), "left").select("doc_id", F.col("words").alias("size"), "source_size", "target", (F.col("words") * F.col("copies")).alias("taken"))
+    return judged(sized).join(known, F.col("_source").eqNullSafe(F.col("_known")), "left").select(
+        "doc_id", F.col("words").alias("size"), "source_size", "target", (F.col("words") * F.col("copies")).alias("taken")
+    )
 
 
 def mixed_documents(documents: DataFrame, source: str = "source", weights=WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
     """The documents of the mix with their own columns, each as often as it is taken."""
     own = documents.columns
-    renamed = documents.select(*(F.col(c).alias(f"own_{c}") for c in own), F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(source).cast("string").alias("_source"))
+    renamed = documents.select(
+        *(F.col(c).alias(f"own_{c}") for c in own),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "text",
+        F.col(source).cast("string").alias("_source")
+    )
     out, _, _ = plan(renamed, F.array(F.col("_source")), weights, repeats, seed)
     repeated = out.where("copies > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return repeated.select(*(F.col(f"own_{c}").alias(c) for c in own))

@@ -102,7 +102,16 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(values) if values else np.empty(0, np.int64)))
 
         maps = [lists(bitmaps), lists([_folded(b) for b in bitmaps or ()])]
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(ns), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(ids, pa.int64()), *maps], schema=schema)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([kind] * len(ns), pa.int32()),
+                pa.array(doc_ids, pa.int64()),
+                pa.array(ns, pa.int64()),
+                pa.array(ids, pa.int64()),
+                *maps
+            ],
+            schema=schema
+        )
 
     seen: set[int] = set()
     held: list[np.ndarray] = []
@@ -202,7 +211,16 @@ def _lists(hot: tuple[np.ndarray, np.ndarray], boundary: int):
                 if 5 * n > 4 * boundary:
                     put(s[: prefix_length(n)], i, n, n - -(-8 * n // 9) + 1)
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(first)), pa.array(np.concatenate(places))], schema=schema)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate(keys).view(np.int64)),
+                        pa.array(np.concatenate(ids)),
+                        pa.array(np.concatenate(sizes)),
+                        pa.array(np.concatenate(first)),
+                        pa.array(np.concatenate(places))
+                    ],
+                    schema=schema
+                )
 
     return run
 
@@ -226,7 +244,14 @@ def _sets(bits: np.ndarray):
                     sets.append(s)
             if sets:
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], schema=schema)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(places, pa.int64()),
+                        pa.array(ids, pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                    ],
+                    schema=schema
+                )
 
     return run
 
@@ -294,7 +319,13 @@ def ngram_jaccard_groups(documents: DataFrame) -> DataFrame:
     summary = scratch.table(docs.mapInArrow(_summarise, SUMMARY), "summary")
     rows = summary.where("kind = 0")
     # A class is its set's id; its place is that of one of its documents.
-    classes = rows.where("n > 0").groupBy("id").agg(F.any_value("n").alias("n"), F.any_value("bitmap").alias("bitmap"), F.any_value("folded").alias("folded"), F.min(_place(F.col("doc_id"))).alias("place"), F.min("doc_id").alias("least"))
+    classes = rows.where("n > 0").groupBy("id").agg(
+        F.any_value("n").alias("n"),
+        F.any_value("bitmap").alias("bitmap"),
+        F.any_value("folded").alias("folded"),
+        F.min(_place(F.col("doc_id"))).alias("place"),
+        F.min("doc_id").alias("least")
+    )
     classes = scratch.table(classes, "classes")
 
     often = summary.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_FROM)
@@ -306,9 +337,13 @@ def ngram_jaccard_groups(documents: DataFrame) -> DataFrame:
     boundary = choose_boundary({r["doc_id"]: (r["sets"], r["scanned"]) for r in light})
 
     shared = spark.sparkContext.broadcast((hot, boundary))
-    entries = docs.select("text").mapInArrow(lambda it: _lists(*shared.value)(it), "key long, id long, n long, first boolean, place_in_set int").repartition("key")
+    entries = docs.select("text").mapInArrow(
+        lambda it: _lists(*shared.value)(it), "key long, id long, n long, first boolean, place_in_set int"
+    ).repartition("key")
     # One shuffle serves both sides, as the entries are dealt by key and the grouped side reads the same columns.
-    ends = entries.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.max(F.struct("n", "first", "place_in_set")).alias("most")).where("pivot < last and most is not null")
+    ends = entries.groupBy("key").agg(
+        F.min("id").alias("pivot"), F.max("id").alias("last"), F.max(F.struct("n", "first", "place_in_set")).alias("most")
+    ).where("pivot < last and most is not null")
     live = scratch.table(entries.join(ends, "key").select("key", "id", "n", "first", "place_in_set", "pivot"), "lists")
 
     pairs = live.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
@@ -322,7 +357,9 @@ def ngram_jaccard_groups(documents: DataFrame) -> DataFrame:
     before = F.array(*(F.lag("key", k).over(order) for k in range(1, BEFORE + 1)))
     entries = mixed.join(brief, "id").withColumn("before", F.array_compact(before)).drop("place_in_set")
     # Members of a list's main component meet only those of others.
-    smaller = entries.where("first").withColumn("other_main", F.explode(F.when(F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    smaller = entries.where("first").withColumn(
+        "other_main", F.explode(F.when(F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))
+    )
     apart = F.expr("x.root <> y.root and (x.n > y.n or x.n = y.n and x.id > y.id) and 5 * y.n >= 4 * x.n")
     differing = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(FOLD)])
     near = differing <= F.expr("x.n + y.n - 2 * ((4 * (x.n + y.n) + 8) div 9)")
@@ -337,8 +374,15 @@ def ngram_jaccard_groups(documents: DataFrame) -> DataFrame:
     linked = roots.select(F.col("node").alias("id"), "root").join(classes.select("id", "least"), "id")
     smallest = scratch.table(linked.groupBy("root").agg(F.min("least").alias("component")).coalesce(1 + roots.count() // EDGES_A_FILE), "smallest")
     known = roots.join(smallest, "root").select(F.col("node").alias("id"), "component")
-    known = scratch.table(classes.select("id", "least").join(known, "id", "left").select("id", F.coalesce("component", "least").alias("component")), "components")
-    return rows.select("doc_id", "n", "id").join(known, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    known = scratch.table(
+        classes.select("id", "least").join(known, "id", "left").select("id", F.coalesce("component", "least").alias("component")),
+        "components"
+    )
+    return rows.select("doc_id", "n", "id").join(known, "id", "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
+    )
 
 
 def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -353,7 +397,12 @@ def _mixed(live: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
     live = live.distinct().repartition("key")
     held = live.groupBy("key", "root").agg(F.count(F.lit(1)).alias("members"))
     lists = held.groupBy("key").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("members", "root"))["root"].alias("largest")).where("components > 1")
-    return scratch.table(live.join(lists, "key").select("key", "id", "n", "first", "place_in_set", "root", (F.col("root") == F.col("largest")).alias("main")), "lists")
+    return scratch.table(
+        live.join(lists, "key").select(
+            "key", "id", "n", "first", "place_in_set", "root", (F.col("root") == F.col("largest")).alias("main")
+        ),
+        "lists"
+    )
 
 
 def keep_one_of_each_group(documents: DataFrame) -> DataFrame:

@@ -95,7 +95,14 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """The header of each record with its payload's key, and what it says: page_id, url, record_type, refers_to."""
     said = lambda name: F.try_to_number(F.regexp_extract(F.coalesce(_field(name), F.lit("")), r"^<urn:page:(-?\d+)>$", 1), F.lit("S9999999999999999999")).cast("long")
     kept = spark.read.schema("header string, payload_key string").parquet(f"{path}/headers")
-    return kept.select("header", "payload_key", said("WARC-Record-ID").alias("page_id"), _field("WARC-Target-URI").alias("url"), _field("WARC-Type").alias("record_type"), said("WARC-Refers-To").alias("refers_to"))
+    return kept.select(
+        "header",
+        "payload_key",
+        said("WARC-Record-ID").alias("page_id"),
+        _field("WARC-Target-URI").alias("url"),
+        _field("WARC-Type").alias("record_type"),
+        said("WARC-Refers-To").alias("refers_to")
+    )
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -109,7 +116,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     length = F.coalesce(F.try_to_number(_field("Content-Length"), F.lit("9999999999999999999")), F.lit(0))
     salt = F.when(length < REVISIT_FROM, F.pmod(F.xxhash64("header"), F.lit(SALTS))).otherwise(0).cast("int")
     responses = headers.where(~F.col("record_type").eqNullSafe(F.lit("revisit"))).withColumn("salt", salt)
-    responses = responses.join(payloads.select("payload_key", F.col("payload").alias("block"), F.explode(salts).alias("salt")), ["payload_key", "salt"]).drop("salt")
+    responses = responses.join(
+        payloads.select("payload_key", F.col("payload").alias("block"), F.explode(salts).alias("salt")), ["payload_key", "salt"]
+    ).drop("salt")
     records = responses.unionByName(revisits)
     return records.withColumn("record", F.concat(F.encode("header", "UTF-8"), "block", F.lit(b"\r\n\r\n")))
 

@@ -8,10 +8,13 @@ import pytest
 from scoregate.llm.html_text import page_text
 
 PARTS = [
-    "<", ">", "</", "/>", '"', "'", "=", "&", ";", "&#", "&#x", "9" * 5000, "0", "-", "--3", " ", "\n", "\x00", "é", "日本", "x", "a b", "<!--", "-->", "<!", "]]>",
-    "<table>", "</table>", "<tr>", "<td>", "<td rowspan=3>", "<th colspan=4>", "<td colspan=0 rowspan=0>", "<td rowspan=99999999999>", "<ol start=--3>", "<li value=9e9>", "<li>", "</ol>", "<ul>",
+    "<", ">", "</", "/>", '"', "'", "=", "&", ";", "&#", "&#x", "9" * 5000, "0", "-", "--3", " "
+    "", "\n", "\x00", "é", "日本", "x", "a b", "<!--", "-->", "<!", "]]>",
+    "<table>", "</table>", "<tr>", "<td>", "<td rowspan=3>", "<th colspan=4>", "<td colspan=0 rowspan=0>", "<td "
+    "rowspan=99999999999>", "<ol start=--3>", "<li value=9e9>", "<li>", "</ol>", "<ul>",
     "<p>", "</p>", "<pre>", "<textarea>", "<script>", "</script>", "<svg>", "<text>", "<math>", "<foreignobject>", "<details>", "<summary>", "<dl>", "<dt>", "<dd>", "<select>", "<option>",
-    "<template>", "<head>", "<body>", "<blockquote>", "<br>", "<hr>", "<img alt=x>", "<div hidden>", "<div style='display:none'>", "</div>", "<div>", "&amp;", "&copy", "&#65;", "&#xD800;", "&#1114112;",
+    "<template>", "<head>", "<body>", "<blockquote>", "<br>", "<hr>", "<img alt=x>", "<div hidden>", "<div "
+    "style='display:none'>", "</div>", "<div>", "&amp;", "&copy", "&#65;", "&#xD800;", "&#1114112;",
 ]
 
 
@@ -25,10 +28,14 @@ def test_random_markup_never_fails(seed):
 
 
 @pytest.mark.parametrize("page,text", [
-    ('<ol start="--3"><li>a', "1. a"), ('<ol><li value="--3">a<li>b', "1. a\n2. b"), ("<ol start=-2><li>a<li>b", "-2. a\n-1. b"), (f"<ol start={'9' * 5000}><li>a", "1. a"),
+    ('<ol start="--3"><li>a', "1. a"), (
+        '<ol><li value="--3">a<li>b', "1. a\n2. b"
+    ), ("<ol start=-2><li>a<li>b", "-2. a\n-1. b"), (f"<ol start={'9' * 5000}><li>a", "1. a"),
     (f"<table><td colspan={'9' * 5000}>x", "x"), (f"&#{'9' * 5000};a", "�a"), (f"&#x{'f' * 5000};a", "�a"), ("&#0000000000065;&#x00000000041;", "AA"),
     ("<table><tr><td rowspan=2>A<td>b1<tr><td>b2</table>", "A  b1\n   b2"), ("<table><tr><td rowspan=0>A<td>1<tr><td>2<tr><td>3</table>", "A  1\n   2\n   3"),
-    ("<table><tr><th colspan=2>wide heading here<tr><td>a<td>b</table>", "wide heading here\na         b"), ("<table><tr><td>日本<td>x<tr><td>abcde<td>y</table>", "日本   x\nabcde  y"),
+    (
+        "<table><tr><th colspan=2>wide heading here<tr><td>a<td>b</table>", "wide heading here\na         b"
+    ), ("<table><tr><td>日本<td>x<tr><td>abcde<td>y</table>", "日本   x\nabcde  y"),
     ("<table><tr><td rowspan=2>a<br>b<br>c<td>1<tr><td>2<tr><td>x<td>y</table>", "a  1\nb  2\nc\nx  y"), ("<ul><li><ul><li>x</ul><li>z</ul>", "- - x\n- z"),
     ("<table><tr><td>a<table><tr><td>in<td>ner</table><td>b</table>", "a        b\n\nin  ner"),
 ])
@@ -50,7 +57,13 @@ def test_tables_by_brute_force():
     """Cells painted one by one on a sheet: each column as wide as its widest cell needs, each row one line."""
     rng = random.Random(8)
     for _ in range(150):
-        rows = [[("".join(rng.choice("abc日") for _ in range(rng.randrange(1, 6))), rng.choice((1, 1, 1, 2))) for _ in range(rng.randrange(1, 5))] for _ in range(rng.randrange(1, 6))]
+        rows = [
+            [
+                ("".join(rng.choice("abc日") for _ in range(rng.randrange(1, 6))), rng.choice((1, 1, 1, 2)))
+                for _ in range(rng.randrange(1, 5))
+            ]
+            for _ in range(rng.randrange(1, 6))
+        ]
         page = "<table>" + "".join("<tr>" + "".join(f"<td rowspan={down}>{text}" for text, down in row) for row in rows) + "</table>"
         taken, cells = set(), []
         for r, row in enumerate(rows):

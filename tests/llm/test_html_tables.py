@@ -81,7 +81,17 @@ def test_spans_by_brute_force(seed):
     """Rows and columns that cells span, cells that overlap left out, as their order in a line is then no question of places."""
     rng, seen = random.Random(seed), 0
     while seen < 400:
-        rows = [[("".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 9))), rng.choice((1, 1, 1, 2, 3)), rng.choice((1, 1, 1, 2, 3, 0))) for _ in range(rng.randrange(1, 5))] for _ in range(rng.randrange(1, 6))]
+        rows = [
+            [
+                (
+                    "".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 9))),
+                    rng.choice((1, 1, 1, 2, 3)),
+                    rng.choice((1, 1, 1, 2, 3, 0))
+                )
+                for _ in range(rng.randrange(1, 5))
+            ]
+            for _ in range(rng.randrange(1, 6))
+        ]
         places = [(y, x) for _, r, end, c, last in sheet(rows) for y in range(r, end) for x in range(c, last)]
         if len(places) != len(set(places)):
             continue

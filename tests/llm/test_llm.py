@@ -111,7 +111,11 @@ def test_components_of_long_chains(spark):
 
 def test_warc_round_trip(spark):
     big, other = "x" * 1500, "é" * 700
-    rows = [(1, "http://a/1", big), (2, "http://a/2", big), (3, None, "small"), (4, "u", "small"), (5, "u\r\nX: y", other), (6, "u", None), (7, "u", ""), (9, "http://a/9", big), (9, "http://a/9", big), (None, "n", big), (None, "n", "lonely" * 300)]
+    rows = [
+        (1, "http://a/1", big), (2, "http://a/2", big), (3, None, "small"), (4, "u", "small"), (5, "u\r\nX: y", other),
+        (6, "u", None), (7, "u", ""), (9, "http://a/9", big), (9, "http://a/9", big), (None, "n", big),
+        (None, "n", "lonely" * 300)
+    ]
     pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, header string")
     path = Scratch(spark).path("archive")
     warc.write_archive(pages, path)
@@ -208,7 +212,10 @@ def test_embeddings_by_brute_force(spark, monkeypatch):
                 rows.append((i, (centre + rng.normal(size=8) * 0.08).tolist(), label))
                 i += 1
     rows += [(i + k, rows[0][1], 0) for k in range(20)]
-    rows += [(900, None, 1), (901, [0.0] * 8, 1), (902, [float("nan")] * 8, 1), (903, rows[0][1], None), (904, [None] + rows[0][1][1:], 0), (905, [], 0), (906, [1.0, 2.0], 0), (907, [2.0, 4.0], 0), (908, [float("inf")] * 8, 0)]
+    rows += [
+        (900, None, 1), (901, [0.0] * 8, 1), (902, [float("nan")] * 8, 1), (903, rows[0][1], None),
+        (904, [None] + rows[0][1][1:], 0), (905, [], 0), (906, [1.0, 2.0], 0), (907, [2.0, 4.0], 0), (908, [float("inf")] * 8, 0)
+    ]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, node string")
     got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(df).collect())
     assert got == sorted((v, n, c, v == c) for v, n, c in brute_vectors(rows))
@@ -248,7 +255,9 @@ def test_bpe_defined_cases(spark):
 def test_language_model_base_and_gain(spark):
     rng = np.random.default_rng(2)
     tongues = [[f"{c}{i}" for i in range(30)] for c in "abc"]
-    texts = [" ".join(rng.choice(tongues[i % 3], int(rng.integers(20, 80)))).upper() for i in range(600)] + [None, "", "never Seen", " ".join(rng.choice(tongues[0], 5000))]
+    texts = [
+        " ".join(rng.choice(tongues[i % 3], int(rng.integers(20, 80)))).upper() for i in range(600)
+    ] + [None, "", "never Seen", " ".join(rng.choice(tongues[0], 5000))]
     df = documents(spark, texts)
     got = {r["doc_id"]: r for r in language_model.language_scores(df).collect()}
     out = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
@@ -403,7 +412,10 @@ def test_mixing(spark):
 
 
 def test_overlapping_memberships(spark):
-    df = spark.createDataFrame([(i, "w " * 10, ["a"] if i % 2 else ["b", "a", "a"]) for i in range(40)] + [(99, "w", None)], "doc_id long, text string, memberships array<string>")
+    df = spark.createDataFrame(
+        [(i, "w " * 10, ["a"] if i % 2 else ["b", "a", "a"]) for i in range(40)] + [(99, "w", None)],
+        "doc_id long, text string, memberships array<string>"
+    )
     out, sizes, quotas = mixing.plan(df, F.col("memberships"))
     assert sizes == {"a": 400, "b": 200, None: 1} and out.agg(F.max("copies")).first()[0] <= 3 and out.count() == 41
 
@@ -417,7 +429,9 @@ def test_patterns_of_odd_names_stay_apart(spark):
 def test_cut_is_found_within_small_ranges(spark, monkeypatch):
     """The words taken below the cut, told by sorting everything."""
     rng = np.random.default_rng(3)
-    rows = [("p", int(x), i, int(w)) for i, (x, w) in enumerate(zip(rng.integers(-(2**63), 2**63 - 1, 500), rng.integers(1, 9, 500)))] + [("q", 5, 7, 3), ("q", 5, 8, 3)]
+    rows = [
+        ("p", int(x), i, int(w)) for i, (x, w) in enumerate(zip(rng.integers(-(2**63), 2**63 - 1, 500), rng.integers(1, 9, 500)))
+    ] + [("q", 5, 7, 3), ("q", 5, 8, 3)]
     sized = spark.createDataFrame(rows, "pattern string, place long, doc_id long, words long")
     got = mixing._cuts(sized, {"p": 700, "q": 4})
     total, taken = 0, set()

@@ -61,7 +61,10 @@ def best_phrases(rows, least, percent, most):
                 continue
             score, k = min((1_000_000 * a * a // (c[g[:k]] * c[g[k:]]), k) for k in range(1, len(g)))
             own.append((-score, -a, " ".join(g).encode(), c[g[:k]], c[g[k:]], g))
-        out += [(lang, i + 1, p.decode(), -a, left, right, total[lang], -s, before[lang, g], after[lang, g]) for i, (s, a, p, left, right, g) in enumerate(sorted(own)[:most])]
+        out += [
+            (lang, i + 1, p.decode(), -a, left, right, total[lang], -s, before[lang, g], after[lang, g])
+            for i, (s, a, p, left, right, g) in enumerate(sorted(own)[:most])
+        ]
     return sorted(out)
 
 
@@ -195,7 +198,10 @@ def test_rules_are_gated_by_what_they_match():
 def test_license_scan(spark):
     rng = random.Random(6)
     picked = [sample(sre.parse(r.pattern), rng) for r in rng.sample(rules.RULES, 120)]
-    bits = picked + ["MIT", "License", "mit-license", "GNU", "General Public License", "version", "2", "or later", "Lesser", "é", "x", "permit", "K", "İ", "Licensed under the", "the", ".", "\n"] * 4
+    bits = picked + [
+        "MIT", "License", "mit-license", "GNU", "General Public License", "version", "2", "or later", "Lesser", "é", "x",
+        "permit", "K", "İ", "Licensed under the", "the", ".", "\n"
+    ] * 4
     made = [" ".join(rng.choice(bits) for _ in range(rng.randrange(0, 14))) for _ in range(250)]
     made += [None, "", " . ", "MIT\nLicense; Apache License, the GNU General Public License v3. MIT LICENSE"]
     rows = [(None if i == 3 else i, t, 7, "mine") for i, t in enumerate(made)]
@@ -203,7 +209,21 @@ def test_license_scan(spark):
     got = Counter()
     for r in license_scan(df).collect():
         assert r["found"] == "mine" and isinstance(r["score"], float)
-        got[r["text"], str((r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score, [(p.label, p.start, p.end, p.rule) for p in r.places]))] += 1
+        got[
+            r["text"],
+            str(
+                (
+                    r.n_words,
+                    r.n_base,
+                    r.first_word,
+                    r.last_word,
+                    r.base_labels,
+                    r.labels,
+                    r.score,
+                    [(p.label, p.start, p.end, p.rule) for p in r.places]
+                )
+            )
+        ] += 1
     assert got == Counter((t, str(scanned(t))) for t in made)
     assert license_scan(spark.createDataFrame([], DOCS)).collect() == []
 
@@ -275,7 +295,18 @@ def rows_of(n, sources, seed=0):
     return [(i * 3, pick(None, "", f"Text {i}", "ABC", "é1:2"), pick(None, "en", "fr"), rng.choice(sources), pick(None, i)) for i in range(n)]
 
 
-@pytest.mark.parametrize("n,sources", [(1, ["s"]), (2, [None]), (16, ["s"]), (17, ["s"]), (300, ["s", "t"]), (700, ["s", "s", "s", None, "", "É", *map(str, range(30))]), (600, [str(i) for i in range(600)])])
+@pytest.mark.parametrize(
+    "n,sources",
+    [
+        (1, ["s"]),
+        (2, [None]),
+        (16, ["s"]),
+        (17, ["s"]),
+        (300, ["s", "t"]),
+        (700, ["s", "s", "s", None, "", "É", *map(str, range(30))]),
+        (600, [str(i) for i in range(600)])
+    ]
+)
 def test_manifest(spark, n, sources):
     rows = rows_of(n, sources)
     df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("own") for c in ("tree", "pos", "digest", "key", "block", "now")}).repartition(3)
@@ -296,7 +327,13 @@ def test_manifest_with_more_rounds(spark, monkeypatch):
 
 
 def test_manifest_cases(spark):
-    rows = [(None, "A", "en", "s", 1), (None, None, None, None, None), (2**60 + 1, "x", "en", "s", 1), (2**60 + 1, "x", "en", "s", 1), (2**60 + 1, "y", "en", "s", 1)]
+    rows = [
+        (None, "A", "en", "s", 1),
+        (None, None, None, None, None),
+        (2**60 + 1, "x", "en", "s", 1),
+        (2**60 + 1, "x", "en", "s", 1),
+        (2**60 + 1, "y", "en", "s", 1)
+    ]
     assert sorted(map(tuple, proven(spark.createDataFrame(rows, DOCS)).collect()), key=str) == manifest(rows)
     assert proven(spark.createDataFrame([], DOCS)).collect() == []
 

@@ -13,8 +13,14 @@ GOOD = "the quick fox number {} jumps over a lazy dog near the old river while s
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
-    texts = [GOOD.format(i) + f" word{i} thing{i * 7} place{i * 13}" for i in range(60)] + [GOOD.format(1) + " word1 thing7 place13"] * 3 + [None, "", " \n", "x " * 30, "one two"] + [" ".join(f"w{k % 997}x{k}" for k in range(30_000))]
-    rows = [(i, t, "en", ["a", "b", None][i % 3], len(t or ""), "own", i) for i, t in enumerate(texts)] + [(None, GOOD.format(99) + " nothing like the others at all in its second half or so", "en", "a", 1, "own", 0)]
+    texts = [
+        GOOD.format(i) + f" word{i} thing{i * 7} place{i * 13}" for i in range(60)
+    ] + [GOOD.format(1) + " word1 thing7 place13"] * 3 + [None, "", " \n", "x " * 30, "one two"] + [
+        " ".join(f"w{k % 997}x{k}" for k in range(30_000))
+    ]
+    rows = [(i, t, "en", ["a", "b", None][i % 3], len(t or ""), "own", i) for i, t in enumerate(texts)] + [
+        (None, GOOD.format(99) + " nothing like the others at all in its second half or so", "en", "a", 1, "own", 0)
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, rules string, words long")
     base = f"file://{tmp_path_factory.mktemp('tables')}"
     for name, n in (("full", None), ("empty", 0)):
@@ -30,7 +36,9 @@ def test_stages_keep_columns_and_run_applies_them_all(spark, folder):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before, held = held, scratch.table(stage(spark, held, f"{folder}/full"), "stage")
         assert held.columns == docs.columns, name
-        assert held.exceptAll(before).where("doc_id is not null").dropDuplicates(["doc_id"]).join(before.select("doc_id"), "doc_id", "left_anti").count() == 0, name
+        assert held.exceptAll(before).where("doc_id is not null").dropDuplicates(["doc_id"]).join(
+            before.select("doc_id"), "doc_id", "left_anti"
+        ).count() == 0, name
     last = corpus_pipeline.STAGES[-1][1](spark, held, f"{folder}/full")
     count = lambda df: collections.Counter((r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in df.select("doc_id", "ids", "decoded").collect())
     whole = count(corpus_pipeline.run(spark, f"{folder}/full"))

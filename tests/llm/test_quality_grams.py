@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 
 from scoregate.llm import quality_rules, queries
 
-TEXTS = ["the nation was reading about motion and station " * 4, "zzing qqion wwent kkion " * 8, "station and motion about reading was nation the " * 4, "one", None, "  "]
+TEXTS = [
+    "the nation was reading about motion and station " * 4,
+    "zzing qqion wwent kkion " * 8,
+    "station and motion about reading was nation the " * 4,
+    "one",
+    None,
+    "  "
+]
 
 
 def written(spark, folder):
