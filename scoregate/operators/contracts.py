@@ -77,7 +77,12 @@ def key_violations(df: DataFrame, keys: list[str]) -> DataFrame:
 def contiguity(df: DataFrame, groups: list[str], index: str, start: int = 0) -> DataFrame:
     """Whether each group's index runs from start without a gap or repeat."""
     n = F.count(F.lit(1))
-    return df.groupBy(*groups).agg(n.alias("row_count"), F.coalesce((F.min(index) == start) & (F.max(index) == start + n - 1) & (F.count_distinct(index) == n), F.lit(False)).alias("contiguous"))
+    return df.groupBy(*groups).agg(
+        n.alias("row_count"),
+        F.coalesce(
+            (F.min(index) == start) & (F.max(index) == start + n - 1) & (F.count_distinct(index) == n), F.lit(False)
+        ).alias("contiguous")
+    )
 
 
 def single_valued(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -181,7 +186,18 @@ def summary_violations(metrics: DataFrame) -> DataFrame:
         (away(F.col("fpr"), F.col("false_positive"), neg), "fpr"),
         (away(F.col("recall"), F.col("true_positive"), pos), "recall"),
         (F.coalesce(F.col("score_failures") > F.col("true_positive") + F.col("false_positive"), F.lit(True)), "failures_not_anomalous"),
-        *(((_differs(F.col("metrics_status"), F.when((pos > 0) & (neg > 0), "ok").otherwise("METRICS_CLASS_SUPPORT_INVALID")), "class_support"),) if "metrics_status" in metrics.columns else ()),
+        *(
+            (
+                (
+                    _differs(
+                        F.col("metrics_status"), F.when((pos > 0) & (neg > 0), "ok").otherwise("METRICS_CLASS_SUPPORT_INVALID")
+                    ),
+                    "class_support"
+                ),
+            )
+            if "metrics_status" in metrics.columns
+            else ()
+        ),
         *(((_differs(F.col("p95_rank"), F.ceil(F.lit(0.95) * F.col("observation_count"))), "rank"),) if "p95_rank" in metrics.columns else ()),
     ))
 
@@ -190,11 +206,20 @@ def decision_violations(decided: DataFrame, gated: DataFrame) -> DataFrame:
     """Methods whose stored decision isn't what their gates (evaluation.short_circuit) and evidence say: (method, rule)."""
     first = gated.groupBy("method").agg(
         F.min(F.when(~F.col("passed"), F.struct("gate_order", "gate")))["gate"].alias("__sg_first"),
-        F.count_if(_differs(F.col("gate_status"), F.when(F.col("first_failed_order").isNull() | (F.col("gate_order") < F.col("first_failed_order")), "pass").when(F.col("gate_order") == F.col("first_failed_order"), "fail").otherwise("not_evaluated"))).alias("__sg_states"),
+        F.count_if(
+            _differs(
+                F.col("gate_status"),
+                F.when(
+                    F.col("first_failed_order").isNull() | (F.col("gate_order") < F.col("first_failed_order")), "pass"
+                ).when(F.col("gate_order") == F.col("first_failed_order"), "fail").otherwise("not_evaluated")
+            )
+        ).alias("__sg_states"),
         F.lit(True).alias("__sg_seen"),
     )
     joined = null_safe_join(decided, first, ["method"], "left")
-    rejected = F.col("__sg_first").isNotNull() | ~F.coalesce(F.col("evidence_valid"), F.lit(False)) | F.coalesce(F.col("leakage"), F.lit(True)) | F.coalesce(F.col("contradicted"), F.lit(True))
+    rejected = F.col("__sg_first").isNotNull() | ~F.coalesce(
+        F.col("evidence_valid"), F.lit(False)
+    ) | F.coalesce(F.col("leakage"), F.lit(True)) | F.coalesce(F.col("contradicted"), F.lit(True))
     want = F.when(rejected, "REJECT").when(F.col("guardrail"), "ADOPT WITH CONDITIONS").otherwise("ADOPT")
     return _broken(joined, ["method"], (
         (F.col("__sg_seen").isNull(), "gates_missing"),
@@ -211,12 +236,27 @@ def latency_violations(observations: DataFrame, summary: DataFrame, passes: int,
     (a pass without some item of the method), repeated (an item twice in a pass), status (an item ok in one pass and failed in
     another) and summary (a stored count, median, p95 or rank that isn't the recomputed one)."""
     n = F.count(F.lit(1))
-    by_item = observations.groupBy("method", "item").agg(n.alias("n"), F.count_distinct("pass_index").alias("passes"), F.min("pass_index").alias("low"), F.max("pass_index").alias("high"), F.count_distinct("score_status").alias("states"))
+    by_item = observations.groupBy("method", "item").agg(
+        n.alias("n"),
+        F.count_distinct("pass_index").alias("passes"),
+        F.min("pass_index").alias("low"),
+        F.max("pass_index").alias("high"),
+        F.count_distinct("score_status").alias("states")
+    )
     shape = by_item.groupBy("method").agg(
         F.count_if((F.col("low") < 0) | (F.col("high") >= passes)).alias("outside"), F.count_if(F.col("passes") != passes).alias("short"),
         F.count_if(F.col("n") != F.col("passes")).alias("twice"), F.count_if(F.col("states") != 1).alias("mixed"),
     )
-    out = _broken(shape, ["method"], ((F.col("outside") > 0, "pass_set"), (F.col("short") > 0, "item_set"), (F.col("twice") > 0, "repeated"), (F.col("mixed") > 0, "status")))
+    out = _broken(
+        shape,
+        ["method"],
+        (
+            (F.col("outside") > 0, "pass_set"),
+            (F.col("short") > 0, "item_set"),
+            (F.col("twice") > 0, "repeated"),
+            (F.col("mixed") > 0, "status")
+        )
+    )
     facts = ("observation_count", "failed_count", "median_duration", "p95_duration", "p95_rank")
     fresh = latency(observations, ["method"]).select("method", *(F.col(c).alias(f"__sg_{c}") for c in facts), F.lit(True).alias("__sg_seen"))
     both = null_safe_join(summary.select("method", *facts), fresh, ["method"], "full_outer")
@@ -232,15 +272,30 @@ def manifest_report(manifest: DataFrame, fresh: DataFrame, counts: DataFrame, st
     that a fresh selection doesn't give or that it gives besides."""
     out = manifest_violations(manifest, strict).select("rule", F.col("record_id").alias("key"))
     twice = manifest.groupBy("record_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("partition").alias("p")).where("n > 1")
-    out = out.unionByName(twice.select(F.when(F.col("p") > 1, "partitions_overlap").otherwise("duplicate_record").alias("rule"), F.col("record_id").alias("key")))
+    out = out.unionByName(
+        twice.select(
+            F.when(F.col("p") > 1, "partitions_overlap").otherwise("duplicate_record").alias("rule"),
+            F.col("record_id").alias("key")
+        )
+    )
     sizes = null_safe_join(manifest.groupBy("partition").agg(F.count(F.lit(1)).alias("n")), counts, ["partition"], "full_outer")
-    out = out.unionByName(sizes.where(_differs(F.col("n"), F.col("expected_count"))).select(F.lit("partition_count").alias("rule"), F.col("partition").alias("key")))
+    out = out.unionByName(
+        sizes.where(_differs(F.col("n"), F.col("expected_count"))).select(
+            F.lit("partition_count").alias("rule"), F.col("partition").alias("key")
+        )
+    )
     if "content_sha256" in manifest.columns:
-        out = out.unionByName(manifest.where(~F.coalesce(F.col("content_sha256").rlike(S.SHA256), F.lit(False))).select(F.lit("digest_malformed").alias("rule"), F.col("record_id").alias("key")))
+        out = out.unionByName(
+            manifest.where(~F.coalesce(F.col("content_sha256").rlike(S.SHA256), F.lit(False))).select(
+                F.lit("digest_malformed").alias("rule"), F.col("record_id").alias("key")
+            )
+        )
     same = ["record_id", "partition", "selection_rank"]
     stored, again, _ = only_differing(manifest.where(F.col("partition") != "final-test").select(*same), fresh.select(*same))
     gone, new = stored.exceptAll(again), again.exceptAll(stored)
-    return out.unionByName(gone.select(F.lit("not_in_selection").alias("rule"), F.col("record_id").alias("key"))).unionByName(new.select(F.lit("not_in_manifest").alias("rule"), F.col("record_id").alias("key")))
+    return out.unionByName(
+        gone.select(F.lit("not_in_selection").alias("rule"), F.col("record_id").alias("key"))
+    ).unionByName(new.select(F.lit("not_in_manifest").alias("rule"), F.col("record_id").alias("key")))
 
 
 def sealed_violations(mapping: DataFrame, source: str = "source_path", label: str = "class_label") -> DataFrame:
@@ -256,7 +311,9 @@ def sealed_violations(mapping: DataFrame, source: str = "source_path", label: st
     out = mapping.select(F.explode(F.array_compact(F.array(*(F.when(bad, F.lit(name)) for bad, name in rules)))).alias("rule"), F.col("asset_id").alias("key"))
     for column, rule in (("asset_id", "asset_repeated"), (source, "path_repeated")):
         out = out.unionByName(say(key_violations(mapping.where(F.col(column).isNotNull()), [column]), rule, F.col(column)))
-    numbers = mapping.select(number.alias("n")).where("n is not null").distinct().agg(F.count("n").alias("count"), F.min("n").alias("low"), F.max("n").alias("high"))
+    numbers = mapping.select(number.alias("n")).where("n is not null").distinct().agg(
+        F.count("n").alias("count"), F.min("n").alias("low"), F.max("n").alias("high")
+    )
     out = out.unionByName(say(numbers.where("count > 0 and (low <> 0 or high <> count - 1)"), "asset_gap", F.col("high")))
     return out.unionByName(say(mapping.agg(F.count(F.lit(1)).alias("count")).where("count = 0"), "empty", F.col("count")))
 

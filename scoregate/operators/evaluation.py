@@ -18,7 +18,11 @@ def reveal_status(items: DataFrame, labels: DataFrame, key: str = "item", order:
     missing, extra and, where both sides carry an order column, out of order."""
     at = [F.min(order).alias("__sg_order")] if order else []
     left = items.groupBy(key).agg(F.count(F.lit(1)).alias("items"), *at)
-    right = labels.groupBy(key).agg(F.count(F.lit(1)).alias("labels"), F.count_if(F.col("true_class").isin("normal", "anomaly")).alias("valid"), *(c.alias("__sg_label_order") for c in ([F.min(order)] if order else [])))
+    right = labels.groupBy(key).agg(
+        F.count(F.lit(1)).alias("labels"),
+        F.count_if(F.col("true_class").isin("normal", "anomaly")).alias("valid"),
+        *(c.alias("__sg_label_order") for c in ([F.min(order)] if order else []))
+    )
     moved = F.col("items").isNotNull() & F.col("labels").isNotNull() & ~F.col("__sg_order").eqNullSafe(F.col("__sg_label_order")) if order else F.lit(False)
     both = null_safe_join(left, right, [key], "full_outer").agg(
         F.coalesce(F.sum("labels"), F.lit(0)).alias("label_count"),
@@ -29,7 +33,15 @@ def reveal_status(items: DataFrame, labels: DataFrame, key: str = "item", order:
         F.count_if(F.col("items").isNull()).alias("extra_count"),
         F.count_if(moved).alias("moved_count"),
     )
-    code = S.any_code((F.col("label_count") == 0, "LABELS_EMPTY"), (F.col("invalid_count") > 0, "LABELS_INVALID"), (F.col("duplicate_count") > 0, "LABELS_DUPLICATE"), (F.col("item_duplicate_count") > 0, "ITEMS_DUPLICATE"), (F.col("missing_count") > 0, "LABELS_MISSING"), (F.col("extra_count") > 0, "LABELS_EXTRA"), (F.col("moved_count") > 0, "LABELS_MISORDERED"))
+    code = S.any_code(
+        (F.col("label_count") == 0, "LABELS_EMPTY"),
+        (F.col("invalid_count") > 0, "LABELS_INVALID"),
+        (F.col("duplicate_count") > 0, "LABELS_DUPLICATE"),
+        (F.col("item_duplicate_count") > 0, "ITEMS_DUPLICATE"),
+        (F.col("missing_count") > 0, "LABELS_MISSING"),
+        (F.col("extra_count") > 0, "LABELS_EXTRA"),
+        (F.col("moved_count") > 0, "LABELS_MISORDERED")
+    )
     return both.withColumn("status_code", F.coalesce(code, F.lit("ok")))
 
 
@@ -53,7 +65,9 @@ def confusion(revealed: DataFrame) -> DataFrame:
         F.count_if(~true & ~said).alias("true_negative"), F.count_if(~true & said).alias("false_positive"),
         F.count_if(F.col("score_status") == "failed").alias("score_failures"),
     )
-    out = out.withColumn("fpr", F.try_divide("false_positive", F.col("false_positive") + F.col("true_negative"))).withColumn("recall", F.try_divide("true_positive", F.col("true_positive") + F.col("false_negative")))
+    out = out.withColumn("fpr", F.try_divide("false_positive", F.col("false_positive") + F.col("true_negative"))).withColumn(
+        "recall", F.try_divide("true_positive", F.col("true_positive") + F.col("false_negative"))
+    )
     support = (F.col("true_positive") + F.col("false_negative") > 0) & (F.col("true_negative") + F.col("false_positive") > 0)
     return out.withColumn("metrics_status", F.when(support, "ok").otherwise("METRICS_CLASS_SUPPORT_INVALID"))
 
@@ -61,7 +75,9 @@ def confusion(revealed: DataFrame) -> DataFrame:
 def ranking_quality(revealed: DataFrame) -> DataFrame:
     """AUROC with ties as half and average precision with tied scores as one step, from the distinct scores of each method. A method
     with a null score has neither: such a row has no place in the order."""
-    steps = revealed.groupBy("method", "score").agg(F.count_if(F.col("true_class") == "anomaly").alias("pos"), F.count_if(F.col("true_class") == "normal").alias("neg"))
+    steps = revealed.groupBy("method", "score").agg(
+        F.count_if(F.col("true_class") == "anomaly").alias("pos"), F.count_if(F.col("true_class") == "normal").alias("neg")
+    )
     r = running(steps, ["method"], "score", {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")}, descending=True)
     pos, neg = F.sum("pos"), F.sum("neg")
     auroc = F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2)) / (pos * neg)
@@ -72,11 +88,15 @@ def ranking_quality(revealed: DataFrame) -> DataFrame:
 
 def error_cases(revealed: DataFrame, most: int = 5) -> DataFrame:
     """The worst false positives (highest scores) and false negatives (lowest scores) of each method, ties by item."""
-    case = F.when((F.col("true_class") == "normal") & F.col("is_anomalous"), "false_positive").when((F.col("true_class") == "anomaly") & ~F.col("is_anomalous"), "false_negative")
+    case = F.when((F.col("true_class") == "normal") & F.col("is_anomalous"), "false_positive").when(
+        (F.col("true_class") == "anomaly") & ~F.col("is_anomalous"), "false_negative"
+    )
     signed = F.when(F.col("case_type") == "false_positive", -F.col("score")).otherwise(F.col("score"))
     order = Window.partitionBy("method", "case_type").orderBy("__sg_signed", "item")
     out = revealed.withColumn("case_type", case).where("case_type is not null").withColumn("__sg_signed", signed)
-    return out.withColumn("case_rank", F.row_number().over(order)).where(F.col("case_rank") <= most).withColumn("case_rank", F.col("case_rank").cast("long")).drop("__sg_signed")
+    return out.withColumn("case_rank", F.row_number().over(order)).where(F.col("case_rank") <= most).withColumn(
+        "case_rank", F.col("case_rank").cast("long")
+    ).drop("__sg_signed")
 
 
 def latency(observations: DataFrame, groups: list[str], expected: Column | None = None) -> DataFrame:
@@ -107,25 +127,46 @@ def metrics_with_latency(metrics: DataFrame, timed: DataFrame) -> DataFrame:
     """Metrics and latency of each method, with whether both are there and cover as many items: evidence_state is ok,
     metrics_missing, latency_missing or item_count. Both sides have method and item_count."""
     joined = null_safe_join(metrics, timed.withColumnRenamed("item_count", "timed_items"), ["method"], "full_outer")
-    state = F.when(F.col("item_count").isNull(), "metrics_missing").when(F.col("timed_items").isNull(), "latency_missing").when(F.col("item_count") != F.col("timed_items"), "item_count").otherwise("ok")
+    state = F.when(F.col("item_count").isNull(), "metrics_missing").when(F.col("timed_items").isNull(), "latency_missing").when(
+        F.col("item_count") != F.col("timed_items"), "item_count"
+    ).otherwise("ok")
     return joined.withColumn("evidence_state", state)
 
 
 #: Gate, measured column, comparison, limit column: rows of facts carry both columns.
 GATES = (
     (1, "normal_fpr", "fpr", "<=", 0.05), (2, "anomaly_recall", "recall", ">=", 0.90), (3, "cpu_p95", "p95_duration", "<=", 1.0),
-    (4, "normal_references", "reference_count", "<=", 20.0), (5, "no_anomaly_training", "anomaly_training_labels", "<=", 0.0), (6, "reproducible", "reproduced", ">=", 1.0),
+    (4, "normal_references", "reference_count", "<=", 20.0), (
+        5, "no_anomaly_training", "anomaly_training_labels", "<=", 0.0
+    ), (6, "reproducible", "reproduced", ">=", 1.0),
 )
 #: The eight gates of the later contract: fit and leakage come first, and exactly 20 references.
 EIGHT_GATES = (
-    (1, "method_fit", "fit_ok", ">=", 1.0), (2, "test_leakage", "leaked_items", "<=", 0.0), (3, "final_test_normal_fpr", "fpr", "<=", 0.05), (4, "final_test_anomaly_recall", "recall", ">=", 0.90),
-    (5, "cpu_p95_scoring_latency", "p95_duration", "<=", 1.0), (6, "normal_reference_count", "reference_count", "==", 20.0), (7, "anomaly_training_labels", "anomaly_training_labels", "<=", 0.0), (8, "reproducibility", "reproduced", ">=", 1.0),
+    (1, "method_fit", "fit_ok", ">=", 1.0), (2, "test_leakage", "leaked_items", "<=", 0.0), (
+        3, "final_test_normal_fpr", "fpr", "<=", 0.05
+    ), (
+        4, "final_test_anomaly_recall", "recall", ">=", 0.90
+    ),
+    (5, "cpu_p95_scoring_latency", "p95_duration", "<=", 1.0), (6, "normal_reference_count", "reference_count", "==", 20.0), (
+        7, "anomaly_training_labels", "anomaly_training_labels", "<=", 0.0
+    ), (8, "reproducibility", "reproduced", ">=", 1.0),
 )
 
 
 def gates(facts: DataFrame, rules=GATES) -> DataFrame:
     """One row for each method and gate: measured, limit, passed. Every gate is evaluated; a missing fact fails it."""
-    rows = F.array(*(F.struct(F.lit(i).alias("gate_order"), F.lit(n).alias("gate"), F.col(c).cast("double").alias("measured"), F.lit(op).alias("comparison"), F.lit(float(limit)).alias("gate_limit")) for i, n, c, op, limit in rules))
+    rows = F.array(
+        *(
+            F.struct(
+                F.lit(i).alias("gate_order"),
+                F.lit(n).alias("gate"),
+                F.col(c).cast("double").alias("measured"),
+                F.lit(op).alias("comparison"),
+                F.lit(float(limit)).alias("gate_limit")
+            )
+            for i, n, c, op, limit in rules
+        )
+    )
     out = facts.select("method", F.inline(rows))
     measured, limit = F.col("measured"), F.col("gate_limit")
     passed = F.when(F.col("comparison") == "<=", measured <= limit).when(F.col("comparison") == "==", measured == limit).otherwise(measured >= limit)
@@ -146,7 +187,10 @@ def decide(gated: DataFrame, evidence: DataFrame) -> DataFrame:
     It is valid if the three facts are known, a condition stands where a guardrail is asked for and nowhere else, and condition and
     rationale are trimmed texts of at most 500 characters. A method without valid evidence is rejected, whatever it measured; a
     condition is handed on only with the decision that carries it."""
-    summary = gated.groupBy("method").agg(F.bool_and("passed").alias("all_passed"), F.min(F.when(~F.col("passed"), F.struct("gate_order", "gate")))["gate"].alias("first_failed_gate"))
+    summary = gated.groupBy("method").agg(
+        F.bool_and("passed").alias("all_passed"),
+        F.min(F.when(~F.col("passed"), F.struct("gate_order", "gate")))["gate"].alias("first_failed_gate")
+    )
     known = F.col("leakage").isNotNull() & F.col("contradicted").isNotNull() & F.col("guardrail").isNotNull()
     valid = known & F.when(F.col("guardrail"), S.short_text(F.col("condition"))).otherwise(F.col("condition").isNull())
     if "rationale" in evidence.columns:
@@ -155,8 +199,12 @@ def decide(gated: DataFrame, evidence: DataFrame) -> DataFrame:
         (~F.col("evidence_valid"), "evidence_invalid"), (~F.coalesce(F.col("all_passed"), F.lit(False)), "gate_failed"), (F.col("leakage"), "leakage"),
         (F.col("contradicted"), "contradicted"), (F.col("guardrail"), "guardrail"), (F.lit(True), "all_passed"),
     )
-    joined = null_safe_join(summary, F.broadcast(evidence), ["method"], "left").withColumn("evidence_valid", F.coalesce(valid, F.lit(False))).withColumn("decision_reason", reason)
-    decision = F.when(F.col("decision_reason") == "all_passed", "ADOPT").when(F.col("decision_reason") == "guardrail", "ADOPT WITH CONDITIONS").otherwise("REJECT")
+    joined = null_safe_join(
+        summary, F.broadcast(evidence), ["method"], "left"
+    ).withColumn("evidence_valid", F.coalesce(valid, F.lit(False))).withColumn("decision_reason", reason)
+    decision = F.when(F.col("decision_reason") == "all_passed", "ADOPT").when(
+        F.col("decision_reason") == "guardrail", "ADOPT WITH CONDITIONS"
+    ).otherwise("REJECT")
     return joined.withColumn("decision", decision).withColumn("condition", F.when(F.col("decision_reason") == "guardrail", F.col("condition")))
 
 
@@ -173,7 +221,9 @@ def select_method(candidates: DataFrame) -> DataFrame:
     order = Window.orderBy("__sg_rank", F.desc("recall"), "fpr", "p95_duration", "median_duration", "complexity", "method")
     best = F.min("__sg_rank").over(Window.partitionBy())
     out = candidates.withColumn("__sg_rank", rank)
-    return out.withColumn("preference", F.row_number().over(order).cast("long")).withColumn("project_decision", F.when(best == 2, "REJECT").otherwise(F.first("decision").over(order))).drop("__sg_rank")
+    return out.withColumn("preference", F.row_number().over(order).cast("long")).withColumn(
+        "project_decision", F.when(best == 2, "REJECT").otherwise(F.first("decision").over(order))
+    ).drop("__sg_rank")
 
 
 def prefer(candidates: DataFrame, group: str, preference: list) -> DataFrame:

@@ -82,4 +82,6 @@ def extract_features(items: DataFrame, item: str, value: str, extractor: Callabl
                     out.append((None, f"EXTRACTOR_ERROR:{type(problem).__name__}"))
             yield pd.DataFrame({item: batch[item], name: [o[0] for o in out], "failure_code": [o[1] for o in out]})
 
-    return items.select(item, value).mapInPandas(run, T.StructType([own, T.StructField(name, T.ArrayType(T.DoubleType())), T.StructField("failure_code", T.StringType())]))
+    return items.select(item, value).mapInPandas(
+        run, T.StructType([own, T.StructField(name, T.ArrayType(T.DoubleType())), T.StructField("failure_code", T.StringType())])
+    )

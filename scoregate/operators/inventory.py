@@ -24,7 +24,11 @@ def reconcile(expected: DataFrame, observed: DataFrame, key: str, facts: list[st
     Keys are unique on each side."""
     a = expected.select(key, F.struct(*facts).alias("__sg_a"))
     b = observed.select(key, F.struct(*facts).alias("__sg_b"))
-    kind = S.any_code((F.col("__sg_b").isNull(), "missing"), (F.col("__sg_a").isNull(), "extra"), *((~F.col(f"__sg_a.{f}").eqNullSafe(F.col(f"__sg_b.{f}")), f) for f in facts))
+    kind = S.any_code(
+        (F.col("__sg_b").isNull(), "missing"),
+        (F.col("__sg_a").isNull(), "extra"),
+        *((~F.col(f"__sg_a.{f}").eqNullSafe(F.col(f"__sg_b.{f}")), f) for f in facts)
+    )
     return null_safe_join(a, b, [key], "full_outer").select(key, kind.alias("diff_kind")).where("diff_kind is not null")
 
 
@@ -41,7 +45,10 @@ def evidence(expected: DataFrame, observed: DataFrame, key: str, facts: list[str
 def lineage_intact(recorded: DataFrame, observed: DataFrame, key: str, digest: str) -> DataFrame:
     """One row: how many recorded digests are there and whether every one equals the observed one."""
     checked = evidence(recorded.select(key, digest), observed, key, [digest])
-    return checked.agg(F.count(F.lit(1)).alias("input_count"), F.coalesce(F.bool_and(F.col("verification") == "verified"), F.lit(False)).alias("lineage_intact"))
+    return checked.agg(
+        F.count(F.lit(1)).alias("input_count"),
+        F.coalesce(F.bool_and(F.col("verification") == "verified"), F.lit(False)).alias("lineage_intact")
+    )
 
 
 def lineage_by(recorded: DataFrame, observed: DataFrame, key: str, digest: str, groups: list[str]) -> DataFrame:
@@ -58,12 +65,19 @@ def split_counts(rows: DataFrame, by: list[str], kind: str) -> DataFrame:
 def case_clashes(rows: DataFrame, name: str) -> DataFrame:
     """Names that differ in case alone: folded, and how many spellings share it. `STRASSE` is `straße` and a final sigma is a sigma, while
     accents tell names apart."""
-    return rows.where(F.col(name).isNotNull()).groupBy(S.folded(F.col(name)).alias("folded")).agg(F.count_distinct(name).alias("name_count")).where("name_count > 1")
+    return rows.where(F.col(name).isNotNull()).groupBy(S.folded(F.col(name)).alias("folded")).agg(
+        F.count_distinct(name).alias("name_count")
+    ).where("name_count > 1")
 
 
 def state_presence(fits: DataFrame, states: DataFrame, key: str, digest: str) -> DataFrame:
     """Where fit status and stored state disagree: a good fit without the state of its digest, a failed one with a state, a stray."""
-    joined = null_safe_join(fits.select(key, "fit_status", F.col(digest).alias("__sg_want")), states.select(key, F.col(digest).alias("__sg_got"), F.lit(True).alias("__sg_stored")), [key], "full_outer")
+    joined = null_safe_join(
+        fits.select(key, "fit_status", F.col(digest).alias("__sg_want")),
+        states.select(key, F.col(digest).alias("__sg_got"), F.lit(True).alias("__sg_stored")),
+        [key],
+        "full_outer"
+    )
     rule = S.any_code(
         (F.col("fit_status").isNull(), "stray_state"),
         ((F.col("fit_status") == "ok") & F.col("__sg_stored").isNull(), "state_missing"),
@@ -141,7 +155,11 @@ def totals(items: DataFrame, prefix: Column, size: str) -> DataFrame:
 def array_inventory(arrays: DataFrame, kind: str, values: str) -> DataFrame:
     """Arrays by kind: count, elements, bytes of 32-bit elements, and whether all elements are finite."""
     ok = F.forall(values, lambda x: x.isNotNull() & S.finite(x.cast("double")))
-    out = arrays.groupBy(kind).agg(F.count(F.lit(1)).alias("array_count"), F.sum(F.size(values)).cast("long").alias("element_count"), F.bool_and(ok).alias("all_finite"))
+    out = arrays.groupBy(kind).agg(
+        F.count(F.lit(1)).alias("array_count"),
+        F.sum(F.size(values)).cast("long").alias("element_count"),
+        F.bool_and(ok).alias("all_finite")
+    )
     return out.withColumn("byte_count", F.col("element_count") * 4)
 
 
@@ -158,7 +176,9 @@ def path_kind(path: Column) -> Column:
 
 def missing_nodes(roots: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Roots and ends of edges that the table of nodes doesn't have: (node, role), role being root, src or dst."""
-    asked = roots.select("node", F.lit("root").alias("role")).unionByName(edges.select(F.col("src").alias("node"), F.lit("src").alias("role"))).unionByName(edges.select(F.col("dst").alias("node"), F.lit("dst").alias("role")))
+    asked = roots.select("node", F.lit("root").alias("role")).unionByName(
+        edges.select(F.col("src").alias("node"), F.lit("src").alias("role"))
+    ).unionByName(edges.select(F.col("dst").alias("node"), F.lit("dst").alias("role")))
     return null_safe_join(asked.distinct(), nodes.select("node").distinct(), ["node"], "left_anti")
 
 
@@ -183,4 +203,9 @@ def roles(nodes: DataFrame, runtime: DataFrame, development: DataFrame) -> DataF
     """Each node's role: runtime if reachable from the runtime roots, else development, else orphan."""
     r = runtime.select("node", F.lit(True).alias("__sg_r"))
     d = development.select("node", F.lit(True).alias("__sg_d"))
-    return null_safe_join(null_safe_join(nodes.select("node"), r, ["node"], "left"), d, ["node"], "left").select("node", F.when(F.col("__sg_r").isNotNull(), "runtime").when(F.col("__sg_d").isNotNull(), "development").otherwise("orphan").alias("role"))
+    return null_safe_join(null_safe_join(nodes.select("node"), r, ["node"], "left"), d, ["node"], "left").select(
+        "node",
+        F.when(F.col("__sg_r").isNotNull(), "runtime").when(
+            F.col("__sg_d").isNotNull(), "development"
+        ).otherwise("orphan").alias("role")
+    )

@@ -15,7 +15,9 @@ from scoregate.sources.stages import staged
 def seeded_partitions(rows: DataFrame, namespace: str, seed: int, references: int, group: str, path: str) -> DataFrame:
     """Rows ranked in each group by (SHA-256 of namespace:seed:path, path): the first `references` are the reference
     partition and the rest calibration, ranks going on. Adds record_id, selection_sha256, selection_rank, partition."""
-    hashed = rows.withColumn("selection_sha256", S.selection_digest(namespace, seed, F.col(path))).withColumn("record_id", S.record_id(F.col(group), F.col(path)))
+    hashed = rows.withColumn(
+        "selection_sha256", S.selection_digest(namespace, seed, F.col(path))
+    ).withColumn("record_id", S.record_id(F.col(group), F.col(path)))
     ranked = numbered(hashed, [group], "selection_sha256", [path])
     return ranked.withColumn("partition", F.when(F.col("selection_rank") <= references, "reference").otherwise("calibration"))
 

@@ -116,7 +116,10 @@ def _pieces(bank: DataFrame) -> tuple[int, Iterator[Piece]]:
                 away = chord(x, shared.value)
                 near = away.argmin(1)
                 vectors = pa.ListArray.from_arrays(np.arange(0, x.size + 1, longest, np.int32), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), pa.array(away[np.arange(len(x)), near]), vectors], names=["pivot", "radius", "vector"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(near.astype(np.int32)), pa.array(away[np.arange(len(x)), near]), vectors],
+                    names=["pivot", "radius", "vector"]
+                )
 
     placed = staged(bank.select("patch").mapInArrow(put, "pivot int, radius double, vector array<double>"))
     sizes = {r["pivot"]: r["count"] for r in placed.groupBy("pivot").count().collect()}  # a row for each pivot
@@ -134,12 +137,19 @@ def _pieces(bank: DataFrame) -> tuple[int, Iterator[Piece]]:
         for group in groups:
             wanted = F.lit(False)
             for pivot, k, parts in group:
-                wanted = wanted | ((F.col("pivot") == pivot) & (F.pmod(F.xxhash64("vector"), F.lit(parts)) == k)) if parts > 1 else wanted | (F.col("pivot") == pivot)
+                wanted = wanted | (
+                    (F.col("pivot") == pivot) & (F.pmod(F.xxhash64("vector"), F.lit(parts)) == k)
+                ) if parts > 1 else wanted | (F.col("pivot") == pivot)
             table = placed.where(wanted).toArrow().sort_by([("pivot", "ascending"), ("radius", "ascending")])
             if table.num_rows:
                 own = table["pivot"].to_numpy()
                 found, begin = np.unique(own, return_index=True)
-                yield Piece(table["vector"].combine_chunks().flatten().to_numpy().reshape(-1, longest), table["radius"].to_numpy(), pivots[found], np.append(begin, len(own)))
+                yield Piece(
+                    table["vector"].combine_chunks().flatten().to_numpy().reshape(-1, longest),
+                    table["radius"].to_numpy(),
+                    pivots[found],
+                    np.append(begin, len(own))
+                )
 
     return longest, each()
 
@@ -151,7 +161,13 @@ def nearest_in_bank(queries: DataFrame, item: str, reference: DataFrame) -> Data
     width, pieces = _pieces(bank)
     kind = queries.schema[item].dataType.simpleString()
     schema = f"{item} {kind}, position int, patch array<double>, __sg_best double, compared long"
-    asked = queries.select(item, F.col("position").cast("int").alias("position"), F.col("patch").cast("array<double>").alias("patch"), F.lit(float("inf")).alias("__sg_best"), F.lit(0).cast("long").alias("compared"))
+    asked = queries.select(
+        item,
+        F.col("position").cast("int").alias("position"),
+        F.col("patch").cast("array<double>").alias("patch"),
+        F.lit(float("inf")).alias("__sg_best"),
+        F.lit(0).cast("long").alias("compared")
+    )
     for piece in pieces:
         shared = queries.sparkSession.sparkContext.broadcast(piece)
         asked = staged(asked.mapInArrow(_step(shared, width), schema))
@@ -159,7 +175,12 @@ def nearest_in_bank(queries: DataFrame, item: str, reference: DataFrame) -> Data
     # Zero vectors stand at no angle to any: their distance is 1, and theirs to all is.
     nothing = lambda c: (F.size(c) == width) & F.forall(c, lambda x: x == 0)
     some, zero = (not bank.where(F.size("patch") == width).where(c).isEmpty() for c in (F.lit(True), nothing("patch")))
-    asked = asked.withColumn("__sg_best", F.when(F.lit(some) & nothing("patch"), F.sqrt(F.lit(2.0))).when(F.lit(zero) & (F.size("patch") == width), F.least("__sg_best", F.sqrt(F.lit(2.0)))).otherwise(F.col("__sg_best")))
+    asked = asked.withColumn(
+        "__sg_best",
+        F.when(F.lit(some) & nothing("patch"), F.sqrt(F.lit(2.0))).when(
+            F.lit(zero) & (F.size("patch") == width), F.least("__sg_best", F.sqrt(F.lit(2.0)))
+        ).otherwise(F.col("__sg_best"))
+    )
     distance = F.when(F.col("__sg_best") < float("inf"), F.least(F.greatest(F.col("__sg_best") * F.col("__sg_best") / 2, F.lit(0.0)), F.lit(2.0)))
     return asked.select(item, "position", distance.alias("distance"), "compared")
 

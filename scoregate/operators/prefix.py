@@ -54,7 +54,9 @@ def ranged(df: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
     every = F.transform(F.sequence(F.lit(1), F.lit(RANGES - 1)), lambda i: F.get(_CUTS, F.floor(i * F.size(_CUTS) / RANGES).cast("int")))
     cuts = found.select(*groups, F.array_distinct(every).alias(_CUTS))
     below = F.size(F.filter(F.col(_CUTS), lambda c: c < key))
-    return null_safe_join(df, F.broadcast(cuts), groups, "left").withColumn(_RANGE, F.when(F.col(order[0]).isNull(), -1).when(F.col(_CUTS).isNull(), 0).otherwise(below)).drop(_CUTS)
+    return null_safe_join(df, F.broadcast(cuts), groups, "left").withColumn(
+        _RANGE, F.when(F.col(order[0]).isNull(), -1).when(F.col(_CUTS).isNull(), 0).otherwise(below)
+    ).drop(_CUTS)
 
 
 def running(df: DataFrame, groups: list[str], value: str, sums: dict[str, Column], descending: bool = False, ties: list[str] | None = None) -> DataFrame:
@@ -85,7 +87,9 @@ def at_ranks(df: DataFrame, groups: list[str], value: str, ranks: dict[str, Colu
     upto, whole = F.sum(_PLACE).over(Window.partitionBy(*groups).orderBy(_RANGE)), F.sum(_PLACE).over(Window.partitionBy(*groups))
     placed = sizes.withColumn(_BEFORE, upto - F.col(_PLACE)).withColumn(_COUNT, whole)
     named = F.array(*(F.struct(F.lit(n).alias("rank_name"), r.cast("long").alias("__sg_rank")) for n, r in ranks.items()))
-    wanted = placed.select(*groups, _RANGE, _BEFORE, _COUNT, _PLACE, F.inline(named)).where(f"{_BEFORE} < __sg_rank and __sg_rank <= {_BEFORE} + {_PLACE}").drop(_PLACE)
+    wanted = placed.select(*groups, _RANGE, _BEFORE, _COUNT, _PLACE, F.inline(named)).where(
+        f"{_BEFORE} < __sg_rank and __sg_rank <= {_BEFORE} + {_PLACE}"
+    ).drop(_PLACE)
     wanted = wanted.groupBy(*groups, _RANGE, _BEFORE, _COUNT).agg(F.collect_list(F.struct("rank_name", "__sg_rank")).alias("__sg_asked"))
     inside = Window.partitionBy(*groups, _RANGE).orderBy(value, *ties, _ROW)
     ranked = null_safe_join(cut, F.broadcast(wanted), [*groups, _RANGE]).withColumn("__sg_at", F.col(_BEFORE) + F.row_number().over(inside))
@@ -96,7 +100,9 @@ def at_ranks(df: DataFrame, groups: list[str], value: str, ranks: dict[str, Colu
 def median_and_more(df: DataFrame, groups: list[str], value: str, quantiles: dict[str, float] | None = None, median: str = "median") -> DataFrame:
     """groups, the exact median and nearest-rank quantiles of a value, {name: quantile}; null values are left out."""
     n = F.col(_COUNT)
-    ranks = {"__sg_low": F.floor((n + 1) / 2), "__sg_high": F.floor(n / 2) + 1} | {name: F.ceil(F.lit(float(q)) * n.cast("double")) for name, q in (quantiles or {}).items()}
+    ranks = {"__sg_low": F.floor((n + 1) / 2), "__sg_high": F.floor(n / 2) + 1} | {
+        name: F.ceil(F.lit(float(q)) * n.cast("double")) for name, q in (quantiles or {}).items()
+    }
     found = at_ranks(df, groups, value, ranks)
     pick = lambda name: F.max(F.when(F.col("rank_name") == name, F.col(value)))
     middle = (pick("__sg_low").cast("double") + pick("__sg_high").cast("double")) / 2

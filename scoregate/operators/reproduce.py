@@ -44,14 +44,18 @@ def reproduction_summary(comparison: DataFrame) -> DataFrame:
     """Compared, absent and extra items, largest difference and whether all are within tolerance, by method."""
     state = F.col("pair_state")
     return comparison.groupBy("method").agg(
-        F.count_if(state.isin("compared", "moved")).alias("compared_count"), F.count_if(state == "absent").alias("absent_count"), F.count_if(state == "extra").alias("extra_count"),
+        F.count_if(
+            state.isin("compared", "moved")
+        ).alias("compared_count"), F.count_if(state == "absent").alias("absent_count"), F.count_if(state == "extra").alias("extra_count"),
         F.max("absolute_difference").alias("max_difference"), F.bool_and("within_tolerance").alias("reproduced"),
     )
 
 
 def first_items(scores: DataFrame, n: int = 10) -> DataFrame:
     """The first n items of each method by id."""
-    return scores.withColumn("item_order", F.row_number().over(Window.partitionBy("method").orderBy("item"))).where(F.col("item_order") <= n).withColumn("item_order", F.col("item_order").cast("long"))
+    return scores.withColumn(
+        "item_order", F.row_number().over(Window.partitionBy("method").orderBy("item"))
+    ).where(F.col("item_order") <= n).withColumn("item_order", F.col("item_order").cast("long"))
 
 
 #: Ranges of hashes in which two tables are compared before any of their rows are.
@@ -72,7 +76,12 @@ def only_differing(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, Da
     columns = a.columns
     left, right = (_ranged(df.select(*columns), columns) for df in (a, b))
     wide = lambda c: F.sum(F.col(c).cast("decimal(20,0)"))
-    sums = [df.groupBy("__sg_range").agg(F.count(F.lit(1)).alias(f"n{k}"), wide("__sg_h").alias(f"h{k}"), wide("__sg_g").alias(f"g{k}")) for k, df in enumerate((left, right))]
+    sums = [
+        df.groupBy("__sg_range").agg(
+            F.count(F.lit(1)).alias(f"n{k}"), wide("__sg_h").alias(f"h{k}"), wide("__sg_g").alias(f"g{k}")
+        )
+        for k, df in enumerate((left, right))
+    ]
     both = sums[0].join(sums[1], "__sg_range", "full_outer")
     same = F.col("n0").eqNullSafe(F.col("n1")) & F.col("h0").eqNullSafe(F.col("h1")) & F.col("g0").eqNullSafe(F.col("g1"))
     moved = staged(both.where(~same).select("__sg_range"))
@@ -86,7 +95,9 @@ def recomputed_violations(stored: DataFrame, fresh: DataFrame, table: str) -> Da
     text = F.to_json(F.struct(*sorted(stored.columns)), {"ignoreNullFields": "false"})
     stored, fresh, _ = only_differing(stored, fresh)
     gone, new = stored.exceptAll(fresh), fresh.exceptAll(stored)
-    return gone.select(F.lit(table).alias("table_name"), F.lit("stored_only").alias("side"), text.alias("row_json")).unionByName(new.select(F.lit(table).alias("table_name"), F.lit("fresh_only").alias("side"), text.alias("row_json")))
+    return gone.select(F.lit(table).alias("table_name"), F.lit("stored_only").alias("side"), text.alias("row_json")).unionByName(
+        new.select(F.lit(table).alias("table_name"), F.lit("fresh_only").alias("side"), text.alias("row_json"))
+    )
 
 
 def recomputed_all(stored: dict[str, DataFrame], fresh: dict[str, DataFrame]) -> DataFrame:
@@ -96,7 +107,14 @@ def recomputed_all(stored: dict[str, DataFrame], fresh: dict[str, DataFrame]) ->
     return reduce(DataFrame.unionByName, [recomputed_violations(stored[t], fresh[t], t) for t in stored])
 
 
-def evaluation_tables(calibration: DataFrame, scores: DataFrame, labels: DataFrame, quantile: float = 0.95, facts: DataFrame | None = None, evidence: DataFrame | None = None) -> dict[str, DataFrame]:
+def evaluation_tables(
+    calibration: DataFrame,
+    scores: DataFrame,
+    labels: DataFrame,
+    quantile: float = 0.95,
+    facts: DataFrame | None = None,
+    evidence: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """Every table of an evaluation worked out from its scores and labels: thresholds, classes, reveal, metrics, cases, decision.
 
     facts: p95_duration, reference_count, anomaly_training_labels and reproduced of each method; evidence: as evaluation.decide has it.
@@ -107,16 +125,34 @@ def evaluation_tables(calibration: DataFrame, scores: DataFrame, labels: DataFra
     metrics = staged(ev.confusion(shown))
     asked = ("p95_duration", "reference_count", "anomaly_training_labels", "reproduced")
     own = metrics.select("method", "fpr", "recall")
-    measured = null_safe_join(own, facts.select("method", *asked), ["method"], "left") if facts is not None else own.withColumns({c: F.lit(None).cast("double") for c in asked})
+    measured = null_safe_join(
+        own, facts.select("method", *asked), ["method"], "left"
+    ) if facts is not None else own.withColumns({c: F.lit(None).cast("double") for c in asked})
     if evidence is None:
-        evidence = metrics.select("method", *(F.lit(False).alias(c) for c in ("leakage", "contradicted", "guardrail")), F.lit(None).cast("string").alias("condition"))
-    return {"thresholds": cuts, "classes": classes, "reveal": shown, "metrics": metrics, "cases": staged(ev.error_cases(shown)), "decision": staged(ev.decide(ev.gates(measured), evidence))}
+        evidence = metrics.select(
+            "method",
+            *(F.lit(False).alias(c) for c in ("leakage", "contradicted", "guardrail")),
+            F.lit(None).cast("string").alias("condition")
+        )
+    return {
+        "thresholds": cuts,
+        "classes": classes,
+        "reveal": shown,
+        "metrics": metrics,
+        "cases": staged(ev.error_cases(shown)),
+        "decision": staged(ev.decide(ev.gates(measured), evidence))
+    }
 
 
 def stage_facts(expected: DataFrame, observed: DataFrame) -> DataFrame:
     """One row for stage_guard: rows of both sides and whether their contents have one digest, whatever their order."""
-    a, b = (content_digest(df, []).select(F.coalesce("line_count", F.lit(0)).alias("n"), F.coalesce("digest", F.lit("")).alias("d")) for df in (expected, observed))
-    both = a.select(F.col("n").alias("expected_count"), F.col("d").alias("__sg_a")).join(b.select(F.col("n").alias("observed_count"), F.col("d").alias("__sg_b")), F.lit(True))
+    a, b = (
+        content_digest(df, []).select(F.coalesce("line_count", F.lit(0)).alias("n"), F.coalesce("digest", F.lit("")).alias("d"))
+        for df in (expected, observed)
+    )
+    both = a.select(F.col("n").alias("expected_count"), F.col("d").alias("__sg_a")).join(
+        b.select(F.col("n").alias("observed_count"), F.col("d").alias("__sg_b")), F.lit(True)
+    )
     return both.select("expected_count", "observed_count", (F.col("__sg_a") == F.col("__sg_b")).alias("digests_agree"))
 
 
@@ -129,13 +165,26 @@ def label_free_summary(scores: DataFrame, classified: DataFrame, passes: DataFra
     agrees = lambda p: (F.col("score_status") == F.col(f"{p}score_status")) & F.col("failure_code").eqNullSafe(F.col(f"{p}failure_code"))
     same = F.coalesce((F.col("score") == F.col("__sg_c_score")) & agrees("__sg_c_"), F.lit(False))
     one = decided.groupBy("method").agg(
-        F.count("__sg_own").alias("item_count"), F.count_if(F.col("score_status") == "ok").alias("ok_count"), F.count_if(F.col("score_status") == "failed").alias("failed_count"),
-        F.count_if("is_anomalous").alias("anomalous_count"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.bool_and(same).alias("classification_agrees"),
+        F.count("__sg_own").alias("item_count"), F.count_if(F.col("score_status") == "ok").alias("ok_count"), F.count_if(
+            F.col("score_status") == "failed"
+        ).alias("failed_count"),
+        F.count_if("is_anomalous").alias("anomalous_count"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.bool_and(same).alias(
+            "classification_agrees"
+        ),
     )
-    timed = null_safe_join(states(passes, "__sg_p_", "duration"), scores.select("method", "item", "score", "score_status", "failure_code"), ["method", "item"], "left")
+    timed = null_safe_join(
+        states(passes, "__sg_p_", "duration"),
+        scores.select("method", "item", "score", "score_status", "failure_code"),
+        ["method", "item"],
+        "left"
+    )
     away = F.abs(F.col("score") - F.col("__sg_p_score"))
     stable = F.coalesce((away <= tolerance) & agrees("__sg_p_"), F.lit(False))
-    two = timed.groupBy("method").agg(F.count(F.lit(1)).alias("observation_count"), F.max(away).alias("max_pass_difference"), F.bool_and(stable).alias("passes_agree"))
+    two = timed.groupBy("method").agg(
+        F.count(F.lit(1)).alias("observation_count"),
+        F.max(away).alias("max_pass_difference"),
+        F.bool_and(stable).alias("passes_agree")
+    )
     three = median_and_more(passes, ["method"], "duration", median="median_duration")
     return null_safe_join(null_safe_join(one, two, ["method"], "full_outer"), three, ["method"], "left")
 
@@ -144,5 +193,9 @@ def stage_guard(stages: DataFrame) -> DataFrame:
     """Stages (stage_order, expected_count, observed_count, digests_agree): done, due or out of order; a stage with rows after one
     without ran too early."""
     gap = F.min(F.when(F.col("observed_count") == 0, F.col("stage_order"))).over(Window.partitionBy())
-    state = F.when((F.col("observed_count") > 0) & (F.col("stage_order") > gap), "ran_early").when(F.col("observed_count") == 0, "due").when((F.col("observed_count") != F.col("expected_count")) | ~F.col("digests_agree"), "disagrees").otherwise("done")
+    state = F.when(
+        (F.col("observed_count") > 0) & (F.col("stage_order") > gap), "ran_early"
+    ).when(F.col("observed_count") == 0, "due").when(
+        (F.col("observed_count") != F.col("expected_count")) | ~F.col("digests_agree"), "disagrees"
+    ).otherwise("done")
     return stages.withColumn("stage_state", state)

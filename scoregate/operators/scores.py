@@ -32,7 +32,9 @@ def with_failures(raw: DataFrame, rules: DataFrame, code: str = "SCORE_INVALID")
 def state_violations(scores: DataFrame, rules: DataFrame) -> DataFrame:
     """Rows whose status, code and score don't go together: method, item, rule."""
     ok, failed = F.col("score_status") == "ok", F.col("score_status") == "failed"
-    inside = F.when(F.col("inclusive"), F.col("score").between(F.col("low"), F.col("high"))).otherwise((F.col("score") > F.col("low")) & (F.col("score") < F.col("high")))
+    inside = F.when(
+        F.col("inclusive"), F.col("score").between(F.col("low"), F.col("high"))
+    ).otherwise((F.col("score") > F.col("low")) & (F.col("score") < F.col("high")))
     rule = S.any_code(
         (F.col("__sg_known").isNull(), "unknown_method"),
         (~S.finite(F.col("score")), "score_not_finite"),
@@ -51,7 +53,13 @@ def thresholds(scores: DataFrame, quantile: float = 0.95) -> DataFrame:
     have no rank and don't count: failures must carry their failure score. Only the range that holds the rank is ordered."""
     rank = F.ceil(F.lit(float(quantile)) * F.col("__sg_count").cast("double"))
     row = at_ranks(scores, ["method"], "score", {"threshold": rank}, ["item"], ["item"])
-    return row.select("method", F.col("__sg_count").alias("item_count"), F.col("rank").alias("threshold_rank"), F.col("score").alias("threshold"), F.col("item").alias("threshold_item"))
+    return row.select(
+        "method",
+        F.col("__sg_count").alias("item_count"),
+        F.col("rank").alias("threshold_rank"),
+        F.col("score").alias("threshold"),
+        F.col("item").alias("threshold_item")
+    )
 
 
 def verdicts() -> dict[str, Column]:
@@ -61,7 +69,9 @@ def verdicts() -> dict[str, Column]:
     return {
         "is_anomalous": said,
         "predicted_class": F.when(said, "anomaly").otherwise("normal"),
-        "decision_reason": F.when(failed, "score_failed").when(F.col("threshold").isNull(), "threshold_missing").when(above, "above_threshold").when(said, "score_missing").otherwise("within_threshold"),
+        "decision_reason": F.when(failed, "score_failed").when(
+            F.col("threshold").isNull(), "threshold_missing"
+        ).when(above, "above_threshold").when(said, "score_missing").otherwise("within_threshold"),
         "score_margin": F.col("score") - F.col("threshold"),
     }
 
@@ -73,7 +83,11 @@ def classify(scores: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def realized_rate(classified: DataFrame) -> DataFrame:
     """Share of calibration rows that the threshold calls anomalous, failed ones included."""
-    return classified.groupBy("method").agg(F.count(F.lit(1)).alias("item_count"), F.count_if("is_anomalous").alias("above_count"), (F.count_if("is_anomalous") / F.count(F.lit(1))).alias("realized_rate"))
+    return classified.groupBy("method").agg(
+        F.count(F.lit(1)).alias("item_count"),
+        F.count_if("is_anomalous").alias("above_count"),
+        (F.count_if("is_anomalous") / F.count(F.lit(1))).alias("realized_rate")
+    )
 
 
 def class_counts(classified: DataFrame) -> DataFrame:
@@ -84,12 +98,20 @@ def class_counts(classified: DataFrame) -> DataFrame:
         F.count_if(F.col("predicted_class") == "anomaly").alias("anomalous_count"),
         F.count_if(F.col("score_status") == "failed").alias("failed_count"),
     )
-    return out.withColumn("sums_agree", (F.col("normal_count") + F.col("anomalous_count") == F.col("item_count")) & (F.col("failed_count") <= F.col("anomalous_count")))
+    return out.withColumn(
+        "sums_agree",
+        (
+            F.col("normal_count") + F.col("anomalous_count") == F.col("item_count")
+        ) & (F.col("failed_count") <= F.col("anomalous_count"))
+    )
 
 
 def fit_summary(fits: DataFrame, least: int) -> DataFrame:
     """Successes and failures of each method's fit; too few successes fail it."""
-    out = fits.groupBy("method").agg(F.count_if(F.col("score_status") == "ok").alias("success_count"), F.count_if(F.col("score_status") == "failed").alias("failure_count"))
+    out = fits.groupBy("method").agg(
+        F.count_if(F.col("score_status") == "ok").alias("success_count"),
+        F.count_if(F.col("score_status") == "failed").alias("failure_count")
+    )
     return out.withColumn("fit_status", F.when(F.col("success_count") < least, "fit_failed").otherwise("ok"))
 
 

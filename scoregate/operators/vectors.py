@@ -28,7 +28,9 @@ BROADCAST_ROWS, BLOCK = 4096, 2048
 def patches(items: DataFrame, item: str, vector: str, size: int) -> DataFrame:
     """Consecutive pieces of each vector: item, position (from 0), patch."""
     kind = items.schema[vector].dataType.simpleString()
-    at = F.when((F.size(vector) >= size) & (F.size(vector) % size == 0), F.sequence(F.lit(0), (F.size(vector) / size).cast("int") - 1)).otherwise(F.array(F.lit(-1)))
+    at = F.when(
+        (F.size(vector) >= size) & (F.size(vector) % size == 0), F.sequence(F.lit(0), (F.size(vector) / size).cast("int") - 1)
+    ).otherwise(F.array(F.lit(-1)))
     placed = items.select(item, F.col(vector).alias("__sg_v"), F.explode(at).alias("position"))
     return placed.select(item, "position", F.when(F.col("position") >= 0, F.slice("__sg_v", F.col("position") * size + 1, size)).cast(kind).alias("patch"))
 
@@ -37,9 +39,21 @@ def tiles(items: DataFrame, item: str, vector: str, height: int, width: int, til
     """Row-major tiles of vectors read as height x width grids: item, tile_row, tile_col, tile (flat)."""
     rows, cols = (F.sequence(F.lit(0), F.lit(n - t), F.lit(s)) for n, t, s in zip((height, width), tile, stride, strict=True))
     held = items.select(item, F.col(vector).alias("__sg_v"), F.coalesce(F.size(vector) == height * width, F.lit(False)).alias("__sg_ok"))
-    at = held.where("__sg_ok").select(item, "__sg_v", F.posexplode(rows).alias("tile_row", "__sg_r")).select("*", F.posexplode(cols).alias("tile_col", "__sg_c"))
-    cut = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(tile[0] - 1)), lambda k: F.slice("__sg_v", (F.col("__sg_r") + k) * width + F.col("__sg_c") + 1, tile[1])))
-    wrong = held.where("not __sg_ok").select(item, F.lit(-1).alias("tile_row"), F.lit(-1).alias("tile_col"), F.lit(None).cast(items.schema[vector].dataType).alias("tile"))
+    at = held.where("__sg_ok").select(
+        item, "__sg_v", F.posexplode(rows).alias("tile_row", "__sg_r")
+    ).select("*", F.posexplode(cols).alias("tile_col", "__sg_c"))
+    cut = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(tile[0] - 1)),
+            lambda k: F.slice("__sg_v", (F.col("__sg_r") + k) * width + F.col("__sg_c") + 1, tile[1])
+        )
+    )
+    wrong = held.where("not __sg_ok").select(
+        item,
+        F.lit(-1).alias("tile_row"),
+        F.lit(-1).alias("tile_col"),
+        F.lit(None).cast(items.schema[vector].dataType).alias("tile")
+    )
     return at.select(item, "tile_row", "tile_col", cut.alias("tile")).unionByName(wrong)
 
 
@@ -99,7 +113,9 @@ def nearest_distances(queries: DataFrame, item: str, reference: DataFrame, prote
 def top_patches(scored: DataFrame, item: str, value: str, k: int) -> DataFrame:
     """The k largest patches of each item, ties by position."""
     order = Window.partitionBy(item).orderBy(F.desc(value), "position")
-    return scored.withColumn("patch_rank", F.row_number().over(order)).where(F.col("patch_rank") <= k).withColumn("patch_rank", F.col("patch_rank").cast("long"))
+    return scored.withColumn("patch_rank", F.row_number().over(order)).where(F.col("patch_rank") <= k).withColumn(
+        "patch_rank", F.col("patch_rank").cast("long")
+    )
 
 
 def item_scores(distances: DataFrame, item: str, value: str, fraction: float, rounding: str) -> DataFrame:
@@ -120,7 +136,9 @@ def position_zscores(patched: DataFrame, item: str, scalers: DataFrame) -> DataF
     each position, not equal to one."""
     state = scalers.groupBy("position").agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "scale"))).alias("__sg_s"))
     z = F.zip_with(F.col("patch").cast("array<double>"), F.col("__sg_s"), lambda x, s: F.pow((x - s["mean"]) / s["scale"], 2))
-    return patched.join(F.broadcast(state), "position", "left").select(item, "position", (F.aggregate(z, F.lit(0.0), lambda a, v: a + v) / F.size("patch")).alias("distance"))
+    return patched.join(F.broadcast(state), "position", "left").select(
+        item, "position", (F.aggregate(z, F.lit(0.0), lambda a, v: a + v) / F.size("patch")).alias("distance")
+    )
 
 
 def median_template(reference: DataFrame, vector: str, support: float = 0.75) -> DataFrame:
@@ -133,7 +151,12 @@ def median_template(reference: DataFrame, vector: str, support: float = 0.75) ->
 
 def template_residuals(items: DataFrame, item: str, vector: str, template: DataFrame, fraction: float = 0.01, least_support: float = 0.95) -> DataFrame:
     """The mean of the largest share of absolute residuals from the median template, and a failure where too little is supported."""
-    state = template.agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "median", "supported"))), lambda s: F.struct(s["median"].alias("m"), s["supported"].alias("ok"))).alias("__sg_t"))
+    state = template.agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("dim", "median", "supported"))),
+            lambda s: F.struct(s["median"].alias("m"), s["supported"].alias("ok"))
+        ).alias("__sg_t")
+    )
     pairs = F.zip_with(F.col(vector).cast("array<double>"), F.col("__sg_t"), lambda x, t: F.when(t["ok"] & x.isNotNull(), F.abs(x - t["m"])))
     joined = items.join(F.broadcast(state), F.lit(True)).withColumn("__sg_r", F.array_compact(pairs))
     share = F.when(F.col(vector).isNotNull(), F.size("__sg_r") / F.size(F.filter("__sg_t", lambda t: t["ok"])))

@@ -27,16 +27,27 @@ RULES_SQL = "rules(method, low, high, inclusive, failure_score) AS (VALUES ('ban
 def raw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score of every document by every method, from its length; some are missing, as a scorer's failures are."""
     n = F.col("n_chars").cast("double")
-    scores = F.array(F.struct(F.lit("bank_nn").alias("method"), ((F.col("n_chars") % 2000) / F.lit(1000.0)).alias("score")), F.struct(F.lit("position_zscore").alias("method"), (n / F.lit(100.0)).alias("score")), F.struct(F.lit("template_residual").alias("method"), ((F.col("n_chars") % 997) / F.lit(997.0)).alias("score")))
+    scores = F.array(
+        F.struct(F.lit("bank_nn").alias("method"), ((F.col("n_chars") % 2000) / F.lit(1000.0)).alias("score")),
+        F.struct(F.lit("position_zscore").alias("method"), (n / F.lit(100.0)).alias("score")),
+        F.struct(F.lit("template_residual").alias("method"), ((F.col("n_chars") % 997) / F.lit(997.0)).alias("score"))
+    )
     out = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.inline(scores))
     lost = F.col("item") % 97 == 5
-    return out.select("method", "item", F.when(lost, "failed").otherwise("ok").alias("score_status"), F.when(lost & (F.col("item") % 2 == 0), "SCORER_ERROR").alias("failure_code"), F.when(~lost, F.col("score")).alias("score"))
+    return out.select(
+        "method",
+        "item",
+        F.when(lost, "failed").otherwise("ok").alias("score_status"),
+        F.when(lost & (F.col("item") % 2 == 0), "SCORER_ERROR").alias("failure_code"),
+        F.when(~lost, F.col("score")).alias("score")
+    )
 
 
 RAW_SQL = """raw AS (
   SELECT method, doc_id AS item, CASE WHEN doc_id % 97 = 5 THEN 'failed' ELSE 'ok' END AS score_status,
     CASE WHEN doc_id % 97 = 5 AND doc_id % 2 = 0 THEN 'SCORER_ERROR' END AS failure_code,
-    CASE WHEN doc_id % 97 <> 5 THEN CASE method WHEN 'bank_nn' THEN (n_chars % 2000) / 1000.0::DOUBLE WHEN 'position_zscore' THEN n_chars::DOUBLE / 100.0::DOUBLE ELSE (n_chars % 997) / 997.0::DOUBLE END END AS score
+    CASE WHEN doc_id % 97 <> 5 THEN CASE method WHEN 'bank_nn' THEN (n_chars % 2000) / 1000.0::DOUBLE
+    WHEN 'position_zscore' THEN n_chars::DOUBLE / 100.0::DOUBLE ELSE (n_chars % 997) / 997.0::DOUBLE END END AS score
   FROM documents, (VALUES ('bank_nn'), ('position_zscore'), ('template_residual')) m(method))"""
 
 
@@ -47,12 +58,15 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCORES_SQL = f"""{RULES_SQL}, {RAW_SQL},
-scores AS (SELECT method, item, score_status, CASE WHEN score IS NULL THEN coalesce(failure_code, 'SCORE_INVALID') END AS failure_code, coalesce(score, failure_score) AS score FROM raw JOIN rules USING (method))"""
+scores AS (SELECT method, item, score_status, CASE WHEN score IS NULL THEN coalesce(failure_code,
+    'SCORE_INVALID') END AS failure_code, coalesce(score, failure_score) AS score FROM raw JOIN rules USING (method))"""
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The true class of the documents that have a label."""
-    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item"), F.when(F.col("quality") == 0, "anomaly").otherwise("normal").alias("true_class"))
+    return table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("item"), F.when(F.col("quality") == 0, "anomaly").otherwise("normal").alias("true_class")
+    )
 
 
 LABELS_SQL = "truth AS (SELECT doc_id AS item, CASE WHEN quality = 0 THEN 'anomaly' ELSE 'normal' END AS true_class FROM labels)"
@@ -72,7 +86,8 @@ CALIBRATION_SQL = f"""{SCORES_SQL}, {LABELS_SQL},
 calibration AS (SELECT * FROM scores WHERE item NOT IN (SELECT item FROM truth)),
 final_test AS (SELECT * FROM scores WHERE item IN (SELECT item FROM truth)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score, item) AS r, count(*) OVER (PARTITION BY method) AS n FROM calibration),
-cuts AS (SELECT method, n AS item_count, r AS threshold_rank, score AS threshold, item AS threshold_item FROM ranked WHERE r = ceil(0.95::DOUBLE * n::DOUBLE))"""
+cuts AS (SELECT method, n AS item_count, r AS threshold_rank, score AS threshold, item AS threshold_item FROM ranked
+    WHERE r = ceil(0.95::DOUBLE * n::DOUBLE))"""
 
 CLASSIFIED_SQL = f"""{CALIBRATION_SQL},
 classified AS (
@@ -103,7 +118,14 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     order = Window.partitionBy("event_type", "user_id").orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events").withColumn("pass_index", F.row_number().over(order) - 1)
-    return e.select(F.col("event_type").alias("method"), F.col("user_id").alias("item"), "event_id", "pass_index", F.when(F.col("event_id") % 211 == 7, "failed").otherwise("ok").alias("score_status"), F.col("value").alias("duration"))
+    return e.select(
+        F.col("event_type").alias("method"),
+        F.col("user_id").alias("item"),
+        "event_id",
+        "pass_index",
+        F.when(F.col("event_id") % 211 == 7, "failed").otherwise("ok").alias("score_status"),
+        F.col("value").alias("duration")
+    )
 
 
 OBSERVATIONS_SQL = """observations AS (

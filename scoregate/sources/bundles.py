@@ -36,7 +36,15 @@ def write_bundle(tables: dict[str, DataFrame], path: str, staging: bool = True)
             df.write.mode("errorifexists").partitionBy("method").parquet(f"{held.toString()}/{name}")
             stored = spark.read.schema(df.schema).parquet(f"{held.toString()}/{name}")
             relative = F.concat(F.lit(f"{name}/method="), F.coalesce(F.col("method").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")))
-            manifests.append(content_digest(stored, ["method"]).select(F.lit(name).alias("artifact_type"), "method", relative.alias("relative_path"), F.col("digest").alias("sha256"), F.col("line_count").alias("record_count")))
+            manifests.append(
+                content_digest(stored, ["method"]).select(
+                    F.lit(name).alias("artifact_type"),
+                    "method",
+                    relative.alias("relative_path"),
+                    F.col("digest").alias("sha256"),
+                    F.col("line_count").alias("record_count")
+                )
+            )
         reduce(DataFrame.unionByName, manifests).orderBy("relative_path").write.mode("errorifexists").parquet(f"{held.toString()}/_bundle_manifest.parquet")
         if staging and not system.rename(held, target):
             raise FileExistsError(path)
@@ -107,9 +115,19 @@ def open_bundle(spark: SparkSession, path: str) -> tuple[int, str]:
 
 def bundle_violations(spark: SparkSession, path: str, schemas: dict) -> DataFrame:
     """Entries of a bundle's manifest whose stored rows have another digest or number, with the table's schema by name."""
-    found = [content_digest(spark.read.schema(schema).parquet(f"{path}/{name}"), ["method"]).select(F.lit(name).alias("artifact_type"), "method", F.col("digest").alias("__sg_digest"), F.col("line_count").alias("__sg_rows")) for name, schema in schemas.items()]
+    found = [
+        content_digest(spark.read.schema(schema).parquet(f"{path}/{name}"), ["method"]).select(
+            F.lit(name).alias("artifact_type"),
+            "method",
+            F.col("digest").alias("__sg_digest"),
+            F.col("line_count").alias("__sg_rows")
+        )
+        for name, schema in schemas.items()
+    ]
     both = null_safe_join(read_manifest(spark, path), reduce(DataFrame.unionByName, found), ["artifact_type", "method"], "full_outer")
-    return both.where(~F.col("sha256").eqNullSafe(F.col("__sg_digest")) | ~F.col("record_count").eqNullSafe(F.col("__sg_rows"))).select("artifact_type", "method", "relative_path")
+    return both.where(
+        ~F.col("sha256").eqNullSafe(F.col("__sg_digest")) | ~F.col("record_count").eqNullSafe(F.col("__sg_rows"))
+    ).select("artifact_type", "method", "relative_path")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

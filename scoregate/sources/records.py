@@ -46,7 +46,10 @@ def _pass(totals: bool):
         of, carried = None, np.zeros(4, np.int64)  # lines, quotes, records that begin after an even and an odd number of quotes
 
         def ended() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([of[0]]), pa.array([of[1]], pa.int64()), *(pa.array([int(n)], pa.int64()) for n in carried)], names=["file", "block", "lines", "quotes", "even", "odd"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([of[0]]), pa.array([of[1]], pa.int64()), *(pa.array([int(n)], pa.int64()) for n in carried)],
+                names=["file", "block", "lines", "quotes", "even", "odd"]
+            )
 
         for whole in batches:
             for key, batch in _blocks(whole):
@@ -61,7 +64,10 @@ def _pass(totals: bool):
                 even, odd = (carried[k] + np.cumsum(filled & (before % 2 == k - 2)) for k in (2, 3))
                 if not totals:
                     at = carried[0] + np.arange(1, len(quotes) + 1)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (at, quotes, before, even, odd)), text], names=["file", "block", "at", "quotes", "before", "even", "odd", "text"])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0), batch.column(1), *map(pa.array, (at, quotes, before, even, odd)), text],
+                        names=["file", "block", "at", "quotes", "before", "even", "odd", "text"]
+                    )
                 carried = np.array([carried[0] + len(quotes), before[-1] + quotes[-1], even[-1], odd[-1]])
         if totals and of is not None:
             yield ended()
@@ -85,7 +91,9 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     record = F.col("records_above") + F.when(F.col("parity") == 0, F.col("even")).otherwise(F.col("odd"))
     return lines.select(
         "file", line.alias("line"), F.when(line == 1, F.regexp_replace("text", "^﻿", "")).otherwise(F.col("text")).alias("text"),
-        F.when(inside | filled, record).alias("source_row"), (filled & ~inside).alias("begins"), ((F.col("parity") + F.col("before") + F.col("quotes")) % 2 == 1).alias("open"),
+        F.when(inside | filled, record).alias("source_row"), (filled & ~inside).alias("begins"), (
+            (F.col("parity") + F.col("before") + F.col("quotes")) % 2 == 1
+        ).alias("open"),
     )
 
 
@@ -99,9 +107,13 @@ def numbered_records(spark: SparkSession, path: str) -> DataFrame:
     several = staged(lines.where(~whole))
     sizes = several.groupBy("file", "source_row").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line"), F.max_by("open", "line").alias("unclosed"))
     bad = (F.col("n") > MOST_LINES) | F.col("unclosed")
-    parts = several.select("file", "source_row", F.col("line").alias("__sg_line"), "text").join(sizes, ["file", "source_row"]).where(~bad | (F.col("__sg_line") == F.col("line")))
+    parts = several.select(
+        "file", "source_row", F.col("line").alias("__sg_line"), "text"
+    ).join(sizes, ["file", "source_row"]).where(~bad | (F.col("__sg_line") == F.col("line")))
     ordered = F.array_sort(F.collect_list(F.struct("__sg_line", "text")))
-    gathered = parts.groupBy("file", "source_row", "line", F.when(bad, "quote_not_closed").alias("reason")).agg(bare(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n")).alias("text"))
+    gathered = parts.groupBy("file", "source_row", "line", F.when(bad, "quote_not_closed").alias("reason")).agg(
+        bare(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n")).alias("text")
+    )
     return single.unionByName(gathered)
 
 
@@ -111,7 +123,11 @@ def csv_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     fields = T.StructType.fromDDL(schema)
     header = ",".join(fields.names)
     first = F.col("source_row") == 1
-    parsed = F.from_csv("text", f"{schema}, __sg_corrupt string", {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__sg_corrupt", "lineSep": "\x01"})
+    parsed = F.from_csv(
+        "text",
+        f"{schema}, __sg_corrupt string",
+        {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__sg_corrupt", "lineSep": "\x01"}
+    )
     rows = numbered_records(spark, path).where(~first | (F.col("text") != header)).withColumn("__sg_row", parsed)
     reason = S.any_code((F.col("reason").isNotNull(), "quote_not_closed"), (first, "header"), (F.col("__sg_row.__sg_corrupt").isNotNull(), "malformed"))
     return rows.select("file", "source_row", "line", *(F.when(reason.isNull(), F.col("__sg_row")[n]).alias(n) for n in fields.names), reason.alias("reason"))
@@ -142,5 +158,10 @@ def split_scan_violations(rows: DataFrame, category: str) -> DataFrame:
     out = out.unionByName(own.select(*where, outside.alias("reason")).where("reason is not null"))
     out = out.unionByName(own.where(F.col("image").isNotNull()).select(*where, F.when(again, "repeated_path").alias("reason")).where("reason is not null"))
     out = out.unionByName(split_violations(own).select(*where, F.col("rule").alias("reason")))
-    none: list[Column] = [F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("source_row"), F.lit(None).cast("long").alias("line"), F.lit("no_rows").alias("reason")]
+    none: list[Column] = [
+        F.lit(None).cast("string").alias("file"),
+        F.lit(None).cast("long").alias("source_row"),
+        F.lit(None).cast("long").alias("line"),
+        F.lit("no_rows").alias("reason")
+    ]
     return out.unionByName(own.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(*none))

@@ -87,21 +87,30 @@ def window_metrics(scores: DataFrame, threshold: float, width: str, late: str) -
     some = F.kll_sketch_get_n_double("sketch") > 0
     return summed.select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "method", "event_count", "failed_count", "anomalous_count",
-        (F.col("anomalous_count") / F.col("event_count")).alias("anomalous_share"), F.when(some, F.kll_sketch_get_quantile_double("sketch", F.lit(0.95))).alias("p95_score"),
+        (F.col("anomalous_count") / F.col("event_count")).alias("anomalous_share"), F.when(
+            some, F.kll_sketch_get_quantile_double("sketch", F.lit(0.95))
+        ).alias("p95_score"),
     )
 
 
 def p95_ranks(windows: DataFrame, scores: DataFrame, width: str) -> DataFrame:
     """The windows with p95_error: how far the rank of each one's p95 lies from 0.95 among the scores of that window that didn't fail,
     0 if 0.95 lies between the shares below it and up to it."""
-    ok = scores.where(~(F.col("score_status") == "failed") & F.col("score").isNotNull()).select(F.window("ts", width)["start"].alias("window_start"), "method", "score")
+    ok = scores.where(~(F.col("score_status") == "failed") & F.col("score").isNotNull()).select(
+        F.window("ts", width)["start"].alias("window_start"), "method", "score"
+    )
     met = ok.join(windows.select("window_start", "method", "p95_score"), ["window_start", "method"])
-    ranks = met.groupBy("window_start", "method").agg((F.count_if(F.col("score") < F.col("p95_score")) / F.count(F.lit(1))).alias("__sg_below"), (F.count_if(F.col("score") <= F.col("p95_score")) / F.count(F.lit(1))).alias("__sg_upto"))
+    ranks = met.groupBy("window_start", "method").agg(
+        (F.count_if(F.col("score") < F.col("p95_score")) / F.count(F.lit(1))).alias("__sg_below"),
+        (F.count_if(F.col("score") <= F.col("p95_score")) / F.count(F.lit(1))).alias("__sg_upto")
+    )
     error = F.greatest(F.col("__sg_below") - 0.95, F.lit(0.95) - F.col("__sg_upto"), F.lit(0.0))
     return windows.join(ranks, ["window_start", "method"], "left").withColumn("p95_error", error).drop("__sg_below", "__sg_upto")
 
 
 def drained(stream: DataFrame, path: str) -> None:
     """Run a stream in append mode over all that is there; a second run with the same path goes on where the first one stopped."""
-    query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option(
+        "checkpointLocation", f"{path}/state"
+    ).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -14,8 +14,17 @@ def scores_from(spark: SparkSession, path: str) -> DataFrame:
     """A stream of scores from a folder or file of events."""
     folder, _, name = path.rpartition("/")
     stream = spark.readStream.schema(EVENTS).option("pathGlobFilter", "*.parquet")
-    source = stream.option("recursiveFileLookup", "true").parquet(path) if _is_folder(spark, path) else spark.readStream.schema(EVENTS).option("pathGlobFilter", name).parquet(folder)
-    return source.select(F.col("event_type").alias("method"), F.col("event_id").alias("item"), "ts", F.lit("ok").alias("score_status"), F.lit(None).cast("string").alias("failure_code"), F.col("value").alias("score"))
+    source = stream.option(
+        "recursiveFileLookup", "true"
+    ).parquet(path) if _is_folder(spark, path) else spark.readStream.schema(EVENTS).option("pathGlobFilter", name).parquet(folder)
+    return source.select(
+        F.col("event_type").alias("method"),
+        F.col("event_id").alias("item"),
+        "ts",
+        F.lit("ok").alias("score_status"),
+        F.lit(None).cast("string").alias("failure_code"),
+        F.col("value").alias("score")
+    )
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -25,7 +34,9 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 def run_to_end(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there into a Parquet table, and read that."""
-    query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option(
+        "checkpointLocation", f"{path}/state"
+    ).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
@@ -52,7 +63,9 @@ def windowed(scores: DataFrame, threshold: float, width: str, late: str = LATE)
     """Rows and anomalous rows of each method in tumbling windows."""
     above = (F.col("score_status") == "failed") | (F.col("score") > threshold)
     grouped = scores.withWatermark("ts", late).groupBy(F.window("ts", width), "method")
-    return grouped.agg(F.count(F.lit(1)).alias("event_count"), F.count_if(above).alias("anomalous_count")).select(F.col("window.start").alias("window_start"), "method", "event_count", "anomalous_count")
+    return grouped.agg(F.count(F.lit(1)).alias("event_count"), F.count_if(above).alias("anomalous_count")).select(
+        F.col("window.start").alias("window_start"), "method", "event_count", "anomalous_count"
+    )
 
 
 def window_counts(spark: SparkSession, events: str, threshold: float, width: str, path: str) -> DataFrame:

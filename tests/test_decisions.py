@@ -46,7 +46,10 @@ def test_every_reason_for_a_decision(spark):
 
 def test_closed_failures_break_no_rule(spark):
     rows = [("m", 1, "ok", 1.0), ("m", 2, "ok", None), ("m", 3, "failed", 9.0), ("m", 4, None, 0.0), ("x", 5, "ok", 0.5), (None, 6, "ok", 0.5)]
-    classed = sc.classify(spark.createDataFrame(rows, "method string, item int, score_status string, score double"), spark.createDataFrame([("m", 0.5)], "method string, threshold double"))
+    classed = sc.classify(
+        spark.createDataFrame(rows, "method string, item int, score_status string, score double"),
+        spark.createDataFrame([("m", 0.5)], "method string, threshold double")
+    )
     assert {r["decision_reason"] for r in classed.collect()} >= {"threshold_missing", "score_missing", "above_threshold", "score_failed"}
     assert c.semantic_violations(classed).collect() == []
 
@@ -61,9 +64,18 @@ def test_moved_pairs_break_no_rule(spark):
 
 def test_decision_from_facts(spark):
     truth = spark.createDataFrame([(i, "anomaly" if i % 5 == 0 else "normal") for i in range(100)], "item int, true_class string")
-    scored = truth.select(F.lit("m").alias("method"), "item", F.lit("ok").alias("score_status"), F.lit(None).cast("string").alias("failure_code"), F.when(F.col("true_class") == "anomaly", 2.0).otherwise(0.1).alias("score"))
+    scored = truth.select(
+        F.lit("m").alias("method"),
+        "item",
+        F.lit("ok").alias("score_status"),
+        F.lit(None).cast("string").alias("failure_code"),
+        F.when(F.col("true_class") == "anomaly", 2.0).otherwise(0.1).alias("score")
+    )
     calibration = scored.where("score < 1").withColumn("score", F.col("item") / 100)
-    facts = spark.createDataFrame([("m", 0.5, 20.0, 0.0, 1.0)], "method string, p95_duration double, reference_count double, anomaly_training_labels double, reproduced double")
+    facts = spark.createDataFrame(
+        [("m", 0.5, 20.0, 0.0, 1.0)],
+        "method string, p95_duration double, reference_count double, anomaly_training_labels double, reproduced double"
+    )
     decision = lambda **more: reproduce.evaluation_tables(calibration, scored, truth, **more)["decision"].first()["decision"]
     assert decision(facts=facts) == "ADOPT"
     assert decision() == decision(facts=facts.withColumn("p95_duration", F.lit(1.5))) == decision(facts=facts.where("false")) == "REJECT"
@@ -77,20 +89,35 @@ def test_null_keys_are_keys(spark):
     assert got == sorted([(1, 0), (None, 1), (2, 2)], key=str)
 
 
-@pytest.mark.parametrize("names,clash", [(("STRASSE", "straße"), True), (("σοφός", "ΣΟΦΌΣ", "σοφόσ"), True), (("a", "A"), True), (("é", "e"), False), (("ab", "a b"), False)])
+@pytest.mark.parametrize(
+    "names,clash",
+    [
+        (("STRASSE", "straße"), True),
+        (("σοφός", "ΣΟΦΌΣ", "σοφόσ"), True),
+        (("a", "A"), True),
+        (("é", "e"), False),
+        (("ab", "a b"), False)
+    ]
+)
 def test_case_clashes(spark, names, clash):
     got = inv.case_clashes(spark.createDataFrame([(n,) for n in (*names, None, "other")], "name string"), "name").collect()
     assert [r["name_count"] for r in got] == ([len(names)] if clash else [])
 
 
 def test_helper_columns_leave_names_alone(spark):
-    shown = spark.createDataFrame([("m", 1, "normal", True, 1.0, "own", "own")], "method string, item int, true_class string, is_anomalous boolean, score double, _signed string, _rank string")
+    shown = spark.createDataFrame(
+        [("m", 1, "normal", True, 1.0, "own", "own")],
+        "method string, item int, true_class string, is_anomalous boolean, score double, _signed string, _rank string"
+    )
     [r] = ev.error_cases(shown).collect()
     assert (r["_signed"], r["_rank"]) == ("own", "own")
 
 
 def test_a_null_score_has_no_rank(spark):
-    shown = spark.createDataFrame([("m", "anomaly", 2.0), ("m", "normal", 1.0), ("n", "anomaly", 2.0), ("n", "normal", None)], "method string, true_class string, score double")
+    shown = spark.createDataFrame(
+        [("m", "anomaly", 2.0), ("m", "normal", 1.0), ("n", "anomaly", 2.0), ("n", "normal", None)],
+        "method string, true_class string, score double"
+    )
     assert {r["method"]: r["auroc"] for r in ev.ranking_quality(shown).collect()} == {"m": 1.0, "n": None}
 
 

@@ -43,7 +43,12 @@ def test_comparison_counts_repeats_and_tells_nulls_apart(spark):
     a = spark.createDataFrame([(1, None), (None, 1), (2, 2), (2, 2), (3, 3)], "x int, y int")
     b = spark.createDataFrame([(None, 1), (None, 1), (2, 2), (3, 3), (3, 3)], "x int, y int")
     got = Counter((r["side"], r["row_json"]) for r in reproduce.recomputed_violations(a, b, "t").collect())
-    assert got == {("stored_only", '{"x":1,"y":null}'): 1, ("stored_only", '{"x":2,"y":2}'): 1, ("fresh_only", '{"x":null,"y":1}'): 1, ("fresh_only", '{"x":3,"y":3}'): 1}
+    assert got == {
+        ("stored_only", '{"x":1,"y":null}'): 1,
+        ("stored_only", '{"x":2,"y":2}'): 1,
+        ("fresh_only", '{"x":null,"y":1}'): 1,
+        ("fresh_only", '{"x":3,"y":3}'): 1
+    }
     assert reproduce.recomputed_violations(a, a, "t").collect() == [] and reproduce.recomputed_violations(a.limit(0), a.limit(0), "t").collect() == []
 
 

@@ -12,11 +12,24 @@ from scoregate.operators import contracts, evaluation as ev, inventory, partitio
 
 
 def score_rows(spark, rows, method="m"):
-    return spark.createDataFrame([(method, i, s, c, float(x)) for i, (x, s, c) in enumerate(rows)], "method string, item long, score_status string, failure_code string, score double")
+    return spark.createDataFrame(
+        [(method, i, s, c, float(x)) for i, (x, s, c) in enumerate(rows)],
+        "method string, item long, score_status string, failure_code string, score double"
+    )
 
 
 def revealed(spark, labels, scores, threshold=0.5, failed=()):
-    rows = [("m", i, "failed" if i in failed else "ok", float(s), bool(s > threshold or i in failed), "anomaly" if y == "a" else "normal") for i, (y, s) in enumerate(zip(labels, scores))]
+    rows = [
+        (
+            "m",
+            i,
+            "failed" if i in failed else "ok",
+            float(s),
+            bool(s > threshold or i in failed),
+            "anomaly" if y == "a" else "normal"
+        )
+        for i, (y, s) in enumerate(zip(labels, scores))
+    ]
     return spark.createDataFrame(rows, "method string, item long, score_status string, score double, is_anomalous boolean, true_class string")
 
 
@@ -38,7 +51,10 @@ def test_synthetic_calibration(spark):
     assert sc.thresholds(rows).first()["threshold"] == 0.19
 
 
-@pytest.mark.parametrize("labels,scores,auroc,ap", [("nnaa", (0.1, 0.7, 0.8, 0.4), 0.75, 5 / 6), ("nnaa", (1.0, 0.1, 0.8, 0.7), 0.5, 7 / 12), ("nnaa", (0.5,) * 4, 0.5, 0.5)])
+@pytest.mark.parametrize(
+    "labels,scores,auroc,ap",
+    [("nnaa", (0.1, 0.7, 0.8, 0.4), 0.75, 5 / 6), ("nnaa", (1.0, 0.1, 0.8, 0.7), 0.5, 7 / 12), ("nnaa", (0.5,) * 4, 0.5, 0.5)]
+)
 def test_ranking_values(spark, labels, scores, auroc, ap):
     got = ev.ranking_quality(revealed(spark, labels, scores)).first()
     assert math.isclose(got["auroc"], auroc) and math.isclose(got["average_precision"], ap)
@@ -59,26 +75,60 @@ def test_strict_threshold_and_failed_rows(spark):
 
 def test_nan_and_missing_scores_fail(spark):
     rules = spark.createDataFrame([("m", 0.0, 1.0, True, 1.0)], "method string, low double, high double, inclusive boolean, failure_score double")
-    rows = spark.createDataFrame([("m", 1, "ok", None, float("nan")), ("m", 2, "ok", None, None), ("m", 3, "ok", None, float("inf")), ("m", 4, "failed", "C", 0.3), ("m", 5, "ok", None, 0.2)], "method string, item long, score_status string, failure_code string, score double")
+    rows = spark.createDataFrame(
+        [
+            ("m", 1, "ok", None, float("nan")),
+            ("m", 2, "ok", None, None),
+            ("m", 3, "ok", None, float("inf")),
+            ("m", 4, "failed", "C", 0.3),
+            ("m", 5, "ok", None, 0.2)
+        ],
+        "method string, item long, score_status string, failure_code string, score double"
+    )
     got = sc.with_failures(rows, rules).orderBy("item").collect()
-    assert [(r["score_status"], r["failure_code"], r["score"]) for r in got] == [("failed", "SCORE_INVALID", 1.0)] * 3 + [("failed", "C", 1.0), ("ok", None, 0.2)]
+    assert [
+        (r["score_status"], r["failure_code"], r["score"]) for r in got
+    ] == [("failed", "SCORE_INVALID", 1.0)] * 3 + [("failed", "C", 1.0), ("ok", None, 0.2)]
     assert sc.state_violations(sc.with_failures(rows, rules), rules).isEmpty()
 
 
-@pytest.mark.parametrize("row,rule", [((2.0, "ok", None), "score_out_of_range"), ((0.5, "ok", "X"), "code_without_failure"), ((1.0, "failed", None), "failure_without_code"), ((0.5, "failed", "X"), "wrong_failure_score"), ((0.5, "odd", None), "unknown_status"), ((float("nan"), "ok", None), "score_not_finite")])
+@pytest.mark.parametrize(
+    "row,rule",
+    [
+        ((2.0, "ok", None), "score_out_of_range"),
+        ((0.5, "ok", "X"), "code_without_failure"),
+        ((1.0, "failed", None), "failure_without_code"),
+        ((0.5, "failed", "X"), "wrong_failure_score"),
+        ((0.5, "odd", None), "unknown_status"),
+        ((float("nan"), "ok", None), "score_not_finite")
+    ]
+)
 def test_each_state_rule_fires(spark, row, rule):
     rules = spark.createDataFrame([("m", 0.0, 1.0, True, 1.0)], "method string, low double, high double, inclusive boolean, failure_score double")
     assert [r["rule"] for r in sc.state_violations(score_rows(spark, [row]), rules).collect()] == [rule]
 
 
-@pytest.mark.parametrize("labels,code", [([], "LABELS_EMPTY"), ([(0, "normal"), (0, "normal"), (1, "anomaly")], "LABELS_DUPLICATE"), ([(0, "normal")], "LABELS_MISSING"), ([(0, "normal"), (1, "anomaly"), (2, "anomaly")], "LABELS_EXTRA"), ([(0, "odd"), (1, "anomaly")], "LABELS_INVALID"), ([(0, "normal"), (1, "anomaly")], "ok")])
+@pytest.mark.parametrize(
+    "labels,code",
+    [
+        ([], "LABELS_EMPTY"),
+        ([(0, "normal"), (0, "normal"), (1, "anomaly")], "LABELS_DUPLICATE"),
+        ([(0, "normal")], "LABELS_MISSING"),
+        ([(0, "normal"), (1, "anomaly"), (2, "anomaly")], "LABELS_EXTRA"),
+        ([(0, "odd"), (1, "anomaly")], "LABELS_INVALID"),
+        ([(0, "normal"), (1, "anomaly")], "ok")
+    ]
+)
 def test_reveal_codes(spark, labels, code):
     items = spark.range(2).withColumnRenamed("id", "item")
     assert ev.reveal_status(items, spark.createDataFrame(labels, "item long, true_class string")).first()["status_code"] == code
 
 
 def test_gate_boundaries_pass_and_order_stops_at_first_failure(spark):
-    facts = spark.createDataFrame([("m", 0.05, 0.90, 1.0, 20.0, 0.0, 1.0), ("n", 0.05, 0.90, 1.5, 21.0, 0.0, 1.0)], "method string, fpr double, recall double, p95_duration double, reference_count double, anomaly_training_labels double, reproduced double")
+    facts = spark.createDataFrame(
+        [("m", 0.05, 0.90, 1.0, 20.0, 0.0, 1.0), ("n", 0.05, 0.90, 1.5, 21.0, 0.0, 1.0)],
+        "method string, fpr double, recall double, p95_duration double, reference_count double, anomaly_training_labels double, reproduced double"
+    )
     gated = ev.gates(facts)
     assert gated.where("method = 'm' and not passed").isEmpty()
     states = [r["gate_status"] for r in ev.short_circuit(gated).where("method = 'n'").orderBy("gate_order").collect()]
@@ -100,7 +150,13 @@ def test_selection_and_hmac(spark):
         partition.split_labels(rows, key, "path", "category", ["category"])
 
 
-@pytest.mark.parametrize("path,safe", [("", False), ("/absolute.JPG", False), ("../parent.JPG", False), ("a/../b.JPG", False), ("windows\\path.JPG", False), (None, False), ("a/b.JPG", True)])
+@pytest.mark.parametrize(
+    "path,safe",
+    [
+        ("", False), ("/absolute.JPG", False), ("../parent.JPG", False), ("a/../b.JPG", False), ("windows\\path.JPG", False),
+        (None, False), ("a/b.JPG", True)
+    ]
+)
 def test_paths(spark, path, safe):
     assert spark.createDataFrame([(path,)], "p string").select(S.safe_relative_path(F.col("p"))).first()[0] is safe
 
@@ -118,7 +174,11 @@ def test_repeat_tolerance_keeps_mismatches(spark):
 
 def test_label_leak_is_refused_before_reading(spark):
     with pytest.raises(contracts.ContractError):
-        vectors.nearest_distances(spark.createDataFrame([(1, 0, [1.0], 0)], "vec_id long, position int, patch array<double>, label int"), "vec_id", spark.createDataFrame([([1.0],)], "patch array<double>"))
+        vectors.nearest_distances(
+            spark.createDataFrame([(1, 0, [1.0], 0)], "vec_id long, position int, patch array<double>, label int"),
+            "vec_id",
+            spark.createDataFrame([([1.0],)], "patch array<double>")
+        )
 
 
 def test_large_banks_give_the_same_distances(spark, monkeypatch):
@@ -146,7 +206,9 @@ def test_template_support(spark):
 def test_contract_rules_fire(spark):
     rows = spark.createDataFrame([("a", 5.0, "x"), ("b", None, "y"), ("c", 0.5, "z")], "k string, v double, t string")
     got = contracts.row_violations(rows, [contracts.Field("v", low=1.0, high=4.0), contracts.Field("t", values=("x", "y"), pattern="^[xz]$")], "k")
-    assert {(r["rule"], r["row_key"]) for r in got.collect()} == {("v:above_maximum", "a"), ("v:null", "b"), ("v:below_minimum", "c"), ("t:not_allowed", "c"), ("t:malformed", "b")}
+    assert {(r["rule"], r["row_key"]) for r in got.collect()} == {
+        ("v:above_maximum", "a"), ("v:null", "b"), ("v:below_minimum", "c"), ("t:not_allowed", "c"), ("t:malformed", "b")
+    }
 
 
 def test_closure_ends_on_cycles(spark):
@@ -183,6 +245,9 @@ def test_files_as_bytes(spark, tmp_path):
     (tmp_path / "in" / "d" / "x.bin").write_bytes(b"abc")
     (tmp_path / "in" / "y.bin").write_bytes(b"z")
     assets = files.read_bytes(spark, f"file://{tmp_path}/in")
-    manifest = spark.createDataFrame([("d/x.bin", 3, hashlib.sha256(b"abc").hexdigest()), ("y.bin", 1, hashlib.sha256(b"").hexdigest()), ("gone", 1, "0")], "asset string, byte_count long, sha256 string")
+    manifest = spark.createDataFrame(
+        [("d/x.bin", 3, hashlib.sha256(b"abc").hexdigest()), ("y.bin", 1, hashlib.sha256(b"").hexdigest()), ("gone", 1, "0")],
+        "asset string, byte_count long, sha256 string"
+    )
     got = {r["asset"]: r["verification"] for r in files.verify_bytes(assets, manifest, "asset", "content").collect()}
     assert got == {"d/x.bin": "verified", "y.bin": "changed", "gone": "absent"}

@@ -31,7 +31,10 @@ def test_failures_of_setup_and_scorer_are_rows(spark):
 
     rows = hooks.score_with_state(items, "item", "value", broken, lambda s, v: v).collect()
     assert {r["failure_code"] for r in rows} == {"SETUP_ERROR:OSError"} and len(rows) == 3
-    rows = {r["item"]: (r["score_status"], r["failure_code"]) for r in hooks.score_with_state(items, "item", "value", lambda: 1.0, lambda s, v: s / v).collect()}
+    rows = {
+        r["item"]: (r["score_status"], r["failure_code"])
+        for r in hooks.score_with_state(items, "item", "value", lambda: 1.0, lambda s, v: s / v).collect()
+    }
     assert rows[1] == ("ok", None) and rows[None] == ("failed", "SCORER_ERROR:ZeroDivisionError") and rows[2][0] == "failed"
     assert hooks.score_with_state(items.limit(0), "item", "value", broken, lambda s, v: v).collect() == []
 

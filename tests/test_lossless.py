@@ -18,20 +18,46 @@ def test_a_repetition_with_missing_extra_and_repeated_rows(spark):
     expected = spark.createDataFrame([("m", 1, "ok", None, 0.5), ("m", 2, "ok", None, 0.5), ("m", 2, "ok", None, 0.6), (None, 3, "ok", None, 0.1)], SCORE)
     again = spark.createDataFrame([("m", 1, "ok", None, 0.5), ("m", 2, "ok", None, 0.5), ("m", 9, "ok", None, 0.5), (None, 3, "ok", None, 0.1)], SCORE)
     got = reproduce.compared(expected, again, ["method", "item"])
-    assert rows(got, "method", "item", "pair_state", "within_tolerance") == sorted([("m", 1, "compared", True), ("m", 2, "compared", True), ("m", 2, "absent", False), ("m", 9, "extra", False), (None, 3, "compared", True)], key=str)
-    assert rows(reproduce.reproduction_summary(got), "method", "compared_count", "absent_count", "extra_count", "reproduced") == sorted([("m", 2, 1, 1, False), (None, 1, 0, 0, True)], key=str)
+    assert rows(got, "method", "item", "pair_state", "within_tolerance") == sorted(
+        [
+            ("m", 1, "compared", True),
+            ("m", 2, "compared", True),
+            ("m", 2, "absent", False),
+            ("m", 9, "extra", False),
+            (None, 3, "compared", True)
+        ],
+        key=str
+    )
+    assert rows(
+        reproduce.reproduction_summary(got), "method", "compared_count", "absent_count", "extra_count", "reproduced"
+    ) == sorted([("m", 2, 1, 1, False), (None, 1, 0, 0, True)], key=str)
     assert reproduce.compared(expected.limit(0), again.limit(0), ["method", "item"]).count() == 0
 
 
 def test_unknown_methods_fail_closed(spark):
-    raw = spark.createDataFrame([("m", 1, "ok", None, 0.5), ("x", 2, "ok", None, 0.5), (None, 3, "ok", None, 0.5), ("m", 4, None, None, None)], SCORE).withColumn("_bad", F.lit(1))
+    raw = spark.createDataFrame(
+        [("m", 1, "ok", None, 0.5), ("x", 2, "ok", None, 0.5), (None, 3, "ok", None, 0.5), ("m", 4, None, None, None)], SCORE
+    ).withColumn("_bad", F.lit(1))
     rules = spark.createDataFrame([("m", 0.0, 1.0, True, 1.0)], "method string, low double, high double, inclusive boolean, failure_score double")
     got = sc.with_failures(raw, rules)
-    assert rows(got, "item", "score_status", "failure_code", "score") == [(1, "ok", None, 0.5), (2, "failed", "METHOD_UNKNOWN", None), (3, "failed", "METHOD_UNKNOWN", None), (4, "failed", "SCORE_INVALID", 1.0)]
+    assert rows(got, "item", "score_status", "failure_code", "score") == [
+        (1, "ok", None, 0.5),
+        (2, "failed", "METHOD_UNKNOWN", None),
+        (3, "failed", "METHOD_UNKNOWN", None),
+        (4, "failed", "SCORE_INVALID", 1.0)
+    ]
     assert rows(sc.state_violations(raw, rules), "item", "rule") == [(2, "unknown_method"), (3, "unknown_method"), (4, "score_not_finite")]
     cuts = spark.createDataFrame([("m", 0.7)], "method string, threshold double")
-    assert rows(sc.classify(raw, cuts), "item", "is_anomalous", "decision_reason") == [(1, False, "within_threshold"), (2, True, "threshold_missing"), (3, True, "threshold_missing"), (4, True, "score_missing")]
-    for out in (sc.with_failures(raw.limit(0), rules), sc.state_violations(raw.limit(0), rules), sc.classify(raw.limit(0), cuts), sc.thresholds(raw.limit(0)), sc.class_counts(sc.classify(raw.limit(0), cuts))):
+    assert rows(sc.classify(raw, cuts), "item", "is_anomalous", "decision_reason") == [
+        (1, False, "within_threshold"), (2, True, "threshold_missing"), (3, True, "threshold_missing"), (4, True, "score_missing")
+    ]
+    for out in (
+        sc.with_failures(raw.limit(0), rules),
+        sc.state_violations(raw.limit(0), rules),
+        sc.classify(raw.limit(0), cuts),
+        sc.thresholds(raw.limit(0)),
+        sc.class_counts(sc.classify(raw.limit(0), cuts))
+    ):
         assert out.count() == 0
 
 
@@ -44,12 +70,16 @@ def test_label_free_summary_counts_partners_that_are_missing(spark):
 
 
 def test_partitions_keep_rows_with_nulls(spark):
-    t = spark.createDataFrame([("a", "p1"), ("a", None), (None, "p2"), (None, "p3"), ("a", "p1")], "category string, path string").withColumn("_range", F.lit(0)).withColumn("_o", F.lit(0))
+    t = spark.createDataFrame(
+        [("a", "p1"), ("a", None), (None, "p2"), (None, "p3"), ("a", "p1")], "category string, path string"
+    ).withColumn("_range", F.lit(0)).withColumn("_o", F.lit(0))
     got = partition.seeded_partitions(t, "n", 1, 1, "category", "path")
     assert got.count() == 5 and rows(got.groupBy("category").agg(F.max("selection_rank").alias("m"))) == [("a", 3), (None, 2)]
     assert rows(partition.opaque_order(t, bytes(32), "path"), "asset_id") == [(f"asset-{i:06d}",) for i in range(5)]
     assert partition.opaque_order(t.limit(0), bytes(32), "path").count() == 0 and prefix.ordinals(t.limit(0), ["category"], ["path"]).count() == 0
-    assert rows(prefix.ordinals(t, ["category"], ["path"]), "category", "path", "ordinal") == [("a", "p1", 2), ("a", "p1", 3), ("a", None, 1), (None, "p2", 1), (None, "p3", 2)]
+    assert rows(prefix.ordinals(t, ["category"], ["path"]), "category", "path", "ordinal") == [
+        ("a", "p1", 2), ("a", "p1", 3), ("a", None, 1), (None, "p2", 1), (None, "p3", 2)
+    ]
 
 
 def test_a_split_goes_to_two_roots_apart(spark, tmp_path):
@@ -62,9 +92,14 @@ def test_a_split_goes_to_two_roots_apart(spark, tmp_path):
 
 
 def test_vectors_of_the_wrong_size_become_failed_items(spark):
-    t = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 1.0]), (2, None), (3, [1.0]), (4, [1.0, 0.0, 1.0]), (5, [0.0, None, 1.0, 0.0])], "item long, v array<double>")
+    t = spark.createDataFrame(
+        [(1, [1.0, 0.0, 0.0, 1.0]), (2, None), (3, [1.0]), (4, [1.0, 0.0, 1.0]), (5, [0.0, None, 1.0, 0.0])],
+        "item long, v array<double>"
+    )
     patched = v.patches(t, "item", "v", 2)
-    assert rows(patched.groupBy("item").agg(F.min("position").alias("p"), F.count(F.lit(1)).alias("n"))) == [(1, 0, 2), (2, -1, 1), (3, -1, 1), (4, -1, 1), (5, 0, 2)]
+    assert rows(
+        patched.groupBy("item").agg(F.min("position").alias("p"), F.count(F.lit(1)).alias("n"))
+    ) == [(1, 0, 2), (2, -1, 1), (3, -1, 1), (4, -1, 1), (5, 0, 2)]
     bank = spark.createDataFrame([([1.0, 0.0],)], "patch array<double>")
     scored = v.item_scores(v.nearest_distances(patched, "item", bank), "item", "distance", 1.0, "ceil")
     assert rows(scored) == [(1, 0.5), (2, None), (3, None), (4, None), (5, None)]
@@ -88,7 +123,11 @@ def test_nearest_distances_by_blocks_and_by_broadcast(spark, monkeypatch, most):
 
 
 def test_ranks_and_medians_by_sorting(spark):
-    t = spark.range(3000).select(F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string")).alias("g"), F.when(F.col("id") % 50 > 0, (F.col("id") * 7919 % 1013).cast("double")).alias("x"), F.col("id").alias("_range"))
+    t = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string")).alias("g"),
+        F.when(F.col("id") % 50 > 0, (F.col("id") * 7919 % 1013).cast("double")).alias("x"),
+        F.col("id").alias("_range")
+    )
     held = {}
     for r in t.collect():
         if r["x"] is not None:
@@ -106,10 +145,22 @@ def test_reveal_and_decision_without_partners(spark):
     labels = spark.createDataFrame([(1, "normal"), (None, "anomaly")], "item long, true_class string")
     assert ev.reveal_status(items, labels).first()["status_code"] == "ITEMS_DUPLICATE"
     assert ev.reveal_status(items.limit(0), labels.limit(0)).first()["status_code"] == "LABELS_EMPTY"
-    gated = ev.gates(spark.createDataFrame([("m", 0.0, 1.0, 0.1, 20.0, 0.0, 1.0)], "method string, fpr double, recall double, p95_duration double, reference_count double, anomaly_training_labels double, reproduced double"))
+    gated = ev.gates(
+        spark.createDataFrame(
+            [("m", 0.0, 1.0, 0.1, 20.0, 0.0, 1.0)],
+            "method string, fpr double, recall double, p95_duration double, reference_count double, anomaly_training_labels double, reproduced double"
+        )
+    )
     none = spark.createDataFrame([], "method string, leakage boolean, contradicted boolean, guardrail boolean, condition string")
     assert rows(ev.decide(gated, none), "method", "decision", "evidence_valid") == [("m", "REJECT", False)]
-    assert rows(ev.metrics_with_latency(spark.createDataFrame([("a", 3), ("b", 3)], "method string, item_count long"), spark.createDataFrame([("b", 4), ("c", 1)], "method string, item_count long")), "method", "evidence_state") == [("a", "latency_missing"), ("b", "item_count"), ("c", "metrics_missing")]
+    assert rows(
+        ev.metrics_with_latency(
+            spark.createDataFrame([("a", 3), ("b", 3)], "method string, item_count long"),
+            spark.createDataFrame([("b", 4), ("c", 1)], "method string, item_count long")
+        ),
+        "method",
+        "evidence_state"
+    ) == [("a", "latency_missing"), ("b", "item_count"), ("c", "metrics_missing")]
 
 
 def test_inventories_with_null_keys_and_missing_nodes(spark):
@@ -154,7 +205,9 @@ def test_a_bundle_is_whole_or_absent(spark, tmp_path):
     bundles.write_bundle({"good": good}, f"file://{tmp_path}/b")
     with pytest.raises(FileExistsError):
         bundles.write_bundle({"good": good}, f"file://{tmp_path}/b")
-    assert bundles.bundle_violations(spark, f"file://{tmp_path}/b", {"good": good.schema}).count() == 0 and bundles.read_manifest(spark, f"file://{tmp_path}/b").count() == 2
+    assert bundles.bundle_violations(
+        spark, f"file://{tmp_path}/b", {"good": good.schema}
+    ).count() == 0 and bundles.read_manifest(spark, f"file://{tmp_path}/b").count() == 2
 
 
 def test_objects_and_equal_json(spark):

@@ -23,13 +23,24 @@ def test_filters_reach_the_scan(spark, sf_dir):
 
 
 def test_worst_cases_are_cut_before_the_shuffle(spark, sf_dir):
-    rows = spark.range(100).select((F.col("id") % 3).cast("string").alias("method"), F.col("id").alias("item"), F.rand(1).alias("score"), F.lit(True).alias("is_anomalous"), F.lit("normal").alias("true_class"))
+    rows = spark.range(100).select(
+        (F.col("id") % 3).cast("string").alias("method"),
+        F.col("id").alias("item"),
+        F.rand(1).alias("score"),
+        F.lit(True).alias("is_anomalous"),
+        F.lit("normal").alias("true_class")
+    )
     assert plan(ev.error_cases(rows)).count("WindowGroupLimit") == 2
     assert plan(reproduce.first_items(rows, 3)).count("WindowGroupLimit") == 2
 
 
 def test_methods_are_not_ordered_in_one_task_each(spark):
-    rows = spark.range(100).select((F.col("id") % 2).cast("string").alias("method"), F.col("id").alias("item"), F.rand(1).alias("score"), F.when(F.col("id") % 3 == 0, "anomaly").otherwise("normal").alias("true_class"))
+    rows = spark.range(100).select(
+        (F.col("id") % 2).cast("string").alias("method"),
+        F.col("id").alias("item"),
+        F.rand(1).alias("score"),
+        F.when(F.col("id") % 3 == 0, "anomaly").otherwise("normal").alias("true_class")
+    )
     for df in (sc.thresholds(rows), ev.ranking_quality(rows)):
         text = plan(df)
         assert "CartesianProduct" not in text
@@ -39,6 +50,11 @@ def test_methods_are_not_ordered_in_one_task_each(spark):
 
 
 def test_thresholds_are_broadcast(spark):
-    rows = spark.range(10).select((F.col("id") % 2).cast("string").alias("method"), F.col("id").alias("item"), F.lit("ok").alias("score_status"), F.rand(1).alias("score"))
+    rows = spark.range(10).select(
+        (F.col("id") % 2).cast("string").alias("method"),
+        F.col("id").alias("item"),
+        F.lit("ok").alias("score_status"),
+        F.rand(1).alias("score")
+    )
     cuts = spark.createDataFrame([("m", 0.5)], "method string, threshold double")
     assert "BroadcastHashJoin" in plan(sc.classify(rows, cuts))

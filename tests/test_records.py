@@ -93,11 +93,18 @@ def test_split_table(spark, tmp_path):
     (tmp_path / "s.csv").write_text(head + "a,train,normal,a/1,\nb,train,normal,a/2,\na,test,anomaly,a/3,a/m\n")
     path = f"file://{tmp_path}/s.csv"
     assert sorted(r["image"] for r in files.read_split(spark, path, "a").collect()) == ["a/1", "a/3"]  # b's row under a is b's
-    for body, reason in (("a,train,normal,b/1,\n", "outside_category at line 2"), ("a,train,normal,a/1,\na,test,normal,a/1,\n", "repeated_path at line 3"), ("a,train,normal,../a/1,\n", "unsafe_path"), ("a,train\n", "malformed at line 2")):
+    for body, reason in (
+        ("a,train,normal,b/1,\n", "outside_category at line 2"),
+        ("a,train,normal,a/1,\na,test,normal,a/1,\n", "repeated_path at line 3"),
+        ("a,train,normal,../a/1,\n", "unsafe_path"),
+        ("a,train\n", "malformed at line 2")
+    ):
         (tmp_path / "t.csv").write_text(head + body)
         with pytest.raises(ValueError, match=reason):
             files.read_split(spark, f"file://{tmp_path}/t.csv", "a")
     (tmp_path / "u.csv").write_text(head + "a,train,anomaly,a/1,\na,test,other,a/2,\na,dev,normal,a/3,\nb,dev,x,y,\n")
     rows = records.csv_records(spark, f"file://{tmp_path}/u.csv", files.SPLIT)
-    assert sorted((r["source_row"], r["reason"]) for r in records.split_scan_violations(rows, "a").collect()) == [(2, "train_not_normal"), (3, "test_label_unknown"), (4, "unknown_split")]
+    assert sorted(
+        (r["source_row"], r["reason"]) for r in records.split_scan_violations(rows, "a").collect()
+    ) == [(2, "train_not_normal"), (3, "test_label_unknown"), (4, "unknown_split")]
     assert [r["reason"] for r in records.split_scan_violations(rows, "c").collect()] == ["no_rows"]

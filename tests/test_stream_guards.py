@@ -36,8 +36,16 @@ def test_repeats_are_reported_with_the_first_rows_time(spark, tmp_path):
         guards.drained(guards.guarded(stream(own, folder), ["item"], timedelta(minutes=10)), path)
     got = Counter((r["item"], r["note"], r["is_repeat"], r["first_time"]) for r in spark.read.parquet(f"{path}/out").collect())
     want = [
-        (1, "n0", False, at(0)), (2, "n0", False, at(0)), (None, "n1", False, at(1)), (1, "n5", True, at(0)), (2, "n11", False, at(11)), (None, "n2", True, at(1)),
-        (3, "n30", False, at(30)), (1, "n31", False, at(31)), (3, "n40", True, at(30)), (3, "n41", False, at(41)), (4, "n45", False, at(45)), (4, "n46", True, at(45)), (1, "n41", True, at(31)),
+        (1, "n0", False, at(0)), (2, "n0", False, at(0)), (
+            None, "n1", False, at(1)
+        ), (1, "n5", True, at(0)), (2, "n11", False, at(11)), (None, "n2", True, at(1)),
+        (
+            3, "n30", False, at(30)
+        ), (
+            1, "n31", False, at(31)
+        ), (3, "n40", True, at(30)), (
+            3, "n41", False, at(41)
+        ), (4, "n45", False, at(45)), (4, "n46", True, at(45)), (1, "n41", True, at(31)),
     ]
     # minute 33 comes when the watermark is 35, and is late as minute 12 was at 20
     assert {k: n for k, n in got.items()} == Counter(want)
@@ -49,7 +57,17 @@ def test_windows_over_batches_with_late_rows(spark, tmp_path):
     rng = np.random.default_rng(4)
 
     def rows(first, n):
-        return [("ab"[i % 2], i, START + timedelta(minutes=float(first + rng.random() * 60)), "failed" if i % 10 == 0 else "ok", float(rng.normal()), "") for i in range(n)]
+        return [
+            (
+                "ab"[i % 2],
+                i,
+                START + timedelta(minutes=float(first + rng.random() * 60)),
+                "failed" if i % 10 == 0 else "ok",
+                float(rng.normal()),
+                ""
+            )
+            for i in range(n)
+        ]
 
     batches = [rows(0, 4000), rows(60, 3000) + rows(0, 50), rows(180, 100) + rows(0, 70)]  # 50 in time, 70 late
     for batch in batches:
