@@ -36,8 +36,11 @@ WINDOW, LANES, SCORE_WINDOW, SCORE_LANES = 20, 64, 64, 256
 #: SCALE times.
 ROUNDS, RATE, DECAY, SCALE, CLIP = 2, 0.15, 100, 32, 8.0
 SHARD_TOKENS, MOST_SHARDS = 4_000_000, 4096
-#: Words trained on or scored together, and words counted at a time.
-CHUNK, COUNTED = 400_000, 1_000_000
+#: Words trained on together or looked up together, words scored together, and words counted at a time. A long document goes on
+#: alone where the others of its lanes have ended, so that it is scored beside as many as memory allows.
+CHUNK, SCORED, COUNTED = 400_000, 4_000_000, 1_000_000
+#: The type of numbers in the model.
+NUMBER = np.int16
 BLOCKS, SLOTS, ROWS = 16, 1 << 20, 1024
 END = np.uint64(0x9E3779B97F4A7C15)
 SEED = 11
@@ -123,9 +126,14 @@ def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """Weights of the recurrent network. Classes 0.. hold CLASS_WORDS numbers each, the last one is the tail."""
+    """Weights of the recurrent network. Classes 0.. hold CLASS_WORDS numbers each, the last one is the tail.
+
+    A table and its biases are one array, which a product with a row that ends with 1 reads at once: `inputs` (embed, and a column
+    of ones), `gate` (wx, b), `top` (wc, bc) and `word` (wo, bo). States are worked out with a lane in each column, so that gates
+    are whole stretches of memory."""
 
     NAMES = ("embed", "wx", "wh", "b", "wc", "bc", "wo", "bo")
+    TABLES = ("gate", "wh", "top", "word")
 
     def __init__(self, vocabulary: Vocabulary):
         v, rng = vocabulary, np.random.default_rng(SEED)
@@ -134,15 +142,18 @@ class Network:
         mass = np.zeros(k)
         mass[: v.words] = v.counts + 1
         by_class = mass.reshape(v.classes, CLASS_WORDS)
-        self.embed = rng.normal(0, 0.3, (v.words + 2, EMBED)).astype(np.float32)
-        self.wx = rng.normal(0, 1 / np.sqrt(EMBED), (EMBED, 3 * HIDDEN)).astype(np.float32)
+        self.inputs = np.ones((v.words + 2, EMBED + 1), np.float32)
+        self.gate = np.zeros((EMBED + 1, 3 * HIDDEN), np.float32)
+        self.top = np.zeros((HIDDEN + 1, v.classes + 1), np.float32)
+        self.word = np.zeros((v.classes, HIDDEN + 1, CLASS_WORDS), np.float32)
+        self.embed, self.wx, self.b = self.inputs[:, :EMBED], self.gate[:EMBED], self.gate[EMBED]
+        self.wc, self.bc, self.wo, self.bo = self.top[:HIDDEN], self.top[HIDDEN], self.word[:, :HIDDEN], self.word[:, HIDDEN]
+        self.embed[:] = rng.normal(0, 0.3, (v.words + 2, EMBED))
+        self.wx[:] = rng.normal(0, 1 / np.sqrt(EMBED), (EMBED, 3 * HIDDEN))
         self.wh = rng.normal(0, 1 / np.sqrt(HIDDEN), (HIDDEN, 3 * HIDDEN)).astype(np.float32)
-        self.b = np.zeros(3 * HIDDEN, np.float32)
-        self.wc = np.zeros((HIDDEN, v.classes + 1), np.float32)
-        self.bc = np.log(np.append(by_class.sum(1), v.tail_mass)).astype(np.float32)
+        self.bc[:] = np.log(np.append(by_class.sum(1), v.tail_mass))
         self.bc -= self.bc.max()
-        self.wo = np.zeros((v.classes, HIDDEN, CLASS_WORDS), np.float32)
-        self.bo = np.where(by_class > 0, np.log(np.maximum(by_class, 1)) - np.log(np.maximum(by_class.max(1, keepdims=True), 1)), -60).astype(np.float32)
+        self.bo[:] = np.where(by_class > 0, np.log(np.maximum(by_class, 1)) - np.log(np.maximum(by_class.max(1, keepdims=True), 1)), -60)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
@@ -151,69 +162,76 @@ class Network:
         at = 0
         for n in self.NAMES:
             old = getattr(self, n)
-            setattr(self, n, flat[at : at + old.size].reshape(old.shape).astype(np.float32).copy())
+            old[...] = flat[at : at + old.size].reshape(old.shape)
             at += old.size
         return self
 
     def states(self, inputs: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
         """The states of (steps, lanes) inputs from state h; the start symbol forgets what was before."""
-        x = self.embed[inputs] @ self.wx + self.b if keep is not None else None
-        fresh = (inputs != self.start).astype(np.float32)[:, :, None]
-        out = np.empty((*inputs.shape, HIDDEN), np.float32)
-        wh = self.wh
-        for t in range(len(inputs)):
-            before = h * fresh[t]
-            g = before @ wh
-            xt = self.gates[inputs[t]] if x is None else x[t]
-            rz = xt[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]
-            np.negative(rz, out=rz)
+        steps, lanes = inputs.shape
+        out, kept = np.empty((steps, HIDDEN, lanes), np.float32), steps if keep is not None else 1
+        gated = np.empty((kept, 3 * HIDDEN, lanes), np.float32)
+        opened, new, befores = np.empty((kept, 2 * HIDDEN, lanes), np.float32), np.empty((kept, HIDDEN, lanes), np.float32), []
+        sign = np.repeat(np.array([-1, 1], np.float32), (2 * HIDDEN, HIDDEN))  # of exp in a sigmoid
+        gate, wh = np.ascontiguousarray((self.gate * sign).T), np.ascontiguousarray((self.wh * sign).T)
+        fresh = inputs != self.start
+        forgets = ~fresh.all(1)
+        h, x = np.ascontiguousarray(h.T), np.empty((3 * HIDDEN, lanes), np.float32)
+        for t in range(steps):
+            if forgets[t]:
+                h = h * fresh[t]
+            k = t if keep is not None else 0
+            g, rz, n = gated[k], opened[k], new[k]
+            np.matmul(gate, self.inputs.take(inputs[t], 0).T, out=x)
+            np.matmul(wh, h, out=g)
+            np.add(x[: 2 * HIDDEN], g[: 2 * HIDDEN], out=rz)
             np.exp(rz, out=rz)
             rz += 1
             np.reciprocal(rz, out=rz)
-            r, z, g_n = rz[:, :HIDDEN], rz[:, HIDDEN:], g[:, 2 * HIDDEN :]
-            n = r * g_n
-            n += xt[:, 2 * HIDDEN :]
-            n *= -2  # tanh, from exp, which numpy has vectorised
-            np.exp(n, out=n)
-            n += 1
-            np.divide(2, n, out=n)
-            n -= 1
-            h = out[t]
-            np.subtract(before, n, out=h)
-            h *= z
-            h += n
+            np.multiply(rz[:HIDDEN], g[2 * HIDDEN :], out=n)
+            n += x[2 * HIDDEN :]
+            np.tanh(n, out=n)
             if keep is not None:
-                keep.append((before, g_n, r, z, n, fresh[t]))
-        return out
-
-    def by_class(self, numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(class, places) of the numbers that have a class softmax."""
-        classes = (numbers // CLASS_WORDS).astype(np.int16)
-        order = np.argsort(classes, kind="stable")
-        bounds = np.searchsorted(classes[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(bounds)):
-            yield int(c), order[bounds[c] : bounds[c + 1]]
+                befores.append(h)
+            after = out[t]
+            np.subtract(h, n, out=after)
+            after *= rz[HIDDEN:]
+            after += n
+            h = after
+        if keep is not None:
+            keep += [np.stack(befores), gated[:, 2 * HIDDEN :], opened[:, :HIDDEN], opened[:, HIDDEN:], new, fresh, forgets]
+        return out.transpose(0, 2, 1)
 
     def class_of(self, numbers: np.ndarray) -> np.ndarray:
         return np.where(numbers == self.tail, self.classes, numbers // CLASS_WORDS)
 
+    def sorted_by_class(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Places in the order of their numbers' classes, the classes in this order, and (class, from, to) of those with a softmax."""
+        classes = self.class_of(numbers).astype(NUMBER)
+        order = np.argsort(classes, kind="stable")
+        classes = classes[order]
+        bounds = np.searchsorted(classes, np.arange(self.classes + 1))
+        return order, classes, [(int(c), int(bounds[c]), int(bounds[c + 1])) for c in np.flatnonzero(np.diff(bounds))]
+
     def log_likelihoods(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probability of each target number; of the tail class as a whole."""
-        h = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1)  # the last row of each table below is its bias
-        classes, out = self.class_of(targets), np.empty(len(h), np.float32)
+        order, classes, spans = self.sorted_by_class(targets)
+        rows = np.ones((len(h), HIDDEN + 1), np.float32)
+        rows[:, :HIDDEN] = h.take(order, 0)
+        within = targets[order] - classes.astype(np.int64) * CLASS_WORDS
+        found = np.empty(len(h), np.float32)
         for a in range(0, len(h), ROWS):  # so many rows' logits stay in a core's cache
-            out[a : a + ROWS] = _log_softmax_at(h[a : a + ROWS] @ self.class_table, classes[a : a + ROWS])
-        inside = np.flatnonzero(targets != self.tail)
-        for c, places in self.by_class(targets[inside]):
-            at = inside[places]
-            out[at] += _log_softmax_at(h[at] @ self.word_tables[c], targets[at] - c * CLASS_WORDS)
+            found[a : a + ROWS] = _log_softmax_at(rows[a : a + ROWS] @ self.top, classes[a : a + ROWS])
+        for c, start, end in spans:
+            for a in range(start, end, ROWS):
+                z = min(end, a + ROWS)
+                found[a:z] += _log_softmax_at(rows[a:z] @ self.word[c], within[a:z])
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def ready(self) -> Network:
-        """The network with what scoring reads: gate inputs of every number, and output tables with their biases."""
-        self.gates = self.embed @ self.wx + self.b
-        self.class_table = np.concatenate([self.wc, self.bc[None]])
-        self.word_tables = np.concatenate([self.wo, self.bo[:, None]], 1)
+        """The network as scoring reads it: its tables hold their biases, so there is nothing to prepare."""
         return self
 
 
@@ -222,12 +240,21 @@ class Trainer:
 
     def __init__(self, network: Network):
         self.net, self.rate, self.seen = network, np.float32(RATE), 0
-        self.past = {n: np.full_like(getattr(network, n), 1e-2) for n in Network.NAMES}
-
-    def _step(self, name: str, gradient: np.ndarray, at=slice(None)) -> None:
-        past, weights = self.past[name], getattr(self.net, name)
-        past[at] += gradient * gradient
-        weights[at] -= self.rate * gradient / np.sqrt(past[at])
+        past = {n: np.full_like(getattr(network, n), 1e-2) for n in Network.TABLES}
+        parts = {"wx": past["gate"][:EMBED], "b": past["gate"][EMBED], "wc": past["top"][:HIDDEN], "bc": past["top"][HIDDEN]}
+        parts |= {"wo": past["word"][:, :HIDDEN], "bo": past["word"][:, HIDDEN], "embed": np.full_like(network.embed, 1e-2)}
+        self.past = past | parts
+
+    def _step(self, name: str, gradient: np.ndarray, at: int | slice | np.ndarray = slice(None)) -> None:
+        weights, past = getattr(self.net, name), self.past[name][at]
+        move = gradient * gradient
+        past += move
+        if isinstance(at, np.ndarray):
+            self.past[name][at] = past
+        np.sqrt(past, out=move)
+        np.divide(gradient, move, out=move)
+        move *= self.rate
+        weights[at] -= move
 
     @staticmethod
     def _slopes(logits: np.ndarray, want: np.ndarray, scale: np.float32) -> np.ndarray:
@@ -235,7 +262,7 @@ class Trainer:
         if logits.max(initial=0) > 80:
             logits -= logits.max(1, keepdims=True)
         np.exp(logits, out=logits)
-        logits *= (scale / logits.sum(1))[:, None]
+        logits *= (scale / (logits @ np.ones(logits.shape[1], np.float32)))[:, None]
         logits[np.arange(len(want)), want] -= scale
         return logits
 
@@ -246,64 +273,63 @@ class Trainer:
         steps, lanes = inputs.shape
         self.rate, self.seen = np.float32(RATE / (1 + self.seen / DECAY) ** 0.5), self.seen + 1
         hs = net.states(inputs, h, keep)
-        flat, want = hs.reshape(-1, HIDDEN), targets.ravel()
-        whole = used.all()
-        if not whole:
-            flat, want = flat[used.ravel()], want[used.ravel()]
+        at = np.flatnonzero(used)
+        order, classes, spans = net.sorted_by_class(targets.ravel()[at])
+        at = at[order]
+        rows, want = np.ones((len(at), HIDDEN + 1), np.float32), targets.ravel()[at]
+        rows[:, :HIDDEN] = hs.reshape(-1, HIDDEN).take(at, 0)
         scale = np.float32(SCALE / (places or max(1, len(want))))
-        logits = flat @ net.wc
-        logits += net.bc
-        p = self._slopes(logits, net.class_of(want), scale)
-        dh = p @ net.wc.T
-        g_wc, g_bc = flat.T @ p, p.sum(0)
-        inside = np.flatnonzero(want != net.tail)
-        for c, places in net.by_class(want[inside]):
-            at = inside[places]
-            own = flat[at]
-            logits = own @ net.wo[c]
-            logits += net.bo[c]
-            q = self._slopes(logits, want[at] - c * CLASS_WORDS, scale)
-            dh[at] += q @ net.wo[c].T
-            self._step("wo", own.T @ q, c)
-            self._step("bo", q.sum(0), c)
-        self._step("wc", g_wc)
-        self._step("bc", g_bc)
-        if whole:
-            all_dh = dh.reshape(hs.shape)
-        else:
-            all_dh = np.zeros((steps * lanes, HIDDEN), np.float32)
-            all_dh[used.ravel()] = dh
-            all_dh = all_dh.reshape(hs.shape)
-        # Gradients of the gates' inputs (dx) and, with r before the last third, of their recurrent parts (dg).
-        dx, dg = np.empty((2, steps, lanes, 3 * HIDDEN), np.float32)
-        befores, carry, back = np.empty_like(hs), np.zeros_like(h), np.ascontiguousarray(net.wh.T)
+        p = self._slopes(rows @ net.top, classes, scale)
+        dh, g_top = p @ net.wc.T, rows.T @ p
+        if spans:
+            inside = spans[-1][2]
+            q, back = np.empty((inside, CLASS_WORDS), np.float32), np.empty((inside, HIDDEN), np.float32)
+            for c, a, z in spans:
+                np.matmul(rows[a:z], net.word[c], out=q[a:z])
+            self._slopes(q, want[:inside] - classes[:inside].astype(np.int64) * CLASS_WORDS, scale)
+            for c, a, z in spans:
+                np.matmul(q[a:z], net.wo[c].T, out=back[a:z])
+                self._step("word", rows[a:z].T @ q[a:z], c)
+            dh[:inside] += back
+        self._step("top", g_top)
+        all_dh = np.zeros((steps * lanes, HIDDEN), np.float32)
+        all_dh[at] = dh
+        all_dh = np.ascontiguousarray(all_dh.reshape(steps, lanes, HIDDEN).transpose(0, 2, 1))
+        # Slopes of the gates' recurrent parts (dg) and of the new state (dn) are the state's slope times what is known for all steps.
+        befores, g_n, r, z, n, fresh, forgets = keep
+        shut = 1 - z
+        to_n = n * n
+        np.subtract(1, to_n, out=to_n)
+        to_n *= shut
+        by = np.empty((steps, 3, HIDDEN, lanes), np.float32)
+        np.multiply(to_n, r, out=by[:, 2])
+        np.subtract(1, r, out=by[:, 0])
+        by[:, 0] *= g_n
+        by[:, 0] *= by[:, 2]
+        np.subtract(befores, n, out=by[:, 1])
+        by[:, 1] *= z
+        by[:, 1] *= shut
+        carry, back = np.zeros((HIDDEN, lanes), np.float32), np.empty((HIDDEN, lanes), np.float32)
         for t in range(steps - 1, -1, -1):
-            before, g_n, r, z, n, fresh = keep[t]
-            befores[t] = before
             carry += all_dh[t]
-            dr, dz, dn = dx[t, :, :HIDDEN], dx[t, :, HIDDEN : 2 * HIDDEN], dx[t, :, 2 * HIDDEN :]
-            dzh = carry * z
-            np.subtract(carry, dzh, out=dn)
-            dn *= 1 - n * n
-            np.subtract(before, n, out=dz)
-            dz *= dzh
-            dz *= 1 - z
-            np.multiply(dn, r, out=dg[t, :, 2 * HIDDEN :])
-            np.multiply(dg[t, :, 2 * HIDDEN :], g_n, out=dr)
-            dr *= 1 - r
-            dg[t, :, : 2 * HIDDEN] = dx[t, :, : 2 * HIDDEN]
-            carry = dg[t] @ back
-            carry += dzh
-            carry *= fresh
-        flat_dx, flat_in = dx.reshape(-1, 3 * HIDDEN), inputs.ravel()
-        g_wh = befores.reshape(-1, HIDDEN).T @ dg.reshape(-1, 3 * HIDDEN)
-        order = np.argsort(flat_in, kind="stable")
+            to_n[t] *= carry
+            by[t] *= carry
+            np.matmul(net.wh, by[t].reshape(3 * HIDDEN, lanes), out=back)
+            carry *= z[t]
+            carry += back
+            if forgets[t]:
+                carry *= fresh[t]
+        slopes = by.transpose(1, 2, 0, 3).reshape(3 * HIDDEN, steps * lanes)
+        g_wh = befores.transpose(1, 0, 2).reshape(HIDDEN, -1) @ slopes.T
+        slopes[2 * HIDDEN :].reshape(HIDDEN, steps, lanes)[:] = to_n.transpose(1, 0, 2)
+        flat_in = inputs.ravel()
+        order = np.argsort(flat_in.astype(NUMBER), kind="stable")
         sorted_in = flat_in[order]
         starts = np.flatnonzero(np.append(True, sorted_in[1:] != sorted_in[:-1]))
-        summed = np.add.reduceat((flat_dx @ net.wx.T)[order], starts)
-        g_wx = net.embed[flat_in].T @ flat_dx
-        for name, g, at in (("wh", g_wh, slice(None)), ("wx", g_wx, slice(None)), ("b", flat_dx.sum(0), slice(None)), ("embed", summed, sorted_in[starts])):
-            self._step(name, np.clip(g, -CLIP, CLIP), at)
+        summed = np.add.reduceat((slopes.T @ net.wx.T).take(order, 0), starts)
+        g_gate = (slopes @ net.inputs.take(flat_in, 0)).T
+        for name, g, rows in (("wh", g_wh, slice(None)), ("gate", g_gate, slice(None)), ("embed", summed, sorted_in[starts])):
+            self._step(name, np.clip(g, -CLIP, CLIP), rows)
         return hs[-1]
 
 
@@ -324,9 +350,9 @@ def windows(docs: list[np.ndarray], start: int, lanes: int, steps: int) -> Itera
     dealt = lanes_of([len(d) for d in docs], lanes)
     rows = [
         (
-            np.concatenate([np.concatenate(([start], docs[d][:-1])) for d in ds]),
+            np.concatenate([part for d in ds for part in (np.array([start], docs[d].dtype), docs[d][:-1])]),
             np.concatenate([docs[d] for d in ds]),
-            np.repeat(ds, [len(docs[d]) for d in ds])
+            np.repeat(np.array(ds, np.int32), [len(docs[d]) for d in ds])
         )
         for ds in dealt
     ]
@@ -336,7 +362,7 @@ def windows(docs: list[np.ndarray], start: int, lanes: int, steps: int) -> Itera
         if not live:
             return
         width = min(steps, len(rows[0][0]) - at)
-        inputs, targets, owner = (np.full((width, live), fill) for fill in (start, 0, -1))
+        inputs, targets, owner = (np.full((width, live), fill, c.dtype) for fill, c in zip((start, 0, -1), rows[0], strict=True))
         for i, row in enumerate(rows[:live]):
             part = len(row[0][at : at + width])
             inputs[:part, i], targets[:part, i], owner[:part, i] = (c[at : at + width] for c in row)
@@ -380,7 +406,7 @@ def _train(shared):
                         if shard is not None:
                             yield ended()
                         shard, trainer, learned = of, Trainer(Network(vocabulary).load(weights)), 0
-                held.append(vocabulary.look_up(tokens)[0])
+                held.append(vocabulary.look_up(tokens)[0].astype(NUMBER))
                 pending += len(tokens)
         if held:
             learn()
@@ -441,7 +467,8 @@ def _score(shared):
         vocabulary, weights = shared.value
         net = Network(vocabulary).load(weights).ready()
         held: list = []
-        pending = 0
+        looked_up: list = []  # for each document its numbers and what is known without the network
+        pending = waiting = 0
 
         def rows(kind, keys, **columns):
             n = len(keys)
@@ -465,7 +492,21 @@ def _score(shared):
             number, count = vocabulary.look_up(tokens)
             per_doc = lambda values: np.bincount(which, values, len(held))
             outside, log = number == net.tail, np.log10(np.maximum(count, 0) + 1.0)
-            docs = np.split(number, np.cumsum(sizes)[:-1])
+            columns = (
+                np.array([d[0] for d in held], np.int64), [d[1] for d in held], [d[2] for d in held], sizes, per_doc(count > 0).astype(np.int64),
+                per_doc(outside).astype(np.int64), per_doc(log), per_doc(log * outside)
+            )
+            looked_up.extend(zip(np.split(number.astype(NUMBER), np.cumsum(sizes)[:-1]), *columns, strict=True))
+            rare = np.flatnonzero(count < 0)
+            if len(rare):
+                order = np.lexsort((tokens[rare], which[rare]))
+                rare = rare[order]
+                fresh = np.flatnonzero(np.append(True, (which[rare[1:]] != which[rare[:-1]]) | (tokens[rare[1:]] != tokens[rare[:-1]])))
+                keys = np.array([d[0] for d in held], np.int64)[which[rare[fresh]]]
+                yield rows(1, keys, token=tokens[rare[fresh]].view(np.int64), n=np.diff(np.append(fresh, len(rare))).astype(np.int64))
+
+        def scored():
+            docs, keys, ids, outs, sizes, known, tail, logs, tail_logs = zip(*looked_up, strict=True)
             total = np.zeros(len(docs))
             h = np.zeros((SCORE_LANES, HIDDEN), np.float32)
             for inputs, targets, owner, live in windows(docs, net.start, SCORE_LANES, SCORE_WINDOW):
@@ -475,22 +516,15 @@ def _score(shared):
                 total += np.bincount(owner[used], found, len(docs))
             yield rows(
                 0,
-                [d[0] for d in held],
-                doc_id=pa.array([d[1] for d in held], pa.int64()),
-                held_out=pa.array([d[2] for d in held], pa.bool_()),
-                n=sizes,
-                known=per_doc(count > 0).astype(np.int64),
-                tail=per_doc(outside).astype(np.int64),
-                logs=per_doc(log),
-                model=total / np.log(10) + per_doc(log * outside)
+                keys,
+                doc_id=pa.array(ids, pa.int64()),
+                held_out=pa.array(outs, pa.bool_()),
+                n=np.array(sizes, np.int64),
+                known=np.array(known, np.int64),
+                tail=np.array(tail, np.int64),
+                logs=np.array(logs),
+                model=total / np.log(10) + np.array(tail_logs)
             )
-            rare = np.flatnonzero(count < 0)
-            if len(rare):
-                order = np.lexsort((tokens[rare], which[rare]))
-                rare = rare[order]
-                fresh = np.flatnonzero(np.append(True, (which[rare[1:]] != which[rare[:-1]]) | (tokens[rare[1:]] != tokens[rare[:-1]])))
-                keys = np.array([d[0] for d in held], np.int64)[which[rare[fresh]]]
-                yield rows(1, keys, token=tokens[rare[fresh]].view(np.int64), n=np.diff(np.append(fresh, len(rare))).astype(np.int64))
 
         for batch in slices(batches, column=3):
             for row, doc_id, out, tokens in zip(
@@ -504,9 +538,14 @@ def _score(shared):
                 pending += len(tokens)
                 if pending >= CHUNK:
                     yield from flush()
-                    held, pending = [], 0
+                    waiting, held, pending = waiting + pending, [], 0
+                    if waiting >= SCORED:
+                        yield from scored()
+                        looked_up, waiting = [], 0
         if held:
             yield from flush()
+        if looked_up:
+            yield from scored()
 
     return run
 
