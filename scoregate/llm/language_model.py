@@ -21,6 +21,8 @@ are ignored; empty tables give empty results."""
 from __future__ import annotations
 
 import heapq
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +43,8 @@ SHARD_TOKENS, MOST_SHARDS = 4_000_000, 4096
 CHUNK, SCORED, COUNTED = 400_000, 4_000_000, 1_000_000
 #: The type of numbers in the model.
 NUMBER = np.int16
+#: Classes whose weights take a step together, so many that they stay in a core's cache.
+TOGETHER = 8
 BLOCKS, SLOTS, ROWS = 16, 1 << 20, 1024
 END = np.uint64(0x9E3779B97F4A7C15)
 SEED = 11
@@ -114,14 +118,29 @@ class Vocabulary:
         return np.where(same, self.numbers[at], self.tail), np.where(same, self.known_counts[at], -1)
 
 
+class Space:
+    """Arrays by name that are used again from call to call: fresh ones of this size have to be paged in each time, which took a
+    quarter of the training's time. What was in an array of the name before is gone."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.held or self.held[name].size < size:
+            self.held[name] = np.empty(size, np.float32)
+        return self.held[name][:size].reshape(shape)
+
+
 def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log of each row's softmax at one place; shifted by the rows' maxima only where exp would overflow without."""
-    picked = logits[np.arange(len(at)), at]
-    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-        out = picked - np.log(np.exp(logits) @ np.ones(logits.shape[1], np.float32))
-    if not np.isfinite(out).all():
-        most = logits.max(1)
-        out = picked - most - np.log(np.exp(logits - most[:, None]).sum(1))
+    """The log of each row's softmax at one place, the logits being lost; shifted by the rows' maxima only where exp would overflow
+    without."""
+    most = logits.max(initial=0)
+    if not -80 < logits.min(initial=0) <= most < 80:
+        logits -= logits.max(1, keepdims=True)
+    out = logits[np.arange(len(at)), at]
+    np.exp(logits, out=logits)
+    out -= np.log(logits @ np.ones(logits.shape[1], np.float32))
     return out
 
 
@@ -130,7 +149,7 @@ class Network:
 
     A table and its biases are one array, which a product with a row that ends with 1 reads at once: `inputs` (embed, and a column
     of ones), `gate` (wx, b), `top` (wc, bc) and `word` (wo, bo). States are worked out with a lane in each column, so that gates
-    are whole stretches of memory."""
+    are whole stretches of memory; a step's state and inputs stand below each other and meet all gates in one product."""
 
     NAMES = ("embed", "wx", "wh", "b", "wc", "bc", "wo", "bo")
     TABLES = ("gate", "wh", "top", "word")
@@ -138,7 +157,7 @@ class Network:
     def __init__(self, vocabulary: Vocabulary):
         v, rng = vocabulary, np.random.default_rng(SEED)
         k = v.classes * CLASS_WORDS
-        self.words, self.classes, self.tail, self.start = v.words, v.classes, v.tail, v.start
+        self.words, self.classes, self.tail, self.start, self.space = v.words, v.classes, v.tail, v.start, Space()
         mass = np.zeros(k)
         mass[: v.words] = v.counts + 1
         by_class = mass.reshape(v.classes, CLASS_WORDS)
@@ -166,42 +185,56 @@ class Network:
             at += old.size
         return self
 
+    def gates(self) -> np.ndarray:
+        """What meets a state, its inputs and a one: the new state's recurrent part, both sigmoids with the sign that they need in exp,
+        and the new state's other part."""
+        n, every = HIDDEN, np.zeros((4 * HIDDEN, HIDDEN + EMBED + 1), np.float32)
+        every[:n, :n] = self.wh[:, 2 * n :].T
+        np.negative(self.wh[:, : 2 * n].T, out=every[n : 3 * n, :n])
+        np.negative(self.gate[:, : 2 * n].T, out=every[n : 3 * n, n:])
+        every[3 * n :, n:] = self.gate[:, 2 * n :].T
+        return every
+
     def states(self, inputs: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """The states of (steps, lanes) inputs from state h; the start symbol forgets what was before."""
-        steps, lanes = inputs.shape
-        out, kept = np.empty((steps, HIDDEN, lanes), np.float32), steps if keep is not None else 1
-        gated = np.empty((kept, 3 * HIDDEN, lanes), np.float32)
-        opened, new, befores = np.empty((kept, 2 * HIDDEN, lanes), np.float32), np.empty((kept, HIDDEN, lanes), np.float32), []
-        sign = np.repeat(np.array([-1, 1], np.float32), (2 * HIDDEN, HIDDEN))  # of exp in a sigmoid
-        gate, wh = np.ascontiguousarray((self.gate * sign).T), np.ascontiguousarray((self.wh * sign).T)
+        """The states of (steps, lanes) inputs from state h; the start symbol forgets what was before. They, and what is kept, hold until
+        the next call."""
+        (steps, lanes), size, space = inputs.shape, HIDDEN, self.space
+        kept = steps if keep is not None else 1
+        out, feed = space("out", steps, size, lanes), space("feed", steps + 1, size + EMBED + 1, lanes)
+        opened, part, every = space("opened", kept, 4 * size, lanes), space("part", size, lanes), self.gates()
+        feed[0, :size] = h.T
+        feed[:steps, size:] = self.inputs.take(inputs, 0).transpose(0, 2, 1)
         fresh = inputs != self.start
         forgets = ~fresh.all(1)
-        h, x = np.ascontiguousarray(h.T), np.empty((3 * HIDDEN, lanes), np.float32)
         for t in range(steps):
+            h = feed[t, :size]
             if forgets[t]:
-                h = h * fresh[t]
-            k = t if keep is not None else 0
-            g, rz, n = gated[k], opened[k], new[k]
-            np.matmul(gate, self.inputs.take(inputs[t], 0).T, out=x)
-            np.matmul(wh, h, out=g)
-            np.add(x[: 2 * HIDDEN], g[: 2 * HIDDEN], out=rz)
+                h *= fresh[t]
+            g = opened[t if keep is not None else 0]
+            np.matmul(every[size : 3 * size], feed[t], out=g[size : 3 * size])
+            np.matmul(every[:size, :size], h, out=g[:size])
+            np.matmul(every[3 * size :, size:], feed[t, size:], out=g[3 * size :])
+            rz, n, after = g[size : 3 * size], g[3 * size :], out[t]
             np.exp(rz, out=rz)
             rz += 1
             np.reciprocal(rz, out=rz)
-            np.multiply(rz[:HIDDEN], g[2 * HIDDEN :], out=n)
-            n += x[2 * HIDDEN :]
+            np.multiply(rz[:size], g[:size], out=part)
+            n += part
             np.tanh(n, out=n)
-            if keep is not None:
-                befores.append(h)
-            after = out[t]
             np.subtract(h, n, out=after)
-            after *= rz[HIDDEN:]
+            after *= rz[size:]
             after += n
-            h = after
+            feed[t + 1, :size] = after
         if keep is not None:
-            keep += [np.stack(befores), gated[:, 2 * HIDDEN :], opened[:, :HIDDEN], opened[:, HIDDEN:], new, fresh, forgets]
+            keep += [feed[:steps], opened.reshape(steps, 4, size, lanes), fresh, forgets]
         return out.transpose(0, 2, 1)
 
+    def rows(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The states at these places, each with a one at its end."""
+        every = self.space("rows", *h.shape[:-1], HIDDEN + 1)
+        every[..., :HIDDEN], every[..., HIDDEN] = h, 1
+        return every.reshape(-1, HIDDEN + 1).take(at, 0, out=self.space("sorted", len(at), HIDDEN + 1), mode="clip")
+
     def class_of(self, numbers: np.ndarray) -> np.ndarray:
         return np.where(numbers == self.tail, self.classes, numbers // CLASS_WORDS)
 
@@ -210,22 +243,29 @@ class Network:
         classes = self.class_of(numbers).astype(NUMBER)
         order = np.argsort(classes, kind="stable")
         classes = classes[order]
-        bounds = np.searchsorted(classes, np.arange(self.classes + 1))
-        return order, classes, [(int(c), int(bounds[c]), int(bounds[c + 1])) for c in np.flatnonzero(np.diff(bounds))]
+        bounds = np.searchsorted(classes, np.arange(self.classes + 1, dtype=NUMBER)).tolist()
+        return order, classes, [(c, a, z) for c, (a, z) in enumerate(itertools.pairwise(bounds)) if a < z]
 
-    def log_likelihoods(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural log probability of each target number; of the tail class as a whole."""
+    def log_likelihoods(self, h: np.ndarray, targets: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """Natural log probability of each target number, of the tail class as a whole; at: the places of their states, if not all."""
         order, classes, spans = self.sorted_by_class(targets)
-        rows = np.ones((len(h), HIDDEN + 1), np.float32)
-        rows[:, :HIDDEN] = h.take(order, 0)
+        rows = self.rows(h, order if at is None else at[order])
         within = targets[order] - classes.astype(np.int64) * CLASS_WORDS
-        found = np.empty(len(h), np.float32)
-        for a in range(0, len(h), ROWS):  # so many rows' logits stay in a core's cache
-            found[a : a + ROWS] = _log_softmax_at(rows[a : a + ROWS] @ self.top, classes[a : a + ROWS])
-        for c, start, end in spans:
-            for a in range(start, end, ROWS):
-                z = min(end, a + ROWS)
-                found[a:z] += _log_softmax_at(rows[a:z] @ self.word[c], within[a:z])
+        found = np.empty(len(order), np.float32)
+        for a in range(0, len(order), ROWS):  # so many rows' logits stay in a core's cache
+            part = rows[a : a + ROWS]
+            found[a : a + ROWS] = _log_softmax_at(np.matmul(part, self.top, out=self.space("logits", len(part), self.classes + 1)), classes[a : a + ROWS])
+        inside, k = spans[-1][2] if spans else 0, 0
+        for a in range(0, inside, ROWS):
+            z = min(inside, a + ROWS)
+            logits = self.space("logits", z - a, CLASS_WORDS)
+            while k < len(spans):
+                c, start, end = spans[k]
+                np.dot(rows[max(a, start) : min(end, z)], self.word[c], out=logits[max(a, start) - a : min(end, z) - a])
+                if end > z:
+                    break
+                k += 1
+            found[a:z] += _log_softmax_at(logits, within[a:z])
         out = np.empty_like(found)
         out[order] = found
         return out
@@ -269,68 +309,79 @@ class Trainer:
     def window(self, inputs: np.ndarray, targets: np.ndarray, used: np.ndarray, h: np.ndarray, places: int | None = None) -> np.ndarray:
         """Learn from one (steps, lanes) window of which some places are used; the state after it. places: what the loss is divided
         by; the number of places in use if none is given."""
-        net, keep = self.net, []
-        steps, lanes = inputs.shape
+        net, space, keep = self.net, self.net.space, []
+        (steps, lanes), size = inputs.shape, HIDDEN
         self.rate, self.seen = np.float32(RATE / (1 + self.seen / DECAY) ** 0.5), self.seen + 1
         hs = net.states(inputs, h, keep)
         at = np.flatnonzero(used)
         order, classes, spans = net.sorted_by_class(targets.ravel()[at])
         at = at[order]
-        rows, want = np.ones((len(at), HIDDEN + 1), np.float32), targets.ravel()[at]
-        rows[:, :HIDDEN] = hs.reshape(-1, HIDDEN).take(at, 0)
+        rows, want = net.rows(hs, at), targets.ravel()[at]
         scale = np.float32(SCALE / (places or max(1, len(want))))
-        p = self._slopes(rows @ net.top, classes, scale)
-        dh, g_top = p @ net.wc.T, rows.T @ p
+        p = self._slopes(np.matmul(rows, net.top, out=space("p", len(at), net.classes + 1)), classes, scale)
+        dh, g_top = np.matmul(p, net.wc.T, out=space("dh", len(at), size)), (p.T @ rows).T
         if spans:
             inside = spans[-1][2]
-            q, back = np.empty((inside, CLASS_WORDS), np.float32), np.empty((inside, HIDDEN), np.float32)
+            q, back, g_word = space("q", inside, CLASS_WORDS), space("back", inside, size), space("word", len(spans), size + 1, CLASS_WORDS)
             for c, a, z in spans:
-                np.matmul(rows[a:z], net.word[c], out=q[a:z])
+                np.dot(rows[a:z], net.word[c], out=q[a:z])
             self._slopes(q, want[:inside] - classes[:inside].astype(np.int64) * CLASS_WORDS, scale)
-            for c, a, z in spans:
-                np.matmul(q[a:z], net.wo[c].T, out=back[a:z])
-                self._step("word", rows[a:z].T @ q[a:z], c)
+            for k, (c, a, z) in enumerate(spans):
+                np.dot(q[a:z], net.wo[c].T, out=back[a:z])
+                np.dot(rows[a:z].T, q[a:z], out=g_word[k])
             dh[:inside] += back
+            touched = np.array([c for c, _, _ in spans])
+            for k in range(0, len(spans), TOGETHER):
+                some = touched[k : k + TOGETHER]
+                whole = some[-1] - some[0] < len(some)
+                self._step("word", g_word[k : k + TOGETHER], slice(some[0], some[-1] + 1) if whole else some)
         self._step("top", g_top)
-        all_dh = np.zeros((steps * lanes, HIDDEN), np.float32)
-        all_dh[at] = dh
-        all_dh = np.ascontiguousarray(all_dh.reshape(steps, lanes, HIDDEN).transpose(0, 2, 1))
-        # Slopes of the gates' recurrent parts (dg) and of the new state (dn) are the state's slope times what is known for all steps.
-        befores, g_n, r, z, n, fresh, forgets = keep
-        shut = 1 - z
-        to_n = n * n
+        by_row, all_dh = space("by_row", steps * lanes, size), space("all_dh", steps, size, lanes)
+        if len(at) < len(by_row):
+            by_row.fill(0)
+        by_row[at] = dh
+        all_dh[:] = by_row.reshape(steps, lanes, size).transpose(0, 2, 1)
+        # Slopes of what the gates' products gave are the state's slope times what is known for all steps.
+        feed, opened, fresh, forgets = keep
+        g_n, r, z, n = opened.transpose(1, 0, 2, 3)
+        by, shut = space("by", steps, 4, size, lanes), space("shut", steps, size, lanes)
+        to_g, to_r, to_z, to_n = by.transpose(1, 0, 2, 3)
+        np.subtract(1, z, out=shut)
+        np.multiply(n, n, out=to_n)
         np.subtract(1, to_n, out=to_n)
         to_n *= shut
-        by = np.empty((steps, 3, HIDDEN, lanes), np.float32)
-        np.multiply(to_n, r, out=by[:, 2])
-        np.subtract(1, r, out=by[:, 0])
-        by[:, 0] *= g_n
-        by[:, 0] *= by[:, 2]
-        np.subtract(befores, n, out=by[:, 1])
-        by[:, 1] *= z
-        by[:, 1] *= shut
-        carry, back = np.zeros((HIDDEN, lanes), np.float32), np.empty((HIDDEN, lanes), np.float32)
+        np.multiply(to_n, r, out=to_g)
+        np.subtract(1, r, out=to_r)
+        to_r *= g_n
+        to_r *= to_g
+        np.subtract(feed[:, :size], n, out=to_z)
+        to_z *= z
+        to_z *= shut
+        recurrent, carried = np.concatenate((net.wh[:, 2 * size :], net.wh[:, : 2 * size]), 1), by.reshape(steps, 4 * size, lanes)
+        carry, back = np.zeros((size, lanes), np.float32), np.empty((size, lanes), np.float32)
         for t in range(steps - 1, -1, -1):
-            carry += all_dh[t]
-            to_n[t] *= carry
-            by[t] *= carry
-            np.matmul(net.wh, by[t].reshape(3 * HIDDEN, lanes), out=back)
-            carry *= z[t]
+            d = all_dh[t]
+            d += carry
+            by[t] *= d
+            np.matmul(recurrent, carried[t, : 3 * size], out=back)
+            np.multiply(d, z[t], out=carry)
             carry += back
             if forgets[t]:
                 carry *= fresh[t]
-        slopes = by.transpose(1, 2, 0, 3).reshape(3 * HIDDEN, steps * lanes)
-        g_wh = befores.transpose(1, 0, 2).reshape(HIDDEN, -1) @ slopes.T
-        slopes[2 * HIDDEN :].reshape(HIDDEN, steps, lanes)[:] = to_n.transpose(1, 0, 2)
+        slopes, fed = space("slopes", 4 * size, steps, lanes), space("fed", feed.shape[1], steps, lanes)
+        slopes[:], fed[:] = carried.transpose(1, 0, 2), feed.transpose(1, 0, 2)
+        slopes, fed = slopes.reshape(4 * size, -1), fed.reshape(feed.shape[1], -1)
+        g_wh, g_gate = slopes[: 3 * size] @ fed[:size].T, slopes[size:] @ fed[size:].T
         flat_in = inputs.ravel()
         order = np.argsort(flat_in.astype(NUMBER), kind="stable")
         sorted_in = flat_in[order]
         starts = np.flatnonzero(np.append(True, sorted_in[1:] != sorted_in[:-1]))
-        summed = np.add.reduceat((slopes.T @ net.wx.T).take(order, 0), starts)
-        g_gate = (slopes @ net.inputs.take(flat_in, 0)).T
-        for name, g, rows in (("wh", g_wh, slice(None)), ("gate", g_gate, slice(None)), ("embed", summed, sorted_in[starts])):
+        to_embed = np.matmul(slopes[size:].T, net.wx.T, out=space("to_embed", steps * lanes, EMBED))
+        summed = np.add.reduceat(to_embed.take(order, 0), starts)
+        g_wh = np.concatenate((g_wh[size:], g_wh[:size])).T
+        for name, g, rows in (("wh", g_wh, slice(None)), ("gate", g_gate.T, slice(None)), ("embed", summed, sorted_in[starts])):
             self._step(name, np.clip(g, -CLIP, CLIP), rows)
-        return hs[-1]
+        return hs[-1].copy()
 
 
 def lanes_of(lengths: list[int], lanes: int) -> list[list[int]]:
@@ -348,26 +399,23 @@ def windows(docs: list[np.ndarray], start: int, lanes: int, steps: int) -> Itera
     """(inputs, targets, document of each place or -1, lanes still in use) of each window over documents given as numbers;
     a lane goes on where it stopped, so the number of lanes only falls."""
     dealt = lanes_of([len(d) for d in docs], lanes)
-    rows = [
-        (
-            np.concatenate([part for d in ds for part in (np.array([start], docs[d].dtype), docs[d][:-1])]),
-            np.concatenate([docs[d] for d in ds]),
-            np.repeat(np.array(ds, np.int32), [len(docs[d]) for d in ds])
-        )
-        for ds in dealt
-    ]
-    at = 0
-    while rows:
-        live = sum(len(r[0]) > at for r in rows)
-        if not live:
-            return
-        width = min(steps, len(rows[0][0]) - at)
-        inputs, targets, owner = (np.full((width, live), fill, c.dtype) for fill, c in zip((start, 0, -1), rows[0], strict=True))
-        for i, row in enumerate(rows[:live]):
-            part = len(row[0][at : at + width])
-            inputs[:part, i], targets[:part, i], owner[:part, i] = (c[at : at + width] for c in row)
+    if not dealt:
+        return
+    lengths = np.array([sum(len(docs[d]) for d in ds) for ds in dealt])
+    ends, every = np.cumsum(lengths), [d for ds in dealt for d in ds]
+    said = np.concatenate([docs[d] for d in every])
+    sizes = np.array([len(docs[d]) for d in every])
+    heard = np.append(said[:1], said[:-1])
+    heard[(np.cumsum(sizes) - sizes)[sizes > 0]] = start
+    owners, firsts = np.repeat(np.array(every, np.int32), sizes), ends - lengths
+    for at in range(0, int(lengths[0]), steps):
+        live = int((lengths > at).sum())
+        place = np.arange(at, min(at + steps, int(lengths[0])))[:, None]
+        inputs, targets, owner = (c.take(place + firsts[:live], mode="clip") for c in (heard, said, owners))
+        over = place >= lengths[:live]
+        if at + len(place) > lengths[live - 1]:
+            inputs[over], targets[over], owner[over] = start, 0, -1
         yield inputs, targets, owner, live
-        at += width
 
 
 def _train(shared):
@@ -512,7 +560,7 @@ def _score(shared):
             for inputs, targets, owner, live in windows(docs, net.start, SCORE_LANES, SCORE_WINDOW):
                 hs = net.states(inputs, h[:live])
                 h, used = hs[-1], owner >= 0
-                found = net.log_likelihoods(hs.reshape(-1, HIDDEN)[used.ravel()], targets[used])
+                found = net.log_likelihoods(hs, targets[used], np.flatnonzero(used))
                 total += np.bincount(owner[used], found, len(docs))
             yield rows(
                 0,
